@@ -15,6 +15,8 @@ CHUNK = 2 << 20
 U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are no ASCII letter or digit and no part of a longer UTF-8 character.
+MARK = np.array([not (x >= 0x80 or chr(x).isalnum()) for x in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 _MULT = U(0x9E3779B97F4A7C15)
@@ -64,11 +66,11 @@ def texts(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, np.ndarr
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (a run of bytes other than 0x20 and 0x09-0x0D) and the row that holds it."""
+def words(raw: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (a run of bytes other than 0x20 and 0x09-0x0D) and the row that holds it; space may name other separators."""
     if not len(raw):
         return (np.zeros(0, np.int64),) * 3
-    ink = ~SPACE[raw]
+    ink = ~space[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[off] = True
     before = np.concatenate([[False], ink[:-1]])
