@@ -11,5 +11,24 @@ def op8_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op8_ngram_jaccard_join,)}
+def op2_suffix_array_dedup(spark, sf_dir):
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_benchmark_decontamination(spark, sf_dir):
+    from .decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark, sf_dir):
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op5_benchmark_decontamination, op7_toxicity, op8_ngram_jaccard_join)}
 SQL: dict[str, str] = {}

@@ -114,9 +114,9 @@ class Field:
         for (f, r, _), marks in ((parts[0], hit), (parts[1], None)):
             if len(r) < WINDOW:
                 continue
-            centre = np.flatnonzero(marks) if marks is not None else np.concatenate([np.flatnonzero(np.isin(f, self.keys).any(axis=1)), rng.integers(0, len(r), 10_000)])
-            if len(centre) > 20_000:
-                centre = rng.choice(centre, 20_000, replace=False)
+            centre = np.flatnonzero(marks) if marks is not None else np.concatenate([np.flatnonzero(np.isin(f, self.keys).any(axis=1)), rng.integers(0, len(r), 4_000)])
+            if len(centre) > 6_000:
+                centre = rng.choice(centre, 6_000, replace=False)
             at = np.clip(centre[:, None] + np.arange(WINDOW) - WINDOW // 2, 0, len(r) - 1)
             place = np.searchsorted(self.keys, f[at])
             known = (place < len(self.keys)) & (self.keys[np.minimum(place, len(self.keys) - 1)] == f[at])
