@@ -18,7 +18,6 @@ come; extra columns are ignored. Labels, lang, source and doc_id are never input
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import crc32_mod, ship
 
-MOST_TOXIC, MOST_CLEAN, WINDOW, ROUNDS, GATE = 3000, 6000, 21, 120, 1 << 20
+MOST_TOXIC, MOST_CLEAN, WINDOW, ROUNDS, GATE, STEP, MOST_WINDOWS = 3000, 6000, 21, 120, 1 << 20, 300, 6000
 OUT = "doc_id long, held_out boolean, score double, predicted int, n_toxic long, spans array<struct<start:int,end:int,p:double>>"
 
 
@@ -74,7 +73,7 @@ def _chain(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     for t in range(length - 2, -1, -1):
         right = both[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]
         beta[:, t] = right @ pot.T
-        moves += np.einsum("ni,ij,nj->ij", alpha[:, t], pot, right)
+        moves += alpha[:, t].T @ right * pot
     return (alpha * beta)[:, :, 1], moves, np.log(scale).sum(axis=1)
 
 
@@ -83,50 +82,61 @@ class Field:
 
     def __init__(self, toxic: list[str], clean: list[str]):
         self.keys, self.weights, self.bias, self.trans, self.doc = np.zeros(0, K.U), np.zeros(0), -8.0, np.zeros((2, 2)), np.array([-30.0, 0.0, 0.0])
-        self.gate = np.zeros(GATE, dtype=bool)
+        self.gate, self.powers = np.zeros(GATE, dtype=bool), {}
         if not toxic or not clean:
             return
-        parts = []
-        for texts in (toxic, clean):
-            raw, off, start, end, row = _tokens(texts)
-            parts.append((_features(raw, start, end), row, _heads(raw, start, end)))
-        df = []
-        for feats, row, _ in parts:
-            seen: Counter = Counter()
-            for c in range(4):
-                some = feats[:, c] != 0
-                pair = np.unique(np.stack([feats[some, c], row[some].astype(K.U)], axis=1), axis=0)[:, 0]
-                value, count = np.unique(pair, return_counts=True)
-                df_one = dict(zip(value.tolist(), count.tolist(), strict=True))
-                seen.update(df_one)
-            df.append(seen)
-        least = max(3, round(0.004 * len(toxic)))
-        seeds = np.array(sorted(k for k, v in df[0].items() if v >= least and v / len(toxic) >= 20 * df[1].get(k, 0) / len(clean)), K.U)
-        feats, row, heads = parts[0]
-        hit = np.isin(feats, seeds).any(axis=1)
-        self.keys = np.unique(feats[hit])
+        def in_documents(texts, known=None):
+            """Each feature once for each document that has it; only known ones, if given."""
+            out = []
+            for i in range(0, len(texts), STEP):
+                raw, _, start, end, row = _tokens(texts[i : i + STEP])
+                feats = _features(raw, start, end)
+                for c in range(4):
+                    some = (feats[:, c] != 0) if known is None else np.isin(feats[:, c], known)
+                    out.append(np.unique(np.stack([feats[some, c], row[some].astype(K.U)], axis=1), axis=0)[:, 0])
+            return np.unique(np.concatenate(out), return_counts=True)
+
+        value, count = in_documents(toxic)
+        often = count >= max(3, round(0.004 * len(toxic)))
+        value, count = value[often], count[often]
+        seen, other = in_documents(clean, value)
+        in_clean = np.zeros(len(value))
+        in_clean[np.searchsorted(value, seen)] = other
+        seeds = value[count / len(toxic) >= 20 * in_clean / len(clean)]
+        keys = []
+        for i in range(0, len(toxic), STEP):
+            raw, _, start, end, _ = _tokens(toxic[i : i + STEP])
+            feats = _features(raw, start, end)
+            hit = np.isin(feats, seeds).any(axis=1)
+            keys.append(np.unique(feats[hit]))
+            self.gate[_heads(raw, start, end)[hit]] = True
+        self.keys = np.unique(np.concatenate(keys))
         self.keys = self.keys[self.keys != 0]
-        self.gate[heads[hit]] = True
-        if not hit.any():
+        if not len(self.keys):
             return
         windows, gold = [], []
         rng = np.random.default_rng(7)
-        for (f, r, _), marks in ((parts[0], hit), (parts[1], None)):
-            if len(r) < WINDOW:
-                continue
-            centre = np.flatnonzero(marks) if marks is not None else np.concatenate([np.flatnonzero(np.isin(f, self.keys).any(axis=1)), rng.integers(0, len(r), 4_000)])
-            if len(centre) > 6_000:
-                centre = rng.choice(centre, 6_000, replace=False)
-            at = np.clip(centre[:, None] + np.arange(WINDOW) - WINDOW // 2, 0, len(r) - 1)
-            place = np.searchsorted(self.keys, f[at])
-            known = (place < len(self.keys)) & (self.keys[np.minimum(place, len(self.keys) - 1)] == f[at])
-            windows.append(np.where(known, place, len(self.keys)))
-            gold.append(marks[at] if marks is not None else np.zeros(at.shape, bool))
+        for texts, most, marked in ((toxic, MOST_WINDOWS, True), (clean, MOST_WINDOWS, False)):
+            each = max(1, most * STEP // len(texts))
+            for i in range(0, len(texts), STEP):
+                raw, _, start, end, _ = _tokens(texts[i : i + STEP])
+                feats = _features(raw, start, end)
+                if len(feats) < WINDOW:
+                    continue
+                hit = np.isin(feats, seeds).any(axis=1) if marked else np.zeros(len(feats), bool)
+                centre = np.flatnonzero(np.isin(feats, self.keys).any(axis=1))
+                centre = centre if len(centre) <= each else rng.choice(centre, each, replace=False)
+                centre = centre if marked else np.concatenate([centre, rng.integers(0, len(feats), each)])
+                at = np.clip(centre[:, None] + np.arange(WINDOW) - WINDOW // 2, 0, len(feats) - 1)
+                place = np.searchsorted(self.keys, feats[at])
+                known = (place < len(self.keys)) & (self.keys[np.minimum(place, len(self.keys) - 1)] == feats[at])
+                windows.append(np.where(known, place, len(self.keys)).astype(np.int32))
+                gold.append(hit[at])
         self._fit(np.concatenate(windows), np.concatenate(gold))
         x, y = [], []
         for texts, label in ((toxic, 1), (clean, 0)):
-            for i in range(0, len(texts), 500):
-                for p, _ in self.tag(*_tokens(texts[i : i + 500])):
+            for i in range(0, len(texts), STEP):
+                for p, _ in self.tag(*_tokens(texts[i : i + STEP])):
                     x.append(self._pooled(p))
                     y.append(label)
         self._fit_doc(np.array(x), np.array(y, float))
@@ -151,7 +161,7 @@ class Field:
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                 theta[k] = theta[k] + 0.15 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-9) * min(1.0, (ROUNDS - step + 10) / 60)
             theta[0][n] = 0
-        self.weights, self.bias, self.trans = theta[0][:n], float(theta[1][0]), theta[2]
+        self.weights, self.bias, self.trans, self.powers = theta[0][:n], float(theta[1][0]), theta[2], {}
 
     def _fit_doc(self, x: np.ndarray, y: np.ndarray) -> None:
         w = np.array([-3.0, 6.0, 0.5])
@@ -184,8 +194,10 @@ class Field:
             yield self._marginals(at - words[r], e[cut[r] : cut[r + 1]], int(words[r + 1] - words[r])) if len(at) else np.zeros(0), at
 
     def _power(self, k: int) -> np.ndarray:
-        """k words of bias alone, scaled: (transition then emission) to the k."""
-        step = np.exp(self.trans) * np.array([1.0, np.exp(self.bias)])
+        """k words of bias alone, scaled: (transition then emission) to the k. Short runs are kept."""
+        if k in self.powers:
+            return self.powers[k]
+        run, step = k, np.exp(self.trans) * np.array([1.0, np.exp(self.bias)])
         out = np.eye(2)
         while k:
             if k & 1:
@@ -194,6 +206,8 @@ class Field:
             step = step @ step
             step /= step.sum()
             k >>= 1
+        if run < 4096:
+            self.powers[run] = out
         return out
 
     def _marginals(self, at: np.ndarray, e: np.ndarray, length: int) -> np.ndarray:
