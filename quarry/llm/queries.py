@@ -5,6 +5,24 @@ from __future__ import annotations
 from .common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed public tokenizers are; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark, sf_dir):
+    """Ids of every text, and the digest of their decoding: the text itself, with U+2581 read as a space."""
+    from pyspark.sql import functions as F
+
+    from . import sentencepiece_lattice as S
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    back = S.decode(S.encode(table(spark, sf_dir, "documents"), path), path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op8_ngram_jaccard_join(spark, sf_dir):
     from .jaccard_join import jaccard_components
 
@@ -30,5 +48,17 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op5_benchmark_decontamination, op7_toxicity, op8_ngram_jaccard_join)}
+def op9_token_output(spark, sf_dir):
+    from .repair_output import read_tokens, write_tokens
+
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end=2))
+
+
+def op10_warc(spark, sf_dir):
+    from .warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_array_dedup, op5_benchmark_decontamination, op7_toxicity, op8_ngram_jaccard_join, op9_token_output, op10_warc)}
 SQL: dict[str, str] = {}
