@@ -94,22 +94,27 @@ def best_segment(same: np.ndarray) -> tuple[int, int, int]:
     return start, end - start, int(same[start:end].sum())
 
 
+def _found(items: Items, raw: np.ndarray, off: np.ndarray, least: int, similar: float) -> dict[int, list]:
+    """Verified overlaps (words, item, first word) of each row that has one."""
+    raw = K.LOWER[raw]
+    start, end, row = K.words(raw, off, K.MARK)
+    h = K.word_hashes(raw, start, end)
+    first = np.searchsorted(row, np.arange(len(off)))
+    found: dict[int, list] = {}
+    for item, diagonal, r in items.hits(h, row).tolist():
+        a, b = int(items.off[item]), int(items.off[item + 1])
+        lo, hi = max(first[r], a + diagonal), min(first[r + 1], b + diagonal)
+        at, words, equal = best_segment(h[lo:hi] == items.h[lo - diagonal : hi - diagonal])
+        if words >= min(least, b - a) and equal >= similar * words:
+            found.setdefault(r, []).append((words, int(items.ids[item]), int(lo + at - first[r])))
+    return found
+
+
 def _scan(shared, least: int, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = shared.value
         for batch in batches:
             for i, j, raw, off in K.texts(batch, "text"):
-                raw = K.LOWER[raw]
-                start, end, row = K.words(raw, off, K.MARK)
-                h = K.word_hashes(raw, start, end)
-                first = np.searchsorted(row, np.arange(j - i + 1))
-                found: dict[int, list] = {}
-                for item, diagonal, r in items.hits(h, row).tolist():
-                    a, b = int(items.off[item]), int(items.off[item + 1])
-                    lo, hi = max(first[r], a + diagonal), min(first[r + 1], b + diagonal)
-                    at, words, equal = best_segment(h[lo:hi] == items.h[lo - diagonal : hi - diagonal])
-                    if words >= min(least, b - a) and equal >= similar * words:
-                        found.setdefault(r, []).append((words, int(items.ids[item]), int(lo + at - first[r])))
+                found = _found(shared.value, raw, off, least, similar)
                 rows = [(True, sorted({x[1] for x in f}), max(f)[0], min(x[2] for x in f)) if (f := found.get(r)) else (False, [], 0, None) for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64()), strict=True))],
@@ -118,23 +123,43 @@ def _scan(shared, least: int, similar: float):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 13, similar: float = 0.8) -> DataFrame:
-    """documents, benchmark -> (doc_id, contaminated, items, overlap, first_word), one row per row of docs.
+def _clean(shared, at: int, least: int, similar: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, raw, off in K.texts(batch, batch.schema.names[at]):
+                found = _found(shared.value, raw, off, least, similar)
+                yield batch.slice(i, j - i).filter(pa.array([r not in found for r in range(j - i)], pa.bool_()))
 
-    items: ids of the test items found; overlap: words of the longest verified overlap; first_word: where the first begins.
-    """
-    spark = docs.sparkSession
+    return run
+
+
+def _item_blocks(benchmark: DataFrame) -> Iterator:
+    """Broadcasts of the test set, each of at most about BLOCK bytes."""
+    spark = benchmark.sparkSession
     ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     test = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     total = test.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK))
-    parts = []
     for b in range(blocks):
         rows = (test if blocks == 1 else test.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)).collect()
-        shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))
-        parts.append(texts.mapInArrow(_scan(shared, least, similar), OUT))
-    if blocks == 1:
+        yield spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = 13, similar: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, in which no test item is found."""
+    for shared in _item_blocks(benchmark):
+        docs = docs.mapInArrow(_clean(shared, docs.columns.index("text"), least, similar), docs.schema)
+    return docs
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 13, similar: float = 0.8) -> DataFrame:
+    """documents, benchmark -> (doc_id, contaminated, items, overlap, first_word), one row per row of docs.
+
+    items: ids of the test items found; overlap: words of the longest verified overlap; first_word: where the first begins.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = [texts.mapInArrow(_scan(shared, least, similar), OUT) for shared in _item_blocks(benchmark)]
+    if len(parts) == 1:
         return parts[0]
     both = parts[0]
     for p in parts[1:]:

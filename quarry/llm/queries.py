@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .mtree import SQL as TOP_K_SQL
 
 
 def tokenizer_file(name: str) -> str:
@@ -35,6 +36,25 @@ def op2_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_html_extraction(spark, sf_dir):
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark, sf_dir):
+    from . import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op6_exact_top_k(spark, sf_dir):
+    from .mtree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_benchmark_decontamination(spark, sf_dir):
     from .decontaminate import decontaminate
 
@@ -60,5 +80,18 @@ def op10_warc(spark, sf_dir):
     return read_archives(write_archives(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_array_dedup, op5_benchmark_decontamination, op7_toxicity, op8_ngram_jaccard_join, op9_token_output, op10_warc)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_suffix_array_dedup, op3_html_extraction, op4_language_id, op5_benchmark_decontamination, op6_exact_top_k, op7_toxicity, op8_ngram_jaccard_join, op9_token_output, op10_warc)
+}
+SQL: dict[str, str] = {
+    "op6_exact_top_k": TOP_K_SQL,
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+             r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS response FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND response <> page_id THEN response END AS refers_to
+        FROM r""",
+}

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice, exact for BPE piece models.
 
 Encoding. Words (a run of U+2581 and what follows) never share a piece, so distinct words (cut further
-where no piece holds the two characters around a border) are encoded once. Substrings
+between ASCII characters that no piece holds side by side) are encoded once. Substrings
 of at most the longest piece's length are exploded and equi-joined to the piece table; the edges are grouped by word, and
 a fold over edges in order of their end (Spark's higher-order aggregate) keeps the best edge into each position. In a
 BPE model the best is not the highest sum of scores: the encoding is the one path whose neighbouring pieces would not
@@ -10,8 +10,8 @@ of a's right spine and a node of b's left spine, comes before the merges that co
 leftmost comes first). The piece table holds,
 for each piece, the spines of its derivation as bit masks. This gives the library's own ids.
 
-Words longer than LONG or with several leading spaces are encoded by replaying the merges in Python: the fold is
-quadratic in a word's edges. Characters without a piece become byte pieces.
+Words longer than LONG or with several leading spaces are encoded by replaying the merges in Python, in the block's task:
+the fold is quadratic in a word's edges. Characters without a piece become byte pieces.
 
 Documents are cut into blocks of about BLOCK bytes inside a task and written as codes into the block's word list; words
 go to the lattice with their blocks and codes, ids come back to the block. So text is never shuffled, a frequent word is
@@ -34,9 +34,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, ship
+from .common import ship
+from .kernel import buffers
 
-LONG, BLOCK, MARK, RAW = 48, 16 << 20, "▁", "\x01"
+LONG, BLOCK, MARK, RAW = 48, 32 << 20, "▁", "\x01"
 NEVER = 1 << 20
 
 
@@ -60,12 +61,12 @@ class Model:
             self.rank[self.pieces[i]] = rank
         self.longest = max(map(len, self.id))
         self.unknown = sp.unk_id()
-        self.pairs = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
-
-    def cut(self, word: str) -> list[str]:
-        """The word cut wherever no piece holds the two characters around the border: no merge can cross there."""
-        at = [0, *(i + 1 for i in range(len(word) - 1) if word[i : i + 2] not in self.pairs), len(word)]
-        return [word[a:b] for a, b in zip(at, at[1:], strict=False)] if word else []
+        #: ASCII characters that stand side by side in some piece
+        self.pairs = np.zeros((128, 128), dtype=bool)
+        for p in self.id:
+            for a, b in zip(p, p[1:], strict=False):
+                if a < "\x80" and b < "\x80":
+                    self.pairs[ord(a), ord(b)] = True
 
     def merges(self, word: str) -> list[tuple[int, int, tuple | None]]:
         """Replays the merges of a word: its symbols as (start, end, derivation)."""
@@ -188,11 +189,24 @@ def _keys(text: str) -> list[str]:
     return [w[1:] if w[0] == MARK and not w.startswith(MARK + RAW) else RAW + w for w in out]
 
 
-def _word(key: str) -> str:
-    return key[1:] if key.startswith(RAW) else MARK + key
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[tuple[int, pa.RecordBatch, list[str], np.ndarray, np.ndarray]]:
+def cut_words(keys: pa.Array, m: Model) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words of the keys, cut between ASCII characters that no piece holds side by side (no merge crosses there)."""
+    keys = keys.cast(pa.large_string())
+    raw = pc.starts_with(keys, RAW)
+    words = pc.if_else(raw, pc.utf8_slice_codeunits(keys, 1), pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), keys, pa.scalar("", pa.large_string())))
+    data, off = buffers(words)
+    start = np.zeros(len(data) + 1, dtype=bool)
+    start[off] = True
+    a, b = data[:-1], data[1:]
+    start[1:-1] |= (a < 128) & (b < 128) & ~m.pairs[a & 127, b & 127]
+    at = np.flatnonzero(start)
+    if not len(data):
+        at = np.zeros(1, np.int64)
+    parts = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes()))
+    return parts.dictionary_encode(), np.searchsorted(at, off)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[tuple[int, pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
     """Blocks of a task's rows: (id, rows, words, codes, offsets). The id is a hash of what the block holds."""
     for batch in batches:
         size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))])
@@ -201,61 +215,106 @@ def _blocks(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[tuple[int,
             j = max(i + 1, int(np.searchsorted(size, size[i] + BLOCK, side="right")) - 1)
             part = batch.slice(i, j - i)
             coded, off = split_words(part.column(1))
-            index: dict[str, int] = {}
-            cuts = [[index.setdefault(w, len(index)) for w in m.cut(_word(k))] for k in coded.dictionary.to_pylist()]
-            many = np.array([len(c) for c in cuts], np.int64)
-            flat, first = np.array([x for c in cuts for x in c], np.int64), np.cumsum(many) - many
+            cuts, first = cut_words(coded.dictionary, m)
+            flat, many = cuts.indices.to_numpy().astype(np.uint32), np.diff(first)
             codes = coded.indices.to_numpy()
             each = many[codes] if len(codes) else np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum(each)])
             out = flat[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])] if len(codes) else flat
-            words = list(index)
+            text, where = buffers(cuts.dictionary)
             seed = zlib.crc32(ends[off].tobytes(), zlib.crc32(out.tobytes()))
-            ids = zlib.crc32(repr(part.column(0).to_pylist()).encode(), zlib.crc32("\n".join(words[:1000]).encode(), seed))
-            yield (ids << 31) ^ seed, part, words, out, ends[off]
+            ids = zlib.crc32(repr(part.column(0).to_pylist()).encode(), zlib.crc32(text.tobytes(), zlib.crc32(where.tobytes(), seed)))
+            yield (ids << 31) ^ seed, part, cuts.dictionary, out, ends[off]
             i = j
 
 
+def _odd(words: pa.Array) -> np.ndarray:
+    """Words that the fold isn't for."""
+    return pc.or_(pc.greater(pc.utf8_length(words), LONG), pc.starts_with(words, MARK * 2)).to_numpy(zero_copy_only=False)
+
+
 def _send_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, words, _, _ in _blocks(batches, model(path)):
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.full(len(words), block)), pa.array(np.arange(len(words), dtype=np.int32))], ["word", "block", "code"])
+            code = np.flatnonzero(~_odd(words))
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(code)).cast(pa.string()), pa.array(np.full(len(code), block)), pa.array(code.astype(np.int32))], ["word", "block", "code"])
 
     return run
 
 
+def _bundle(code: np.ndarray, size: np.ndarray, flat: np.ndarray) -> bytes:
+    """Codes and the ids of their words, in one compressed piece."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([len(code), len(flat)], "<u4").tobytes(), code.astype("<u4").tobytes(), size.astype("<u4").tobytes(), flat.astype("<u4").tobytes()]))
+
+
+def _unbundle(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4")
+    n = int(raw[0])
+    return raw[2 : 2 + n].astype(np.int64), raw[2 + n : 2 + 2 * n].astype(np.int64), raw[2 + 2 * n :]
+
+
 def _send_codes(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        for block, part, _, codes, off in _blocks(batches, model(path)):
+        m = model(path)
+        for block, part, words, codes, off in _blocks(batches, m):
             codes, pack = codes.astype("<u4"), zstandard.ZstdCompressor(level=3)
             data = [pack.compress(codes[off[r] : off[r + 1]].tobytes()) for r in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block)), part.column(0), pa.array(data, pa.binary())], ["block", "doc_id", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block)), part.column(0), pa.array(data, pa.binary()), pa.array(np.zeros(part.num_rows, bool))], ["block", "doc_id", "codes", "words"])
+            odd = np.flatnonzero(_odd(words))
+            ids = [m.encode_word(w) for w in words.take(pa.array(odd)).to_pylist()]
+            more = _bundle(odd, np.array([len(x) for x in ids]), np.array([y for x in ids for y in x]))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([None], pa.int64()), pa.array([more], pa.binary()), pa.array([True])], ["block", "doc_id", "codes", "words"])
 
     return run
 
 
-def _assemble(key, docs: pa.Table, ids: pa.Table) -> pa.Table:
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(places, ids) of words -> (block, bundle): each block's words of this batch in one piece."""
+    for batch in batches:
+        places, ids = batch.column(0), batch.column(1)
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+        at = places.flatten()
+        block, code = at.field(0).to_numpy(), at.field(1).to_numpy()
+        size = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, first = ids.flatten().to_numpy(), np.cumsum(size) - size
+        order = np.lexsort((code, block))
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(block[order])) + 1, [len(order)]])
+        out = []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if a < b:
+                rows = row[order[a:b]]
+                many = size[rows]
+                pick = np.repeat(first[rows] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                out.append((int(block[order[a]]), _bundle(code[order[a:b]], many, flat[pick])))
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["block", "bundle"])
+
+
+def _assemble(key, docs: pa.Table, bundles: pa.Table) -> pa.Table:
     """One block: codes of its documents and the ids of its words -> ids of the documents."""
     import zstandard
 
-    order = np.argsort(ids["code"].to_numpy(), kind="stable")
-    lists = ids["ids"].combine_chunks()
-    lists = (lists if isinstance(lists, pa.ListArray) else lists.chunk(0)).take(pa.array(order)) if len(order) else pa.array([], pa.list_(pa.int32()))
-    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = lists.flatten().to_numpy().astype("<u4") if len(size) else np.zeros(0, "<u4")
-    first = np.cumsum(size) - size
+    is_words = docs["words"].to_numpy(zero_copy_only=False)
+    got = [_unbundle(x) for x in bundles["bundle"].to_pylist()] + [_unbundle(docs["codes"][int(i)].as_py()) for i in np.flatnonzero(is_words)]
+    code, many, flat = (np.concatenate([g[c] for g in got] or [np.zeros(0, np.int64)]) for c in range(3))
+    size, start = np.full(int(code.max()) + 1 if len(code) else 0, -1), np.zeros(int(code.max()) + 1 if len(code) else 0, np.int64)
+    size[code], start[code] = many, np.cumsum(many) - many
     unpack, out = zstandard.ZstdDecompressor(), []
-    for data in docs["codes"].to_pylist():
-        codes = np.frombuffer(unpack.decompress(data), "<u4").astype(np.int64)
-        if len(codes) and codes.max() >= len(size):
+    rows = np.flatnonzero(~is_words)
+    for i in rows:
+        codes = np.frombuffer(unpack.decompress(docs["codes"][int(i)].as_py()), "<u4").astype(np.int64)
+        if len(codes) and (codes.max() >= len(size) or (size[codes] < 0).any()):
             raise ValueError(f"block {key} has codes without words")
-        many = size[codes]
-        at = np.repeat(first[codes] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        each = size[codes] if len(codes) else codes
+        at = np.repeat(start[codes] - (np.cumsum(each) - each), each) + np.arange(int(each.sum())) if len(codes) else codes
         out.append(flat[at].astype(np.int32))
     off = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-    return pa.table({"doc_id": docs["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))})
+    return pa.table({"doc_id": docs["doc_id"].take(pa.array(rows)), "ids": pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))})
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -263,32 +322,33 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: The fold. Edges are (e, s, id, rank, rmask, lmask) in order of e, longest first. Each prefix has one encoding, so the
-#: accumulator holds, at index e - 1, the one edge into e that the encoding of that prefix ends with.
+#: accumulator holds, at index e - 1, the one edge into e that the encoding of that prefix ends with. wide: edges of two
+#: characters or more, which alone can cross a border.
 _ALLOWED = f"""
-  b.s = 0 OR NOT exists(edges, q -> q.s < b.s AND q.e > b.s AND q.e <= b.e AND q.s >= acc[b.s - 1].s
+  b.s = 0 OR NOT exists(wide, q -> q.s < b.s AND q.e > b.s AND q.e <= b.e AND q.s >= acc[b.s - 1].s
     AND (shiftright(b.lmask, q.e - b.s) & 1) = 1 AND (shiftright(acc[b.s - 1].rmask, q.s - acc[b.s - 1].s) & 1) = 1
-    AND NOT exists(edges, x -> x.s = b.s AND x.e > q.e AND x.e <= b.e AND x.rank < q.rank AND (shiftright(b.lmask, x.e - b.s) & 1) = 1)
-    AND NOT exists(edges, x -> x.e = b.s AND x.s < q.s AND x.s >= acc[b.s - 1].s AND x.rank <= q.rank AND (shiftright(acc[b.s - 1].rmask, x.s - acc[b.s - 1].s) & 1) = 1))
+    AND NOT exists(wide, x -> x.s = b.s AND x.e > q.e AND x.e <= b.e AND x.rank < q.rank AND (shiftright(b.lmask, x.e - b.s) & 1) = 1)
+    AND NOT exists(wide, x -> x.e = b.s AND x.s < q.s AND x.s >= acc[b.s - 1].s AND x.rank <= q.rank AND (shiftright(acc[b.s - 1].rmask, x.s - acc[b.s - 1].s) & 1) = 1))
 """
 _FOLD = f"aggregate(edges, filter(edges, x -> false), (acc, b) -> CASE WHEN size(acc) >= b.e THEN acc WHEN {_ALLOWED} THEN array_append(acc, b) ELSE acc END)"
 _BACK = "aggregate(reverse(best), named_struct('at', n, 'path', array_repeat(0, 0)), (t, x) -> CASE WHEN x.e = t.at THEN named_struct('at', x.s, 'path', array_append(t.path, x.id)) ELSE t END, t -> reverse(t.path))"
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, bytes_at: dict[int, int]) -> DataFrame:
-    """(word) distinct, at most LONG characters -> (word, ids): explode, equi-join, group, fold. No Python on this path.
+    """(word, places) with distinct words of at most LONG characters -> (places, ids): explode, equi-join, group, fold. No Python on this path.
 
     In the fold q is an edge across the border of a = acc[b.s - 1] and b; it is harmless if a merge inside b or a that
     consumes one of its two nodes comes first.
     """
     n = F.char_length("word")
     spans = F.expr(f"flatten(transform(sequence(0, char_length(word) - 1), s -> transform(sequence(1, least({longest}, char_length(word) - s)), k -> named_struct('s', s, 'k', k, 'piece', substring(word, s + 1, k)))))")
-    rows = words.where(n > 0).select("word", F.explode(spans).alias("x")).select("word", "x.s", "x.k", "x.piece")
+    rows = words.where(n > 0).select("word", "places", F.explode(spans).alias("x")).select("word", F.expr("CASE WHEN x.s = 0 AND x.k = 1 THEN places END").alias("places"), "x.s", "x.k", "x.piece")
     edges = rows.join(F.broadcast(pieces), "piece", "left").where("id is not null or k = 1")
     one = F.struct((F.col("s") + F.col("k")).cast("short").alias("e"), F.col("s").cast("short").alias("s"), F.coalesce("id", -1 - F.expr("ascii(piece)")).alias("id"), F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("rmask", F.lit(1)).alias("rmask"), F.coalesce("lmask", F.lit(2)).alias("lmask"))
-    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(one)).alias("edges"))
-    path = grouped.select("word", n.cast("short").alias("n"), "edges").withColumn("best", F.expr(_FOLD)).select("word", F.expr(_BACK).alias("path"))
+    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(one)).alias("edges"), F.first("places", ignorenulls=True).alias("places"))
+    path = grouped.select("places", n.cast("short").alias("n"), "edges", F.expr("filter(edges, x -> x.e - x.s > 1)").alias("wide")).withColumn("best", F.expr(_FOLD)).select("places", F.expr(_BACK).alias("path"))
     if not bytes_at:
-        return path.select("word", "path")
+        return path.select("places", F.col("path").alias("ids"))
     # a character without a piece came as -1 - its code point: its UTF-8 bytes, as byte pieces
     base = bytes_at[0]
     utf8 = f"""CASE WHEN x >= 0 THEN array(x)
@@ -296,17 +356,7 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, bytes_at: dict[in
       WHEN -1 - x < 2048 THEN array({base} + 192 + shiftright(-1 - x, 6), {base} + 128 + ((-1 - x) & 63))
       WHEN -1 - x < 65536 THEN array({base} + 224 + shiftright(-1 - x, 12), {base} + 128 + (shiftright(-1 - x, 6) & 63), {base} + 128 + ((-1 - x) & 63))
       ELSE array({base} + 240 + shiftright(-1 - x, 18), {base} + 128 + (shiftright(-1 - x, 12) & 63), {base} + 128 + (shiftright(-1 - x, 6) & 63), {base} + 128 + ((-1 - x) & 63)) END"""
-    return path.select("word", F.expr(f"CASE WHEN exists(path, x -> x < 0) THEN flatten(transform(path, x -> {utf8})) ELSE path END").alias("ids"))
-
-
-def _replay(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.encode_word(w) for w in words], pa.list_(pa.int32()))], ["word", "ids"])
-
-    return run
+    return path.select("places", F.expr(f"CASE WHEN exists(path, x -> x < 0) THEN flatten(transform(path, x -> {utf8})) ELSE path END").alias("ids"))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -315,14 +365,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     ship(spark)
     m = model(path)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = texts.mapInArrow(_send_words(path), "word string, block long, code int").repartition(partitions(spark), "word")
-    places = sent.groupBy("word").agg(F.collect_list(F.struct("block", "code")).alias("places"))
-    words = sent.groupBy("word").agg(F.count("*").alias("blocks")).select("word")
-    odd = (F.char_length("word") > LONG) | F.col("word").startswith(MARK * 2)
-    short = lattice(words.where(~odd), piece_table(spark, path), m.longest, m.bytes)
-    long = words.where(odd).mapInArrow(_replay(path), "word string, ids array<int>")
-    ids = places.join(short.unionByName(long), "word").select(F.explode("places").alias("x"), "ids").select("x.block", "x.code", "ids")
-    codes = texts.mapInArrow(_send_codes(path), "block long, doc_id long, codes binary")
+    words = texts.mapInArrow(_send_words(path), "word string, block long, code int").groupBy("word").agg(F.collect_list(F.struct("block", "code")).alias("places"))
+    ids = lattice(words, piece_table(spark, path), m.longest, m.bytes).mapInArrow(_bundles, "block long, bundle binary")
+    codes = texts.mapInArrow(_send_codes(path), "block long, doc_id long, codes binary, words boolean")
     return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 

@@ -278,47 +278,67 @@ def _refined(length: int):
     return run
 
 
-def _finish(keep_text: bool):
+def _merged(found) -> list[list[int]]:
+    """Maximal runs."""
+    out: list = []
+    for a, b in sorted((r["start"], r["end"]) for r in found or ()):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _rest(data: bytes, spans: list[list[int]]) -> bytes:
+    return b"".join(data[a:b] for a, b in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(data)], strict=True))
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+    for batch in batches:
+        out: list = []
+        for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            data, spans = (text or "").encode(), _merged(found)
+            rest = _rest(data, spans)
+            out.append((len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), [{"start": a, "end": b} for a, b in spans]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 5, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+
+def _rewrite(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, runs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out: list = []
-            for x, found in zip(text, runs, strict=True):
-                data = (x or "").encode()
-                kept, spans, at = [], [], 0
-                for r in sorted((r["start"], r["end"]) for r in found or ()):
-                    if spans and r[0] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], r[1])
-                    else:
-                        spans.append(list(r))
-                for a, b in spans:
-                    kept.append(data[at:a])
-                    at = b
-                rest = b"".join([*kept, data[at:]])
-                out.append((len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), [{"start": a, "end": b} for a, b in spans], rest.decode("utf-8", "ignore") if keep_text else None))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()), strict=True))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"])
+            cols = list(batch.columns[:-1])
+            text = [x if not found else _rest(x.encode(), _merged(found)).decode("utf-8", "ignore") for x, found in zip(cols[names.index("text")].to_pylist(), batch.columns[-1].to_pylist(), strict=True)]
+            cols[names.index("text")] = pa.array(text, pa.string())
+            if "n_chars" in names:
+                cols[names.index("n_chars")] = pa.array([x if t is None else len(t) for t, x in zip(text, cols[names.index("n_chars")].to_pylist(), strict=True)], cols[names.index("n_chars")].type)
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = False, hot_over: int = HOT) -> DataFrame:
-    """documents -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text), one row per row of docs.
-
-    spans: the removed byte ranges; kept_text: what is left, where keep_text is set (a character that loses a byte goes).
-    """
+def repeated_runs(docs: DataFrame, length: int = 100, hot_over: int = HOT) -> DataFrame:
+    """documents -> (doc_id, runs): byte ranges that repeated strings cover, for documents that have some."""
     spark = docs.sparkSession
     ship(spark)
     parts = partitions(spark)
-    all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    some = all_docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     anchors = some.mapInArrow(_anchors(length), "h long, doc_id long, many boolean")
     twice = stored(anchors.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda x: _repeated(x, hot_over), "h long, doc_id long, hot boolean"), "anchors")
     lists = twice.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     sent = some.join(lists, "doc_id").select("doc_id", "text", "cold", "hot").sortWithinPartitions("doc_id").mapInArrow(_surroundings(length), SENT)
     found = sent.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_refined(length), "doc_id long, start long, end long")
-    runs = stored(found, "repeats").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-    joined = all_docs.join(runs, "doc_id", "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(_finish(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text string")
+    return stored(found, "repeats").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+
+
+def suffix_dedup(docs: DataFrame, length: int = 100, hot_over: int = HOT) -> DataFrame:
+    """documents -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans), one row per row of docs. spans: removed byte ranges."""
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(repeated_runs(docs, length, hot_over), "doc_id", "left").select("doc_id", "text", "runs")
+    return joined.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+
+
+def rewritten(docs: DataFrame, length: int = 100) -> DataFrame:
+    """The rows of docs, all columns, with text less its repeated runs (a character that loses a byte goes) and n_chars to match."""
+    runs = repeated_runs(docs, length).withColumnRenamed("doc_id", "_id").withColumnRenamed("runs", "_runs")
+    joined = docs.join(runs, docs["doc_id"] == runs["_id"], "left").select(*(docs[c] for c in docs.columns), "_runs")
+    return joined.mapInArrow(_rewrite(docs.columns), docs.schema)

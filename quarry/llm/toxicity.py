@@ -267,3 +267,20 @@ def toxicity(docs: DataFrame, field: Field) -> DataFrame:
     ship(spark)
     shared = spark.sparkContext.broadcast(field)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc32_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text").mapInArrow(_scores(shared), OUT)
+
+
+def _clean(shared, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field: Field = shared.value
+        for batch in batches:
+            for i, j, raw, off in K.texts(batch, batch.schema.names[at]):
+                low = K.LOWER[raw]
+                yield batch.slice(i, j - i).filter(pa.array([field.score(p) < 0.5 for p, _ in field.tag(low, off, *K.words(low, off, K.MARK))], pa.bool_()))
+
+    return run
+
+
+def clean_documents(docs: DataFrame, field: Field) -> DataFrame:
+    """The rows of docs, all columns, that the field does not reject."""
+    ship(docs.sparkSession)
+    return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(field), docs.columns.index("text")), docs.schema)
