@@ -1,6 +1,6 @@
 """Toxicity: a linear-chain conditional random field tags toxic words; its marginals give document scores and offsets.
 
-Training uses at most MOST_TOXIC + MOST_CLEAN labelled rows (those with the smallest hashes of their text and id), whole
+Training uses at most MOST_TOXIC + MOST_CLEAN labelled rows (those with the smallest hashes of their doc_id), whole
 texts. The table labels documents, so words are labelled first: a word of a toxic document is toxic if its form or one of
 its beginnings (4 to 6 bytes) is frequent in toxic documents and at most a twentieth as frequent in clean ones; all other
 words, and all words of clean documents, are not. The field has two states, weights for the form and the beginnings of
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import crc32_mod, ship
 
-MOST_TOXIC, MOST_CLEAN, WINDOW, ROUNDS, GATE, STEP, MOST_WINDOWS = 3000, 6000, 21, 120, 1 << 20, 300, 6000
+MOST_TOXIC, MOST_CLEAN, WINDOW, ROUNDS, GATE, STEP, MOST_WINDOWS = 1500, 3000, 21, 80, 1 << 20, 300, 3000
 OUT = "doc_id long, held_out boolean, score double, predicted int, n_toxic long, spans array<struct<start:int,end:int,p:double>>"
 
 
@@ -236,10 +236,14 @@ class Field:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
     """Fits the field on labelled rows outside the held-out fold; see the module's docstring for the bound."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where((F.col("toxic").isNotNull()) & (crc32_mod("doc_id", 5) != 0)), "doc_id")
-    pick = lambda label, most: [r[0] for r in rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "text").limit(most).select("text").collect()]
-    return Field(pick(1, MOST_TOXIC), pick(0, MOST_CLEAN))
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 5) != 0))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+
+    def pick(label, most):  # the ids are bounded, so they are broadcast and no text is shuffled
+        ids = marked.where(F.col("toxic") == label).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most)
+        return [r[0] for r in texts.join(F.broadcast(ids), "doc_id").select("text", "h").collect()]
+
+    return Field(sorted(pick(1, MOST_TOXIC)), sorted(pick(0, MOST_CLEAN)))
 
 
 def _scores(shared):
