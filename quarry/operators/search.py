@@ -40,7 +40,7 @@ def reconcile(docs: DataFrame, index: DataFrame) -> DataFrame:
 
 def freshness(profile: Profile = Profile()) -> Column:
     age = F.greatest(F.lit(0.0), F.lit(float(CLOCK)) - F.col("day"))
-    return F.coalesce(1 + profile.freshness * F.pow(F.lit(2.0), -age / profile.half_life_days), F.lit(1.0))
+    return F.when(F.col("day").isNull(), 1.0).otherwise(1 + profile.freshness * F.pow(F.lit(2.0), -age / profile.half_life_days))
 
 
 def importance() -> Column:
@@ -56,6 +56,10 @@ def dedupe_key() -> Column:
     return F.concat_ws("\u0001", F.lower("owner"), F.lower(clean(F.col("title"))))
 
 
+def _hits(word: str, prefix: bool):
+    return (lambda t: t.startswith(word)) if prefix else (lambda t: t == F.lit(word))
+
+
 def matched(docs: DataFrame, match: Match, weights: dict[str, float] | None = None, profile: Profile = Profile()) -> DataFrame:
     """Documents that match, with the parts of their rank: tier, title_words, cover, relevance.
 
@@ -70,8 +74,7 @@ def matched(docs: DataFrame, match: Match, weights: dict[str, float] | None = No
     for i, word in enumerate(match.words):
         prefix = match.prefix and i == len(match.words) - 1
         for code in names:
-            hit = (lambda t, w=word: t.startswith(w)) if prefix else (lambda t, w=word: t == F.lit(w))
-            out = out.withColumn(f"n{i}_{code}", F.size(F.filter(f"t{code}", hit)))
+            out = out.withColumn(f"n{i}_{code}", F.size(F.filter(f"t{code}", _hits(word, prefix))))
     codes = [match.field] if match.field else list(names)
     n = range(len(match.words))
     here = {i: F.greatest(*(F.when(F.col(f"n{i}_{c}") > 0, c).otherwise(0) for c in codes), F.lit(0)) for i in n}

@@ -1,4 +1,304 @@
-"""Registered queries of the engine and, for each that SQL can express, the same in SQL."""
+"""Registered queries of the engine: each applies operators to whole tables; quarry.oracles has the same in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions.text import tokens
+from quarry.operators import federation as fed
+from quarry.operators import ingest, search, trending, vector
+from quarry.operators import visibility as vis
+from quarry.oracles import SQL  # noqa: F401
+from quarry.schema import Match, Viewer
+from quarry.sources.adapter import beacons, index_documents, revision_log
+from quarry.streaming import jobs
 
 QUERIES: dict = {}
-SQL: dict = {}
+HIT = ("rid", "rank", "importance", "recency")
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def named(name: str, f) -> None:
+    f.__name__ = name
+    QUERIES[name] = f
+
+
+def read(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs_of(spark, sf_dir):
+    return vis.with_exposure(index_documents(spark, sf_dir))
+
+
+def top(spark, sf_dir, match, viewer=Viewer(), weights=None, limit=20):
+    return search.page(search.search_set(docs_of(spark, sf_dir), match, viewer, weights), limit)
+
+
+# retrieval
+named("keyword_and_search", lambda s, d: top(s, d, Match(("the", "of"))).select(*HIT))
+named("keyword_signed_in", lambda s, d: top(s, d, Match(("the", "of")), Viewer("u1", ("g1",), ("e1",))).select(*HIT))
+named("prefix_search", lambda s, d: top(s, d, Match(("the", "ing"), prefix=True)).select(*HIT))
+named("question_lift", lambda s, d: top(s, d, Match(("that", "erer"), any=True, question=True)).select(*HIT))
+named("suggest_titles", lambda s, d: top(s, d, Match(("th",), prefix=True, field=search.TITLE), limit=8).select("rid", "title", "rank"))
+
+
+@query
+def keyword_relaxed(spark, sf_dir):
+    """Any word, weighted by how rare it is among listed documents; two bounded counts come first."""
+    docs = docs_of(spark, sf_dir)
+    words = ("idiot", "clown")
+    df = search.term_df(docs).where(F.col("term").isin(*words)).select("term", search.word_weight(F.col("df")).alias("w"))
+    missing = spark.range(1).select(search.word_weight(F.lit(0)).alias("w")).first()[0]
+    weights = dict.fromkeys(words, missing) | {r[0]: r[1] for r in df.collect()}
+    return search.page(search.search_set(docs, Match(words, any=True), Viewer(), weights)).select(*HIT)
+
+
+@query
+def keyset_page2(spark, sf_dir):
+    rows = search.search_set(docs_of(spark, sf_dir), Match(("the", "of")))
+    last = search.page(rows, 20).select(*HIT).collect()
+    key = (last[-1]["rank"], last[-1]["importance"], last[-1]["recency"], last[-1]["rid"]) if last else None
+    return search.page(rows, 20, key).select(*HIT)
+
+
+@query
+def facet_filter(spark, sf_dir):
+    docs = search.facet_filter(docs_of(spark, sf_dir), {"lang": ["en", "de"], "size": ["medium"]})
+    return search.page(search.search_set(docs, Match(("the",)))).select(*HIT)
+
+
+@query
+def facet_counts(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return search.facet_counts(docs, search.search_set(docs, Match(("the",))), ["lang", "size", "live", "type"])
+
+
+@query
+def rank_components(spark, sf_dir):
+    rows = search.matched(vis.visible(docs_of(spark, sf_dir), Viewer()), Match(("the", "of")))
+    return rows.select("rid", "tier", "title_words", "cover", "doc_len", F.round("relevance", 6).alias("relevance"))
+
+
+@query
+def snippet(spark, sf_dir):
+    match = Match(("the",))
+    return search.snippet(top(spark, sf_dir, match), match).select("rid", "snippet")
+
+
+named("browse_newest", lambda s, d: search.browse(docs_of(s, d)).select("rid", "sort_at"))
+
+# derived columns and visibility
+named("effective_indexability", lambda s, d: docs_of(s, d).select("rid", "index_decision", F.array_join("reasons", ",").alias("reasons")))
+named("exposure_levels", lambda s, d: docs_of(s, d).select("rid", "exposure"))
+named("exposure_counts", lambda s, d: docs_of(s, d).groupBy("exposure").agg(F.count("*").alias("n"), F.count_if("deleted").alias("tombstones")))
+named("normalize_hash", lambda s, d: index_documents(s, d).select("rid", F.sha2(F.concat_ws("|", "owner", "type", "id", "title", "summary"), 256).alias("content_hash")))
+named("acl_keys", lambda s, d: vis.acl_keys(docs_of(s, d)))
+named("facet_pairs", lambda s, d: vis.facet_pairs(docs_of(s, d)))
+named("visible_anonymous", lambda s, d: vis.visible(docs_of(s, d), Viewer()).select("rid"))
+named("visible_user", lambda s, d: vis.visible(docs_of(s, d), Viewer("u2")).select("rid"))
+named("visible_delegate", lambda s, d: vis.visible(docs_of(s, d), Viewer("u9", ("g0", "g2"), ("e1",))).select("rid"))
+named("can_view_by_id", lambda s, d: docs_of(s, d).select("rid", vis.can_view(Viewer("u2", ("g1",))).alias("can_view")))
+named("acl_leak_audit", lambda s, d: vis.visible(docs_of(s, d), Viewer()).agg(F.count_if((F.col("visibility") != "public") | F.col("deleted") | (F.col("publication_state") != "published")).alias("leaks")))
+
+# index
+named("postings", lambda s, d: search.postings(docs_of(s, d)))
+named("term_df", lambda s, d: search.term_df(docs_of(s, d)))
+named("word_weights", lambda s, d: search.term_df(docs_of(s, d)).select("term", search.word_weight(F.col("df")).alias("weight")))
+
+
+@query
+def index_reconcile(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    return search.reconcile(docs, search.postings(docs))
+
+
+named("freshness_boost", lambda s, d: index_documents(s, d).select("rid", F.round(search.freshness(), 6).alias("boost")))
+named("importance", lambda s, d: index_documents(s, d).select("rid", search.importance().alias("importance")))
+named("thin_flag", lambda s, d: index_documents(s, d).select("rid", search.thin().alias("thin")))
+
+# aggregates over the visible set
+named("coverage_by_kind", lambda s, d: vis.visible(docs_of(s, d), Viewer()).groupBy("owner", "type").agg(F.count("*").alias("n")))
+named("coverage_rollup", lambda s, d: vis.visible(docs_of(s, d), Viewer()).rollup("owner", "type").agg(F.count("*").alias("n")))
+named("newest_public", lambda s, d: vis.visible(docs_of(s, d), Viewer()).agg(F.max(F.nullif(F.col("sort_at"), F.lit(""))).alias("newest")))
+named("shelves_top4", lambda s, d: fed.shelves(vis.visible(docs_of(s, d), Viewer())))
+named("owner_page", lambda s, d: index_documents(s, d).where("owner = 'src3' and rid > 100").orderBy("rid").limit(21).select("rid", "type", "deleted"))
+
+
+# vectors
+def nearest(spark, sf_dir, floor=None):
+    rows = read(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id = 7").select("embedding").first()
+    return vector.knn(rows, asked[0], 100, floor)
+
+
+named("knn_cosine", lambda s, d: nearest(s, d))
+named("distance_floor", lambda s, d: nearest(s, d).where("distance <= 0.9"))
+
+
+@query
+def rrf_fusion(spark, sf_dir):
+    order = (F.asc("rank"), F.desc("importance"), F.desc("recency"), F.asc("rid"))
+    keyword = vector.ranked(top(spark, sf_dir, Match(("the", "of")), limit=100), *order)
+    return vector.rrf(keyword, vector.ranked(nearest(spark, sf_dir), F.asc("distance"), F.asc("rid")))
+
+
+@query
+def embedding_pending(spark, sf_dir):
+    docs = vis.visible(docs_of(spark, sf_dir), Viewer()).select("rid", F.lit("v1").alias("content_hash"))
+    kept = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rid"), F.lit("v1").alias("content_hash"), F.lit("m").alias("model"), F.when(F.col("vec_id") % 7 != 0, F.size("embedding")).otherwise(0).alias("dim"))
+    return vector.embedding_pending(docs, kept, "m", 64).select("rid")
+
+
+@query
+def deals_order(spark, sf_dir):
+    offers = vis.visible(docs_of(spark, sf_dir), Viewer()).where("type = 'offer'")
+    return offers.select("rid", F.coalesce(vector.deals_tier("the", tokens(F.col("title"))), F.lit(1)).alias("tier"))
+
+
+# ingest
+named("revision_outcomes", lambda s, d: ingest.outcomes(revision_log(s, d)).select("arrival", "key", "revision", "deleted", "outcome"))
+named("latest_documents", lambda s, d: ingest.latest(revision_log(s, d)))
+
+
+@query
+def inbox_dedupe(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select((F.col("event_id") % 4000).alias("event_id"), F.col("event_id").alias("arrival"))
+    return ingest.inbox(events, read(spark, sf_dir, "events").where("event_id < 500"))
+
+
+@query
+def rejections(spark, sf_dir):
+    """Envelopes read from events; those refused, with the reason."""
+    e = F.col("event_id")
+    rows = read(spark, sf_dir, "events").select(
+        e.alias("rid"), F.when(F.col("event_type") == "view", "wiki.page.viewed").when(F.col("event_type") == "click", "shop.index_document.upserted").otherwise("wiki.index_document.upserted").alias("event_type"),
+        F.lit("wiki").alias("source"), (F.col("user_id") % 4 != 0).alias("accepted"), F.lit("page").alias("subject_type"), F.when(e % 10 == 3, "other").otherwise(e.cast("string")).alias("subject_id"),
+        F.lit("wiki").alias("owner"), F.lit("page").alias("type"), e.cast("string").alias("id"), F.when(e % 10 == 4, -1).otherwise(1).alias("revision"))
+    return rows.select("rid", ingest.envelope_outcome().alias("outcome")).where(~F.col("outcome").isin("ignored", "accepted"))
+
+
+@query
+def exposure_changes(spark, sf_dir):
+    applied = ingest.outcomes(revision_log(spark, sf_dir)).where("outcome = 'applied'")
+    level = F.when(F.col("deleted"), 0).when(F.col("content") == "view", 1).otherwise(3)
+    versions = applied.groupBy("key", "revision").agg(F.when(F.bool_or("deleted"), 0).otherwise(F.max(level)).alias("exposure"))
+    return ingest.exposure_changes(versions)
+
+
+@query
+def purge_urls(spark, sf_dir):
+    zones = spark.createDataFrame([("com", "example.com"), ("net", "example.net"), ("blog", "blog.thther.example.net"), ("m", "m.thther.example.com")], "zone string, suffix string")
+    return ingest.purge_urls(read(spark, sf_dir, "pages").select("url"), zones, ["/", "/feed"])
+
+
+@query
+def purge_step(spark, sf_dir):
+    e = F.col("event_id")
+    status = F.element_at(F.array(F.lit(200), F.lit(429), F.lit(503), F.lit(404), F.lit(None).cast("int"), F.lit(408)), (e % 6 + 1).cast("int"))
+    rows = read(spark, sf_dir, "events").select(e.cast("string").alias("url"), (e % 8).cast("int").alias("attempts"), (e % 3).cast("int").alias("batch"), status.alias("status"))
+    return ingest.purge_step(rows).select(F.col("url").cast("long").alias("event_id"), "attempts", "state", "delay")
+
+
+# trends
+named("trend_hourly", lambda s, d: trending.hourly(beacons(s, d)))
+named("trend_visitors", lambda s, d: trending.visitors(beacons(s, d)))
+named("trend_by_day", lambda s, d: trending.by_day(beacons(s, d)))
+named("trend_by_site", lambda s, d: trending.by_site(beacons(s, d)))
+named("trend_suggestions", lambda s, d: trending.suggestions(docs_of(s, d), 480000))
+
+
+@query
+def trending_rising(spark, sf_dir):
+    rows = beacons(spark, sf_dir)
+    return trending.rising(rows, rows.agg(F.max("hour")).first()[0])
+
+
+@query
+def rate_limit(spark, sf_dir):
+    """The limiter with an hour as its minute, so that the sparse beacons meet it: five searches of a visitor group an hour."""
+    rows = beacons(spark, sf_dir).withColumn("who", F.col("visitor")).withColumn("visitor", F.col("visitor") % 3).withColumn("real", F.col("ts")).withColumn("ts", F.timestamp_seconds(F.col("hour") * 60 + (F.unix_micros("ts") % 3600000000) / 60000000))
+    return trending.rate_limited(rows, 5).select(F.col("who").alias("visitor"), "event_id")
+
+
+# continuous and federated
+@query
+def saved_percolate(spark, sf_dir):
+    saved = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("saved_id"), F.slice(tokens(F.col("text")), 1, 3).alias("words"))
+    return fed.percolate(saved, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), "text"))
+
+
+@query
+def seen_diff(spark, sf_dir):
+    found = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("watch")).agg(F.array_sort(F.collect_set(F.concat("event_type", F.lit("-"), (F.col("event_id") % 7).cast("string")))).alias("urls"))
+    return fed.unseen(found.withColumn("seen", F.filter("urls", lambda u: u < "e"))).select("watch", F.array_join("new", ",").alias("new"))
+
+
+@query
+def url_dedupe_union(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("position"), "url")
+    return fed.url_union([pages.where("position % 2 = 0"), pages]).select("url_key", "step", "position")
+
+
+@query
+def scope_groups(spark, sf_dir):
+    scopes = spark.createDataFrame([("videos", "vod", 0), ("people", "channel", 1), ("shop", "offer", 2)], "scope string, type string, ordinal int")
+    return fed.scope_groups(vis.visible(docs_of(spark, sf_dir), Viewer()), scopes, 20)
+
+
+@query
+def code_merge(spark, sf_dir):
+    c = F.col
+    rows = read(spark, sf_dir, "conversations").select(
+        c("role").alias("source"), F.concat(F.lit("r"), (c("conv_id") % 20).cast("string")).alias("repo"), F.concat(F.lit("f"), (c("conv_id") % 7).cast("string")).alias("path"),
+        (c("conv_id") % 100).alias("stars"), c("turn").alias("line"), F.when(c("conv_id") % 3 != 0, "mit").alias("licence"), c("conv_id").alias("last_commit"))
+    return fed.code_merge(rows).withColumn("sources", F.array_join("sources", ","))
+
+
+@query
+def code_context(spark, sf_dir):
+    lines = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), F.array_contains(tokens(F.col("text")), "the").alias("match"))
+    return fed.code_context(lines).select("file", "line").distinct()
+
+
+@query
+def provider_stats(spark, sf_dir):
+    calls = read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("provider"), F.col("value").alias("ms"), (F.col("user_id") % 3 != 0).alias("answered"))
+    return fed.provider_stats(calls)
+
+
+@query
+def bench_metrics(spark, sf_dir):
+    """Nearest-rank percentiles, hit rate and mean reciprocal rank of each run."""
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.col("value").alias("ms"), (F.col("user_id") % 12).alias("place"))
+    exact = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY ms)")
+    hit = F.when(F.col("place").between(1, 10), 1.0).otherwise(0.0)
+    return rows.groupBy("run").agg(exact(0.5).alias("p50"), exact(0.95).alias("p95"), F.round(F.avg(hit), 6).alias("hit10"), F.round(F.avg(F.when(F.col("place") > 0, 1.0 / F.col("place")).otherwise(0.0)), 6).alias("mrr"))
+
+
+@query
+def offer_catalogue(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("offers"), F.countDistinct("l_suppkey").alias("sellers"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query
+def source_health(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").where("event_id % 13 = 0").groupBy(F.col("user_id").alias("source")).agg(F.count_if(F.col("event_type") == "error").alias("failures"), F.count_if(F.col("event_type") == "view").alias("successes"))
+    return rows.withColumn("enabled", F.col("source") % 11 != 0).withColumn("configured", F.col("source") % 7 != 0).select("source", fed.source_health().alias("health"))
+
+
+@query
+def context_packing(spark, sf_dir):
+    """Ranked files of one code answer (a bounded list) until the limits."""
+    files = read(spark, sf_dir, "documents").where("doc_id % 50 = 1").select(F.col("doc_id").alias("rid"), F.col("n_chars").alias("chars"))
+    return fed.packed(vector.ranked(files, F.desc("chars"), F.asc("rid")), 12, 60000).select("rid", "position")
+
+
+named("stream_trend_hourly", jobs.trend_hourly)
+named("stream_inbox", jobs.inbox)
+named("stream_revision_merge", jobs.revision_merge)

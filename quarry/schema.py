@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
-
 OWNER, TYPE, ID = r"^[a-z][a-z0-9-]{1,39}$", r"^[a-z][a-z0-9_]{1,39}$", r"^[A-Za-z0-9][A-Za-z0-9._:~-]{0,127}$"
 MAX_TITLE, MAX_SUMMARY, MAX_BODY, MAX_URL = 500, 4000, 48000, 2048
 NONE, RESTRICTED, UNLISTED, LISTED = 0, 1, 2, 3
 
-DOCUMENT = T.StructType().add("owner", "string").add("type", "string").add("id", "string").add("revision", "long").add("visibility", "string").add("acl_subjects", "array<string>").add("acl_groups", "array<string>").add("acl_entitlements", "array<string>").add("canonical_url", "string").add("title", "string").add("summary", "string").add("body", "string").add("facets", "map<string,array<string>>").add("language", "string").add("publication_state", "string").add("published_at", "string").add("updated_at", "string").add("decision", "string").add("stub", "boolean").add("deleted", "boolean")
+DOCUMENT = (
+    "owner string, type string, id string, revision long, visibility string, acl struct<subjects:array<string>,groups:array<string>,entitlements:array<string>>, canonical_url string, title string, summary string, body string, "
+    "facets map<string,array<string>>, language string, authorship string, provenance array<struct<service:string,type:string,id:string,revision:long,label:string,url:string,retrieved_at:string,stub:boolean>>, "
+    "publication_state string, published_at string, updated_at string, indexability struct<decision:string,reasons:array<string>>, deleted boolean"
+)
 
 # The words that open a question, and the function words that a question or a relaxed query drops.
 QUESTION_WORDS = ("how", "what", "why", "when", "where", "which", "who", "can", "do", "does", "is", "are", "should", "will")
