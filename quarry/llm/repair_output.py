@@ -2,7 +2,8 @@
 
 Documents are range-partitioned by doc_id, encoded, and written in segments of at most SEGMENT ids (one document at
 least). In a segment, frequent pairs of neighbouring symbols are repeatedly replaced by new symbols: each round counts all
-pairs, takes the PAIRS most frequent, and rewrites the sequence left to right without overlaps, until no pair comes LEAST
+pairs, takes the PAIRS most frequent (counted in CELLS hash cells,
+each standing for the pair it holds first), and rewrites the sequence left to right without overlaps, until no pair comes LEAST
 times or ROUNDS are done. No pair begins with the end id, so no symbol reaches across documents and each document is a
 range of symbols. A file holds the rules, the rules' expansion lengths, the documents' ids, token and symbol offsets,
 and the symbols; one document is decoded from a range read of its symbols.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, partitions, ship, stored
 from .files import read_file, read_ranges, write_file
 
-SEGMENT, PAIRS, LEAST, ROUNDS, CELLS = 3_000_000, 2048, 16, 12, 1 << 20
+SEGMENT, PAIRS, LEAST, ROUNDS, CELLS = 3_000_000, 4096, 16, 9, 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -49,8 +51,12 @@ def tokenizer(path: str):
 class Encoder:
     """Ids of texts; runs between spaces and line ends are kept up to a bound and then forgotten."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        self.tok, self.most, self.known = tokenizer(path), most, {}
+    def __init__(self, path: str, most: int = 800_000):
+        self.tok, self.most = tokenizer(path), most
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.ids, self.ends = {}, array("I"), array("Q", [0])
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids end to end and n + 1 offsets."""
@@ -60,57 +66,67 @@ class Encoder:
         coded = lists.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.known) > self.most:
-            self.known = {}
+            self.forget()
         new = [w for w in words if w not in self.known]
         for i in range(0, len(new), 20_000):
-            for w, e in zip(new[i : i + 20_000], self.tok.encode_batch(new[i : i + 20_000], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32)
-        ids = [self.known[w] for w in words]
-        size = np.array([len(x) for x in ids], np.int64)
-        flat, first = np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.cumsum(size) - size
-        codes = coded.indices.to_numpy()
-        many = size[codes] if len(codes) else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(many)])
-        out = flat[np.repeat(first[codes] - ends[:-1], many) + np.arange(ends[-1])] if len(codes) else flat
-        return out, ends[off - off[0]]
+            part = new[i : i + 20_000]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[w] = len(self.known)
+                self.ids.extend(e.ids)
+                self.ends.append(len(self.ids))
+        flat, ends = np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.uint64).astype(np.int64)
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
+        first, many = ends[place], ends[place + 1] - ends[place]
+        total = np.concatenate([[0], np.cumsum(many)])
+        out = flat[np.repeat(first - total[:-1], many) + np.arange(total[-1])].copy()
+        return out, total[off - off[0]]
 
 
 def repair(seq: np.ndarray, first_rule: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules (n, 2)): symbol first_rule + i stands for the pair rules[i]."""
-    seq, rules = seq.astype(np.uint64), []
+    seq, rules, mark = seq.astype(np.uint32), [], np.full(CELLS, -1, np.int32)
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        key = seq[:-1] << np.uint64(32) | seq[1:]
-        cell = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-        free = seq[:-1] != end
-        free &= seq[1:] != end
-        count = np.bincount(cell[free], minlength=CELLS)
+        left, right = seq[:-1], seq[1:]
+        cell = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(12)
+        cell[(left == end) | (right == end)] = 0  # cell 0 is never taken
+        count = np.bincount(cell, minlength=CELLS)
+        count[0] = 0
         some = np.flatnonzero(count >= LEAST)
         if not len(some):
             break
-        hot = np.zeros(CELLS, dtype=bool)
-        hot[some[np.argsort(count[some], kind="stable")[-PAIRS:]]] = True
-        at = np.flatnonzero(free & hot[cell])
-        value, place, times = np.unique(key[at], return_inverse=True, return_counts=True)
-        good = np.flatnonzero(times >= LEAST)
-        good = good[np.argsort(-times[good], kind="stable")][:PAIRS]
-        if not len(good):
+        some = some[np.argsort(-count[some], kind="stable")][:PAIRS]
+        mark[:] = -1
+        mark[some] = np.arange(len(some))
+        rank = mark[cell]
+        at = np.flatnonzero(rank >= 0)
+        rank = rank[at]
+        # a cell stands for the pair that it holds first; another pair in it waits for a later round
+        head = np.full(len(some), len(seq), np.int64)
+        np.minimum.at(head, rank, at)
+        same = (left[at] == left[head][rank]) & (right[at] == right[head][rank])
+        at, rank = at[same], rank[same]
+        good = np.bincount(rank, minlength=len(some)) >= LEAST
+        use = good[rank]
+        at, rank = at[use], rank[use]
+        if not len(at):
             break
-        rank = np.full(len(value), -1, np.int64)
-        rank[good] = np.arange(len(good))
-        use = rank[place] >= 0
-        at, what = at[use], rank[place[use]]
-        run = np.cumsum(np.concatenate([[True], np.diff(at) > 1])) - 1  # neighbouring matches overlap: every second one of a run
-        head = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
-        take = (at - at[head][run]) % 2 == 0
-        at, what = at[take], what[take]
-        seq[at] = np.uint64(first_rule + len(rules)) + what.astype(np.uint64)
+        begins = np.concatenate([[True], np.diff(at) > 1])  # neighbouring matches overlap: every second one of a run
+        start = at[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]
+        take = (at - start) % 2 == 0
+        at, rank = at[take], rank[take]
+        number = np.cumsum(good) - 1
+        kept = np.flatnonzero(good)
+        fresh = list(zip(left[head[kept]].tolist(), right[head[kept]].tolist(), strict=True))
+        new = (first_rule + len(rules) + number[rank]).astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
+        seq = seq.copy()
+        seq[at] = new
         seq = seq[keep]
-        rules += [(int(v >> np.uint64(32)), int(v & np.uint64(0xFFFFFFFF))) for v in value[good]]
-    return seq, np.array(rules, np.uint32).reshape(-1, 2)
+        rules += fresh
+    return seq.astype(np.uint64), np.array(rules, np.uint32).reshape(-1, 2)
 
 
 def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
@@ -217,7 +233,7 @@ def _write(folder: str, path: str, end: int):
             size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))])
             i = 0
             while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(size, size[i] + (4 << 20), side="right")) - 1)
+                j = max(i + 1, int(np.searchsorted(size, size[i] + (16 << 20), side="right")) - 1)
                 ids, off = encoder(batch.column(1).slice(i, j - i))
                 for r, doc in enumerate(batch.column(0).slice(i, j - i).to_pylist()):
                     one = np.append(ids[off[r] : off[r + 1]], np.uint32(end)).astype(np.uint32)
