@@ -12,7 +12,7 @@ File (little endian): b"RPR1", u32 counts of rules, documents and bytes a symbol
 then rules (2 x u32), expansion lengths (u32), doc_ids (i64), null flags (u8), token starts (i64, one more), symbol starts
 (i64, one more), symbols.
 
-Words are encoded once a task: no pretoken of this tokenizer reaches across a space or a line end, so the distinct runs
+Words are encoded once a worker, up to a bound on what it keeps: no pretoken of this tokenizer reaches across a space or a line end, so the distinct runs
 between them are encoded with the library and looked up.
 
 Defined cases: null text is empty: the end id alone; rows with null doc_id come first; repeated doc_ids keep one row each,
@@ -82,6 +82,12 @@ class Encoder:
         return out, total[off - off[0]]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 def repair(seq: np.ndarray, first_rule: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules (n, 2)): symbol first_rule + i stands for the pair rules[i]."""
     seq, rules, mark = seq.astype(np.uint32), [], np.full(CELLS, -1, np.int32)
@@ -218,7 +224,7 @@ def read_document(uri: str, n: int) -> np.ndarray:
 
 def _write(folder: str, path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, part = Encoder(path), TaskContext.get().partitionId(), 0
+        encode, shard, part = encoder(path), TaskContext.get().partitionId(), 0
         first_rule = max(tokenizer(path).get_vocab_size(with_added_tokens=True), end + 1)
         docs, held, n = [], [], 0
 
@@ -234,7 +240,7 @@ def _write(folder: str, path: str, end: int):
             i = 0
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(size, size[i] + (16 << 20), side="right")) - 1)
-                ids, off = encoder(batch.column(1).slice(i, j - i))
+                ids, off = encode(batch.column(1).slice(i, j - i))
                 for r, doc in enumerate(batch.column(0).slice(i, j - i).to_pylist()):
                     one = np.append(ids[off[r] : off[r + 1]], np.uint32(end)).astype(np.uint32)
                     if held and n + len(one) > SEGMENT:
