@@ -2,9 +2,10 @@
 
 Training uses at most MOST_TOXIC + MOST_CLEAN labelled rows (those with the smallest hashes of their doc_id), whole
 texts. The table labels documents, so words are labelled first: a word of a toxic document is toxic if its form or one of
-its beginnings (4 to 6 bytes) is frequent in toxic documents and at most a twentieth as frequent in clean ones; all other
-words, and all words of clean documents, are not. The field has two states, weights for the form and the beginnings of
-toxic words, a bias and transitions; it is fitted on windows around toxic words and windows of clean text by gradient
+its beginnings (4 to 6 bytes) is in 1.5 % of toxic documents (three at least, near copies counted
+once) and at most a twentieth as frequent in clean ones; all other
+words, and all words of clean documents, are not. The field has two states, weights for the forms and beginnings that
+mark toxic words, a bias and transitions; it is fitted on windows around toxic words and windows of clean text by gradient
 ascent on the exact likelihood.
 
 Scoring runs forward-backward over every word of a text. Words without a known feature have the bias alone, so a run of
@@ -85,33 +86,33 @@ class Field:
         self.gate, self.powers = np.zeros(GATE, dtype=bool), {}
         if not toxic or not clean:
             return
-        def in_documents(texts, known=None):
-            """Each feature once for each document that has it; only known ones, if given."""
-            out = []
+        def in_groups(texts, known=None):
+            """In how many groups each feature is (only known ones, if given), and the number of groups: near copies, which
+            share the least hash of their shingles, are one, so that the words of a copied text aren't frequent for that."""
+            pairs, all_groups = [], []
             for i in range(0, len(texts), STEP):
-                raw, _, start, end, row = _tokens(texts[i : i + STEP])
+                raw, off, start, end, row = _tokens(texts[i : i + STEP])
+                sets, at = K.shingle_sets(raw, off, 5)
+                group = np.where(np.diff(at) > 0, np.append(sets, K.U(0))[at[:-1]], K.U(0))
                 feats = _features(raw, start, end)
+                all_groups.append(group)
                 for c in range(4):
                     some = (feats[:, c] != 0) if known is None else np.isin(feats[:, c], known)
-                    out.append(np.unique(np.stack([feats[some, c], row[some].astype(K.U)], axis=1), axis=0)[:, 0])
-            return np.unique(np.concatenate(out), return_counts=True)
+                    pairs.append(np.unique(np.stack([feats[some, c], group[row[some]]], axis=1), axis=0))
+            value, count = np.unique(np.unique(np.concatenate(pairs), axis=0)[:, 0], return_counts=True)
+            return value, count, len(np.unique(np.concatenate(all_groups)))
 
-        value, count = in_documents(toxic)
-        often = count >= max(3, round(0.004 * len(toxic)))
+        value, count, n_toxic = in_groups(toxic)
+        often = count >= max(3, round(0.015 * n_toxic))
         value, count = value[often], count[often]
-        seen, other = in_documents(clean, value)
+        seen, other, n_clean = in_groups(clean, value)
         in_clean = np.zeros(len(value))
         in_clean[np.searchsorted(value, seen)] = other
-        seeds = value[count / len(toxic) >= 20 * in_clean / len(clean)]
-        keys = []
+        seeds = value[count / n_toxic >= 20 * (in_clean + 1) / n_clean]
+        self.keys = seeds
         for i in range(0, len(toxic), STEP):
             raw, _, start, end, _ = _tokens(toxic[i : i + STEP])
-            feats = _features(raw, start, end)
-            hit = np.isin(feats, seeds).any(axis=1)
-            keys.append(np.unique(feats[hit]))
-            self.gate[_heads(raw, start, end)[hit]] = True
-        self.keys = np.unique(np.concatenate(keys))
-        self.keys = self.keys[self.keys != 0]
+            self.gate[_heads(raw, start, end)[np.isin(_features(raw, start, end), seeds).any(axis=1)]] = True
         if not len(self.keys):
             return
         windows, gold = [], []
