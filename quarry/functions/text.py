@@ -10,13 +10,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.schema import FUNCTION_WORDS, QUESTION_WORDS, Match
 
 TOKEN = r"[\p{L}\p{N}]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(s: pd.Series) -> pd.Series:
     """NFKD without combining marks, NFC: Spark has no Unicode normalisation of its own."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.category(c).startswith("M"))))

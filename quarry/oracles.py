@@ -41,7 +41,7 @@ def search(words, where="exposure = 3", prefix=False, any_word=False, field=None
     cond = (" OR " if any_word else " AND ").join(f"{h} > 0" for h in here)
     raw = " + ".join(f"{ {3: 1.0, 2: 0.4, 1: 0.1}[c]}::DOUBLE * ln(1.0 + n{i}_{c})" for i in range(len(words)) for c in (3, 2, 1))
     titles = f"least(4, {' + '.join(f'CASE WHEN n{i}_3 > 0 THEN 1 ELSE 0 END' for i in range(len(words)))})" if len(words) > 1 else "0"
-    cover = "0.0"
+    cover = "0.0::DOUBLE"
     if weights:
         cover = "round(" + " + ".join(f"(SELECT round(ln(1 + 10000.0 / (1 + count(*))), 2) FROM (SELECT 1 FROM e WHERE exposure = 3 AND list_contains({toks(chr(39).join(['concat_ws(', ' ', ', title, summary, body)']))}, '{w}') LIMIT 1000)) * (CASE WHEN n{i}_3 > 0 THEN 1.0 WHEN n{i}_2 > 0 THEN 0.6 WHEN n{i}_1 > 0 THEN 0.3 ELSE 0.0 END)" for i, w in enumerate(words)) + ", 1)"
     answer = "CASE WHEN type = 'article' THEN 50.0 ELSE 0.0 END" if question else "0.0"
@@ -105,7 +105,7 @@ SQL = {
     "index_reconcile": f"WITH {DOCS}, {POSTINGS} SELECT exposure AS audience, count(*) AS n_documents, (SELECT count(DISTINCT rid) FROM p WHERE audience = exposure) AS n_indexed, count(*) <> (SELECT count(DISTINCT rid) FROM p WHERE audience = exposure) AS rebuild FROM e WHERE exposure IN (1, 3) GROUP BY exposure",
     "freshness_boost": docs(f"SELECT rid, round(CASE WHEN day IS NULL THEN 1.0 ELSE 1 + pow(2.0, -greatest(0.0, {CLOCK} - day) / 30.0) END, 6) AS boost FROM d"),
     "importance": docs(f"SELECT rid, {IMPORTANCE} AS importance FROM d"),
-    "thin_flag": docs("SELECT rid, CASE WHEN (type <> 'channel' AND length(title) <= 24 AND length(summary) <= 80) OR title = '' THEN -2.0 ELSE 0.0 END AS thin FROM d"),
+    "thin_flag": docs("SELECT rid, CASE WHEN (type <> 'channel' AND length(title) <= 24 AND length(summary) <= 80) OR title = '' THEN -2.0::DOUBLE ELSE 0.0::DOUBLE END AS thin FROM d"),
     "coverage_by_kind": docs("SELECT owner, type, count(*) AS n FROM e WHERE exposure = 3 GROUP BY owner, type"),
     "newest_public": docs("SELECT max(nullif(sort_at, '')) AS newest FROM e WHERE exposure = 3"),
     "shelves_top4": docs("""SELECT owner, place, rid FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY sort_at DESC, rid DESC) AS place

@@ -31,6 +31,10 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def long(df, *columns):
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
 def docs_of(spark, sf_dir):
     return vis.with_exposure(index_documents(spark, sf_dir))
 
@@ -81,7 +85,7 @@ def facet_counts(spark, sf_dir):
 @query
 def rank_components(spark, sf_dir):
     rows = search.matched(vis.visible(docs_of(spark, sf_dir), Viewer()), Match(("the", "of")))
-    return rows.select("rid", "tier", "title_words", "cover", "doc_len", F.round("relevance", 6).alias("relevance"))
+    return rows.select("rid", "tier", "title_words", "cover", F.col("doc_len").cast("long").alias("doc_len"), F.round("relevance", 6).alias("relevance"))
 
 
 @query
@@ -125,7 +129,7 @@ named("thin_flag", lambda s, d: index_documents(s, d).select("rid", search.thin(
 named("coverage_by_kind", lambda s, d: vis.visible(docs_of(s, d), Viewer()).groupBy("owner", "type").agg(F.count("*").alias("n")))
 named("coverage_rollup", lambda s, d: vis.visible(docs_of(s, d), Viewer()).rollup("owner", "type").agg(F.count("*").alias("n")))
 named("newest_public", lambda s, d: vis.visible(docs_of(s, d), Viewer()).agg(F.max(F.nullif(F.col("sort_at"), F.lit(""))).alias("newest")))
-named("shelves_top4", lambda s, d: fed.shelves(vis.visible(docs_of(s, d), Viewer())))
+named("shelves_top4", lambda s, d: long(fed.shelves(vis.visible(docs_of(s, d), Viewer())), "place"))
 named("owner_page", lambda s, d: index_documents(s, d).where("owner = 'src3' and rid > 100").orderBy("rid").limit(21).select("rid", "type", "deleted"))
 
 
@@ -144,7 +148,7 @@ named("distance_floor", lambda s, d: nearest(s, d).where("distance <= 0.9"))
 def rrf_fusion(spark, sf_dir):
     order = (F.asc("rank"), F.desc("importance"), F.desc("recency"), F.asc("rid"))
     keyword = vector.ranked(top(spark, sf_dir, Match(("the", "of")), limit=100), *order)
-    return vector.rrf(keyword, vector.ranked(nearest(spark, sf_dir), F.asc("distance"), F.asc("rid")))
+    return long(vector.rrf(keyword, vector.ranked(nearest(spark, sf_dir), F.asc("distance"), F.asc("rid"))), "keyword_rank", "vector_rank")
 
 
 @query
@@ -247,7 +251,7 @@ def url_dedupe_union(spark, sf_dir):
 @query
 def scope_groups(spark, sf_dir):
     scopes = spark.createDataFrame([("videos", "vod", 0), ("people", "channel", 1), ("shop", "offer", 2)], "scope string, type string, ordinal int")
-    return fed.scope_groups(vis.visible(docs_of(spark, sf_dir), Viewer()), scopes, 20)
+    return long(fed.scope_groups(vis.visible(docs_of(spark, sf_dir), Viewer()), scopes, 20), "position")
 
 
 @query
@@ -296,7 +300,7 @@ def source_health(spark, sf_dir):
 def context_packing(spark, sf_dir):
     """Ranked files of one code answer (a bounded list) until the limits."""
     files = read(spark, sf_dir, "documents").where("doc_id % 50 = 1").select(F.col("doc_id").alias("rid"), F.col("n_chars").alias("chars"))
-    return fed.packed(vector.ranked(files, F.desc("chars"), F.asc("rid")), 12, 60000).select("rid", "position")
+    return long(fed.packed(vector.ranked(files, F.desc("chars"), F.asc("rid")), 12, 60000).select("rid", "position"), "position")
 
 
 named("stream_trend_hourly", jobs.trend_hourly)
