@@ -13,7 +13,7 @@ then rules (2 x u32), expansion lengths (u32), doc_ids (i64), null flags (u8), t
 (i64, one more), symbols.
 
 Words are encoded once a worker, up to a bound on what it keeps: no pretoken of this tokenizer reaches across a space or a line end, so the distinct runs
-between them are encoded with the library and looked up.
+between them, cut also where a letter meets a mark, are encoded with the library and looked up.
 
 Defined cases: null text is empty: the end id alone; rows with null doc_id come first; repeated doc_ids keep one row each,
 in any order among themselves; an empty table gives no files. Extra columns are ignored.
@@ -61,6 +61,7 @@ class Encoder:
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids end to end and n + 1 offsets."""
         text = pc.replace_substring(column.cast(pa.large_string()).fill_null(""), "\n", " ")
+        text = pc.replace_substring_regex(text, r"([a-zA-Z])([.,#$%&*!?;:])", r"\1 \2")  # a pretoken ends there anyway
         lists = pc.split_pattern(text, " ")
         off = lists.offsets.to_numpy()
         coded = lists.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
