@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import ship
 from .kernel import buffers
 
-LONG, BLOCK, MARK, RAW = 48, 16 << 20, "▁", "\x01"
+LONG, BLOCK, MARK, RAW = 48, 6 << 20, "▁", "\x01"
 NEVER = 1 << 20
 
 
@@ -224,7 +224,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[tuple[int,
             text, where = buffers(cuts.dictionary)
             seed = zlib.crc32(ends[off].tobytes(), zlib.crc32(out.tobytes()))
             ids = zlib.crc32(repr(part.column(0).to_pylist()).encode(), zlib.crc32(text.tobytes(), zlib.crc32(where.tobytes(), seed)))
-            yield (ids << 31) ^ seed, part, cuts.dictionary, out, ends[off]
+            words, at = cuts.dictionary, ends[off]
+            del coded, cuts, text, flat, many, codes, each, ends
+            yield (ids << 31) ^ seed, part, words, out, at
+            del words, out
+            pa.default_memory_pool().release_unused()
             i = j
 
 
