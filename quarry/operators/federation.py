@@ -82,3 +82,9 @@ def unseen(found: DataFrame, most: int = 300) -> DataFrame:
     """(watch, urls, seen) -> what is new, and the seen list after: newest first, bounded."""
     fresh = F.array_except("urls", "seen")
     return found.select("watch", fresh.alias("new"), F.slice(F.array_distinct(F.concat("urls", "seen")), 1, most).alias("seen_after"))
+
+
+def code_rank(rows: DataFrame, identifier: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Merged code rows (with text): exact identifier first, then stars, recency, repo, path."""
+    exact = F.col("text").rlike(rf"(?i)(^|[^A-Za-z0-9_]){identifier}([^A-Za-z0-9_]|$)").cast("int")
+    return rows.withColumn("exact", exact).orderBy(F.desc("exact"), F.desc("stars"), F.desc("last_commit"), "repo", "path").offset(offset).limit(limit)

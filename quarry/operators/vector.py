@@ -53,3 +53,10 @@ def deals_tier(last_word: str, words: Column) -> Column:
     """Head-noun match of a product: a token equals the word, begins with it, or (four letters or more) begins it."""
     w = F.lit(last_word)
     return F.when(F.exists(words, lambda t: (t == w) | t.startswith(w) | ((F.char_length(t) >= 4) & w.startswith(t))), 0)
+
+
+def hybrid_rerank(fused: DataFrame, parts: DataFrame) -> DataFrame:
+    """A fused list joined to its rank parts, in the order after fusion; rows that only vectors found have no parts."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rows = ranked(fused, *fused_order()).join(parts.select("rid", "cover", "tier", "title_words"), "rid", "left")
+    return ranked(rows.withColumnRenamed("position", "fused"), F.desc(zero(F.col("cover"))), F.desc(zero(F.col("tier"))), F.desc(zero(F.col("title_words"))), F.asc("fused"))

@@ -163,6 +163,20 @@ SQL = {
         SELECT source, CASE WHEN NOT enabled THEN 'off' WHEN NOT configured THEN 'unconfigured' WHEN failures >= 3 THEN 'down' WHEN failures > 0 THEN 'degraded' WHEN successes > 0 THEN 'ok' ELSE 'unknown' END AS health FROM s""",
     "context_packing": """WITH f AS (SELECT doc_id AS rid, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position, n_chars AS chars FROM documents WHERE doc_id % 50 = 1), t AS (SELECT *, sum(chars) OVER (ORDER BY position) AS total FROM f)
         SELECT rid, position FROM t WHERE position = 1 OR (position <= 12 AND total <= 60000)""",
+    "saved_upsert": """WITH r AS (SELECT user_id AS subject, 'n' || CAST(event_id % 9 AS STRING) AS name, rtrim(translate(base64(unhex(sha256('q ' || CAST(event_id % 40 AS STRING)))), '+/', '-_'), '=')[1:22] AS hash, event_id AS t FROM events),
+        o AS (SELECT subject, hash, min(t) AS created_at, arg_max(name, t) AS name FROM r GROUP BY subject, hash)
+        SELECT subject, hash, created_at, name FROM o QUALIFY row_number() OVER (PARTITION BY subject ORDER BY created_at, hash) <= 12""",
+    "query_cache": """WITH c AS (SELECT rtrim(translate(base64(unhex(sha256(concat('q ', CAST(event_id % 500 AS STRING), chr(1), event_type)))), '+/', '-_'), '=') AS key, event_id AS value, event_id + (event_id % 7) * 300 AS expires_at, event_id AS stored_at FROM events)
+        SELECT key, value FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY stored_at DESC) = 1) WHERE expires_at > 900""",
+    "dashboard_totals": docs("SELECT count(*) AS documents, count(DISTINCT owner) AS owners, count(DISTINCT type) AS kinds FROM e WHERE exposure = 3"),
+    "session_queries": f"""WITH {BEACONS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY visitor ORDER BY ts, event_id)),
+        k AS (SELECT *, sum(new) OVER (PARTITION BY visitor ORDER BY ts, event_id) AS part FROM g) SELECT visitor, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM k GROUP BY visitor, part""",
+    "code_rank": """SELECT repo, path, stars, exact FROM (SELECT 'r' || CAST(conv_id AS STRING) AS repo, 'f' || CAST(turn AS STRING) AS path, conv_id % 100 AS stars, conv_id % 13 AS last_commit, CAST(regexp_matches(coalesce(text, ''), '(?i)(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)') AS INTEGER) AS exact FROM conversations)
+        ORDER BY exact DESC, stars DESC, last_commit DESC, repo, path LIMIT 50""",
+    "hybrid_rerank": search(["the", "of"]) + f""", {KNN}, a AS (SELECT *, row_number() OVER (ORDER BY rank, importance DESC, recency DESC, rid) AS kr FROM s QUALIFY kr <= 100), v AS (SELECT rid, row_number() OVER (ORDER BY distance, rid) AS vr FROM knn),
+        u AS (SELECT coalesce(a.rid, v.rid) AS rid, round(coalesce(1.0 / (60 + kr), 0.0) + coalesce(1.0 / (60 + vr), 0.0), 9) AS score, kr, vr, a.cover, a.tier, a.title_words FROM a FULL JOIN v ON a.rid = v.rid),
+        x AS (SELECT *, row_number() OVER (ORDER BY score DESC, kr ASC NULLS LAST, vr ASC NULLS LAST, rid) AS fused FROM u)
+        SELECT rid, row_number() OVER (ORDER BY coalesce(cover, 0) DESC, coalesce(tier, 0) DESC, coalesce(title_words, 0) DESC, fused) AS position FROM x QUALIFY position <= 50""",
     "stream_trend_hourly": f"WITH {BEACONS} SELECT hour, site, query, count(*) AS n FROM b GROUP BY ALL",
     "stream_inbox": "SELECT event_id, event_type FROM events",
     "stream_revision_merge": f"WITH {LOG} SELECT key, revision, deleted, content FROM l QUALIFY row_number() OVER (PARTITION BY key ORDER BY revision DESC, deleted DESC, arrival) = 1",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
 from quarry.operators import federation as fed
-from quarry.operators import ingest, search, trending, vector
+from quarry.operators import ingest, saved, search, trending, vector
 from quarry.operators import visibility as vis
 from quarry.oracles import SQL  # noqa: F401
 from quarry.schema import Match, Viewer
@@ -303,6 +303,40 @@ def context_packing(spark, sf_dir):
     return long(fed.packed(vector.ranked(files, F.desc("chars"), F.asc("rid")), 12, 60000).select("rid", "position"), "position")
 
 
+@query
+def saved_upsert(spark, sf_dir):
+    e = F.col("event_id")
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("subject"), F.concat(F.lit("n"), (e % 9).cast("string")).alias("name"), F.concat(F.lit(" Q  "), (e % 40).cast("string"), F.lit(" ")).alias("q"), e.alias("at"))
+    return saved.upsert(rows, 12)
+
+
+@query
+def query_cache(spark, sf_dir):
+    e = F.col("event_id")
+    rows = read(spark, sf_dir, "events").select(saved.cache_key(F.concat(F.lit("Q "), (e % 500).cast("string")), F.col("event_type")).alias("key"), e.alias("value"), (e + (e % 7) * 300).alias("expires_at"), e.alias("stored_at"))
+    return saved.cache_get(rows, F.lit(900)).select("key", "value")
+
+
+named("dashboard_totals", lambda s, d: saved.totals(vis.visible(docs_of(s, d), Viewer())))
+named("session_queries", lambda s, d: saved.sessions(beacons(s, d)))
+
+
+@query
+def code_rank(spark, sf_dir):
+    c = F.col
+    rows = read(spark, sf_dir, "conversations").select(F.concat(F.lit("r"), c("conv_id").cast("string")).alias("repo"), F.concat(F.lit("f"), c("turn").cast("string")).alias("path"), (c("conv_id") % 100).alias("stars"), (c("conv_id") % 13).alias("last_commit"), F.coalesce("text", F.lit("")).alias("text"))
+    return fed.code_rank(rows, "the").select("repo", "path", "stars", "exact")
+
+
+@query
+def hybrid_rerank(spark, sf_dir):
+    rows = search.search_set(docs_of(spark, sf_dir), Match(("the", "of")))
+    order = (F.asc("rank"), F.desc("importance"), F.desc("recency"), F.asc("rid"))
+    first = search.page(rows, 100)
+    fused = vector.rrf(vector.ranked(first, *order), vector.ranked(nearest(spark, sf_dir), F.asc("distance"), F.asc("rid")))
+    return long(vector.hybrid_rerank(fused, first).where("position <= 50").select("rid", "position"), "position")
+
+
 named("stream_trend_hourly", jobs.trend_hourly)
 named("stream_inbox", jobs.inbox)
 named("stream_revision_merge", jobs.revision_merge)
