@@ -85,7 +85,7 @@ SQL = {
     "facet_counts": search(["the"]).replace("\nw AS", f"\n{FACETS},\nw AS", 1) + "SELECT key, value, count(*) AS count FROM f WHERE key IN ('lang', 'size', 'live', 'type') AND rid IN (SELECT rid FROM s) GROUP BY key, value QUALIFY row_number() OVER (PARTITION BY key ORDER BY count DESC, value) <= 20",
     "rank_components": search(["the", "of"]) + "SELECT rid, tier, title_words, cover, doc_len, round(relevance, 6) AS relevance FROM k",
     "snippet": search(["the"]) + """, top AS (SELECT *, string_split(trim(regexp_replace(regexp_replace(body, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS ws FROM s ORDER BY rank, importance DESC, recency DESC, rid LIMIT 20),
-        spot AS (SELECT rid, ws, list_position(list_transform(ws, lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '') = 'the'), true) AS n FROM top)
+        spot AS (SELECT rid, ws, list_position(list_transform(ws, lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g') = 'the'), true) AS n FROM top)
         SELECT rid, CASE WHEN n > 0 THEN array_to_string(ws[greatest(1, n - 4) : greatest(1, n - 4) + 15], ' ') END AS snippet FROM spot""",
     "browse_newest": docs("SELECT rid, sort_at FROM e WHERE exposure = 3 ORDER BY sort_at DESC, rid DESC LIMIT 20"),
     "effective_indexability": docs("SELECT rid, index_decision, array_to_string(reasons, ',') AS reasons FROM i"),

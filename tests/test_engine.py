@@ -74,7 +74,7 @@ def test_streams_equal_batch(spark):
 def test_visibility_grows_with_rights(spark):
     docs = vis.with_exposure(index_documents(spark, SF)).cache()
     ids = lambda v: {r.rid for r in vis.visible(docs, v).select("rid").collect()}
-    none, user, member = ids(Viewer()), ids(Viewer("u1")), ids(Viewer("u1", ("g1",), ("e0",)))
+    none, user, member = ids(Viewer()), ids(Viewer("u2")), ids(Viewer("u2", ("g1",), ("e0",)))
     assert none < user < member
     assert not docs.where("exposure = 1").select("rid").intersect(vis.visible(docs, Viewer()).select("rid")).count()
     assert {r.rid for r in docs.where(vis.can_view(Viewer())).select("rid").collect()} >= none
