@@ -38,7 +38,6 @@ from .common import ship
 from .kernel import buffers
 
 LONG, BLOCK, MARK, RAW = 48, 6 << 20, "▁", "\x01"
-NEVER = 1 << 20
 
 
 class Model:
@@ -61,6 +60,10 @@ class Model:
             self.rank[self.pieces[i]] = rank
         self.longest = max(map(len, self.id))
         self.unknown = sp.unk_id()
+        lattice = [i for i in plain if self.pieces[i].strip(MARK) or len(self.pieces[i]) == 1]
+        ranks = [self.rank[self.pieces[i]] for i in lattice]
+        #: whether ids are ranks, all different, and fit the fold's packed edges; else every word is replayed
+        self.packs = all(a < b for a, b in zip(ranks, ranks[1:], strict=False)) and n <= 1 << 15 and self.longest <= 16
         #: ASCII characters that stand side by side in some piece
         self.pairs = np.zeros((128, 128), dtype=bool)
         for p in self.id:
@@ -109,8 +112,8 @@ class Model:
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[x] for x in char.encode()] if self.bytes else [self.unknown]
 
-    def rows(self) -> list[tuple[str, int, int, int, int]]:
-        """(piece, id, rank, right mask, left mask) of the pieces that an encoding can hold.
+    def rows(self) -> list[tuple[str, int, int, int]]:
+        """(piece, id, right mask, left mask) of the pieces that an encoding can hold.
 
         Bit k of the right mask: a node of the derivation starts at k and ends with the piece; of the left mask: one ends
         at k and starts with it.
@@ -129,7 +132,7 @@ class Model:
             while node:
                 l |= 1 << node[1]
                 node = node[2] and node[2][0]
-            out.append((piece, i, self.rank[piece], r, l))
+            out.append((piece, i, r, l))
         return out
 
 
@@ -232,15 +235,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[tuple[int,
             i = j
 
 
-def _odd(words: pa.Array) -> np.ndarray:
+def _odd(words: pa.Array, m: Model) -> np.ndarray:
     """Words that the fold isn't for."""
+    if not m.packs:
+        return np.ones(len(words), dtype=bool)
     return pc.or_(pc.greater(pc.utf8_length(words), LONG), pc.starts_with(words, MARK * 2)).to_numpy(zero_copy_only=False)
 
 
 def _send_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, words, _, _ in _blocks(batches, model(path)):
-            code = np.flatnonzero(~_odd(words))
+        m = model(path)
+        for block, _, words, _, _ in _blocks(batches, m):
+            code = np.flatnonzero(~_odd(words, m))
             yield pa.RecordBatch.from_arrays([words.take(pa.array(code)).cast(pa.string()), pa.array(np.full(len(code), block)), pa.array(code.astype(np.int32))], ["word", "block", "code"])
 
     return run
@@ -270,7 +276,7 @@ def _send_codes(path: str):
             codes, pack = codes.astype("<u4"), zstandard.ZstdCompressor(level=3)
             data = [pack.compress(codes[off[r] : off[r + 1]].tobytes()) for r in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block)), part.column(0), pa.array(data, pa.binary()), pa.array(np.zeros(part.num_rows, bool))], ["block", "doc_id", "codes", "words"])
-            odd = np.flatnonzero(_odd(words))
+            odd = np.flatnonzero(_odd(words, m))
             ids = [m.encode_word(w) for w in words.take(pa.array(odd)).to_pylist()]
             more = _bundle(odd, np.array([len(x) for x in ids]), np.array([y for x in ids for y in x]))
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([None], pa.int64()), pa.array([more], pa.binary()), pa.array([True])], ["block", "doc_id", "codes", "words"])
@@ -322,17 +328,17 @@ def _assemble(key, docs: pa.Table, bundles: pa.Table) -> pa.Table:
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame(model(path).rows(), "piece string, id int, rank int, rmask int, lmask int")
+    return spark.createDataFrame(model(path).rows(), "piece string, id int, rmask int, lmask int")
 
 
-#: The fold. Edges are (e, s, id, rank, rmask, lmask) in order of e, longest first. Each prefix has one encoding, so the
+#: The fold. Edges are (e, s, id, rmask, lmask) in order of e, longest first; an id is its rank. Each prefix has one encoding, so the
 #: accumulator holds, at index e - 1, the one edge into e that the encoding of that prefix ends with. wide: edges of two
 #: characters or more, which alone can cross a border.
 _ALLOWED = f"""
   b.s = 0 OR NOT exists(wide, q -> q.s < b.s AND q.e > b.s AND q.e <= b.e AND q.s >= acc[b.s - 1].s
     AND (shiftright(b.lmask, q.e - b.s) & 1) = 1 AND (shiftright(acc[b.s - 1].rmask, q.s - acc[b.s - 1].s) & 1) = 1
-    AND NOT exists(wide, x -> x.s = b.s AND x.e > q.e AND x.e <= b.e AND x.rank < q.rank AND (shiftright(b.lmask, x.e - b.s) & 1) = 1)
-    AND NOT exists(wide, x -> x.e = b.s AND x.s < q.s AND x.s >= acc[b.s - 1].s AND x.rank <= q.rank AND (shiftright(acc[b.s - 1].rmask, x.s - acc[b.s - 1].s) & 1) = 1))
+    AND NOT exists(wide, x -> x.s = b.s AND x.e > q.e AND x.e <= b.e AND x.id < q.id AND (shiftright(b.lmask, x.e - b.s) & 1) = 1)
+    AND NOT exists(wide, x -> x.e = b.s AND x.s < q.s AND x.s >= acc[b.s - 1].s AND x.id <= q.id AND (shiftright(acc[b.s - 1].rmask, x.s - acc[b.s - 1].s) & 1) = 1))
 """
 _FOLD = f"aggregate(edges, filter(edges, x -> false), (acc, b) -> CASE WHEN size(acc) >= b.e THEN acc WHEN {_ALLOWED} THEN array_append(acc, b) ELSE acc END)"
 _BACK = "aggregate(reverse(best), named_struct('at', n, 'path', array_repeat(0, 0)), (t, x) -> CASE WHEN x.e = t.at THEN named_struct('at', x.s, 'path', array_append(t.path, x.id)) ELSE t END, t -> reverse(t.path))"
@@ -348,9 +354,14 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, bytes_at: dict[in
     spans = F.expr(f"flatten(transform(sequence(0, char_length(word) - 1), s -> transform(sequence(1, least({longest}, char_length(word) - s)), k -> named_struct('s', s, 'k', k, 'piece', substring(word, s + 1, k)))))")
     rows = words.where(n > 0).select("word", "places", F.explode(spans).alias("x")).select("word", F.expr("CASE WHEN x.s = 0 AND x.k = 1 THEN places END").alias("places"), "x.s", "x.k", "x.piece")
     edges = rows.join(F.broadcast(pieces), "piece", "left").where("id is not null or k = 1")
-    one = F.struct((F.col("s") + F.col("k")).cast("short").alias("e"), F.col("s").cast("short").alias("s"), F.coalesce("id", -1 - F.expr("ascii(piece)")).alias("id"), F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("rmask", F.lit(1)).alias("rmask"), F.coalesce("lmask", F.lit(2)).alias("lmask"))
-    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(one)).alias("edges"), F.first("places", ignorenulls=True).alias("places"))
-    path = grouped.select("places", n.cast("short").alias("n"), "edges", F.expr("filter(edges, x -> x.e - x.s > 1)").alias("wide")).withColumn("best", F.expr(_FOLD)).select("places", F.expr(_BACK).alias("path"))
+    # end (6 bits), start (6), id (15), right mask (16), no piece (1), left mask (17); without a piece: its code point for id and mask
+    place = "shiftleft(cast(s + k as bigint), 56) | shiftleft(cast(s as bigint), 50) | "
+    one = F.expr(f"{place} CASE WHEN id IS NULL THEN shiftleft(cast(ascii(piece) as bigint), 18) | 131072L ELSE shiftleft(cast(id as bigint), 35) | shiftleft(cast(rmask as bigint), 18) | lmask END")
+    grouped = edges.select("word", "places", one.alias("one")).groupBy("word").agg(F.sort_array(F.collect_list("one")).alias("edges"), F.first("places", ignorenulls=True).alias("places"))
+    opened = F.expr(
+        "transform(edges, x -> named_struct('e', cast(shiftright(x, 56) as int), 's', cast(shiftright(x, 50) & 63 as int), 'id', CASE WHEN x & 131072 = 0 THEN cast(shiftright(x, 35) & 32767 as int) ELSE -1 - cast(shiftright(x, 18) & 2097151 as int) END, "
+        "'rmask', cast(shiftright(x, 18) & 65535 as int), 'lmask', cast(x & 131071 as int)))")
+    path = grouped.select("places", n.cast("int").alias("n"), opened.alias("edges")).withColumn("wide", F.expr("filter(edges, x -> x.e - x.s > 1)")).withColumn("best", F.expr(_FOLD)).select("places", F.expr(_BACK).alias("path"))
     if not bytes_at:
         return path.select("places", F.col("path").alias("ids"))
     # a character without a piece came as -1 - its code point: its UTF-8 bytes, as byte pieces
