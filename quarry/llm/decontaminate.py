@@ -3,20 +3,26 @@
 Words are runs of letters, digits and non-ASCII bytes, A-Z as a-z. A seed is a fixed mask over consecutive words; the
 words under its zeros are ignored, so a substituted word there does not hide the passage. Seeds of test items and of
 documents are joined on their hashes; each hit names a diagonal (document offset minus item offset), along which the whole
-item is compared: the best segment (a match +1, a substitution -2) must have `least` words (the whole item, if that is
-shorter) of which the share `similar` is equal. Both sides count repeats once: a diagonal is verified once.
+item is compared: any stretch of at least `least` words (the whole item, if that is shorter) of which the share `similar`
+is equal is an overlap, wherever the substituted words are. Both sides count repeats once: a diagonal is verified once.
+
+The masks lose no overlap of 13 words and 80 %: each placement of substitutions that the rule allows leaves one of them
+whole. A stretch of 26 words or more has one of half its length that is as similar, so 13 to 25 words were tried out, all
+placements, and 5 to 12 words for the masks of SHORT; items of 1 to 4 words allow none and are sought by all their words.
+With a smaller `least` or `similar` than these, masks can miss overlaps.
 
 The test set is read in blocks of at most BLOCK bytes; each is broadcast, so that what a worker holds is bounded whatever
 the size of the test set, and all documents meet every block. No document is shuffled.
 
-Defined cases: null text is empty and clean; items of under 7 words have no seed and are not searched; repeated items are
-reported under each of their ids; empty tables give clean documents or no rows; extra columns are ignored. Every row of
-docs gives one row, also with a null or repeated doc_id (with several blocks, rows that share a doc_id share the result).
+Defined cases: null text is empty and clean; items without a word are not searched; repeated items are reported under each
+of their ids; empty tables give clean documents or no rows; extra columns are ignored. Every row of docs gives one row of
+its own result, also with a null or repeated doc_id and with several blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +32,12 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import ship
 
-MASKS = ("1111111", "1101101011", "1110010111", "10110111001")
-BLOCK, TABLE = 8 << 20, 1 << 20
-OUT = "doc_id long, contaminated boolean, items array<long>, overlap long, first_word long"
+LONG = ("1111011", "1110100011", "11000011011", "1110111")
+SHORT = ("1111", "11011", "11101", "10111")
+#: (mask, least words and most words of the items it serves)
+MASKS = (*((m, 13, 1 << 62) for m in LONG), *((m, 5, 12) for m in SHORT), *(("1" * n, n, n) for n in range(1, 5)))
+BLOCK, TABLE, COMPARED = 8 << 20, 1 << 20, 1 << 20
+FOUND = "items array<long>, overlap long, first_word long"
 
 
 def _seeds(h: np.ndarray, at: np.ndarray, mask: str) -> np.ndarray:
@@ -52,9 +61,10 @@ class Items:
         self.known = np.zeros(TABLE, dtype=bool)
         self.known[(self.h & K.U(TABLE - 1)).astype(np.int64)] = True
         self.seeds = []
-        for mask in MASKS:
+        size = np.diff(self.off)
+        for mask, fewest, most in MASKS:
             at = np.arange(max(0, len(self.h) - len(mask) + 1))
-            at = at[row[at] == row[at + len(mask) - 1]] if len(at) else at
+            at = at[(row[at] == row[at + len(mask) - 1]) & (size[row[at]] >= fewest) & (size[row[at]] <= most)] if len(at) else at
             value = _seeds(self.h, at, mask)
             order = np.argsort(value, kind="stable")
             self.seeds.append((value[order], at[order], row[at][order]))
@@ -63,7 +73,7 @@ class Items:
         """Distinct (item, diagonal, document row) of the seeds that documents and items share."""
         known = self.known[(h & K.U(TABLE - 1)).astype(np.int64)]
         found = []
-        for mask, (value, at, item) in zip(MASKS, self.seeds, strict=True):
+        for (mask, _, _), (value, at, item) in zip(MASKS, self.seeds, strict=True):
             n = len(h) - len(mask) + 1
             if n <= 0 or not len(value):
                 continue
@@ -85,40 +95,61 @@ class Items:
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
-def best_segment(same: np.ndarray) -> tuple[int, int, int]:
-    """(start, words, equal words) of the segment with the highest sum of +1 for equal and -2 for other words."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end - start, int(same[start:end].sum())
+def longest_stretch(same: np.ndarray, num: int, den: int) -> tuple[int, int]:
+    """(start, words) of the longest stretch, then the first, of which the share num / den at least is equal."""
+    total = np.concatenate([[0], np.cumsum(np.where(same, den - num, -num))])
+    begin = np.searchsorted(-np.minimum.accumulate(total), -total)  # the first place whose sum is no higher
+    words = np.arange(len(total)) - begin
+    end = int(np.argmax(words))
+    return int(begin[end]), int(words[end])
 
 
 def _found(items: Items, raw: np.ndarray, off: np.ndarray, least: int, similar: float) -> dict[int, list]:
-    """Verified overlaps (words, item, first word) of each row that has one."""
+    """Verified overlaps (words, item, first word) of each row that has one, less the unequal words at their ends."""
     raw = K.LOWER[raw]
     start, end, row = K.words(raw, off, K.MARK)
     h = K.word_hashes(raw, start, end)
     first = np.searchsorted(row, np.arange(len(off)))
+    share = Fraction(similar).limit_denominator(1000)
+    hits = items.hits(h, row)
+    item, diagonal, of = hits.T
+    a, b = items.off[item], items.off[item + 1]
+    lo, hi = np.maximum(first[of], a + diagonal), np.minimum(first[of + 1], b + diagonal)
+    need = np.minimum(least, b - a)
     found: dict[int, list] = {}
-    for item, diagonal, r in items.hits(h, row).tolist():
-        a, b = int(items.off[item]), int(items.off[item + 1])
-        lo, hi = max(first[r], a + diagonal), min(first[r + 1], b + diagonal)
-        at, words, equal = best_segment(h[lo:hi] == items.h[lo - diagonal : hi - diagonal])
-        if words >= min(least, b - a) and equal >= similar * words:
-            found.setdefault(r, []).append((words, int(items.ids[item]), int(lo + at - first[r])))
+    piece = (np.cumsum(hi - lo) - 1) // COMPARED
+    for part in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(piece)) + 1) if len(hits) else ():
+        size = hi[part] - lo[part]
+        edge = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(edge[-1]) + np.repeat(lo[part] - edge[:-1], size)
+        same = h[at] == items.h[at - np.repeat(diagonal[part], size)]
+        enough = K.run_sums(same.astype(np.int64), edge) * share.denominator >= share.numerator * need[part]
+        for n in np.flatnonzero(enough & (size >= need[part])).tolist():
+            k, one = part[n], same[edge[n] : edge[n + 1]]
+            begin, words = longest_stretch(one, share.numerator, share.denominator)
+            if words >= need[k]:
+                equal = begin + np.flatnonzero(one[begin : begin + words])
+                found.setdefault(int(of[k]), []).append((int(equal[-1] - equal[0]) + 1, int(items.ids[item[k]]), int(lo[k] + equal[0] - first[of[k]])))
     return found
 
 
-def _scan(shared, least: int, similar: float):
+def _scan(shared, least: int, similar: float, last: bool):
+    """(doc_id, text, what earlier blocks found) -> the same with what this block adds; the last block drops text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, off in K.texts(batch, "text"):
                 found = _found(shared.value, raw, off, least, similar)
-                rows = [(True, sorted({x[1] for x in f}), max(f)[0], min(x[2] for x in f)) if (f := found.get(r)) else (False, [], 0, None) for r in range(j - i)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.int64()), strict=True))],
-                    ["doc_id", "contaminated", "items", "overlap", "first_word"])
+                columns = [c.slice(i, j - i) for c in batch.columns]
+                if found:
+                    rows = list(zip(*(c.to_pylist() for c in columns[2:]), strict=True))
+                    for r, f in found.items():
+                        ids, overlap, at = rows[r]
+                        firsts = [x[2] for x in f] + ([] if at is None else [at])
+                        rows[r] = (sorted({*ids, *(x[1] for x in f)}), max(overlap, max(f)[0]), min(firsts))
+                    columns[2:] = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.list_(pa.int64()), pa.int64(), pa.int64()), strict=True))
+                names = batch.schema.names
+                yield pa.RecordBatch.from_arrays(columns[:1] + columns[2:] if last else columns, names[:1] + names[2:] if last else names)
 
     return run
 
@@ -155,14 +186,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = 13, simi
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 13, similar: float = 0.8) -> DataFrame:
     """documents, benchmark -> (doc_id, contaminated, items, overlap, first_word), one row per row of docs.
 
-    items: ids of the test items found; overlap: words of the longest verified overlap; first_word: where the first begins.
+    items: ids of the test items found; overlap: words of the longest verified overlap, from its first to its last equal word;
+    first_word: where the first begins.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = [texts.mapInArrow(_scan(shared, least, similar), OUT) for shared in _item_blocks(benchmark)]
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    one = both.where("contaminated").groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("overlap").alias("overlap"), F.min("first_word").alias("first_word"))
-    return texts.select("doc_id").join(one, "doc_id", "left").select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("overlap", F.lit(0)).cast("long").alias("overlap"), "first_word")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("overlap"), F.lit(None).cast("long").alias("first_word"))
+    blocks = list(_item_blocks(benchmark))
+    for n, shared in enumerate(blocks, 1):
+        last = n == len(blocks)
+        out = out.mapInArrow(_scan(shared, least, similar, last), f"doc_id long, {FOUND}" if last else f"doc_id long, text string, {FOUND}")
+    return out.select("doc_id", (F.col("overlap") > 0).alias("contaminated"), "items", "overlap", "first_word")

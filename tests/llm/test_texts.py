@@ -90,6 +90,43 @@ def test_decontaminate_in_blocks(spark, monkeypatch):
     assert sorted(map(str, decontaminate.decontaminate(docs, bench).select(cols).collect())) == one
 
 
+def test_decontaminate_substitutions(spark, monkeypatch):
+    """Every overlap of 13 words and 80 % is found, wherever its substitutions are, and short items by all their words."""
+    rng = random.Random(8)
+    rows, bench, want = [], [], {}
+
+    def case(item, changed, found):
+        n = len(rows)
+        text = [f"x{n}" if i in changed else w for i, w in enumerate(item)]
+        rows.append((n, " ".join(["before"] * 9 + text + ["after"] * 9)))
+        bench.append((n, " ".join(item)))
+        want[n] = found
+
+    for size in (*range(1, 21), 25, 30):
+        item = lambda: [f"w{len(rows)}n{i}" for i in range(size)]  # noqa: B023, E731
+        most = size // 5
+        ends = [set(range(min(3, most))), set(range(size - min(3, most), size))]
+        for changed in (*ends, *(set(rng.sample(range(size), most)) for _ in range(12))):
+            case(item(), changed, True)
+        case(item(), set(rng.sample(range(size), size // 5 + 1)), False)
+    case([f"v{i}" for i in range(16)], {1, 12}, True)
+    # the longer items: a stretch of 13 words may be as similar though the whole is not
+    def by_rule(i):
+        a, b = bench[i][1].split(), rows[i][1].split()[9:-9]
+        same, need = [x == y for x, y in zip(a, b, strict=True)], min(13, len(a))
+        return any(5 * sum(same[x:y]) >= 4 * (y - x) for x in range(len(a)) for y in range(x + need, len(a) + 1))
+    want = {i: f or by_rule(i) for i, f in want.items()}
+    assert all(by_rule(i) == f for i, f in want.items())
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (0, "another text")], "doc_id long, text string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    expected = sorted([*((i, [i] if f else []) for i, f in want.items()), (-1, [0]), (0, [])])
+    for block in (8 << 20, 2000):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        got = decontaminate.decontaminate(docs, items).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, list(r["items"])) for r in got) == expected
+        assert all(r.contaminated == bool(r["items"]) and (r.first_word is None) != r.contaminated for r in got)
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.selectExpr("*", "1 AS score")
