@@ -59,9 +59,20 @@ def packed(files: DataFrame, most_files: int, most_chars: int) -> DataFrame:
     return rows.where((F.col("n") == 1) | ((F.col("n") <= most_files) & (F.col("total") <= most_chars)))
 
 
+def failure_runs(calls: DataFrame) -> DataFrame:
+    """(source, at, ok: true, false, or null for neither) -> (source, consecutive, succeeded): failures since the last success.
+
+    The last success of each source is an aggregate, joined back to the calls: no source's calls are sorted or held together.
+    """
+    last = calls.groupBy(F.col("source").alias("_source")).agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("_ok_at"))
+    since = calls.join(last, F.col("source").eqNullSafe(F.col("_source")))
+    return since.groupBy("source").agg(F.count_if(~F.col("ok") & (F.col("_ok_at").isNull() | (F.col("at") > F.col("_ok_at")))).alias("consecutive"), F.coalesce(F.bool_or("ok"), F.lit(False)).alias("succeeded"))
+
+
 def source_health() -> Column:
+    """Health by the run of failures since the last success: down from three on."""
     c = F.col
-    return F.when(~c("enabled"), "off").when(~c("configured"), "unconfigured").when(c("failures") >= 3, "down").when(c("failures") > 0, "degraded").when(c("successes") > 0, "ok").otherwise("unknown")
+    return F.when(~c("enabled"), "off").when(~c("configured"), "unconfigured").when(c("consecutive") >= 3, "down").when(c("consecutive") > 0, "degraded").when(c("succeeded"), "ok").otherwise("unknown")
 
 
 def provider_stats(calls: DataFrame) -> DataFrame:

@@ -292,15 +292,17 @@ def offer_catalogue(spark, sf_dir):
 
 @query
 def source_health(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").where("event_id % 13 = 0").groupBy(F.col("user_id").alias("source")).agg(F.count_if(F.col("event_type") == "error").alias("failures"), F.count_if(F.col("event_type") == "view").alias("successes"))
+    ok = F.when(F.col("event_type") == "view", True).when(F.col("event_type") == "error", False)
+    rows = fed.failure_runs(read(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.struct("ts", "event_id").alias("at"), ok.alias("ok")))
     return rows.withColumn("enabled", F.col("source") % 11 != 0).withColumn("configured", F.col("source") % 7 != 0).select("source", fed.source_health().alias("health"))
 
 
 @query
 def context_packing(spark, sf_dir):
-    """Ranked files of one code answer (a bounded list) until the limits."""
-    files = read(spark, sf_dir, "documents").where("doc_id % 50 = 1").select(F.col("doc_id").alias("rid"), F.col("n_chars").alias("chars"))
-    return long(fed.packed(vector.ranked(files, F.desc("chars"), F.asc("rid")), 12, 60000).select("rid", "position"), "position")
+    """Ranked files of one code answer until the limits; of all documents a top-k leaves as many as can be packed."""
+    files = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), F.col("n_chars").alias("chars"))
+    order = F.desc("chars"), F.asc("rid")
+    return long(fed.packed(vector.ranked(files.orderBy(*order).limit(12), *order), 12, 60000).select("rid", "position"), "position")
 
 
 @query

@@ -149,3 +149,38 @@ def test_scan_reads_what_it_needs(spark):
     plan = spark._jvm.PythonSQLUtils.explainString(queries.QUERIES["owner_page"](spark, SF)._jdf.queryExecution(), "formatted")
     assert "PushedFilters: [IsNotNull(source)" in plan
     assert "n_chars" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def health_by_rule(events):
+    """Each source's health by its events in order, written from the rule."""
+    runs = {}
+    for source, kind in ((r.user_id, r.event_type) for r in sorted(events, key=lambda r: (r.ts, r.event_id))):
+        run, ok = runs.get(source, (0, False))
+        runs[source] = (0, True) if kind == "view" else (run + (kind == "error"), ok)
+    return {s: "off" if s % 11 == 0 else "unconfigured" if s % 7 == 0 else "down" if n >= 3 else "degraded" if n else "ok" if ok else "unknown" for s, (n, ok) in runs.items()}
+
+
+def test_health_is_of_all_events(spark):
+    sf = "/root/testdata/sf0.01"
+    want = health_by_rule(spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_type", "ts", "event_id").collect())
+    assert {r.source: r.health for r in queries.QUERIES["source_health"](spark, sf).collect()} == want
+    assert {"down", "degraded", "ok"} <= set(want.values())
+
+
+def test_failure_runs(spark):
+    calls = {"a": [False] * 5 + [True], "b": [True, False, None, False, False], "c": [False, True, False], "d": [None], None: [True, False]}
+    rows = [(s, i, ok) for s, oks in calls.items() for i, ok in enumerate(oks)]
+    runs = federation.failure_runs(spark.createDataFrame(rows[::-1], "source string, at long, ok boolean"))
+    assert {r.source: (r.consecutive, r.succeeded) for r in runs.collect()} == {"a": (0, True), "b": (3, True), "c": (1, True), "d": (0, False), None: (1, True)}
+
+
+def test_packing_is_of_all_documents(spark):
+    for sf in (SF, "/root/testdata/sf0.01"):
+        docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars").collect()
+        want, total = [], 0
+        for r in sorted(docs, key=lambda r: (-r.n_chars, r.doc_id))[:12]:
+            total += r.n_chars
+            if want and total > 60000:
+                break
+            want.append(r.doc_id)
+        assert [r.rid for r in queries.QUERIES["context_packing"](spark, sf).orderBy("position").collect()] == want
