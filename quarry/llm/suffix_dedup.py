@@ -16,8 +16,9 @@ so the refinement runs on those windows that can have a twin:
    third of all rows share is many small buckets, and every task sends each of its windows once.
 
 Strings are judged on the input. Matches never cross documents. Defined cases: null text is empty; texts under 100 bytes
-lose nothing; a row with null doc_id is returned with nothing removed and is not a source either. doc_id is taken as the
-documents' key: repeated rows with one doc_id count as one document, each returned. Extra columns are ignored.
+lose nothing; a row with null doc_id is returned with nothing removed and is not a source either. A document is a doc_id and
+its text (told by `part`, a hash of it): rows that repeat both count as one document, each returned with its result; texts
+that share a doc_id are documents of their own, ordered by their hashes. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -101,17 +102,20 @@ def _anchors(length: int):
                 new[1:] = (hh[1:] != hh[:-1]) | (row[1:] != row[:-1])
                 first = np.flatnonzero(new)
                 many = np.diff(np.append(first, len(hh))) > 1
-                yield pa.RecordBatch.from_arrays([pa.array(hh[first].view(np.int64)), pa.array(ids[i + row[first]].astype(np.int64)), pa.array(many)], ["h", "doc_id", "many"])
+                yield pa.RecordBatch.from_arrays([pa.array(hh[first].view(np.int64)), pa.array(ids[i + row[first]].astype(np.int64)), pa.array(many)], ["h", "doc", "many"])
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], hot_over: int) -> Iterator[pa.RecordBatch]:
-    """Rows in order of h -> those whose h comes twice or more, with whether it comes more than hot_over times."""
-    key, held, hot = None, [], False
+    """Rows in order of h and doc -> those whose h comes in two documents or more, or many times, with whether in more than hot_over.
+
+    A repeated row's anchors come again right after its own and are left out.
+    """
+    key, held, hot, last = None, [], False, None
 
     def out(h, doc, flag):
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(flag)], ["h", "doc_id", "hot"])
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(flag)], ["h", "doc", "hot"])
 
     def flush():
         doc = np.concatenate([d for d, _ in held])
@@ -120,6 +124,13 @@ def _repeated(batches: Iterator[pa.RecordBatch], hot_over: int) -> Iterator[pa.R
 
     for batch in batches:
         h, doc, many = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if not len(h):
+            continue
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        new[0] = last != (h[0], doc[0])
+        last = (h[-1], doc[-1])
+        h, doc, many = h[new], doc[new], many[new]
         if not len(h):
             continue
         cut = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
@@ -151,18 +162,22 @@ def _repeated(batches: Iterator[pa.RecordBatch], hot_over: int) -> Iterator[pa.R
         yield from flush()
 
 
-SENT = "key long, doc_id long, start long, end long, bytes binary"
+SENT = "key long, doc_id long, part long, start long, end long, bytes binary"
 
 
 def _surroundings(length: int):
-    """Documents in order of doc_id, with their repeated anchors -> bytes for the buckets, and runs already known to repeat."""
+    """Documents in order of doc_id and part, with their repeated anchors -> bytes for the buckets, and runs already known to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
+        last = None
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            raw, off = K.buffers(batch.column(1))
-            cold, hot = batch.column(2), batch.column(3)
+            same = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            batch = batch.filter(pa.array([x != y for x, y in zip(same, [last, *same], strict=False)], pa.bool_()))  # repeated rows
+            last = same[-1] if same else last
+            ids, texts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            raw, off = K.buffers(batch.column(2))
+            cold, hot = batch.column(3), batch.column(4)
             rows: list = []
             for i, before, piece, at in _pieces(raw, off, length):
                 h, m, valid, anchor = windows(piece, at, length)
@@ -191,27 +206,27 @@ def _surroundings(length: int):
                     c, w = cold[i + r].values, hot[i + r].values
                     flag = np.isin(x, c.to_numpy()) if len(c) else np.zeros(len(x), bool)
                     warm = np.isin(x, w.to_numpy()) if len(w) else np.zeros(len(x), bool)
-                    base, doc = before - int(at[r]), int(ids[i + r])
+                    base, doc, text = before - int(at[r]), int(ids[i + r]), int(texts[i + r])
                     for n in np.flatnonzero(flag | warm):
                         a, b, anchor_at = int(lo[part][n]), int(hi[part][n]), int(who[part][n])
                         around = data[a : b + length]
                         mark = (around, anchor_at - a)
                         if mark in seen:
-                            rows.append((doc, doc, a + base, b + length + base, None))
+                            rows.append((doc, doc, text, a + base, b + length + base, None))
                             continue
                         seen.add(mark)
                         if not warm[n]:
-                            rows.append((int(x[n]), doc, a + base, b + length + base, around))
+                            rows.append((int(x[n]), doc, text, a + base, b + length + base, around))
                             continue
                         for s in range(a, b + 1):
                             one = data[s : s + length]
                             if one in seen:
-                                rows.append((doc, doc, s + base, s + length + base, None))
+                                rows.append((doc, doc, text, s + base, s + length + base, None))
                             else:
                                 seen.add(one)
-                                rows.append((int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True), doc, s + base, s + length + base, one))
+                                rows.append((int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True), doc, text, s + base, s + length + base, one))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "doc_id", "start", "end", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 5, pa.binary()), strict=True)], ["key", "doc_id", "part", "start", "end", "bytes"])
 
     return run
 
@@ -245,33 +260,35 @@ def refine(key: np.ndarray, raw: np.ndarray, off: np.ndarray, length: int) -> tu
 
 def _refined(length: int):
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        key, doc, start, data = (list(x) for x in zip(*((k, d, s, b) for k, d, s, _, b in rows), strict=True))
+        key, doc, text, start, data = (list(x) for x in zip(*((k, d, t, s, b) for k, d, t, s, _, b in rows), strict=True))
         off = np.concatenate([[0], np.cumsum([len(b) for b in data])])
         row, inner = refine(np.array(key, np.int64), np.frombuffer(b"".join(data), np.uint8), off, length)
-        return row, inner, np.array(doc, np.int64), np.array(start, np.int64)
+        return row, inner, np.array(doc, np.int64), np.array(text, np.int64), np.array(start, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
 
-        def out(doc, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "start", "end"])
+        def out(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "part", "start", "end"])
 
         def found():
-            row, inner, doc, start = solve(rows)
+            row, inner, doc, text, start = solve(rows)
             cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (inner[1:] != inner[:-1] + 1)])) if len(row) else np.zeros(0, np.int64)
             last = np.append(cut[1:], len(row)) - 1
-            return out(doc[row[cut]], start[row[cut]] + inner[cut], start[row[cut]] + inner[last] + length) if len(row) else out([], [], [])
+            return out(doc[row[cut]], text[row[cut]], start[row[cut]] + inner[cut], start[row[cut]] + inner[last] + length) if len(row) else out([], [], [], [])
 
         for batch in batches:
-            known = batch.filter(pa.compute.is_null(batch.column(4)))
-            yield out(known.column(1), known.column(2), known.column(3))
-            sent = batch.filter(pa.compute.is_valid(batch.column(4)))
+            known = batch.filter(pa.compute.is_null(batch.column(5)))
+            yield out(*known.columns[1:5])
+            sent = batch.filter(pa.compute.is_valid(batch.column(5)))
             for r in zip(*(c.to_pylist() for c in sent.columns), strict=True):
+                if rows and r[:4] == rows[-1][:4]:  # a repeated row that another task sent
+                    continue
                 if held > WINDOWS and r[0] != rows[-1][0]:
                     yield found()
                     rows, held = [], 0
                 rows.append(r)
-                held += len(r[4]) - length + 1
+                held += len(r[5]) - length + 1
         if rows:
             yield found()
 
@@ -317,28 +334,33 @@ def _rewrite(names: list[str]):
     return run
 
 
+def _part() -> Column:
+    return F.xxhash64("text")
+
+
 def repeated_runs(docs: DataFrame, length: int = 100, hot_over: int = HOT) -> DataFrame:
-    """documents -> (doc_id, runs): byte ranges that repeated strings cover, for documents that have some."""
+    """documents -> (doc_id, part, runs): byte ranges that repeated strings cover, for documents that have some."""
     spark = docs.sparkSession
     ship(spark)
     parts = partitions(spark)
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    anchors = some.mapInArrow(_anchors(length), "h long, doc_id long, many boolean")
-    twice = stored(anchors.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda x: _repeated(x, hot_over), "h long, doc_id long, hot boolean"), "anchors")
-    lists = twice.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
-    sent = some.join(lists, "doc_id").select("doc_id", "text", "cold", "hot").sortWithinPartitions("doc_id").mapInArrow(_surroundings(length), SENT)
-    found = sent.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_refined(length), "doc_id long, start long, end long")
-    return stored(found, "repeats").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _part().alias("part")).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    some = some.withColumn("doc", F.xxhash64("doc_id", "part"))
+    anchors = some.select("doc", "text").mapInArrow(_anchors(length), "h long, doc long, many boolean")
+    twice = stored(anchors.repartition(parts, "h").sortWithinPartitions("h", "doc").mapInArrow(lambda x: _repeated(x, hot_over), "h long, doc long, hot boolean"), "anchors")
+    lists = twice.groupBy("doc").agg(F.collect_set(F.when(~F.col("hot"), F.col("h"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
+    sent = some.join(lists, "doc").select("doc_id", "part", "text", "cold", "hot").sortWithinPartitions("doc_id", "part").mapInArrow(_surroundings(length), SENT)
+    found = sent.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "part", "start").mapInArrow(_refined(length), "doc_id long, part long, start long, end long")
+    return stored(found, "repeats").groupBy("doc_id", "part").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, hot_over: int = HOT) -> DataFrame:
     """documents -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans), one row per row of docs. spans: removed byte ranges."""
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(repeated_runs(docs, length, hot_over), "doc_id", "left").select("doc_id", "text", "runs")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _part().alias("part")).join(repeated_runs(docs, length, hot_over), ["doc_id", "part"], "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
 
 
 def rewritten(docs: DataFrame, length: int = 100) -> DataFrame:
     """The rows of docs, all columns, with text less its repeated runs (a character that loses a byte goes) and n_chars to match."""
-    runs = repeated_runs(docs, length).withColumnRenamed("doc_id", "_id").withColumnRenamed("runs", "_runs")
-    joined = docs.join(runs, docs["doc_id"] == runs["_id"], "left").select(*(docs[c] for c in docs.columns), "_runs")
+    runs = repeated_runs(docs, length).select(F.col("doc_id").alias("_id"), F.col("part").alias("_part"), F.col("runs").alias("_runs"))
+    joined = docs.join(runs, (docs["doc_id"] == runs["_id"]) & (F.xxhash64(docs["text"]) == runs["_part"]), "left").select(*(docs[c] for c in docs.columns), "_runs")
     return joined.mapInArrow(_rewrite(docs.columns), docs.schema)

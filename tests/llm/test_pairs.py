@@ -121,6 +121,29 @@ def test_suffix_dedup(spark, hot):
     assert got == brute_dedup(rows)
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("tasks", [1, 8])
+def test_suffix_dedup_repeated_rows(spark, hot, tasks):
+    """A row that stands twice is one document; two texts of one doc_id are two."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, common = text(230), text(300)
+    twin, later = text(400) + common, text(50) + common + text(60)
+    one, other = text(150) + shared + text(70), text(20) + shared + text(90)
+    rows = [(1, twin), (1, twin), (2, later), (3, one), (3, other), (3, other), (4, twin), (4, twin), (None, twin)]
+    df = spark.createDataFrame([(i, t, "x", 1, None) for i, t in rows], DOCS).repartition(tasks)
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup(df, hot_over=hot).collect())
+    want = [(0, 700, 0), (1, 700, 0), (1, 700, 0), (2, 410, 300), (4, 700, 700), (4, 700, 700)]
+    assert [r for r in got if r[0] != 3] == want
+    # of the two texts of doc_id 3 one keeps the passage
+    assert [r for r in got if r[0] == 3] in ([(3, 340, 0), (3, 340, 0), (3, 450, 230)], [(3, 340, 230), (3, 340, 230), (3, 450, 0)])
+    texts = sorted((r.doc_id, r.text) for r in rewritten(df.where("doc_id < 4")).collect())
+    assert [t for i, t in texts if i == 1] == [twin, twin]
+    assert [t for i, t in texts if i == 2] == [later.replace(common, "")]
+    cut = lambda t: t.replace(shared, "")
+    assert [t for i, t in texts if i == 3] in (sorted([cut(one), other, other]), sorted([one, cut(other), cut(other)]))
+
+
 def test_rewritten_keeps_columns(spark):
     p = "lorem ipsum dolor sit amet " * 8
     df = spark.createDataFrame([(1, "first " + p, "en", "s", 1), (2, "second " + p + "end", "en", None, None), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
