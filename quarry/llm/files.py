@@ -22,11 +22,14 @@ def _place(uri: str) -> tuple[pafs.FileSystem, str]:
     return system, path
 
 
-def write_file(uri: str, data: bytes) -> None:
+def write_file(uri: str, data: bytes, final: str | None = None) -> None:
+    """Writes a file; with final it is written whole and then moved there, over what a task before it left."""
     system, path = _place(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     with system.open_output_stream(path, compression=None) as f:
         f.write(data)
+    if final:
+        system.move(path, _place(final)[1])
 
 
 def read_file(uri: str) -> bytes:

@@ -2,20 +2,26 @@
 
 Encoding. Words (a run of U+2581 and what follows) never share a piece, so distinct words (cut further
 between ASCII characters that no piece holds side by side) are encoded once. Substrings
-of at most the longest piece's length are exploded and equi-joined to the piece table; the edges are grouped by word, and
-a fold over edges in order of their end (Spark's higher-order aggregate) keeps the best edge into each position. In a
-BPE model the best is not the highest sum of scores: the encoding is the one path whose neighbouring pieces would not
-have been merged across their border. So a transition a, b is allowed unless an edge q across the border, made of a node
-of a's right spine and a node of b's left spine, comes before the merges that consume those nodes (of equal merges the
-leftmost comes first). The piece table holds,
-for each piece, the spines of its derivation as bit masks. This gives the library's own ids.
-
-Words longer than LONG or with several leading spaces are encoded by replaying the merges in Python, in the block's task:
-the fold is quadratic in a word's edges. Characters without a piece become byte pieces.
-
-Documents are cut into blocks of about BLOCK bytes inside a task and written as codes into the block's word list; words
-go to the lattice with their blocks and codes, ids come back to the block. So text is never shuffled, a frequent word is
-sent once a block, and a task holds one block. The piece table (the model's vocabulary, a fixed number of rows) is broadcast.
+of at most the longest piece's length are made by an equi-join of the words' lengths to the spans of that length (the
+explode), and equi-joined to the piece table; the edges are grouped by word, and a fold over them (Spark's higher-order
+aggregate) picks the path. In a BPE model that path is not the one with the highest sum of scores, so the fold is not
+Viterbi's maximum: it takes the edges in order of rank, then start, and keeps the borders still open as the bits of a
+number; an edge is taken, and closes the border inside, if it stands on two symbols just then. One pass is enough where no
+piece is made from a piece of a higher rank (Model.packs tells; else, or where ranks are shared, words are replayed): then
+no merge makes an earlier one possible. This gives the library's own ids. viterbi() is the fold for unigram models, where
+the path is the highest sum of scores.
+
+Words longer than LONG or with several leading spaces are encoded by replaying the merges in Python, in the block's task,
+as are all words of a model that doesn't pack. Characters without a piece become byte pieces.
+
+Documents are cut into blocks of about BLOCK bytes inside a task and written as codes into the block's word list, in a
+file of the shared folder named by its content; words go to the lattice with their blocks and codes, ids come back to the
+block, which is then read. So neither text nor codes are shuffled, a frequent word is sent once a block, and a task holds
+one block. A word is grouped within the blocks of SHARE tasks, so that the list of its places stays bounded however
+frequent it is. The piece table (the model's vocabulary, a fixed number of rows) and the spans are broadcast.
+
+Rows are sorted by word once, the first of each word takes part in the joins, and these keep the order, so with
+spark.sql.execution.replaceHashWithSortAgg (set by encode) the grouping reads its rows in order, without a hash table.
 
 Defined cases: null text counts as empty and has no pieces; null or repeated doc_ids are kept row by row; U+2581 in a text
 is a space, as in the library; extra columns are ignored.
@@ -24,6 +30,8 @@ is a space, as in the library; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,13 +39,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import fresh_path, partitions, ship
+from .files import read_file, write_file
 from .kernel import buffers
 
-LONG, BLOCK, MARK, RAW = 48, 6 << 20, "▁", "\x01"
+LONG, BLOCK, SHARE, WORDS, MARK, RAW = 48, 12 << 20, 1024, 60_000, "▁", "\x01"
 
 
 class Model:
@@ -60,10 +70,13 @@ class Model:
             self.rank[self.pieces[i]] = rank
         self.longest = max(map(len, self.id))
         self.unknown = sp.unk_id()
-        lattice = [i for i in plain if self.pieces[i].strip(MARK) or len(self.pieces[i]) == 1]
-        ranks = [self.rank[self.pieces[i]] for i in lattice]
-        #: whether ids are ranks, all different, and fit the fold's packed edges; else every word is replayed
-        self.packs = all(a < b for a, b in zip(ranks, ranks[1:], strict=False)) and n <= 1 << 15 and self.longest <= 16
+        words = [p for p in self.id if len(p) > 1 and p.strip(MARK)]
+        #: the id of each rank, and of each character (-1: none)
+        self.by_rank, self.by_char = np.zeros(max(self.rank.values()) + 1, np.int64), np.full(0x110000, -1, np.int64)
+        self.by_rank[[self.rank[p] for p in words]] = [self.id[p] for p in words]
+        self.by_char[[ord(p) for p in self.id if len(p) == 1]] = [self.id[p] for p in self.id if len(p) == 1]
+        #: whether one pass of the fold is exact: ranks of their own, that fit a packed edge, and above those of the parts
+        self.packs = len({self.rank[p] for p in words}) == len(words) and len(self.by_rank) <= 1 << 15 and all(self._rises(p) for p in words)
         #: ASCII characters that stand side by side in some piece
         self.pairs = np.zeros((128, 128), dtype=bool)
         for p in self.id:
@@ -112,28 +125,23 @@ class Model:
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[x] for x in char.encode()] if self.bytes else [self.unknown]
 
-    def rows(self) -> list[tuple[str, int, int, int]]:
-        """(piece, id, right mask, left mask) of the pieces that an encoding can hold.
-
-        Bit k of the right mask: a node of the derivation starts at k and ends with the piece; of the left mask: one ends
-        at k and starts with it.
-        """
-        out = []
-        for piece, i in self.id.items():
-            got = self.merges(piece)
-            if len(got) > 1 or (len(piece) > 1 and not piece.strip(MARK)):
-                continue
-            r = l = 0
-            node = got[0]
-            while node:
-                r |= 1 << node[0]
-                node = node[2] and node[2][1]
-            node = got[0]
-            while node:
-                l |= 1 << node[1]
-                node = node[2] and node[2][0]
-            out.append((piece, i, r, l))
-        return out
+    def _rises(self, piece: str) -> bool:
+        """Whether the merges that make a piece come in order of rank, or don't make it."""
+        got = self.merges(piece)
+        stack = [(got[0], len(self.by_rank))] if len(got) == 1 else []
+        while stack:
+            (a, b, parts), above = stack.pop()
+            if parts:
+                rank = self.rank[piece[a:b]]
+                if rank >= above:
+                    return False
+                stack += [(x, rank) for x in parts]
+        return True
+
+    def rows(self) -> pa.Table:
+        """(piece, rank) of the pieces of two characters or more that an encoding can hold."""
+        out = [p for p in self.id if len(p) > 1 and p.strip(MARK) and len(self.merges(p)) == 1]
+        return pa.table({"piece": pa.array(out, pa.string()), "rank": pa.array([self.rank[p] for p in out], pa.int32())})
 
 
 @lru_cache(maxsize=4)
@@ -242,148 +250,214 @@ def _odd(words: pa.Array, m: Model) -> np.ndarray:
     return pc.or_(pc.greater(pc.utf8_length(words), LONG), pc.starts_with(words, MARK * 2)).to_numpy(zero_copy_only=False)
 
 
-def _send_words(path: str):
+HEAD = struct.Struct("<QQQQ")
+
+
+def _packed(part: pa.RecordBatch, codes: np.ndarray, off: np.ndarray, odd: np.ndarray, ids: list[list[int]]) -> bytes:
+    """A block's file: doc_ids, codes of its documents, and the ids of the words that the fold isn't for."""
+    import zstandard
+
+    doc = part.column(0)
+    flat = np.array([y for x in ids for y in x], "<u4")
+    head = HEAD.pack(part.num_rows, len(codes), len(odd), len(flat))
+    # the codes as planes of bytes: the higher ones compress well
+    columns = (doc.fill_null(0).to_numpy().astype("<i8"), doc.is_null().to_numpy(zero_copy_only=False).astype("u1"), off.astype("<i8"), np.ascontiguousarray(codes.astype("<u4").view("u1").reshape(-1, 4).T), odd.astype("<u4"), np.array([len(x) for x in ids], "<u4"), flat)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *(c.tobytes() for c in columns)]))
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    docs, codes, odd, flat = HEAD.unpack_from(raw)
+    out, at = [], HEAD.size
+    for kind, n in (("<i8", docs), ("u1", docs), ("<i8", docs + 1), ("u1", 4 * codes), ("<u4", odd), ("<u4", odd), ("<u4", flat)):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    out[3] = np.ascontiguousarray(out[3].reshape(4, -1).T).view("<u4").ravel()
+    return out
+
+
+def _send(path: str, folder: str):
+    """Writes each block's file and sends its words, and one word more that stands for the block itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        for block, _, words, _, _ in _blocks(batches, m):
-            code = np.flatnonzero(~_odd(words, m))
-            yield pa.RecordBatch.from_arrays([words.take(pa.array(code)).cast(pa.string()), pa.array(np.full(len(code), block)), pa.array(code.astype(np.int32))], ["word", "block", "code"])
+        m, share = model(path), TaskContext.get().partitionId() // SHARE
+        for block, part, words, codes, off in _blocks(batches, m):
+            flag = _odd(words, m)
+            odd, code = np.flatnonzero(flag), np.flatnonzero(~flag)
+            uri = f"{folder}/{block & (1 << 64) - 1:016x}"
+            write_file(f"{uri}-{uuid.uuid4().hex}", _packed(part, codes, off, odd, [m.encode_word(w) for w in words.take(pa.array(odd)).to_pylist()]), uri)
+            sent = pa.concat_arrays([words.take(pa.array(code)).cast(pa.string()), pa.array([f"{block:x}"])])
+            yield pa.RecordBatch.from_arrays([sent, pa.array(np.full(len(sent), block)), pa.array(np.append(code, -1).astype(np.int32)), pa.array(np.full(len(sent), share, np.int32))], ["word", "block", "code", "share"])
 
     return run
 
 
 def _bundle(code: np.ndarray, size: np.ndarray, flat: np.ndarray) -> bytes:
-    """Codes and the ids of their words, in one compressed piece."""
+    """Ascending codes and the ids of their words, in one piece."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([len(code), len(flat)], "<u4").tobytes(), code.astype("<u4").tobytes(), size.astype("<u4").tobytes(), flat.astype("<u4").tobytes()]))
+    wide = "<u4" if len(flat) and flat.max() >= 1 << 16 else "<u2"
+    data = b"".join([np.array([len(code), len(flat)], "<u4").tobytes(), np.diff(code, prepend=0).astype("<i4").tobytes(), size.astype("u1").tobytes(), flat.astype(wide).tobytes()])
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
 
 def _unbundle(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4")
-    n = int(raw[0])
-    return raw[2 : 2 + n].astype(np.int64), raw[2 + n : 2 + 2 * n].astype(np.int64), raw[2 + 2 * n :]
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n, m = np.frombuffer(data, "<u4", 2).tolist()
+    rest = len(data) - 8 - 5 * n
+    return np.cumsum(np.frombuffer(data, "<i4", n, 8)), np.frombuffer(data, "u1", n, 8 + 4 * n).astype(np.int64), np.frombuffer(data, "<u2" if rest == 2 * m else "<u4", m, 8 + 5 * n)
 
 
-def _send_codes(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+def _ids(ranks: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word's path has, and the ids end to end; characters without a piece become byte pieces."""
+    size, rank = pc.list_value_length(ranks).to_numpy(zero_copy_only=False).astype(np.int64), ranks.flatten().to_numpy()
+    out = np.where(rank < 0, m.by_char[np.maximum(-1 - rank, 0)], m.by_rank[np.maximum(rank, 0)])
+    bare = np.flatnonzero(out < 0)
+    if not len(bare):
+        return size, out
+    back = [m.fallback(chr(-1 - int(x))) for x in rank[bare]]
+    many = np.ones(len(rank), np.int64)
+    many[bare] = [len(x) for x in back]
+    out = np.repeat(out, many)
+    first = np.cumsum(many) - many
+    for i, x in zip(bare, back, strict=True):
+        out[first[i] : first[i] + len(x)] = x
+    return np.add.reduceat(many, np.cumsum(size) - size), out
 
-        m = model(path)
-        for block, part, words, codes, off in _blocks(batches, m):
-            codes, pack = codes.astype("<u4"), zstandard.ZstdCompressor(level=3)
-            data = [pack.compress(codes[off[r] : off[r + 1]].tobytes()) for r in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, block)), part.column(0), pa.array(data, pa.binary()), pa.array(np.zeros(part.num_rows, bool))], ["block", "doc_id", "codes", "words"])
-            odd = np.flatnonzero(_odd(words, m))
-            ids = [m.encode_word(w) for w in words.take(pa.array(odd)).to_pylist()]
-            more = _bundle(odd, np.array([len(x) for x in ids]), np.array([y for x in ids for y in x]))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([None], pa.int64()), pa.array([more], pa.binary()), pa.array([True])], ["block", "doc_id", "codes", "words"])
+
+def _bundles(path: str):
+    """(places, ranks) of words -> (block, bundle): each block's words of up to WORDS of a task in one piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, held, words = model(path), [], 0
+        for batch in batches:
+            places = batch.column(0)
+            size, flat = _ids(batch.column(1), m)
+            row = np.repeat(np.arange(len(places)), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+            at = places.flatten()
+            held.append((row, at.field(0).to_numpy(), at.field(1).to_numpy(), size, flat))
+            words += batch.num_rows
+            if words > WORDS:
+                yield _bundled(held)
+                held, words = [], 0
+        if held:
+            yield _bundled(held)
 
     return run
 
 
-def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(places, ids) of words -> (block, bundle): each block's words of this batch in one piece."""
-    for batch in batches:
-        places, ids = batch.column(0), batch.column(1)
-        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(places).to_numpy(zero_copy_only=False))
-        at = places.flatten()
-        block, code = at.field(0).to_numpy(), at.field(1).to_numpy()
-        size = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat, first = ids.flatten().to_numpy(), np.cumsum(size) - size
-        order = np.lexsort((code, block))
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(block[order])) + 1, [len(order)]])
-        out = []
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if a < b:
-                rows = row[order[a:b]]
-                many = size[rows]
-                pick = np.repeat(first[rows] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-                out.append((int(block[order[a]]), _bundle(code[order[a:b]], many, flat[pick])))
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["block", "bundle"])
-
-
-def _assemble(key, docs: pa.Table, bundles: pa.Table) -> pa.Table:
-    """One block: codes of its documents and the ids of its words -> ids of the documents."""
-    import zstandard
+def _bundled(held: list[tuple]) -> pa.RecordBatch:
+    before = np.cumsum([0, *(len(h[3]) for h in held)])
+    row, block, code, size, flat = (np.concatenate([h[c] + before[i] if not c else h[c] for i, h in enumerate(held)]) for c in range(5))
+    first, order = np.cumsum(size) - size, np.lexsort((code, block))
+    row, code, block = row[order], code[order], block[order]
+    many = size[row]
+    pick = flat[np.repeat(first[row] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+    cut = np.concatenate([np.flatnonzero(np.diff(block, prepend=~block[:1])), [len(block)]])
+    at = np.concatenate([[0], np.cumsum(many)])
+    out = [_bundle(code[a:b], many[a:b], pick[at[a] : at[b]]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), pa.array(out, pa.binary())], ["block", "bundle"])
+
+
+def _assemble(folder: str):
+    def run(key, bundles):
+        """One block: its file and the ids of its words -> ids of the documents."""
+        block = int(key[0].as_py())
+        doc, null, off, codes, odd, odd_size, odd_flat = _unpacked(read_file(f"{folder}/{block & (1 << 64) - 1:016x}"))
+        got = [(c[c >= 0], n[c >= 0], f[np.repeat(c >= 0, n)]) for c, n, f in (_unbundle(x.as_py()) for x in bundles["bundle"])] + [(odd, odd_size.astype(np.int64), odd_flat)]
+        code, many = np.concatenate([g[0] for g in got]).astype(np.int64), np.concatenate([g[1] for g in got])
+        flat = np.concatenate([g[2].astype(np.int32) for g in got])
+        del got
+        top = int(codes.max()) + 1 if len(codes) else 0
+        size, start = np.full(max(top, int(code.max()) + 1 if len(code) else 0), -1), np.zeros(max(top, int(code.max()) + 1 if len(code) else 0), np.int64)
+        size[code], start[code] = many, np.cumsum(many) - many
+        if len(codes) and (size[codes] < 0).any():
+            raise ValueError(f"block {block} has codes without words")
+        each = size[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        if ends[-1] >= 1 << 31:
+            raise ValueError("a block of more than 2^31 ids")
+        out = flat[np.repeat(start[codes] - ends[:-1], each) + np.arange(int(ends[-1]))]
+        ids = pa.ListArray.from_arrays(pa.array(ends[off].astype(np.int32)), pa.array(out))
+        return pa.table({"doc_id": pa.array(doc, mask=null.astype(bool)), "ids": ids})
 
-    is_words = docs["words"].to_numpy(zero_copy_only=False)
-    got = [_unbundle(x) for x in bundles["bundle"].to_pylist()] + [_unbundle(docs["codes"][int(i)].as_py()) for i in np.flatnonzero(is_words)]
-    code, many, flat = (np.concatenate([g[c] for g in got] or [np.zeros(0, np.int64)]) for c in range(3))
-    size, start = np.full(int(code.max()) + 1 if len(code) else 0, -1), np.zeros(int(code.max()) + 1 if len(code) else 0, np.int64)
-    size[code], start[code] = many, np.cumsum(many) - many
-    unpack, out = zstandard.ZstdDecompressor(), []
-    rows = np.flatnonzero(~is_words)
-    for i in rows:
-        codes = np.frombuffer(unpack.decompress(docs["codes"][int(i)].as_py()), "<u4").astype(np.int64)
-        if len(codes) and (codes.max() >= len(size) or (size[codes] < 0).any()):
-            raise ValueError(f"block {key} has codes without words")
-        each = size[codes] if len(codes) else codes
-        at = np.repeat(start[codes] - (np.cumsum(each) - each), each) + np.arange(int(each.sum())) if len(codes) else codes
-        out.append(flat[at].astype(np.int32))
-    off = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-    return pa.table({"doc_id": docs["doc_id"].take(pa.array(rows)), "ids": pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))})
+    return run
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame(model(path).rows(), "piece string, id int, rmask int, lmask int")
+    return spark.createDataFrame(model(path).rows())
 
 
-#: The fold. Edges are (e, s, id, rmask, lmask) in order of e, longest first; an id is its rank. Each prefix has one encoding, so the
-#: accumulator holds, at index e - 1, the one edge into e that the encoding of that prefix ends with. wide: edges of two
-#: characters or more, which alone can cross a border.
-_ALLOWED = f"""
-  b.s = 0 OR NOT exists(wide, q -> q.s < b.s AND q.e > b.s AND q.e <= b.e AND q.s >= acc[b.s - 1].s
-    AND (shiftright(b.lmask, q.e - b.s) & 1) = 1 AND (shiftright(acc[b.s - 1].rmask, q.s - acc[b.s - 1].s) & 1) = 1
-    AND NOT exists(wide, x -> x.s = b.s AND x.e > q.e AND x.e <= b.e AND x.id < q.id AND (shiftright(b.lmask, x.e - b.s) & 1) = 1)
-    AND NOT exists(wide, x -> x.e = b.s AND x.s < q.s AND x.s >= acc[b.s - 1].s AND x.id <= q.id AND (shiftright(acc[b.s - 1].rmask, x.s - acc[b.s - 1].s) & 1) = 1))
-"""
-_FOLD = f"aggregate(edges, filter(edges, x -> false), (acc, b) -> CASE WHEN size(acc) >= b.e THEN acc WHEN {_ALLOWED} THEN array_append(acc, b) ELSE acc END)"
-_BACK = "aggregate(reverse(best), named_struct('at', n, 'path', array_repeat(0, 0)), (t, x) -> CASE WHEN x.e = t.at THEN named_struct('at', x.s, 'path', array_append(t.path, x.id)) ELSE t END, t -> reverse(t.path))"
+def spans(spark: SparkSession, longest: int, most: int = LONG) -> DataFrame:
+    """(n, s, k): the substrings of two to longest characters of a word of n, and (0, 1), which stands for the word."""
+    rows = spark.range(1, most + 1).select(F.col("id").cast("int").alias("n"), F.explode(F.expr("sequence(0, cast(id as int) - 1)")).alias("s"))
+    rows = rows.select("n", "s", F.explode(F.expr(f"sequence(1, least({longest}, n - s))")).alias("k"))
+    return rows.where("k > 1 or s = 0")
+
+
+def edges(places: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(word, share, block, code) -> each row, and for one row of each word and share one more for each substring that is a piece: explode and equi-join."""
+    first = F.row_number().over(Window.partitionBy("word", "share").orderBy("word")) == 1
+    length = places.withColumn("length", F.when(first, F.char_length("word")))
+    rows = length.join(F.broadcast(spans(places.sparkSession, longest)), F.col("length") == F.col("n"), "left").withColumn("part", F.expr("substring(word, s + 1, k)")).withColumn("h", F.xxhash64("part"))
+    # joined by a hash, which is quick to look up; the texts are compared after it
+    found = rows.join(F.broadcast(pieces.select(F.xxhash64("piece").alias("h"), "piece", "rank")), "h", "left")
+    return found.withColumn("hit", F.expr("k > 1 and part = piece")).where("hit or k is null or k = 1")
+
+
+#: The fold. An edge is rank (15 bits), start (6), end (6); b has bit i set while i is a border between symbols.
+_INNER = "shiftleft(1L, x & 63) - shiftleft(2L, shiftright(x, 6) & 63)"
+_ENDS = "(shiftleft(1L, x & 63) | shiftleft(1L, shiftright(x, 6) & 63))"
+_FOLD = f"aggregate(edges, shiftleft(2L, n) - 1, (b, x) -> CASE WHEN (b & {_ENDS}) = {_ENDS} AND bit_count(b & ({_INNER})) = 1 THEN b & ~({_INNER}) ELSE b END)"
+#: Symbols as start (6 bits) and, in 22 bits, the rank or 2^21 + the code point of a single character.
+_TAKEN = f"transform(filter(edges, x -> (b & {_ENDS}) = {_ENDS} AND (b & ({_INNER})) = 0), x -> shiftleft(shiftright(x, 6) & 63, 22) | shiftright(x, 12))"
+_SINGLE = "transform(filter(sequence(0, n - 1), i -> (shiftright(b, i) & 3) = 3), i -> shiftleft(i, 22) | 2097152 | ascii(substring(word, i + 1, 1)))"
+
+
+def lattice(places: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(word, share, block, code), words of 1 to LONG characters -> (places, ranks), a row for each word and share. No Python on this path.
+
+    A character that is a symbol of its own comes as -1 - its code point.
+    """
+    edge, place = F.expr("CASE WHEN hit THEN shiftleft(rank, 12) | shiftleft(s, 6) | (s + k) END"), F.expr("CASE WHEN k IS NULL OR k = 1 THEN struct(block, code) END")
+    grouped = edges(places, pieces, longest).select("word", "share", edge.alias("edge"), place.alias("place")).groupBy("word", "share").agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.collect_list("place").alias("places"))
+    folded = grouped.select("word", "places", "edges", F.char_length("word").alias("n")).withColumn("b", F.expr(_FOLD))
+    return folded.select("places", F.expr(f"transform(array_sort(concat({_TAKEN}, {_SINGLE})), y -> CASE WHEN y & 2097152 = 0 THEN y & 2097151 ELSE -1 - (y & 2097151) END)").alias("ranks"))
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, bytes_at: dict[int, int]) -> DataFrame:
-    """(word, places) with distinct words of at most LONG characters -> (places, ids): explode, equi-join, group, fold. No Python on this path.
+def viterbi(words: DataFrame, pieces: DataFrame, longest: int, unknown: float = -1e4) -> DataFrame:
+    """(word) and the (piece, score) of a unigram model -> (word, pieces), the segmentation of the highest sum of scores.
 
-    In the fold q is an edge across the border of a = acc[b.s - 1] and b; it is harmless if a merge inside b or a that
-    consumes one of its two nodes comes first.
+    The same lattice with the fold for unigram models: edges in order of their end, the best way into each position. A
+    character without a piece scores unknown. Of equal sums the one whose last piece starts earliest is taken, and so on.
     """
-    n = F.char_length("word")
-    spans = F.expr(f"flatten(transform(sequence(0, char_length(word) - 1), s -> transform(sequence(1, least({longest}, char_length(word) - s)), k -> named_struct('s', s, 'k', k, 'piece', substring(word, s + 1, k)))))")
-    rows = words.where(n > 0).select("word", "places", F.explode(spans).alias("x")).select("word", F.expr("CASE WHEN x.s = 0 AND x.k = 1 THEN places END").alias("places"), "x.s", "x.k", "x.piece")
-    edges = rows.join(F.broadcast(pieces), "piece", "left").where("id is not null or k = 1")
-    # end (6 bits), start (6), id (15), right mask (16), no piece (1), left mask (17); without a piece: its code point for id and mask
-    place = "shiftleft(cast(s + k as bigint), 56) | shiftleft(cast(s as bigint), 50) | "
-    one = F.expr(f"{place} CASE WHEN id IS NULL THEN shiftleft(cast(ascii(piece) as bigint), 18) | 131072L ELSE shiftleft(cast(id as bigint), 35) | shiftleft(cast(rmask as bigint), 18) | lmask END")
-    grouped = edges.select("word", "places", one.alias("one")).groupBy("word").agg(F.sort_array(F.collect_list("one")).alias("edges"), F.first("places", ignorenulls=True).alias("places"))
-    opened = F.expr(
-        "transform(edges, x -> named_struct('e', cast(shiftright(x, 56) as int), 's', cast(shiftright(x, 50) & 63 as int), 'id', CASE WHEN x & 131072 = 0 THEN cast(shiftright(x, 35) & 32767 as int) ELSE -1 - cast(shiftright(x, 18) & 2097151 as int) END, "
-        "'rmask', cast(shiftright(x, 18) & 65535 as int), 'lmask', cast(x & 131071 as int)))")
-    path = grouped.select("places", n.cast("int").alias("n"), opened.alias("edges")).withColumn("wide", F.expr("filter(edges, x -> x.e - x.s > 1)")).withColumn("best", F.expr(_FOLD)).select("places", F.expr(_BACK).alias("path"))
-    if not bytes_at:
-        return path.select("places", F.col("path").alias("ids"))
-    # a character without a piece came as -1 - its code point: its UTF-8 bytes, as byte pieces
-    base = bytes_at[0]
-    utf8 = f"""CASE WHEN x >= 0 THEN array(x)
-      WHEN -1 - x < 128 THEN array({base} - 1 - x)
-      WHEN -1 - x < 2048 THEN array({base} + 192 + shiftright(-1 - x, 6), {base} + 128 + ((-1 - x) & 63))
-      WHEN -1 - x < 65536 THEN array({base} + 224 + shiftright(-1 - x, 12), {base} + 128 + (shiftright(-1 - x, 6) & 63), {base} + 128 + ((-1 - x) & 63))
-      ELSE array({base} + 240 + shiftright(-1 - x, 18), {base} + 128 + (shiftright(-1 - x, 12) & 63), {base} + 128 + (shiftright(-1 - x, 6) & 63), {base} + 128 + ((-1 - x) & 63)) END"""
-    return path.select("places", F.expr(f"CASE WHEN exists(path, x -> x < 0) THEN flatten(transform(path, x -> {utf8})) ELSE path END").alias("ids"))
+    spark = words.sparkSession
+    singles = spans(spark, longest).where("k > 1").unionByName(spark.range(1, LONG + 1).select(F.col("id").cast("int").alias("n"), F.explode(F.expr("sequence(0, cast(id as int) - 1)")).alias("s"), F.lit(1).alias("k")))
+    rows = words.select("word").distinct().join(F.broadcast(singles), F.char_length("word") == F.col("n")).withColumn("piece", F.expr("substring(word, s + 1, k)"))
+    found = rows.join(F.broadcast(pieces), "piece", "left").where("k = 1 or score is not null")
+    edge = F.struct((F.col("s") + F.col("k")).alias("e"), "s", F.coalesce("score", F.lit(unknown)).cast("double").alias("score"))
+    grouped = found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    best = """aggregate(edges, array(named_struct('sum', 0D, 's', 0)), (acc, x) -> CASE
+      WHEN size(acc) <= x.e THEN array_append(acc, named_struct('sum', acc[x.s].sum + x.score, 's', x.s))
+      WHEN acc[x.s].sum + x.score > acc[x.e].sum THEN concat(slice(acc, 1, x.e), array(named_struct('sum', acc[x.s].sum + x.score, 's', x.s))) ELSE acc END)"""
+    back = "aggregate(sequence(char_length(word), 1, -1), named_struct('at', char_length(word), 'out', filter(array(word), x -> false)), (t, i) -> CASE WHEN i = t.at THEN named_struct('at', best[i].s, 'out', array_append(t.out, substring(word, best[i].s + 1, i - best[i].s))) ELSE t END, t -> reverse(t.out))"
+    return grouped.withColumn("best", F.expr(best)).select("word", F.expr(back).alias("pieces"))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """documents -> (doc_id, ids), one row per row of docs; ids: the library's encoding with the model at path."""
     spark = docs.sparkSession
     ship(spark)
-    m = model(path)
+    m, folder, parts = model(path), fresh_path(spark, "blocks"), partitions(spark)
+    spark.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = texts.mapInArrow(_send_words(path), "word string, block long, code int").groupBy("word").agg(F.collect_list(F.struct("block", "code")).alias("places"))
-    ids = lattice(words, piece_table(spark, path), m.longest, m.bytes).mapInArrow(_bundles, "block long, bundle binary")
-    codes = texts.mapInArrow(_send_codes(path), "block long, doc_id long, codes binary, words boolean")
-    return codes.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
+    places = texts.mapInArrow(_send(path, folder), "word string, block long, code int, share int").repartition(parts, "word", "share")
+    ids = lattice(places, piece_table(spark, path), m.longest).mapInArrow(_bundles(path), "block long, bundle binary")
+    return ids.repartition(parts, "block").groupBy("block").applyInArrow(_assemble(folder), "doc_id long, ids array<int>")
 
 
 def decode_ids(m: Model, ids: list[int]) -> str:
