@@ -1,11 +1,17 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is read tag by tag into blocks; what stands in scripts, styles, forms, navigation and the like, or in an element
-whose class, id or role names an advert, menu, notice, sidebar, header, footer or comment section, is left out. The blocks
-are then decided in two passes. First: link density over MAX_LINKS is bad; short blocks stay open (with links: bad);
-many stop words make a block good (long) or nearly good, few make it bad. A block in an <article> or <main> of the page is
-good, and then the blocks outside are bad. Second: nearly good blocks are good unless both decided neighbours are bad; short ones take the
-label of the nearest decided neighbours, good if one of equally near ones is.
+A page is read tag by tag into blocks; what stands in scripts, styles, navigation and the like, or in an element
+whose class, id or role names an advert, menu, notice, sidebar, header, footer or comment section, is left out. Inside an
+article a name counts only as a whole; html, body, article and main are never set apart by a part of a name, nor is an
+element that turns out to hold an article. A form is left out if it has fields and little text beside them.
+
+The blocks are then decided in two passes. First, by stop-word density, length and link density: link density over
+MAX_LINKS is bad; short blocks stay open (with links: bad); many stop words make a block good (long) or nearly good, few
+make it bad. On a page whose blocks have next to no known stop words, length and links alone decide. An <article> or <main>
+shifts these rules: if it holds at least half of what they call good on the page, blocks inside need fewer stop words, and
+blocks outside are bad; if it holds less (a teaser), it counts for nothing. Second: nearly good blocks are good unless both
+decided neighbours are bad; short ones take the label of the nearest decided neighbours, good if one of equally near ones
+is, and good if nothing on the page is decided.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined in page order by one space.
 
@@ -25,16 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-MAX_LINKS, SHORT, LONG, FEW, MANY = 0.3, 70, 200, 0.12, 0.2
+MAX_LINKS, SHORT, LONG, FEW, MANY, HALF, FIELD = 0.3, 70, 200, 0.12, 0.2, 0.5, 100
 #: Elements whose content is no text, and those that are not the article's.
 RAW = frozenset("script style noscript template svg math iframe object textarea title select option canvas audio video".split())
-APART = frozenset("nav footer aside form button menu dialog head".split())
+APART = frozenset("nav footer aside button menu dialog head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Words of class, id and role names that mark what is not the article.
 NAMES = frozenset(
     "ad ads adv advert advertisement adverts banner sponsor sponsored promo cookie cookies consent notice notification alert gdpr popup modal overlay sidebar side menu nav navigation navbar breadcrumb breadcrumbs topbar header masthead footer comment comments respond discussion share sharing social related recommended newsletter subscribe signup login search pagination pager widget skip contentinfo complementary".split()
 )
+#: Names that set even an article apart: those of a comment or an advert.
+NOT_ARTICLE = frozenset("ad ads advert advertisement comment comments promo related sponsored".split())
 #: Frequent function words of English, German, French and Spanish.
 STOP = frozenset(
     "the of and to in a is that it was for on are with as be this at by from or an have not but they which you were her all she there would their we him been has when who will no more if out so "
@@ -47,19 +55,35 @@ NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def _apart(name: str, attributes: str, in_main: bool) -> bool:
-    if name in APART or (name == "header" and not in_main):
-        return True
-    return bool(attributes) and any(w in NAMES for m in NAMED.finditer(attributes) for w in re.split(r"[\s_-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()))
+FIELDS = re.compile(r"<(?:input|textarea|select)\b(?![^<>]*type\s*=\s*[\"']?hidden)", re.I)
+END_FORM = re.compile(r"</form\s*>", re.I)
+MARKUP = re.compile(r"<[^>]*>|\s+")
+
+
+def _named(name: str, attributes: str, in_main: bool) -> str:
+    """"whole" or "part" if class, id or role name what is not the article, as a whole word or as a part of one."""
+    if not attributes or name in ("html", "body"):
+        return ""
+    names = [m[1] or m[2] or m[3] or "" for m in NAMED.finditer(attributes)]
+    whole = {w.lower() for x in names for w in x.split()}
+    if name in ("article", "main"):
+        return "whole" if whole & NOT_ARTICLE else ""
+    if whole & NAMES:
+        return "whole"
+    if in_main:
+        return ""
+    return "part" if any(w in NAMES for x in names for w in re.split(r"[\s_-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())) else ""
 
 
 def blocks(page: str) -> list[tuple[str, float, bool]]:
     """(text, link density, whether it is in an article or main element) of each block with text, in page order."""
     out: list = []
-    stack: list[tuple[str, bool, bool]] = []  # name, apart, main
-    apart = main = links = 0
+    stack: list[list] = []  # name, whether apart, main, whether apart for a part of a name alone
+    open_: dict[str, int] = {}
+    apart = main = links = parts = 0
     text: list[str] = []
     linked = at = 0
+    endless: set = set()
 
     def close():
         nonlocal text, linked
@@ -77,19 +101,35 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
                 linked += len(" ".join(piece.split()))
 
     def pop():
-        nonlocal apart, main, links
-        name, was_apart, was_main = stack.pop()
-        apart, main, links = apart - was_apart, main - was_main, links - (name == "a")
+        nonlocal apart, main, links, parts
+        name, was_apart, was_main, in_part = stack.pop()
+        open_[name] -= 1
+        apart, main, links, parts = apart - was_apart, main - was_main, links - (name == "a"), parts - in_part
+
+    def is_form(begin: int) -> bool:
+        """Whether the form that begins here has fields and little text."""
+        end = None if "form" in endless else END_FORM.search(page, begin)
+        if not end:
+            endless.add("form")
+            return False
+        inner = page[begin : end.start()]
+        fields = len(FIELDS.findall(inner))
+        return fields > 0 and len(MARKUP.sub(" ", inner).split()) * 5 < FIELD * (fields + 1)
 
     while m := TAG.search(page, at):
         add(at, m.start())
         at = m.end()
-        name, sign = (m[2] or "").lower(), m[1]
+        name, sign, attributes = (m[2] or "").lower(), m[1], m[3] or ""
         if not name or sign in ("!", "?"):
             continue
         if name in RAW and sign != "/":
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else (len(page) if name in ("script", "style") else at)
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = len(page)
+            else:
+                endless.add(name)
             continue
         if name not in INLINE:
             if name == "br":
@@ -99,11 +139,10 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
         if name in VOID:
             continue
         if sign == "/":
-            if any(x[0] == name for x in stack):
-                while stack and stack[-1][0] != name:
-                    pop()
-                if stack:
+            if open_.get(name):
+                while stack[-1][0] != name:
                     pop()
+                pop()
             continue
         if name not in INLINE and any(x[0] == "p" for x in stack[-4:]):  # a block ends an open paragraph
             while stack[-1][0] != "p":
@@ -112,52 +151,73 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
                 pop()
             if stack[-1][0] == "p":
                 pop()
-        flag = _apart(name, m[3] or "", main > 0)
-        if not (m[3] or "").endswith("/"):
-            stack.append((name, flag, name in ("article", "main")))
-            apart, main, links = apart + flag, main + (name in ("article", "main")), links + (name == "a")
+        if attributes.endswith("/"):
+            continue
+        marked, named = name in ("article", "main"), _named(name, attributes, main > 0)
+        if marked and parts and not named:  # what holds an article was not meant by a part of its name
+            for x in stack:
+                apart, parts, x[1], x[3] = apart - x[3], parts - x[3], x[1] and not x[3], False
+        tag = name in APART or (name == "header" and not main) or (name == "form" and is_form(at))
+        part = named == "part" and not tag
+        stack.append([name, bool(named) or tag, marked, part])
+        open_[name] = open_.get(name, 0) + 1
+        apart, main, links, parts = apart + (bool(named) or tag), main + marked, links + (name == "a"), parts + part
     add(at, len(page))
     close()
     return out
 
 
+def _first(text: str, density: float, stop: float, few: float, many: float) -> str:
+    if density > MAX_LINKS:
+        return "bad"
+    if len(text) < SHORT:
+        return "bad" if density else "short"
+    if stop >= many:
+        return "good" if len(text) > LONG else "near"
+    return "near" if stop >= few else "bad"
+
+
+def _nearest(state: list[str]) -> list[tuple[str, int]]:
+    """For each block the label of the decided one before it, and how far it is."""
+    out, label, far = [], "", 0
+    for s in state:
+        far += 1
+        out.append((label, far))
+        if s in ("good", "bad"):
+            label, far = s, 0
+    return out
+
+
 def labels(found: list[tuple[str, float, bool]]) -> list[bool]:
     """Which blocks are of the article."""
-    marked = any(b[2] for b in found)
-    state: list[str] = []
-    for text, density, inside in found:
-        if marked:
-            state.append("good" if inside else "bad")
-            continue
+    stops = []
+    for text, _, _ in found:
         words = WORD.findall(text.lower())
-        stop = sum(w in STOP for w in words) / len(words) if words else 0.0
-        if density > MAX_LINKS:
-            state.append("bad")
-        elif len(text) < SHORT:
-            state.append("bad" if density else "short")
-        elif stop >= MANY:
-            state.append("good" if len(text) > LONG else "near")
-        else:
-            state.append("near" if stop >= FEW else "bad")
-    n = len(state)
-
-    def nearest(steps) -> tuple[str, int]:
-        for far, i in enumerate(steps):
-            if state[i] in ("good", "bad"):
-                return state[i], far
-        return "", n
-
-    after = list(state)
+        stops.append(sum(w in STOP for w in words) / len(words) if words else 0.0)
+    long = [s for (text, _, _), s in zip(found, stops, strict=True) if len(text) >= SHORT]
+    few, many = (FEW, MANY) if any(s >= FEW / 2 for s in long) else (0.0, 0.0)  # none known: another language
+    state = [_first(text, density, s, few, many) for (text, density, _), s in zip(found, stops, strict=True)]
+    good = [len(b[0]) * (x in ("good", "near")) for b, x in zip(found, state, strict=True)]
+    inside = sum(n for n, b in zip(good, found, strict=True) if b[2])
+    if any(b[2] for b in found) and inside >= HALF * sum(good):
+        state = [("short" if len(b[0]) < SHORT and b[1] <= MAX_LINKS else _first(b[0], b[1], s, 0.0, few)) if b[2] else "bad" for b, s in zip(found, stops, strict=True)]
+    if not any(x in ("good", "bad") for x in state):
+        return [True] * len(state)
     for kind in ("near", "short"):
-        for i in (i for i in range(n) if state[i] == kind):
-            (left, a), (right, b) = nearest(range(i - 1, -1, -1)), nearest(range(i + 1, n))
-            if kind == "near":
-                after[i] = "bad" if left == right == "bad" else "good"
-            elif left == right or a == b:
-                after[i] = "good" if "good" in (left, right) else "bad"
+        near = zip(_nearest(state), reversed(_nearest(state[::-1])), strict=True)
+        after = []
+        for x, ((left, a), (right, b)) in zip(state, near, strict=True):
+            if x != kind:
+                after.append(x)
+            elif kind == "near":
+                after.append("bad" if left == right == "bad" else "good")
+            elif not left or not right:
+                after.append(left or right)
+            elif a == b:
+                after.append("good" if "good" in (left, right) else "bad")
             else:
-                after[i] = (left if a < b else right) or left or right
-        state = list(after)
+                after.append(left if a < b else right)
+        state = after
     return [x == "good" for x in state]
 
 
