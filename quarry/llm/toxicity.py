@@ -1,20 +1,22 @@
 """Toxicity: a linear-chain conditional random field tags toxic words; its marginals give document scores and offsets.
 
-Training uses at most MOST_TOXIC + MOST_CLEAN labelled rows (those with the smallest hashes of their doc_id), whole
-texts. The table labels documents, so words are labelled first: a word of a toxic document is toxic if its form or one of
-its beginnings (4 to 6 bytes) is in 1.5 % of toxic documents (three at least, near copies counted
-once) and at most a twentieth as frequent in clean ones; all other
-words, and all words of clean documents, are not. The field has two states, weights for the forms and beginnings that
-mark toxic words, a bias and transitions; it is fitted on windows around toxic words and windows of clean text by gradient
-ascent on the exact likelihood.
-
-Scoring runs forward-backward over every word of a text. Words without a known feature have the bias alone, so a run of
-them is a power of one 2 x 2 matrix and costs the same whatever its length. A document's score is a logistic function of
-the largest marginal and of the expected number of toxic words, fitted on the same rows.
+Training uses at most MOST_TOXIC + MOST_CLEAN labelled documents (those with the smallest hashes of their doc_id) and of
+each kind at most MOST_BYTES of text, whole texts. The table labels documents, not words, so the labels are taken as weak:
+in a clean document no word is toxic, in a toxic one at least one is. The field maximises the likelihood of that. For a toxic
+document it is 1 - P(no word is toxic), so its constrained expectations are the free ones over that number, less the path
+without toxic words; no word is labelled beforehand. The field has two states, transitions, a bias, and weights for a
+word's form, its first 4, 5 and 6 bytes, its last 4, and the forms beside it, hashed into FEATURES weights; they begin at
+shrunk log ratios of how often toxic and clean documents hold them, and are fitted by EPOCHS of adaptive gradient steps.
+
+Forward-backward is exact over every word of a text. The words of many texts are one chain of 2 x 2 matrices, cut into
+lanes that are multiplied side by side; the matrix of a text's first word forgets what stood before. A document's score is a
+logistic function of the largest marginal and of the expected number of toxic words, fitted on a quarter of the sample
+that the field isn't trained on.
 
 Defined cases: null, empty and blank texts score as a text without toxic words; without toxic or without clean labels all
-scores are 0; null doc_ids are scored, held_out false; null labels are not used; repeated rows count as often as they
-come; extra columns are ignored. Labels, lang, source and doc_id are never inputs of a score.
+scores are 0; null doc_ids are scored, held_out false; null labels are not used; a doc_id that repeats in labels is toxic if
+one of its rows says so, one that repeats in documents trains with one of its texts; extra columns are ignored. Labels,
+lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -27,30 +29,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import crc32_mod, ship
+from .common import crc32_mod, ship, stored
 
-MOST_TOXIC, MOST_CLEAN, WINDOW, ROUNDS, GATE, STEP, MOST_WINDOWS = 1500, 3000, 21, 80, 1 << 20, 300, 3000
+MOST_TOXIC, MOST_CLEAN, MOST_BYTES, FEATURES, EPOCHS, BATCH, LANE, STEP = 1500, 3000, 16 << 20, 1 << 18, 10, 100, 64, 300
 OUT = "doc_id long, held_out boolean, score double, predicted int, n_toxic long, spans array<struct<start:int,end:int,p:double>>"
 
 
-def _heads(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The first four bytes of each word (fewer: padded) as a place in a table of GATE bits."""
-    out = np.zeros(len(start), K.U)
-    for i in range(4):
-        at = start + i
-        out = out << K.U(8) | np.where(at < end, raw[np.minimum(at, len(raw) - 1)], 0).astype(K.U)
-    return (out * K.U(0x9E3779B97F4A7C15) >> K.U(44)).astype(np.int64)
-
-
-def _features(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """(words, 4): hashes of the whole form and of the first 4, 5 and 6 bytes; 0 where the word is not longer than that."""
-    out = np.zeros((len(start), 4), K.U)
-    if len(start):
-        out[:, 0] = K.word_hashes(raw, start, end)
-        for k in (4, 5, 6):
-            some = np.flatnonzero(end - start > k)
-            if len(some):
-                out[some, k - 3] = K.mix(K.word_hashes(raw, start[some], start[some] + k) + K.U(k))
+def _features(raw: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """(words, 7): places in the table of weights of the form, the first 4, 5 and 6 bytes and the last 4 (of longer words), and the forms before and after; FEATURES where there is none."""
+    out = np.full((len(start), 7), FEATURES, np.int32)
+    if not len(start):
+        return out
+
+    def put(column: int, some, h: np.ndarray) -> None:
+        out[some, column] = (K.mix(h + K.U(column + 1)) >> K.U(46)).astype(np.int32)
+
+    form = K.word_hashes(raw, start, end)
+    put(0, slice(None), form)
+    for k in (4, 5, 6):
+        some = np.flatnonzero(end - start > k)
+        put(k - 3, some, K.word_hashes(raw, start[some], start[some] + k))
+    some = np.flatnonzero(end - start > 4)
+    put(4, some, K.word_hashes(raw, end[some] - 4, end[some]))
+    same = np.flatnonzero(row[1:] == row[:-1])
+    put(5, same + 1, form[same])
+    put(6, same, form[same + 1])
     return out
 
 
@@ -60,191 +63,194 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return raw, off, *K.words(raw, off, K.MARK)
 
 
-def _chain(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of state 1, expected transitions, and log-likelihood normaliser for windows (n, length) of scores e."""
-    n, length = e.shape
-    pot = np.exp(np.clip(trans, -20, 20))
-    both = np.stack([np.ones_like(e), np.exp(np.clip(e, -30, 30))], axis=2)
-    alpha, beta, scale = np.empty((n, length, 2)), np.ones((n, length, 2)), np.empty((n, length))
-    for t in range(length):
-        a = both[:, t] if t == 0 else (alpha[:, t - 1] @ pot) * both[:, t]
-        scale[:, t] = a.sum(axis=1)
-        alpha[:, t] = a / scale[:, t, None]
-    moves = np.zeros((2, 2))
-    for t in range(length - 2, -1, -1):
-        right = both[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]
-        beta[:, t] = right @ pot.T
-        moves += alpha[:, t].T @ right * pot
-    return (alpha * beta)[:, :, 1], moves, np.log(scale).sum(axis=1)
+def chain(e: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact forward-backward over chains end to end; first: where one begins (the first word does).
+
+    e scores state 1 of each word, trans the steps. Returns the marginal of state 1, the log normaliser that each word adds,
+    and (words, 2, 2) the probability of each step into a word (0 for first ones).
+    """
+    n = len(e)
+    lanes = -(-n // LANE)
+    x, start = np.full(lanes * LANE, 1e-9), np.ones(lanes * LANE, dtype=bool)
+    x[:n], start[:n] = np.exp(np.clip(e, -20, 20)), first
+    x, start = np.ascontiguousarray(x.reshape(lanes, LANE).T), np.ascontiguousarray(start.reshape(lanes, LANE).T)
+    t = np.exp(np.clip(trans, -20, 20))
+    # m[i][j]: step from i to j and the score of j
+    m = [[np.where(start, 1.0, t[i, 0]), np.where(start, 1.0, t[i, 1]) * x] for i in (0, 1)]
+    p = [[np.ones(lanes), np.zeros(lanes)], [np.zeros(lanes), np.ones(lanes)]]
+    for s in range(LANE):
+        p = [[a * m[0][0][s] + b * m[1][0][s], a * m[0][1][s] + b * m[1][1][s]] for a, b in p]
+        if s % 8 == 7:
+            scale = p[0][0] + p[0][1] + p[1][0] + p[1][1]
+            p = [[a / scale, b / scale] for a, b in p]
+    product = np.stack([p[0][0], p[0][1], p[1][0], p[1][1]], axis=1).tolist()
+    into, a, b = [], 0.5, 0.5
+    for w, y, z, v in product:
+        into.append((a, b))
+        a, b = a * w + b * z, a * y + b * v
+        total = a + b
+        a, b = a / total, b / total
+    out, a, b = [], 0.5, 0.5
+    for w, y, z, v in reversed(product):
+        out.append((a, b))
+        a, b = w * a + y * b, z * a + v * b
+        total = a + b
+        a, b = a / total, b / total
+    alpha, scale = np.empty((LANE + 1, 2, lanes)), np.empty((LANE, lanes))
+    alpha[0] = np.array(into).T
+    for s in range(LANE):
+        a, b = alpha[s]
+        c, d = a * m[0][0][s] + b * m[1][0][s], a * m[0][1][s] + b * m[1][1][s]
+        scale[s] = c + d
+        alpha[s + 1] = c / scale[s], d / scale[s]
+    beta = np.array(out[::-1]).T
+    marginal, steps = np.empty((LANE, lanes)), np.empty((2, 2, LANE, lanes))
+    for s in range(LANE - 1, -1, -1):
+        one = alpha[s + 1, 1] * beta[1]
+        marginal[s] = one / (alpha[s + 1, 0] * beta[0] + one)
+        for i in (0, 1):
+            for j in (0, 1):
+                steps[i, j, s] = alpha[s, i] * m[i][j][s] * beta[j]
+        steps[:, :, s] /= steps[:, :, s].sum(axis=(0, 1))
+        c, d = m[0][0][s] * beta[0] + m[0][1][s] * beta[1], m[1][0][s] * beta[0] + m[1][1][s] * beta[1]
+        beta = np.stack([c / (c + d), d / (c + d)])
+    steps[:, :, start] = 0
+    flat = lambda v: np.moveaxis(v, -2, -1).reshape(*v.shape[:-2], -1)[..., :n]
+    return flat(marginal), np.log(flat(scale)), np.moveaxis(flat(steps), -1, 0)
 
 
 class Field:
-    """The fitted field: sorted feature hashes with weights, bias, transitions, and the document-level logistic weights."""
+    """The fitted field: hashed weights, bias, transitions, and the document-level logistic weights."""
 
     def __init__(self, toxic: list[str], clean: list[str]):
-        self.keys, self.weights, self.bias, self.trans, self.doc = np.zeros(0, K.U), np.zeros(0), -8.0, np.zeros((2, 2)), np.array([-30.0, 0.0, 0.0])
-        self.gate, self.powers = np.zeros(GATE, dtype=bool), {}
+        self.weights, self.bias, self.trans, self.doc = np.zeros(FEATURES + 1, np.float32), -5.0, np.zeros((2, 2)), np.array([-30.0, 0.0, 0.0])
+        self.noise = 0.02
         if not toxic or not clean:
             return
-        def in_groups(texts, known=None):
-            """In how many groups each feature is (only known ones, if given), and the number of groups: near copies, which
-            share the least hash of their shingles, are one, so that the words of a copied text aren't frequent for that."""
-            pairs, all_groups = [], []
-            for i in range(0, len(texts), STEP):
-                raw, off, start, end, row = _tokens(texts[i : i + STEP])
-                sets, at = K.shingle_sets(raw, off, 5)
-                group = np.where(np.diff(at) > 0, np.append(sets, K.U(0))[at[:-1]], K.U(0))
-                feats = _features(raw, start, end)
-                all_groups.append(group)
-                for c in range(4):
-                    some = (feats[:, c] != 0) if known is None else np.isin(feats[:, c], known)
-                    pairs.append(np.unique(np.stack([feats[some, c], group[row[some]]], axis=1), axis=0))
-            value, count = np.unique(np.unique(np.concatenate(pairs), axis=0)[:, 0], return_counts=True)
-            return value, count, len(np.unique(np.concatenate(all_groups)))
-
-        value, count, n_toxic = in_groups(toxic)
-        often = count >= max(3, round(0.015 * n_toxic))
-        value, count = value[often], count[often]
-        seen, other, n_clean = in_groups(clean, value)
-        in_clean = np.zeros(len(value))
-        in_clean[np.searchsorted(value, seen)] = other
-        seeds = value[count / n_toxic >= 20 * (in_clean + 1) / n_clean]
-        self.keys = seeds
-        for i in range(0, len(toxic), STEP):
-            raw, _, start, end, _ = _tokens(toxic[i : i + STEP])
-            self.gate[_heads(raw, start, end)[np.isin(_features(raw, start, end), seeds).any(axis=1)]] = True
-        if not len(self.keys):
-            return
-        windows, gold = [], []
+        texts, label = [*toxic, *clean], np.repeat([1, 0], [len(toxic), len(clean)])
+        feats, size = [], []
+        for i in range(0, len(texts), STEP):
+            raw, off, start, end, row = _tokens(texts[i : i + STEP])
+            feats.append(_features(raw, start, end, row))
+            size.append(np.bincount(row, minlength=len(off) - 1))
+        feats, size = np.concatenate(feats), np.concatenate(size)
+        begin = np.cumsum(size) - size
         rng = np.random.default_rng(7)
-        for texts, most, marked in ((toxic, MOST_WINDOWS, True), (clean, MOST_WINDOWS, False)):
-            each = max(1, most * STEP // len(texts))
-            for i in range(0, len(texts), STEP):
-                raw, _, start, end, _ = _tokens(texts[i : i + STEP])
-                feats = _features(raw, start, end)
-                if len(feats) < WINDOW:
-                    continue
-                hit = np.isin(feats, seeds).any(axis=1) if marked else np.zeros(len(feats), bool)
-                centre = np.flatnonzero(np.isin(feats, self.keys).any(axis=1))
-                centre = centre if len(centre) <= each else rng.choice(centre, each, replace=False)
-                centre = centre if marked else np.concatenate([centre, rng.integers(0, len(feats), each)])
-                at = np.clip(centre[:, None] + np.arange(WINDOW) - WINDOW // 2, 0, len(feats) - 1)
-                place = np.searchsorted(self.keys, feats[at])
-                known = (place < len(self.keys)) & (self.keys[np.minimum(place, len(self.keys) - 1)] == feats[at])
-                windows.append(np.where(known, place, len(self.keys)).astype(np.int32))
-                gold.append(hit[at])
-        self._fit(np.concatenate(windows), np.concatenate(gold))
-        x, y = [], []
-        for texts, label in ((toxic, 1), (clean, 0)):
-            for i in range(0, len(texts), STEP):
-                for p, _ in self.tag(*_tokens(texts[i : i + STEP])):
-                    x.append(self._pooled(p))
-                    y.append(label)
-        self._fit_doc(np.array(x), np.array(y, float))
-
-    def _fit(self, feats: np.ndarray, gold: np.ndarray) -> None:
-        n = len(self.keys)
-        w = np.zeros(n + 1)  # the last is of absent features and stays 0
-        theta = [w, np.array([-2.0]), np.zeros((2, 2))]
-        m, v = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
-        moved = np.zeros((2, 2))
-        for i in range(2):
-            for j in range(2):
-                moved[i, j] = ((gold[:, :-1] == i) & (gold[:, 1:] == j)).sum()
-        for step in range(1, ROUNDS + 1):
-            p, moves, _ = _chain(theta[1][0] + theta[0][feats].sum(axis=2), theta[2])
-            rest = (gold - p) / len(gold)
-            g = [np.bincount(feats.ravel(), np.repeat(rest.ravel(), feats.shape[2]), n + 1), np.array([rest.sum()]), (moved - moves) / len(gold)]
-            g[0] -= 1e-5 * theta[0]
-            g[0][n] = 0
-            for k in range(3):
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                theta[k] = theta[k] + 0.15 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-9) * min(1.0, (ROUNDS - step + 10) / 60)
-            theta[0][n] = 0
-        self.weights, self.bias, self.trans, self.powers = theta[0][:n], float(theta[1][0]), theta[2], {}
+        order = rng.permutation(len(texts))
+        train, check = (order, order) if len(order) < 20 else (order[len(order) // 4 :], order[: len(order) // 4])
+        train = train[size[train] > 0]
+        self._begin(feats, begin, size, train, label)
+        self._fit(feats, begin, size, train, label, rng)
+        rows = self._gather(feats, begin, size, check)
+        marginal = self._marginals(rows, size[check])
+        cut = np.concatenate([[0], np.cumsum(size[check])])
+        self._fit_doc(np.column_stack(self._pooled(marginal, cut)), label[check].astype(float))
+
+    @staticmethod
+    def _gather(feats: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        many = size[docs]
+        return feats[np.repeat(begin[docs] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+
+    def _begin(self, feats, begin, size, docs, label) -> None:
+        """Shrunk log ratios of the shares of toxic and clean documents that hold a feature."""
+        held = []
+        for kind in (1, 0):
+            count = np.zeros(FEATURES + 1)
+            for d in docs[label[docs] == kind]:
+                count[np.unique(feats[begin[d] : begin[d] + size[d]])] += 1
+            held.append((count, (count + 0.5) / ((label[docs] == kind).sum() + 1)))
+        self.weights = np.where(held[0][0] + held[1][0] > 2, 0.4 * np.clip(np.log(held[0][1] / held[1][1]), -2, 4), 0).astype(np.float32)
+        self.weights[FEATURES] = 0
+
+    def _fit(self, feats, begin, size, docs, label, rng) -> None:
+        past = [np.full(FEATURES + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)]
+        for _ in range(EPOCHS):
+            docs, wrong = rng.permutation(docs), []
+            for i in range(0, len(docs), BATCH):
+                some = docs[i : i + BATCH]
+                rows, many, y = self._gather(feats, begin, size, some), size[some], label[some]
+                first = np.zeros(len(rows), dtype=bool)
+                at = np.cumsum(many) - many
+                first[at] = True
+                p, norm, steps = chain(self.bias + self.weights[rows].sum(axis=1), first, self.trans)
+                # P(no toxic word): the path of zeros scores its steps alone
+                none = np.exp(np.minimum((many - 1) * self.trans[0, 0] - np.add.reduceat(norm, at), 0))
+                some_, no = np.clip(1 - none, 1e-6, 1), np.clip(none, 1e-6, 1)
+                right = np.where(y == 1, some_ / (some_ + self.noise / (1 - self.noise) * no), no / (no + self.noise / (1 - self.noise) * some_))
+                any_ = np.where(y == 1, right, 1 - right)  # that a word is toxic, given the label
+                wrong.append(1 - right)
+                over = any_ * np.minimum(none / some_, 50.0) - (1 - any_)  # constrained less free, over free
+                each = p * np.repeat(over, many)
+                moved = np.add.reduceat(steps, at) * over[:, None, None]
+                moved[:, 0, 0] += (1 - any_ - any_ * np.minimum(none / some_, 50.0)) * (many - 1)
+                grads = [np.bincount(rows.ravel(), np.repeat(each, rows.shape[1]), FEATURES + 1) / len(some) - 2e-5 * self.weights, each.sum() / len(some), moved.sum(axis=0) / len(some)]
+                grads[0][FEATURES] = 0
+                for k, g in enumerate(grads):
+                    past[k] = past[k] + g * g
+                self.weights = (self.weights + 0.1 * grads[0] / np.sqrt(past[0])).astype(np.float32)
+                self.bias = float(self.bias + 0.1 * grads[1] / np.sqrt(past[1]))
+                self.trans = np.clip(self.trans + 0.02 * grads[2] / np.sqrt(past[2]), -4, 4)
+            self.noise = float(np.clip(np.concatenate(wrong).mean(), 0.005, 0.2))
 
     def _fit_doc(self, x: np.ndarray, y: np.ndarray) -> None:
-        w = np.array([-3.0, 6.0, 0.5])
+        w = np.array([0.0, 1.0, 0.5])
         a = np.column_stack([np.ones(len(x)), x])
         for _ in range(50):  # Newton steps with a ridge
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            h = (a * (p * (1 - p))[:, None]).T @ a / len(y) + 1e-4 * np.eye(3)
-            w = np.clip(w + np.clip(np.linalg.solve(h, a.T @ (y - p) / len(y) - 1e-4 * w), -2, 2), -25, 25)
+            h = (a * (p * (1 - p))[:, None]).T @ a / len(y) + 1e-5 * np.eye(3)
+            w = np.clip(w + np.clip(np.linalg.solve(h, a.T @ (y - p) / len(y) - 1e-5 * w), -2, 2), -25, 25)
         self.doc = w
 
     @staticmethod
-    def _pooled(p: np.ndarray) -> tuple[float, float]:
-        return (float(p.max()), float(np.log1p(p.sum()))) if len(p) else (0.0, 0.0)
-
-    def tag(self, raw, off, start, end, row) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each row: marginals of its words with a known feature, and which words those are."""
-        n = len(off) - 1
-        some = np.flatnonzero(self.gate[_heads(raw, start, end)]) if len(start) else np.zeros(0, np.int64)
-        e = np.zeros(0)
+    def _pooled(p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the log odds of the largest marginal, and the log of one and the expected number of toxic words."""
+        some = np.flatnonzero(np.diff(at))
+        top, total = np.full(len(at) - 1, 1e-4), np.zeros(len(at) - 1)
         if len(some):
-            f = _features(raw, start[some], end[some])
-            place = np.minimum(np.searchsorted(self.keys, f), max(0, len(self.keys) - 1))
-            known = self.keys[place] == f
-            e = self.bias + np.where(known, self.weights[place], 0).sum(axis=1)
-            some, e = some[known.any(axis=1)], e[known.any(axis=1)]
-        words = np.searchsorted(row, np.arange(n + 1))
-        cut = np.searchsorted(some, words)
-        for r in range(n):
-            at = some[cut[r] : cut[r + 1]]
-            yield self._marginals(at - words[r], e[cut[r] : cut[r + 1]], int(words[r + 1] - words[r])) if len(at) else np.zeros(0), at
-
-    def _power(self, k: int) -> np.ndarray:
-        """k words of bias alone, scaled: (transition then emission) to the k. Short runs are kept."""
-        if k in self.powers:
-            return self.powers[k]
-        run, step = k, np.exp(self.trans) * np.array([1.0, np.exp(self.bias)])
-        out = np.eye(2)
-        while k:
-            if k & 1:
-                out = out @ step
-                out /= out.sum()
-            step = step @ step
-            step /= step.sum()
-            k >>= 1
-        if run < 4096:
-            self.powers[run] = out
-        return out
-
-    def _marginals(self, at: np.ndarray, e: np.ndarray, length: int) -> np.ndarray:
-        """Exact forward-backward: between known words stand powers of the neutral step."""
-        trans, emit = np.exp(self.trans), np.stack([np.ones(len(e)), np.exp(np.clip(e, -30, 30))], axis=1)
-        gaps = np.diff(at) - 1
-        steps = [self._power(int(g)) @ trans for g in gaps]
-        first = np.array([1.0, np.exp(self.bias)]) @ self._power(int(at[0]) - 1) @ trans if at[0] else np.ones(2)
-        alpha = np.empty((len(at), 2))
-        for i in range(len(at)):
-            a = (first if i == 0 else alpha[i - 1] @ steps[i - 1]) * emit[i]
-            alpha[i] = a / a.sum()
-        beta = self._power(length - 1 - int(at[-1])) @ np.ones(2)
-        out = np.empty(len(at))
-        for i in range(len(at) - 1, -1, -1):
-            p = alpha[i] * beta
-            out[i] = p[1] / p.sum()
-            if i:
-                beta = steps[i - 1] @ (emit[i] * beta)
-                beta /= beta.sum()
-        return out
-
-    def score(self, p: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.doc @ np.array([1.0, *self._pooled(p)]), -50, 50)))) if self.doc[0] > -30 else 0.0
+            top[some], total[some] = np.clip(np.maximum.reduceat(p, at[some]), 1e-4, 1 - 1e-4), np.log1p(np.add.reduceat(p, at[some]))
+        return np.log(top / (1 - top)), total
+
+    def _marginals(self, feats: np.ndarray, size: np.ndarray) -> np.ndarray:
+        if not len(feats):
+            return np.zeros(0)
+        first = np.zeros(len(feats), dtype=bool)
+        first[(np.cumsum(size) - size)[size > 0]] = True
+        e = self.weights[feats[:, 0]] + np.float32(self.bias)
+        for c in range(1, feats.shape[1]):
+            e += self.weights[feats[:, c]]
+        return chain(e, first, self.trans)[0]
+
+    def tag(self, raw, off, start, end, row) -> tuple[np.ndarray, np.ndarray]:
+        """The marginal of each word, and n + 1 offsets of the rows' words."""
+        size = np.bincount(row, minlength=len(off) - 1)
+        return self._marginals(_features(raw, start, end, row), size), np.concatenate([[0], np.cumsum(size)])
+
+    def scores(self, p: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The score of each row from the marginals of its words."""
+        if self.doc[0] <= -30:
+            return np.zeros(len(at) - 1)
+        top, total = self._pooled(p, at)
+        return 1 / (1 + np.exp(-np.clip(self.doc[0] + self.doc[1] * top + self.doc[2] * total, -50, 50)))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
-    """Fits the field on labelled rows outside the held-out fold; see the module's docstring for the bound."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 5) != 0))
+    """Fits the field on labelled documents outside the held-out fold; see the module's docstring for the bounds."""
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc32_mod("doc_id", 5) != 0))
+    marked = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-
-    def pick(label, most):  # the ids are bounded, so they are broadcast and no text is shuffled
-        ids = marked.where(F.col("toxic") == label).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most)
-        return [r[0] for r in texts.join(F.broadcast(ids), "doc_id").select("text", "h").collect()]
-
-    return Field(sorted(pick(1, MOST_TOXIC)), sorted(pick(0, MOST_CLEAN)))
+    ids = None  # bounded, so they are broadcast and no text is shuffled but the sample's
+    for label, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
+        some = marked.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(most)
+        ids = some if ids is None else ids.unionByName(some)
+    sample = stored(texts.join(F.broadcast(ids), "doc_id").groupBy("toxic", "h", "doc_id").agg(F.max("text").alias("text")), "sample")
+    keep: dict = {0: [], 1: []}
+    held = {0: 0, 1: 0}
+    for r in sample.select("toxic", "doc_id", F.octet_length("text").alias("n")).orderBy("h", "doc_id").collect():
+        held[r.toxic] += r.n
+        if held[r.toxic] <= MOST_BYTES:
+            keep[r.toxic].append(r.doc_id)
+    text = {r.doc_id: r.text for r in sample.where(F.col("doc_id").isin(keep[0] + keep[1])).select("doc_id", "text").collect()} if keep[0] and keep[1] else {}
+    return Field(*([text[i] for i in sorted(keep[k]) if i in text] for k in (1, 0)))
 
 
 def _scores(shared):
@@ -254,13 +260,13 @@ def _scores(shared):
             for i, j, raw, off in K.texts(batch, "text"):
                 low = K.LOWER[raw]
                 start, end, row = K.words(low, off, K.MARK)
-                scores, spans = [], []
-                for r, (p, at) in enumerate(field.tag(low, off, start, end, row)):
-                    scores.append(field.score(p))
-                    spans.append([{"start": int(start[x] - off[r]), "end": int(end[x] - off[r]), "p": float(q)} for x, q in zip(at, p, strict=True) if q >= 0.5])
+                p, at = field.tag(low, off, start, end, row)
+                score, hit = field.scores(p, at), np.flatnonzero(p >= 0.5)
+                spans = [pa.array((start[hit] - off[row[hit]]).astype(np.int32)), pa.array((end[hit] - off[row[hit]]).astype(np.int32)), pa.array(p[hit])]
+                many = np.bincount(row[hit], minlength=j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([len(s) for s in spans], pa.int64()),
-                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(many),
+                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.StructArray.from_arrays(spans, ["start", "end", "p"]))],
                     ["doc_id", "held_out", "score", "predicted", "n_toxic", "spans"])
 
     return run
@@ -280,7 +286,7 @@ def _clean(shared, at: int):
         for batch in batches:
             for i, j, raw, off in K.texts(batch, batch.schema.names[at]):
                 low = K.LOWER[raw]
-                yield batch.slice(i, j - i).filter(pa.array([field.score(p) < 0.5 for p, _ in field.tag(low, off, *K.words(low, off, K.MARK))], pa.bool_()))
+                yield batch.slice(i, j - i).filter(pa.array(field.scores(*field.tag(low, off, *K.words(low, off, K.MARK))) < 0.5))
 
     return run
 
