@@ -4,13 +4,15 @@ Words are runs of letters, lower case; each is read with a beginning and an end
 word. Counting covers all training rows: words are counted a language in each task, summed by (language, word), and cut
 into n-grams of the highest order (and the shorter ones that start a word); lower orders count distinct left neighbours,
 by one grouping an order. Discounts come from counts of counts. The tables are stored for each language and order as
-sorted hashes with log probabilities and log back-off weights. If they exceed MOST_GRAMS entries, highest-order n-grams of
-the smallest counts are left out (the least cut-off that fits), as is usual; probabilities stay normalised.
+sorted hashes with log probabilities and log back-off weights. All n-grams are kept: their number is bounded by the
+letters that the training texts hold (to the power of ORDER), not by the texts; a run of letters of any length is read
+whole, in steps of STRIDE positions.
 
 A text is scored by its distinct words: cross-entropy in bits a character for each language, the lowest wins; ties go to
 the smaller name. The score is the winner's share of exp(-cross-entropy x length), with length held to EVIDENCE characters.
-Rejection (reject=True) gives `und` where the winner's cross-entropy is above mean + 4 deviations of CALIBRATION training
-texts of that language; without it only texts without a letter, or null, are `und`.
+Rejection (reject=True, and a model fitted so) gives `und` where the winner's cross-entropy is above mean + 4 deviations of
+CALIBRATION training texts of that language, chosen by id before any text is read; without it only texts without a
+letter, or null, are `und`.
 
 Defined cases: null text, or text without letters: und, score 0; no labelled training rows: und, score 0; null doc_ids are
 scored, not held out; null lang is not learned from; repeated rows count as often as they come; extra columns are ignored.
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import crc32_mod, partitions, ship, stored
 
-ORDER, MOST_GRAMS, EVIDENCE, CALIBRATION = 4, 2_000_000, 60, 400
-BEGIN, END, MOST_LETTERS = "\x02", "\x03", 40
+ORDER, EVIDENCE, CALIBRATION, STRIDE = 4, 60, 400, 1000
+BEGIN, END = "\x02", "\x03"
 
 
 def words_of(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -59,9 +61,10 @@ def gram_tables(train: DataFrame) -> DataFrame:
     spark = train.sparkSession
     counts = train.select("lang", "text").mapInArrow(_count, "lang string, word string, n long")
     words = counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # a very long run of letters is read in pieces, so that a row's n-grams stay bounded
-    pieces = words.select("lang", "n", F.expr(f"explode(transform(sequence(1, char_length(word), {MOST_LETTERS}), i -> substring(word, i, {MOST_LETTERS})))").alias("word"))
-    grams = pieces.select("lang", "n", F.explode(F.expr(f"transform(sequence(2, char_length(word) + 2), e -> substring(concat('{BEGIN}', word, '{END}'), greatest(1, e - {ORDER} + 1), least(e, {ORDER})))")).alias("gram"))
+    # from each STRIDE positions of the marked word, with the ORDER - 1 characters before them
+    marked = words.select("lang", "n", F.concat(F.lit(BEGIN), "word", F.lit(END)).alias("word")).withColumn("at", F.explode(F.expr(f"sequence(2, char_length(word), {STRIDE})")))
+    strides = marked.select("lang", "n", F.expr(f"substring(word, greatest(1, at - {ORDER} + 1), {STRIDE} + least(at, {ORDER}) - 1)").alias("word"), F.expr(f"least(at, {ORDER})").alias("first"))
+    grams = strides.select("lang", "n", F.explode(F.expr(f"transform(sequence(first, char_length(word)), e -> substring(word, greatest(1, e - {ORDER} + 1), least(e, {ORDER})))")).alias("gram"))
     now = stored(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("k", F.char_length("gram")), "grams")
     out, above = now, now
     for k in range(ORDER - 1, 0, -1):
@@ -174,29 +177,27 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame) -> Model | None:
-    """Learns from all rows outside the held-out fold that have text and lang."""
+def fit(docs: DataFrame, reject: bool = False) -> Model | None:
+    """Learns from all rows outside the held-out fold that have text and lang; reject: also the cut-offs of rejection."""
     spark = docs.sparkSession
     ship(spark)
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 4) != 2))
-    tables = stored(gram_tables(train), "tables")
-    least, total = 1, tables.count()
-    while total > MOST_GRAMS:
-        least += 1
-        total = tables.where((F.col("k") < ORDER) | (F.col("n") >= least)).count()
-        if least > 1 << 20:
-            raise ValueError(f"more than {MOST_GRAMS} n-grams below the highest order")
-    kept = tables if least == 1 else tables.where((F.col("k") < ORDER) | (F.col("n") >= least))
-    table = kept.select("lang", "k", "gram", "n").coalesce(partitions(spark)).toArrow()
+    table = stored(gram_tables(train), "tables").select("lang", "k", "gram", "n").coalesce(partitions(spark)).toArrow()
     if not table.num_rows:
         return None
     model = Model(table)
-    rows = train.orderBy(F.xxhash64("doc_id")).limit(CALIBRATION * len(model.langs)).select("lang", "text").toArrow()
-    bits = _entropy(model, rows["text"].combine_chunks(), {})[0]
-    for i, name in enumerate(model.langs):
-        own = bits[np.array([x == name for x in rows["lang"].to_pylist()]), i]
-        own = own[np.isfinite(own)]
-        model.cut[name] = float(own.mean() + 4 * own.std()) if len(own) > 1 else np.inf
+    if reject:
+        keys = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+        ids = None  # a top-k of ids for each language, so that texts are read for these alone
+        for name in model.langs:
+            some = keys.where(F.col("lang") == name).orderBy("h", "doc_id").limit(CALIBRATION)
+            ids = some if ids is None else ids.unionByName(some)
+        rows = train.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("lang", "text").toArrow()
+        bits = _entropy(model, rows["text"].combine_chunks(), {})[0]
+        for i, name in enumerate(model.langs):
+            own = bits[np.array([x == name for x in rows["lang"].to_pylist()]), i]
+            own = own[np.isfinite(own)]
+            model.cut[name] = float(own.mean() + 4 * own.std()) if len(own) > 1 else np.inf
     return model
 
 
