@@ -109,7 +109,7 @@ def _archive(folder: str, date: str):
     return run
 
 
-def _blocks(folder: str):
+def _blocks(folder: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         uri = f"{folder}/index-{task:06d}-{uuid.uuid4().hex}.cdx.gz"
@@ -122,7 +122,7 @@ def _blocks(folder: str):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append([str(x if x is not None else "").replace("\t", "%09").replace("\n", "%0A") for x in row])
-                if len(held) == BLOCK:
+                if len(held) == most:
                     close()
                     held = []
         if held:
@@ -144,7 +144,7 @@ def _lines(data: bytes) -> list[tuple]:
     return out
 
 
-def write_archives(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", block: int = BLOCK) -> DataFrame:
     """Writes archives and index; returns the sparse block directory (first_key, shard, block, uri, offset, length, lines), stored."""
     spark = pages.sparkSession
     ship(spark)
@@ -152,10 +152,12 @@ def write_archives(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> Data
     text = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text.alias("html"), F.sha1(text).alias("digest"), F.octet_length(text).cast("long").alias("n"))
     best = rows.where(F.col("n") >= LEAST).groupBy("digest", "n").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1 and response is not null").drop("copies")
-    typed = rows.join(best, ["digest", "n"], "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
+    # small payloads never revisit: each has a key of its own, so that the many equal ones (empty pages) do not meet
+    best, own = best.withColumnRenamed("digest", "match"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    typed = rows.withColumn("match", F.when(F.col("n") >= LEAST, F.col("digest")).otherwise(own)).join(best, ["match", "n"], "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
     entries = stored(typed.mapInArrow(_archive(folder, date), "key string, page_id long, uri string, offset long, length long"), "captures")
     order = entries.repartitionByRange(partitions(spark), "key", "page_id").sortWithinPartitions("key", "page_id")
-    return stored(order.mapInArrow(_blocks(folder), "first_key string, shard int, block long, uri string, offset long, length long, lines long"), "directory")
+    return stored(order.mapInArrow(_blocks(folder, block), "first_key string, shard int, block long, uri string, offset long, length long, lines long"), "directory")
 
 
 def _read_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,23 +203,34 @@ def read_archives(directory: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Lookups of single URLs. It holds the sparse directory: one row for BLOCK captures."""
-
-    def __init__(self, directory: DataFrame):
-        rows = directory.orderBy("shard", "block").select("first_key", "uri", "offset", "length").collect()
-        self.first, self.rows = [r[0] for r in rows], rows
+    """Lookups of single URLs. It holds a block in STEP of each shard of the directory; the blocks between are read when asked for."""
+
+    def __init__(self, directory: DataFrame, step: int = 256):
+        self.directory = directory
+        self.rows = directory.where(F.col("block") % step == 0).orderBy("shard", "block").select("first_key", "shard", "block").collect()
+        self.first = [r[0] for r in self.rows]
+
+    def _blocks(self, key: str) -> list:
+        """Blocks that may hold the key, in order: by binary search over the sparse keys, then over those of one stretch."""
+        lo, hi = max(0, bisect.bisect_left(self.first, key) - 1), bisect.bisect_right(self.first, key)
+        if not self.rows:
+            return []
+        first, after = self.rows[lo], self.rows[hi] if hi < len(self.rows) else None
+        stretch = self.directory.where((F.col("shard") > first["shard"]) | (F.col("shard") == first["shard"]) & (F.col("block") >= first["block"]))
+        if after:
+            stretch = stretch.where((F.col("shard") < after["shard"]) | (F.col("shard") == after["shard"]) & (F.col("block") < after["block"]))
+        rows = stretch.where(F.col("first_key") <= key).orderBy("shard", "block").select("first_key", "uri", "offset", "length").collect()
+        return rows[max(0, bisect.bisect_left([r[0] for r in rows], key) - 1) :]
 
     def lookup(self, url: str) -> list[dict]:
         """Records of a URL, in order of page_id."""
         key, out = url_key(url), []
-        at = max(0, bisect.bisect_left(self.first, key) - 1)
-        while at < len(self.rows) and self.first[at] <= key:
-            (data,) = read_ranges(self.rows[at]["uri"], [(self.rows[at]["offset"], self.rows[at]["length"])])
+        for block in self._blocks(key):
+            (data,) = read_ranges(block["uri"], [(block["offset"], block["length"])])
             lines = _lines(data)
             i = bisect.bisect_left(lines, key, key=lambda x: x[0])
             while i < len(lines) and lines[i][0] == key:
                 (got,) = read_ranges(lines[i][2], [lines[i][3:5]])
                 out.append(parse(zlib.decompress(got, 31)))
                 i += 1
-            at += 1
         return out
