@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: So that workers, which live on from stage to stage, give freed memory back: one arena, no growing thresholds, Arrow on the same heap.
+LEAN = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it (same path, or --py-files on a cluster)."""
+    """Lets Python workers import this package from where the driver has it (same path, or --py-files on a cluster), and keeps them lean."""
     env = spark.sparkContext.environment
+    for name, value in LEAN.items():
+        env.setdefault(name, value)
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
@@ -26,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; only where it is unset, a temporary one."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir; only where it is unset on one machine, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,13 +53,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, path: str) -> None:
-    """Removes a folder that fresh_path() named."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def crc32_mod(column: str, by: int):
     """crc32 of an id written as text, modulo by: how the folds are dealt."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(by)
