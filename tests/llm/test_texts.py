@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -61,7 +62,9 @@ def test_repair_random():
         seq = rng.integers(3, 6, n).astype(np.uint32)
         seq[n // 3 : n // 2] = 4
         out, rules = repair_output.repair(seq, 10, 2)
-        assert (repair_output.expand(out, rules, repair_output.expansion_lengths(rules, 10), 10) == seq).all()
+        assert (repair_output.expand(out, rules, repair_output.expansion_lengths(rules, 10), np.arange(10, dtype=np.uint32)) == seq).all()
+        pairs = Counter(zip(out[:-1].tolist(), out[1:].tolist()))
+        assert all(n < repair_output.LEAST for p, n in pairs.items() if 2 not in p and p[0] != p[1])  # no frequent pair is left
 
 
 def test_decontaminate(spark):
@@ -145,20 +148,9 @@ def test_toxicity(spark):
     assert toxicity.toxicity(more, empty).where("score > 0").count() == 0
 
 
-def test_forward_backward_powers():
-    """The field's marginals over runs of neutral words are those of plain forward-backward."""
-    f = toxicity.Field([], [])
-    f.bias, f.trans = -2.0, np.array([[0.5, -1.0], [-0.3, 0.8]])
-    e = np.full(30, f.bias)
-    at = np.array([0, 4, 5, 20, 29])
-    e[at] = [3.0, 1.0, -4.0, 2.5, 0.3]
-    p, _, _ = toxicity._chain(e[None, :], f.trans)
-    assert np.allclose(f._marginals(at, e[at], 30), p[0, at])
-
-
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = language_id.fit(docs)
+    model = language_id.fit(docs, reject=True)
     more = spark.createDataFrame([(-1, None, "x"), (-2, "12 %.", "x"), (None, "der und die nicht", "x")], "doc_id long, text string, score string")
     got = {r.doc_id: r for r in language_id.identify(docs.selectExpr("doc_id", "text", "'x' AS score").unionByName(more), model).collect()}
     truth = {r.doc_id: r.lang for r in docs.collect()}
@@ -171,6 +163,18 @@ def test_language(spark):
     assert language_id.fit(docs.where("doc_id < 0")) is None
 
 
+def test_long_runs_have_all_their_grams(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abc") for _ in range(n)) for n in (1, 2, 3, 998, 999, 1000, 1001, 1003, 2500)]
+    rows = spark.createDataFrame([("x", " ".join(words)), ("x", words[4]), (None, "zz")], "lang string, text string").where("lang is not null")
+    got = {r.gram: r.n for r in language_id.gram_tables(rows).where(f"k = {language_id.ORDER}").collect()}
+    want: Counter = Counter()
+    for w in [*words, words[4]]:
+        t = language_id.BEGIN + w + language_id.END
+        want.update(t[e - language_id.ORDER : e] for e in range(language_id.ORDER, len(t) + 1))
+    assert got == dict(want)
+
+
 def test_kneser_ney_by_definition(spark):
     """Word scores against the recursion written from the definition; probabilities sum to one."""
     rows = spark.createDataFrame([("a", "abab abba baba abc"), ("a", "abc cab bac a")], "lang string, text string")
@@ -231,6 +235,13 @@ def test_warc(spark):
     assert [f["fields"]["warc-record-id"] for f in found] == ["<urn:page:1>", "<urn:page:5>"]
     assert index.lookup("http://nowhere.example/") == []
     assert warc.read_archives(warc.write_archives(pages.where("page_id < 0"))).count() == 0
+    # blocks of one capture, so that keys span blocks and stretches: lookups find what a scan of all records finds
+    small = warc.write_archives(pages, block=1)
+    for step in (1, 2, 5):
+        index = warc.Index(small, step)
+        for url in {u for _, u, _ in rows if u}:
+            want_ids = sorted(i for i, u, _ in rows if u and i and warc.url_key(u) == warc.url_key(url))
+            assert sorted(int(f["fields"]["warc-record-id"].split(":")[-1][:-1]) for f in index.lookup(url) if "page:null" not in f["fields"]["warc-record-id"] and f["fields"]["warc-record-id"].split(":")[-1][:-1].isdigit()) == want_ids
     line = warc.read_archives(directory).count()
     assert line == len(rows)
     assert gzip.decompress(gzip.compress(warc.record(1, "u", b"p", sha("p"), None, "d"))).startswith(b"WARC/1.1\r\n")
