@@ -23,8 +23,26 @@ def fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.category(c).startswith("M"))))
 
 
+def _folds() -> tuple[str, str]:
+    """Characters and what they fold to, for translate(): letters that decompose to one letter and marks; then the marks, to nothing."""
+    one = {}
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        base = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.category(x).startswith("M"))
+        if len(base) == 1 and base != chr(code):
+            one[chr(code)] = base
+    return "".join(one) + "".join(map(chr, range(0x300, 0x370))), "".join(one.values())
+
+
+FOLD_FROM, FOLD_TO = _folds()
+
+
+def folded(c) -> Column:
+    """Lower case without marks, on the JVM: Latin, Greek and Cyrillic letters; fold() has the rest of Unicode."""
+    return F.translate(F.lower(F.coalesce(c, F.lit(""))), FOLD_FROM, FOLD_TO)
+
+
 def tokens(c) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(folded(c), F.lit(TOKEN), F.lit(0))
 
 
 def parse_query(q: str, most: int = 16, field: int | None = None) -> Match:
@@ -52,10 +70,13 @@ def host(url) -> Column:
 
 
 def url_key(url) -> Column:
-    """What makes two web results one: host without www., path without closing slashes, query; no scheme, no fragment."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, r"^https?://([^/?#]+)", 1)), r"^www\.", ""), r":\d+$", "")
-    path = F.regexp_replace(F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1), r"/+$", "")
-    return F.concat(bare, path, F.regexp_extract(url, r"(\?[^#]*)", 1))
+    """What makes two web results one: the URL as browsers write it, without the fragment and one closing slash; null for none."""
+    bare = F.regexp_replace(url, r"#.*$", "")
+    origin = F.lower(F.regexp_extract(bare, r"^([Hh][Tt][Tt][Pp][Ss]?://[^/?]*)", 1))
+    host_ = F.regexp_replace(F.regexp_replace(origin, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+    rest = F.substring(bare, F.char_length(origin) + 1, F.lit(1 << 30))
+    rest = F.when(rest.startswith("/") | (origin == ""), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.regexp_replace(F.concat(host_, rest), r"/$", "")
 
 
 def clean(c) -> Column:
@@ -63,6 +84,16 @@ def clean(c) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1f\x7f]", " "), r"\s+", " "))
 
 
+def clean_text(c) -> Column:
+    """Control characters but tab and line end removed, trimmed; null is empty."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", ""), r"^\s+|\s+$", "")
+
+
+def parse_time(c) -> Column:
+    """Milliseconds since 1970 of an ISO-8601 text, null where it is none."""
+    return F.unix_millis(F.try_to_timestamp(c))
+
+
 def encode_cursor(**parts) -> str:
     return base64.urlsafe_b64encode(json.dumps(parts, sort_keys=True, separators=(",", ":")).encode()).decode().rstrip("=")
 

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens, url_key
+from quarry.functions.text import host, tokens, url_key
 
 
 def url_union(steps: list[DataFrame]) -> DataFrame:
-    """Results of ladder steps (url, ...), first step and position wins for each URL key."""
+    """Results of ladder steps (url, ...), first step and position wins for each URL key; results without a URL all stay."""
     rows = None
     for i, df in enumerate(steps):
         one = df.withColumn("step", F.lit(i)).withColumn("url_key", url_key(F.col("url")))
         rows = one if rows is None else rows.unionByName(one)
     w = Window.partitionBy("url_key").orderBy("step", "position")
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    keyed = rows.where("url_key is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return keyed.unionByName(rows.where("url_key is null"))
 
 
 def fresh_enough(days: int, now_day: int) -> Column:
@@ -41,9 +44,24 @@ def shelves(docs: DataFrame, read: int = 12, keep: int = 4) -> DataFrame:
 
 
 def code_merge(rows: DataFrame) -> DataFrame:
-    """Rows of several sources for one repo and path: most stars, last commit, first licence and language, line range."""
-    return rows.groupBy("repo", "path").agg(
-        F.max("stars").alias("stars"), F.max("last_commit").alias("last_commit"), F.min("licence").alias("licence"), F.min("line").alias("line_start"), F.max("line").alias("line_end"), F.count("*").alias("n_lines"), F.array_sort(F.collect_set("source")).alias("sources"))
+    """Rows (position, source, repo, ref, path, permalink, line, ...) of several sources, in source order, for one file at one commit.
+
+    Most stars, last commit, the first licence and language there is, the range of the lines; rows without a repo, path or link go.
+    """
+    whole = rows.where("repo <> '' and path <> '' and permalink <> ''")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col("position")))
+    sources = F.array_sort(F.collect_set(F.struct("place", "source")))
+    place = F.min("position").over(Window.partitionBy(F.lower("repo"), F.coalesce("ref", F.lit("")), "path", "source"))
+    return whole.withColumn("place", place).groupBy(F.lower("repo").alias("key"), F.coalesce("ref", F.lit("")).alias("ref"), "path").agg(
+        F.min_by("repo", "position").alias("repo"), F.max(F.coalesce("stars", F.lit(0))).alias("stars"), F.max("last_commit").alias("last_commit"), first("licence").alias("licence"), first("language").alias("language"),
+        F.min("line").alias("line_start"), F.max("line").alias("line_end"), F.countDistinct("line").alias("n_lines"), F.transform(sources, lambda x: x["source"]).alias("sources")).drop("key")
+
+
+def code_filter(rows: DataFrame, lang: str | None = None, repo: str | None = None, licence: str | None = None) -> DataFrame:
+    """Filters on merged rows, whatever the sources made of them; case doesn't count, repo is a part of the name."""
+    for column, wanted in (("language", lang), ("licence", licence)):
+        rows = rows.where(F.lower(F.coalesce(column, F.lit(""))) == wanted.lower()) if wanted else rows
+    return rows.where(F.lower("repo").contains(repo.lower())) if repo else rows
 
 
 def code_context(lines: DataFrame, around: int = 2) -> DataFrame:
@@ -82,11 +100,16 @@ def provider_stats(calls: DataFrame) -> DataFrame:
 def percolate(saved: DataFrame, delta: DataFrame) -> DataFrame:
     """Saved queries (saved_id, words) x new documents (rid, text): pairs where the document has all words.
 
-    Words are exploded and equi-joined to the delta's terms, so the work follows the matches and not queries x documents.
+    Queries meet documents by their rarest word alone (rarest in the delta), and the other words are looked for in the
+    document that is met; so a frequent word pairs nothing, and a query with a word that no document has does no work.
     """
-    wanted = saved.select("saved_id", F.size(F.array_distinct("words")).alias("need"), F.explode(F.array_distinct("words")).alias("term"))
-    terms = delta.select("rid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return wanted.join(terms, "term").groupBy("saved_id", "rid", "need").agg(F.count("*").alias("have")).where("have = need").select("saved_id", "rid")
+    wanted = saved.select("saved_id", F.array_distinct("words").alias("words")).where(F.size("words") > 0)
+    docs = delta.select("rid", F.array_distinct(tokens(F.col("text"))).alias("terms"))
+    held = docs.select("rid", F.explode("terms").alias("term")).join(wanted.select(F.explode("words").alias("term")).distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = wanted.select("saved_id", "words", F.explode("words").alias("term")).join(df, "term", "left").groupBy("saved_id", "words").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count_if(F.col("df").isNull()).alias("missing"))
+    met = held.join(rarest.where("missing = 0").select("saved_id", "words", "term"), "term").select("saved_id", "rid", "words")
+    return met.join(docs, "rid").where(F.size(F.array_except("words", "terms")) == 0).select("saved_id", "rid")
 
 
 def unseen(found: DataFrame, most: int = 300) -> DataFrame:
@@ -95,7 +118,74 @@ def unseen(found: DataFrame, most: int = 300) -> DataFrame:
     return found.select("watch", fresh.alias("new"), F.slice(F.array_distinct(F.concat("urls", "seen")), 1, most).alias("seen_after"))
 
 
-def code_rank(rows: DataFrame, identifier: str, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Merged code rows (with text): exact identifier first, then stars, recency, repo, path."""
-    exact = F.col("text").rlike(rf"(?i)(^|[^A-Za-z0-9_]){identifier}([^A-Za-z0-9_]|$)").cast("int")
+# Words that look like identifiers and are none.
+NOT_IDENTIFIERS = ("function", "const", "let", "var", "return", "class", "import", "export", "from", "async", "await", "this", "that", "with", "where", "when", "what", "which", "into", "using", "the", "and", "for", "not")
+
+
+def identifier_of(q: str) -> str | None:
+    """The longest word of a query that can be an identifier, the first of equally long ones."""
+    words = [w for w in q.split() if re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_$]*", w) and len(w) >= 3 and w.lower() not in NOT_IDENTIFIERS]
+    return max(words, key=len, default=None)
+
+
+def code_rank(rows: DataFrame, q: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Merged code rows (matches: the matching lines): the query's identifier as written first, then stars, recency, repo, path."""
+    name = identifier_of(q)
+    exact = F.exists("matches", lambda t: t.rlike(rf"(^|[^A-Za-z0-9_$]){re.escape(name)}([^A-Za-z0-9_$]|$)")).cast("int") if name else F.lit(0)
     return rows.withColumn("exact", exact).orderBy(F.desc("exact"), F.desc("stars"), F.desc("last_commit"), "repo", "path").offset(offset).limit(limit)
+
+
+def stream_blocks(text: Column) -> Column:
+    """An event stream's text -> its blocks as (event, data); blocks without either go."""
+    lines = lambda block, tag: F.filter(F.split(block, "\n"), lambda x: x.startswith(tag))
+    value = lambda x, tag: F.regexp_replace(F.substring(x, len(tag) + 1, 1 << 30), r"^\s+", "")
+    blocks = F.transform(F.split(text, "\n\n+"), lambda b: F.struct(F.trim(value(F.element_at(lines(b, "event:"), -1), "event:")).alias("event"), F.array_join(F.transform(lines(b, "data:"), lambda x: value(x, "data:")), "\n").alias("data")))
+    return F.filter(blocks, lambda x: x["event"].isNotNull() & (x["data"] != ""))
+
+
+#: What a code stream's matches hold; line numbers there count from 0.
+MATCHES = "array<struct<type:string,repository:string,path:string,commit:string,repoStars:long,language:string,lineMatches:array<struct<line:string,lineNumber:int>>>>"
+
+
+def stream_matches(responses: DataFrame, most: int = 50) -> DataFrame:
+    """Event-stream responses (text) -> content matches (repo, ref, path, stars, language, lines from 1), at most so many of one response."""
+    events = responses.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.posexplode(stream_blocks(F.col("text"))).alias("_at", "e")).where("e.event = 'matches'")
+    found = events.select("_row", "_at", F.posexplode(F.from_json("e.data", MATCHES)).alias("_n", "m")).where("m.type = 'content' and m.repository <> '' and m.path <> '' and m.commit <> ''")
+    w = Window.partitionBy("_row").orderBy("_at", "_n")
+    kept = found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
+    numbers = F.array_distinct(F.transform(F.filter("m.lineMatches", lambda x: x["lineNumber"].isNotNull()), lambda x: x["lineNumber"] + 1))
+    return kept.select(F.col("m.repository").alias("repo"), F.col("m.commit").alias("ref"), F.col("m.path").alias("path"), F.coalesce("m.repoStars", F.lit(0)).alias("stars"), F.col("m.language").alias("language"), numbers.alias("lines"))
+
+
+def grep_rows(results: DataFrame) -> DataFrame:
+    """Rows (line) of `path:line:text` -> (path, number, text); what isn't one goes."""
+    part = lambda i: F.regexp_extract("line", r"(?s)^([^:]+):([0-9]+):(.*)$", i)
+    return results.where(F.col("line").rlike(r"(?s)^[^:]+:[0-9]+:")).select("*", part(1).alias("path"), part(2).cast("int").alias("number"), part(3).alias("text"))
+
+
+def newest_repos(repos: DataFrame, most: int = 20) -> DataFrame:
+    """The public repositories that a fan-out asks: newest pushed first."""
+    return repos.where("not private").orderBy(F.desc("pushed_at"), "full_name").limit(most)
+
+
+def fragment_lines(blob: Column, fragment: Column) -> Column:
+    """The line numbers (from 1) that a fragment covers in its file, empty where it isn't there."""
+    at = F.position(fragment, blob)
+    first = F.size(F.split(F.substring(blob, F.lit(1), F.greatest(at - 1, F.lit(0))), "\n"))
+    return F.when(at > 0, F.sequence(first, first + F.size(F.split(fragment, "\n")) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def provider_rows(rows: DataFrame) -> DataFrame:
+    """A web provider's sources (position from 0 of n) with their score: 1 - position / n."""
+    return rows.withColumn("score", F.round(1 - F.col("position") / F.greatest(F.lit(1), F.col("n")), 6))
+
+
+def quota(calls: DataFrame, per_minute: int) -> DataFrame:
+    """(source, at in ms): which calls a source's calendar minutes allow, in order."""
+    w = Window.partitionBy("source", F.floor(F.col("at") / 60000)).orderBy("at", "call_id")
+    return calls.withColumn("allowed", F.row_number().over(w) <= per_minute)
+
+
+def answer_costs(steps: DataFrame) -> DataFrame:
+    """What each answer cost and took, over its steps; steps without a receipt count nothing."""
+    return steps.groupBy("answer").agg(F.count("*").alias("steps"), F.count_if("answered").alias("answered"), F.round(F.sum(F.coalesce("cost", F.lit(0.0))), 6).alias("cost"), F.max(F.coalesce("ms", F.lit(0.0))).alias("slowest"))

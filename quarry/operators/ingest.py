@@ -5,8 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import host
-from quarry.schema import ID, OWNER, TYPE
+from quarry.functions.text import clean_text, host
+from quarry.schema import ID, LANGUAGE, MAX_BODY, MAX_SUMMARY, MAX_TITLE, MAX_URL, OWNER, TYPE
+
+
+def errors() -> Column:
+    """What is wrong with a document, as (path, message), in the order of the fields; a tombstone needs an identity and a revision alone."""
+    c = F.col
+    live = ~F.coalesce(c("deleted"), F.lit(False))
+    checks = [
+        (~F.coalesce(c("owner").rlike(OWNER), F.lit(False)), "/owner", "malformed"), (~F.coalesce(c("type").rlike(TYPE), F.lit(False)), "/type", "malformed"), (~F.coalesce(c("id").rlike(ID), F.lit(False)), "/id", "malformed"),
+        (~F.coalesce(c("revision").between(0, (1 << 53) - 1), F.lit(False)), "/revision", "out of range"),
+        (live & c("title").isNull(), "/title", "required"), (live & (F.char_length("title") > MAX_TITLE), "/title", "too long"), (live & (F.char_length("summary") > MAX_SUMMARY), "/summary", "too long"), (live & (F.char_length("body") > MAX_BODY), "/body", "too long"),
+        (live & ((F.char_length("canonical_url") > MAX_URL) | ~c("canonical_url").rlike("^https?://")), "/canonical_url", "malformed"),
+        (live & ~F.coalesce(c("visibility").isin("public", "unlisted", "members", "private", "draft"), F.lit(False)), "/visibility", "not allowed"),
+        (live & ~F.coalesce(c("publication_state").isin("published", "unpublished"), F.lit(False)), "/publication_state", "not allowed"),
+        (live & ~F.coalesce(c("decision").isin("index", "noindex"), F.lit(False)), "/indexability/decision", "not allowed"), (live & ~c("lang").rlike(LANGUAGE), "/language", "malformed")]
+    return F.slice(F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(path).alias("path"), F.lit(said).alias("message"))) for bad, path, said in checks))), 1, 20)
+
+
+def same_identity(path: tuple[str, str, str]) -> Column:
+    """Whether a body's identity, where it has one, is the path's."""
+    return F.col("owner").eqNullSafe(path[0]) & F.col("type").eqNullSafe(path[1]) & F.col("id").eqNullSafe(path[2])
+
+
+def content_hash(facets: list[tuple[str, str]]) -> Column:
+    """sha256 of the canonical form: JSON with sorted keys, nulls kept, texts without control characters, sets sorted. facets: (key, column), sorted."""
+    c, text = F.col, lambda x: F.nullif(F.col(x), F.lit(""))
+    tomb = F.struct(F.lit(True).alias("deleted"), "id", "owner", "revision", "type")
+    acl = F.struct(F.array("entitlement").alias("entitlements"), F.array("grp").alias("groups"), F.array("subject").alias("subjects"))
+    whole = F.struct(
+        acl.alias("acl"), clean_text(c("body")).alias("body"), text("canonical_url").alias("canonical_url"), F.lit(False).alias("deleted"), F.struct(*(c(col).alias(k) for k, col in facets)).alias("facets"), "id",
+        F.struct("decision").alias("indexability"), text("lang").alias("language"), "owner", "publication_state", "revision", clean_text(c("summary")).alias("summary"), clean_text(c("title")).alias("title"), "type", "visibility")
+    keep = {"ignoreNullFields": "false"}
+    return F.sha2(F.when(c("deleted"), F.to_json(tomb, keep)).otherwise(F.to_json(whole, keep)), 256)
+
+
+def deletions(requests: DataFrame, stored: DataFrame) -> DataFrame:
+    """Delete requests (key, revision or null) -> tombstones: the revision given, else the stored one, else 0."""
+    have = stored.select("key", F.col("revision").alias("_have"))
+    return requests.join(have, "key", "left").select("key", F.coalesce("revision", "_have", F.lit(0)).cast("long").alias("revision"), F.lit(True).alias("deleted"))
 
 
 def outcomes(log: DataFrame) -> DataFrame:
@@ -75,10 +113,30 @@ def purge_urls(urls: DataFrame, zones: DataFrame, related: list[str]) -> DataFra
     return every.join(best, "url", "left").select("url", "zone", F.when(F.col("zone").isNull(), "skipped").otherwise("pending").alias("state"))
 
 
-#: Seconds to wait after each failed attempt; the eighth failure is final.
+# Seconds to wait after each failed attempt; the eighth failure is final.
 BACKOFF = (2, 10, 60, 300, 900, 1800, 3600)
 
 
+def purge_due(queue: DataFrame, now: int, most: int = 200) -> DataFrame:
+    """Pending entries whose time has come, oldest first."""
+    return queue.where((F.col("state") == "pending") & (F.col("due_at") <= now)).orderBy("seq").limit(most)
+
+
+def purge_batches(due: DataFrame, most: int = 30) -> DataFrame:
+    """Adds batch: at most so many URLs of a zone go in one request."""
+    return due.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("zone").orderBy("seq")) - 1) / most).cast("int"))
+
+
+def purge_counts(queue: DataFrame, now: int) -> DataFrame:
+    """(state, n, due): how many are in each state, and how many of them are due."""
+    return queue.groupBy("state").agg(F.count("*").alias("n"), F.count_if((F.col("state") == "pending") & (F.col("due_at") <= now)).alias("due"))
+
+
+def feed(rows: DataFrame, owner: str, after: int, most: int) -> DataFrame:
+    """An owner's removals or rejections behind a sequence number; one more than asked for says whether there are more."""
+    return rows.where((F.col("owner") == owner) & (F.col("seq") > after)).orderBy("seq").limit(most + 1)
+
+
 def purge_step(rows: DataFrame) -> DataFrame:
     """(url, attempts, batch, status) after a response -> next state and delay in seconds (null status: network error)."""
     retry = F.col("status").isNull() | F.col("status").isin(408, 429) | (F.col("status") >= 500)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import clean, tokens
-from quarry.schema import LISTED, Match, Profile, Viewer
+from quarry.functions.text import clean, folded, tokens
+from quarry.schema import LISTED, NONE, RESTRICTED, Filters, Match, Profile, Sites, Viewer
 from quarry.sources.adapter import CLOCK
 
-from .visibility import facet_pairs, visible
+from .visibility import FACETS, acl_allows, facet_pairs, visible
 
 TITLE, SUMMARY, BODY = 3, 2, 1
 
@@ -60,43 +62,104 @@ def _hits(word: str, prefix: bool):
     return (lambda t: t.startswith(word)) if prefix else (lambda t: t == F.lit(word))
 
 
-def matched(docs: DataFrame, match: Match, weights: dict[str, float] | None = None, profile: Profile = Profile()) -> DataFrame:
-    """Documents that match, with the parts of their rank: tier, title_words, cover, relevance.
+NAMES = {TITLE: "title", SUMMARY: "summary", BODY: "body"}
 
-    Term counts of the query's words are taken from each document's three token arrays in one projection, so a query is a
-    filter over the scan and no shuffle; with a stored index the same comes from its postings.
-    """
-    names = {TITLE: "title", SUMMARY: "summary", BODY: "body"}
-    out = docs
-    for code, name in names.items():
-        out = out.withColumn(f"t{code}", tokens(F.col(name)))
-    out = out.withColumn("doc_len", F.size("t3") + F.size("t2") + F.size("t1"))
-    for i, word in enumerate(match.words):
-        prefix = match.prefix and i == len(match.words) - 1
-        for code in names:
-            out = out.withColumn(f"n{i}_{code}", F.size(F.filter(f"t{code}", _hits(word, prefix))))
-    codes = [match.field] if match.field else list(names)
+
+def site_hosts(match: Match, sites: Sites | None) -> list[str]:
+    """Hosts that a query names: with the network's word and another one; at most twelve."""
+    if not sites or sites.brand not in match.words:
+        return []
+    known = dict(sites.aliases)
+    hosts = [h for w in match.words if w != sites.brand and len(w) > 1 for h in known.get(w, (sites.template.format(word=w, brand=sites.brand),))]
+    return list(dict.fromkeys(hosts))[:12]
+
+
+def on_sites(hosts: list[str], sites: Sites | None) -> Column:
+    """Whether the document's URL is on one of the hosts, on a subdomain, or the help site's page of one."""
+    if not hosts:
+        return F.lit(False)
+    any_ = "|".join(re.escape(h) for h in hosts)
+    pattern = rf"(?i)^https?://([a-z0-9-]+\.)*({any_})(/|$)"
+    if sites.help_host:
+        pattern += rf"|^https?://([a-z0-9-]+\.)*{re.escape(sites.help_host)}/a/({any_})(/|$)"
+    return F.coalesce(F.col("canonical_url").rlike(pattern), F.lit(False))
+
+
+def site_only(match: Match, sites: Sites | None) -> bool:
+    """A two-word query that names a site: the site's own records are candidates whatever their text."""
+    return bool(sites) and match.field is None and len(match.words) == 2 and sites.brand in match.words
+
+
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns through a generator of one row, so that what is computed here is computed once and not copied into each filter and rank that reads it."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
+def counted(docs: DataFrame, match: Match) -> DataFrame:
+    """Adds doc_len and, for word i and field c, n{i}_{c}: how often it is there. A scan; a stored index has the same (index.py)."""
+    out = _once(docs, **{f"t{code}": tokens(F.col(name)) for code, name in NAMES.items()})
+    cells = {f"n{i}_{c}": F.size(F.filter(f"t{c}", _hits(word, match.prefix and i == len(match.words) - 1))) for i, word in enumerate(match.words) for c in NAMES}
+    return _once(out, doc_len=F.size("t3") + F.size("t2") + F.size("t1"), **cells).drop("t1", "t2", "t3")
+
+
+def rank_parts(rows: DataFrame, match: Match, weights: dict[str, float] | None = None, profile: Profile = Profile(), sites: Sites | None = None) -> DataFrame:
+    """Counted rows that match, with the parts of their rank: tier, title_words, cover, relevance."""
+    codes = [match.field] if match.field else list(NAMES)
     n = range(len(match.words))
     here = {i: F.greatest(*(F.when(F.col(f"n{i}_{c}") > 0, c).otherwise(0) for c in codes), F.lit(0)) for i in n}
-    test = here[0] > 0
-    for i in list(n)[1:]:
-        test = (test | (here[i] > 0)) if match.any else (test & (here[i] > 0))
     total = lambda cols: sum(cols[1:], cols[0])
+    if match.any:
+        test = total([F.col(f"n{i}_{c}") for i in n for c in codes]) > 0
+    else:
+        test = F.lit(True)
+        for i in n:
+            test = test & (total([F.col(f"n{i}_{c}") for c in codes]) > 0)
+    site = on_sites(site_hosts(match, sites), sites)
+    if site_only(match, sites):
+        test = test | site
     field_weight = {TITLE: profile.title, SUMMARY: profile.summary, BODY: profile.body}
-    raw = total([field_weight[c] * F.log(1.0 + F.col(f"n{i}_{c}")) for i in n for c in names])
+    raw = total([field_weight[c] * F.log(1.0 + F.col(f"n{i}_{c}")) for i in n for c in NAMES])
     factor = lambda i: F.when(F.col(f"n{i}_3") > 0, profile.cover[0]).when(F.col(f"n{i}_2") > 0, profile.cover[1]).when(F.col(f"n{i}_1") > 0, profile.cover[2]).otherwise(0.0)
     cover = F.round(total([F.lit(float(weights[w])) * factor(i) for i, w in enumerate(match.words)]), 1) if weights else F.lit(0.0)
     titles = F.least(F.lit(4), total([F.when(F.col(f"n{i}_3") > 0, 1).otherwise(0) for i in n])) if len(match.words) > 1 else F.lit(0)
-    keep = out.where(test).withColumn("tier", F.greatest(*here.values(), F.lit(0))).withColumn("title_words", titles).withColumn("cover", cover)
-    keep = keep.withColumn("relevance", 1 - F.exp(-raw / (1 + F.log(1.0 + F.col("doc_len")))))
-    return keep.drop(*(f"n{i}_{c}" for i in n for c in names), "t1", "t2", "t3")
+    tier = F.greatest(*here.values(), F.lit(0)) + F.when(site, 10).otherwise(0)
+    relevance = 1 - F.exp(-raw / (1 + F.log(1.0 + F.col("doc_len"))))
+    if profile.boilerplate:
+        empty = (F.col("type") == "channel") & total([F.col(f"n{i}_3") for i in n]).eqNullSafe(0) & F.col("summary").rlike(profile.boilerplate)
+        relevance = F.when(empty, 0.0).otherwise(relevance)
+    keep = rows.where(test).withColumn("tier", tier).withColumn("title_words", titles).withColumn("cover", cover).withColumn("relevance", relevance)
+    return keep.drop(*(f"n{i}_{c}" for i in n for c in NAMES))
+
+
+def matched(docs: DataFrame, match: Match, weights: dict[str, float] | None = None, profile: Profile = Profile(), sites: Sites | None = None) -> DataFrame:
+    """Documents that match, with the parts of their rank, from their texts: a filter over the scan and no shuffle."""
+    return rank_parts(counted(docs, match), match, weights, profile, sites)
+
+
+def narrowed(docs: DataFrame, filters: Filters) -> DataFrame:
+    """Owner, type, language, documents indexed after a time, facets, and what names a subject as theirs."""
+    for column, wanted in (("owner", filters.owner), ("type", filters.type), ("lang", filters.language)):
+        docs = docs.where(F.col(column) == wanted) if wanted is not None else docs
+    docs = docs.where(F.col("sort_at") > filters.since) if filters.since is not None else docs
+    docs = docs.where(F.col("subject") == filters.subject) if filters.subject is not None else docs
+    return facet_filter(docs, {k: list(v) for k, v in filters.facets}) if filters.facets else docs
+
+
+def weights_of(docs: DataFrame, match: Match, most: int = 1000) -> dict[str, float]:
+    """The weight of each of a query's words by how many listed documents hold it; a word's count stops at the bound."""
+    listed, every = docs.where(F.col("exposure") == LISTED), None
+    for i, word in enumerate(match.words):
+        hit = F.exists(tokens(F.concat_ws(" ", "title", "summary", "body")), _hits(word, match.prefix and i == len(match.words) - 1))
+        one = listed.where(hit).select("rid").limit(most).agg(F.count("*").alias("df")).select(F.lit(word).alias("word"), word_weight(F.col("df")).alias("w"))
+        every = one if every is None else every.unionByName(one)
+    return {r.word: r.w for r in every.collect()}
 
 
 def scored(rows: DataFrame, match: Match, profile: Profile = Profile()) -> DataFrame:
     """Adds rank (small is good), importance and recency."""
     answer = F.when((F.col("type") == profile.answer_type), profile.answer).otherwise(0.0) if match.question else F.lit(0.0)
     rank = -(F.col("cover") * 10000 + F.col("tier") * 100 + answer + F.col("title_words") * 10 + F.col("relevance") * freshness(profile) + thin(profile))
-    return rows.withColumn("rank", F.round(rank, 6)).withColumn("importance", importance()).withColumn("recency", F.col("sort_at"))
+    return rows.withColumn("rank", F.round(rank, 6)).withColumn("importance", importance()).withColumn("recency", F.col("sort_at") if profile.freshness else F.lit(""))
 
 
 ORDER = ("rank", "importance", "recency", "rid")
@@ -108,9 +171,9 @@ def deduplicated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def search_set(docs: DataFrame, match: Match, viewer: Viewer = Viewer(), weights: dict[str, float] | None = None, profile: Profile = Profile()) -> DataFrame:
-    """Visible, matching, ranked, deduplicated: what pages, facets and counts are taken from."""
-    return deduplicated(scored(matched(visible(docs, viewer), match, weights, profile), match, profile))
+def search_set(docs: DataFrame, match: Match, viewer: Viewer = Viewer(), weights: dict[str, float] | None = None, profile: Profile = Profile(), sites: Sites | None = None) -> DataFrame:
+    """Visible, matching, ranked, deduplicated: what pages, facets and counts are taken from. Long texts don't ride along."""
+    return deduplicated(scored(matched(visible(docs, viewer), match, weights, profile, sites), match, profile).drop("body", "summary"))
 
 
 def after(rank: float, importance_: int, recency: str, rid: int) -> Column:
@@ -133,23 +196,44 @@ def browse(docs: DataFrame, viewer: Viewer = Viewer(), limit: int = 20, key: tup
 
 
 def facet_filter(docs: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
-    """All keys, any of a key's values."""
-    pairs = facet_pairs(docs)
+    """All keys, any of a key's values; a key that no document has matches nothing."""
+    columns = dict(FACETS)
     for key, values in wanted.items():
-        docs = docs.join(pairs.where((F.col("key") == key) & F.col("value").isin(values)).select("rid"), "rid", "left_semi")
+        docs = docs.where(F.col(columns[key]).cast("string").isin(values) & (F.col("exposure") > NONE)) if key in columns else docs.where("false")
     return docs
 
 
-def facet_counts(docs: DataFrame, rows: DataFrame, keys: list[str], per_key: int = 20) -> DataFrame:
-    """(key, value, count) over a result set: one pass for all keys."""
-    n = facet_pairs(docs).where(F.col("key").isin(keys)).join(rows.select("rid"), "rid", "left_semi").groupBy("key", "value").agg(F.count("*").alias("count"))
+def facet_counts(rows: DataFrame, keys: list[str], per_key: int = 20) -> DataFrame:
+    """(key, value, count) over a result set, whose rows hold their facets: one pass for all keys."""
+    n = facet_pairs(rows).where(F.col("key").isin(keys)).groupBy("key", "value").agg(F.count("*").alias("count"))
     w = Window.partitionBy("key").orderBy(F.desc("count"), "value")
     return n.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_key).drop("_n")
 
 
-def snippet(rows: DataFrame, match: Match, before: int = 4, most: int = 16) -> DataFrame:
-    """Up to 16 words of the body around the first hit; only for the rows of a page."""
-    words = F.split(clean(F.col("body")), " ")
-    at = F.array_position(F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "").isin(*match.words)), True)
-    start = F.greatest(F.lit(1), at.cast("int") - before)
-    return rows.withColumn("snippet", F.when(at > 0, F.array_join(F.slice(words, start, F.lit(most)), " ")))
+MARK_OPEN, MARK_CLOSE = "\u0001", "\u0002"
+
+
+def snippet(docs: DataFrame, rows: DataFrame, match: Match, before: int = 4, most: int = 16) -> DataFrame:
+    """(rid, snippet): up to 16 words around the first hit in summary and body, else the title; hits between marks.
+
+    Texts are fetched for the rows of a page alone.
+    """
+    page_docs = docs.join(F.broadcast(rows.select("rid")), "rid")
+    bare = lambda w: F.regexp_replace(folded(w), r"[^\p{L}\p{N}]", "")
+    hit = lambda w: (bare(w).isin(*match.words) | bare(w).startswith(match.words[-1])) if match.prefix else bare(w).isin(*match.words)
+    text, title = (F.split(clean(x), " ") for x in (F.concat_ws(" ", "summary", "body"), F.col("title")))
+    words = F.when(F.exists(text, hit), text).otherwise(title)
+    found = page_docs.select("rid", words.alias("words")).withColumn("at", F.array_position(F.transform("words", hit), True).cast("int"))
+    shown = F.transform(F.slice("words", F.greatest(F.lit(1), F.col("at") - before), F.lit(most)), lambda w: F.when(hit(w), F.concat(F.lit(MARK_OPEN), w, F.lit(MARK_CLOSE))).otherwise(w))
+    return found.select("rid", F.array_join(shown, " ").alias("snippet"))
+
+
+def repeats_title(snippet_: Column, title: Column) -> Column:
+    """Whether a snippet says no more than the title."""
+    same = lambda c: F.array_join(tokens(F.regexp_replace(c, f"[{MARK_OPEN}{MARK_CLOSE}]", "")), " ")
+    return F.startswith(same(title), same(snippet_))
+
+
+def projected(docs: DataFrame) -> DataFrame:
+    """What a viewer gets of a document: never its keys, its hash or its owner's internals."""
+    return docs.select("rid", "owner", "type", "id", "revision", "visibility", "title", F.nullif(F.col("summary"), F.lit("")).alias("summary"), "canonical_url", "lang", "sort_at")

@@ -15,14 +15,16 @@ def visitors(beacons: DataFrame) -> DataFrame:
     return beacons.groupBy("day", "query").agg(F.countDistinct("visitor").alias("people"))
 
 
-def rising(beacons: DataFrame, now_hour: int, site: str | None = None, least_people: int = 5) -> DataFrame:
-    """(query, recent, before, people, score) of queries that rise; people is counted over all sites, the last two days."""
+def rising(beacons: DataFrame, now_hour: int, site: str | None = None, least_people: int = 5, limit: int | None = None) -> DataFrame:
+    """(query, recent, before, people, score), best first, of queries that rise; people is counted over all sites, the last two days."""
     here = beacons.where(F.col("site") == site) if site else beacons
     recent, before = F.col("hour") >= now_hour - 24, (F.col("hour") >= now_hour - 72) & (F.col("hour") < now_hour - 24)
     counts = here.where(F.col("hour") >= now_hour - 72).groupBy("query").agg(F.count_if(recent).alias("recent"), F.count_if(before).alias("before"))
     people = beacons.where(F.col("day") >= now_hour // 24 - 1).groupBy("query").agg(F.countDistinct("visitor").alias("people"))
     score = F.round(F.col("recent") * F.log2(2 + F.col("recent") / (F.col("before") / 2 + 1)), 6)
-    return counts.join(people, "query", "left").where((F.col("recent") > 0) & (F.coalesce("people", F.lit(0)) >= least_people)).select("query", "recent", "before", "people", score.alias("score"))
+    rows = counts.join(people, "query", "left").where((F.col("recent") > 0) & (F.coalesce("people", F.lit(0)) >= least_people)).select("query", "recent", "before", "people", score.alias("score"))
+    rows = rows.orderBy(F.desc("score"), F.desc("recent"), "query")
+    return rows.limit(limit) if limit else rows
 
 
 def by_day(beacons: DataFrame) -> DataFrame:
@@ -34,22 +36,77 @@ def by_site(beacons: DataFrame, most: int = 40) -> DataFrame:
 
 
 def clean_title() -> Column:
-    """A title as a search: its first part, without a parenthetical tail."""
+    """A title as a search: its first part, and without a closing part in brackets."""
     first = F.regexp_extract("title", r"^(.*?)(?:\s+[|—·–-]\s+.*)?$", 1)
     return F.trim(F.regexp_replace(first, r"\s*[(\[][^)\]]*[)\]]?\s*$", ""))
 
 
-def suggestions(docs: DataFrame, hour: int, newest: int = 200, most: int = 8) -> DataFrame:
-    """Titles of the newest listed documents, in an order that changes by the hour and is the same for all."""
-    pool = docs.where((F.col("exposure") == 3) & F.char_length("title").between(3, 48)).orderBy(F.desc("sort_at"), F.desc("rid")).limit(newest)
-    titles = pool.select(clean_title().alias("query")).where("query <> ''").distinct()
+def suggestions(docs: DataFrame, hour: int, newest: int = 200, most: int = 8, site: str | None = None, taken: tuple[str, ...] = ()) -> DataFrame:
+    """Titles of the newest listed documents (of a site), less those taken, in an order that changes by the hour and is the same for all."""
+    listed = docs.where((F.col("exposure") == 3) & F.char_length("title").between(3, 48))
+    listed = listed.where(F.col("canonical_url").startswith(f"https://{site}/")) if site else listed
+    pool = listed.orderBy(F.desc("sort_at"), F.desc("rid")).limit(newest)
+    titles = pool.select(clean_title().alias("query")).where("query <> ''").where(~F.lower("query").isin(*taken)).distinct()
     return titles.orderBy(F.sha2(F.concat(F.lit(f"{hour}|"), "query"), 256)).limit(most)
 
 
-def rate_limited(beacons: DataFrame, per_minute: int = 20) -> DataFrame:
-    """The first searches of a visitor in each calendar minute, up to a limit (the stream counts from the first search)."""
-    w = Window.partitionBy("visitor", F.floor(F.unix_timestamp("ts") / 60)).orderBy("ts", "event_id")
-    return beacons.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_minute).drop("_n")
+# What may not be counted: personal data, and words that never trend.
+PERSONAL = (r"\S+@\S+\.\S+", r"(?:\+?\d[\s().-]*){7,}", r"\d{6,}", r"(?i)\b(?:https?://|www\.)\S+", r"\b[A-Za-z0-9_-]{24,}\b")
+
+
+def counted_query(c: Column, banned: tuple[str, ...] = ()) -> Column:
+    """The form a query is counted under: lower case, single spaces, no edge punctuation; null where it may not count."""
+    edge = "[\\s\"'`.,;:!?()\\[\\]{}<>-]+"
+    shown = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1f\x7f]", " "), r"\s+", " ")), f"^{edge}|{edge}$", "")
+    ok = F.char_length(shown).between(2, 80) & (F.size(F.split(shown, " ")) <= 8)
+    for pattern in (*PERSONAL, *((rf"(?i)\b({'|'.join(banned)})\b",) if banned else ())):
+        ok = ok & ~shown.rlike(pattern)
+    return F.when(ok, F.lower(shown))
+
+
+def visitor_hash(salt: Column, address: Column, agent: Column) -> Column:
+    """A visitor of a day: nothing links it to another day, whose salt differs."""
+    return F.substring(F.sha2(F.concat_ws("|", salt, address, agent), 256), 1, 24)
+
+
+def trending_list(beacons: DataFrame, docs: DataFrame, now_hour: int, site: str | None = None, limit: int = 10) -> DataFrame:
+    """(query, suggested, place): the site's own rising queries, filled with the network's, then with suggestions; limit is 1 to 20."""
+    limit = max(1, min(20, limit))
+    own = rising(beacons, now_hour, site, limit=limit) if site else rising(beacons, now_hour, limit=limit).where("false")
+    lists = [own.withColumn("source", F.lit(0)), rising(beacons, now_hour, limit=limit).withColumn("source", F.lit(1))]
+    both = lists[0].unionByName(lists[1]).select(F.lower("query").alias("key"), "query", "source", F.struct(-F.col("score"), -F.col("recent"), "query").alias("at"))
+    w = Window.partitionBy("key").orderBy("source")
+    people = both.withColumn("_n", F.row_number().over(w)).where("_n = 1").orderBy("source", "at").limit(limit)
+    taken = tuple(r.key for r in people.select("key").collect())  # at most 20
+    more = suggestions(docs, now_hour, most=limit, site=site, taken=taken).select(F.lower("query").alias("key"), "query", F.lit(2).alias("source"), F.struct(F.lit(0.0).alias("a"), F.lit(0).cast("long").alias("b"), F.sha2(F.concat(F.lit(f"{now_hour}|"), "query"), 256).alias("c")).alias("at"))
+    every = people.select("key", "query", "source", F.struct(F.col("at.col1").alias("a"), F.col("at.col2").alias("b"), F.col("at.query").alias("c")).alias("at")).unionByName(more)
+    place = F.row_number().over(Window.orderBy("source", "at"))
+    return every.withColumn("place", place).where(F.col("place") <= limit).select("query", (F.col("source") == 2).alias("suggested"), "place")
+
+
+def rate_limited(beacons: DataFrame, per_window: int = 20, seconds: int = 60) -> DataFrame:
+    """The searches a visitor is allowed: so many in a window that the first search after the last window opens.
+
+    Rows are sorted by visitor and time and read in order with one open window, so a visitor of any size takes no memory.
+    """
+    columns = beacons.columns
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        who, until, n = None, 0, 0
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for i, (v, t) in enumerate(zip(batch.column("_who").to_pylist(), batch.column("_us").to_pylist(), strict=True)):
+                if v != who or t >= until:
+                    who, until, n = v, t + seconds * 1_000_000, 0
+                n += 1
+                keep[i] = n <= per_window
+            yield batch.filter(pa.array(keep)).select(columns)
+
+    rows = beacons.withColumn("_who", F.col("visitor").cast("string")).withColumn("_us", F.unix_micros("ts"))
+    return rows.repartition("_who").sortWithinPartitions("_who", "_us", "event_id").mapInArrow(run, beacons.schema)
 
 
 def retained(rows: DataFrame, now_hour: int, days: int = 8) -> DataFrame:

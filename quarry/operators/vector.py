@@ -49,12 +49,46 @@ def embedding_text(most: int = 2000) -> Column:
     return F.substring(F.concat_ws("\n", part("title"), part("summary"), part("body")), 1, most)
 
 
+def batches(rows: DataFrame, most: int, key: str = "rid") -> DataFrame:
+    """Adds batch: consecutive keys in groups of at most `most`, numbered from 0 within each range partition, so nothing meets in one task."""
+    spread = rows.repartitionByRange(key).sortWithinPartitions(key)
+    return spread.withColumn("part", F.spark_partition_id()).withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1) / most))
+
+
+def embedding_upsert(stored: DataFrame, fresh: DataFrame, live: DataFrame) -> DataFrame:
+    """Stored embeddings after a batch: the fresh one of each rid and model wins, those of documents gone are dropped."""
+    keys = ["rid", "model"]
+    return stored.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh).join(live.select("rid"), "rid", "left_semi")
+
+
 def deals_tier(last_word: str, words: Column) -> Column:
     """Head-noun match of a product: a token equals the word, begins with it, or (four letters or more) begins it."""
     w = F.lit(last_word)
     return F.when(F.exists(words, lambda t: (t == w) | t.startswith(w) | ((F.char_length(t) >= 4) & w.startswith(t))), 0)
 
 
+def deals_order(fused: DataFrame, words: Column, match_words: tuple[str, ...]) -> DataFrame:
+    """A fused list with product words: head-noun matches first, then keyword hits, then the rest, each in fused order."""
+    tier = F.coalesce(deals_tier(match_words[-1], words), F.when(F.col("keyword_rank").isNotNull(), 1).otherwise(2))
+    return fused.withColumn("tier", tier).orderBy("tier", *fused_order())
+
+
+def reranked(fused: DataFrame, parts: DataFrame, match) -> DataFrame:
+    """A fused list with its documents and rank parts -> (rid, position, keyword_rank, vector_rank) in the order after fusion.
+
+    Cover, tier, an answer where a question asks, title words, thin ones last, then the fused order; one of each owner and title.
+    """
+    from .search import dedupe_key, thin
+
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    answer = (F.col("type") == "article").cast("int") if match.question else F.lit(0)
+    words = zero("title_words") if len(match.words) > 1 else F.lit(0)
+    rows = ranked(fused, *fused_order()).withColumnRenamed("position", "fused").join(parts, "rid", "left")
+    rows = ranked(rows, F.desc(zero("cover")), F.desc(zero("tier")), F.desc(answer), F.desc(words), (thin() < 0).cast("int").asc(), F.asc("fused"))
+    one = rows.withColumn("_n", F.row_number().over(Window.partitionBy(dedupe_key()).orderBy("position"))).where("_n = 1")
+    return one.select("rid", "keyword_rank", "vector_rank", F.row_number().over(Window.orderBy("position")).alias("position"))
+
+
 def hybrid_rerank(fused: DataFrame, parts: DataFrame) -> DataFrame:
     """A fused list joined to its rank parts, in the order after fusion; rows that only vectors found have no parts."""
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -35,10 +35,14 @@ def acl_keys(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("exposure") == RESTRICTED).select("rid", F.inline(pairs))
 
 
+#: The facets of a document and where they stand in its row.
+FACETS = (("lang", "lang"), ("size", "size_bucket"), ("followers", "followers"), ("duration_seconds", "duration"), ("live", "live"), ("type", "type"))
+
+
 def facet_pairs(docs: DataFrame) -> DataFrame:
-    """(rid, key, value) of documents that anyone may see; values as text."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(v).cast("string").alias("value")) for k, v in (("lang", "lang"), ("size", "size_bucket"), ("followers", "followers"), ("duration_seconds", "duration"), ("live", "live"), ("type", "type"))))
-    return docs.where(F.col("exposure") > NONE).select("rid", F.inline(pairs)).where("value is not null").distinct()
+    """(rid, key, value) of documents that anyone may see; values as text. A row's keys differ, so its pairs are distinct."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(v).cast("string").alias("value")) for k, v in FACETS))
+    return docs.where(F.col("exposure") > NONE).select("rid", F.inline(pairs)).where("value is not null")
 
 
 def acl_allows(viewer: Viewer) -> Column:

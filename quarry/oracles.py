@@ -21,7 +21,7 @@ def docs(select: str) -> str:
 
 
 def toks(c: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+')"
+    return f"regexp_extract_all(strip_accents(lower(coalesce({c}, ''))), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def seen(subject=None, groups=(), entitlements=()) -> str:
@@ -32,13 +32,16 @@ def seen(subject=None, groups=(), entitlements=()) -> str:
     return f"(exposure = 3 OR (exposure = 1 AND CASE WHEN visibility = 'private' THEN {named} ELSE ({named}{more}) END))"
 
 
-def search(words, where="exposure = 3", prefix=False, any_word=False, field=None, question=False, weights=False, extra="") -> str:
+def search(words, where="exposure = 3", prefix=False, any_word=False, field=None, question=False, weights=False, extra="", site="false", site_only=False, boilerplate="false", fresh=True) -> str:
     """CTEs ending in s: the ranked, deduplicated result set."""
     test = lambda i, w: f"starts_with(x, '{w}')" if prefix and i == len(words) - 1 else f"x = '{w}'"
     counts = ", ".join(f"len(list_filter(t{c}, lambda x: {test(i, w)})) AS n{i}_{c}" for i, w in enumerate(words) for c in (3, 2, 1))
     fields = [field] if field else [3, 2, 1]
     here = [f"greatest({', '.join(f'CASE WHEN n{i}_{c} > 0 THEN {c} ELSE 0 END' for c in fields)}, 0)" for i in range(len(words))]
     cond = (" OR " if any_word else " AND ").join(f"{h} > 0" for h in here)
+    cond = f"({cond}) OR {site}" if site_only else cond
+    no_title = " AND ".join(f"n{i}_3 = 0" for i in range(len(words)))
+    boost = f"CASE WHEN day IS NULL THEN 1.0 ELSE 1 + pow(2.0, -greatest(0.0, {CLOCK} - day) / 30.0) END" if fresh else "1.0"
     raw = " + ".join(f"{ {3: 1.0, 2: 0.4, 1: 0.1}[c]}::DOUBLE * ln(1.0 + n{i}_{c})" for i in range(len(words)) for c in (3, 2, 1))
     titles = f"least(4, {' + '.join(f'CASE WHEN n{i}_3 > 0 THEN 1 ELSE 0 END' for i in range(len(words)))})" if len(words) > 1 else "0"
     cover = "0.0::DOUBLE"
@@ -48,12 +51,13 @@ def search(words, where="exposure = 3", prefix=False, any_word=False, field=None
     return f"""WITH {DOCS},
 w AS (SELECT *, {toks('title')} AS t3, {toks('summary')} AS t2, {toks('body')} AS t1 FROM e WHERE {where} {extra}),
 c AS (SELECT *, len(t3) + len(t2) + len(t1) AS doc_len, {counts} FROM w),
-m AS (SELECT *, greatest({', '.join(here)}, 0) AS tier, {titles} AS title_words, {cover} AS cover,
-      1 - exp(-({raw}) / (1 + ln(1.0 + doc_len))) AS relevance FROM c WHERE {cond}),
+pt AS (SELECT *, greatest({', '.join(here)}, 0) AS tier0, {titles} AS words0 FROM c),
+m AS (SELECT *, greatest({', '.join(here)}, 0) + CASE WHEN {site} THEN 10 ELSE 0 END AS tier, {titles} AS title_words, {cover} AS cover,
+      CASE WHEN type = 'channel' AND {no_title} AND {boilerplate} THEN 0.0 ELSE 1 - exp(-({raw}) / (1 + ln(1.0 + doc_len))) END AS relevance FROM c WHERE {cond}),
 k AS (SELECT *, round(-(cover * 10000 + tier * 100 + {answer} + title_words * 10
-        + relevance * CASE WHEN day IS NULL THEN 1.0 ELSE 1 + pow(2.0, -greatest(0.0, {CLOCK} - day) / 30.0) END
+        + relevance * {boost}
         + CASE WHEN (type <> 'channel' AND length(title) <= 24 AND length(summary) <= 80) OR title = '' THEN -2.0 ELSE 0.0 END), 6) AS rank,
-      {IMPORTANCE} AS importance, sort_at AS recency FROM m),
+      {IMPORTANCE} AS importance, {'sort_at' if fresh else chr(39) * 2} AS recency FROM m),
 s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lower(owner), lower(trim(regexp_replace(regexp_replace(title, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g'))) ORDER BY rank, importance DESC, recency DESC, rid) = 1)"""
 
 
@@ -70,7 +74,67 @@ OUTCOMES = """o AS (SELECT *, max(revision * 2 + deleted::INT) OVER (PARTITION B
 OUTCOME = """CASE WHEN prev IS NULL OR revision * 2 + deleted::INT > prev THEN 'applied' WHEN revision < prev // 2 OR (prev % 2 = 1 AND NOT deleted) THEN 'stale'
   WHEN content = first_content THEN 'unchanged' ELSE 'conflict' END"""
 HOST = "lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))"
-URL_KEY = "concat(regexp_replace(regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', ''), ':\\d+$', ''), regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', ''), regexp_extract(url, '(\\?[^#]*)', 1))"
+_BARE, _ORIGIN = "regexp_replace(url, '#.*$', '')", "lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^([Hh][Tt][Tt][Pp][Ss]?://[^/?]*)', 1))"
+_REST = f"substr({_BARE}, length({_ORIGIN}) + 1)"
+URL_KEY = f"regexp_replace(concat(regexp_replace(regexp_replace({_ORIGIN}, '^(http://.*):80$', '\\1'), '^(https://.*):443$', '\\1'), CASE WHEN starts_with({_REST}, '/') OR {_ORIGIN} = '' THEN {_REST} ELSE concat('/', {_REST}) END), '/$', '')"
+
+
+def either(exact: str, loose: str, limit: int = 20, below: int = 5) -> str:
+    """A page of all words, or of any word where the first page has fewer than `below` and the other has more."""
+    order = f"ORDER BY rank, importance DESC, recency DESC, rid LIMIT {limit}"
+    cols = "SELECT rid, rank, importance, recency FROM s"
+    return f"""WITH a AS (SELECT * FROM ({exact} {cols} {order})), o AS (SELECT * FROM ({loose} {cols} {order})), n AS (SELECT (SELECT count(*) FROM a) < {below} AND (SELECT count(*) FROM o) > (SELECT count(*) FROM a) AS relax)
+        SELECT o.* FROM o, n WHERE relax UNION ALL SELECT a.* FROM a, n WHERE NOT relax"""
+
+
+CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]"
+
+
+def cleaned(c: str) -> str:
+    return f"regexp_replace(regexp_replace(coalesce({c}, ''), '{CONTROL}', '', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+def spaced(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({c}, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+HASH = f"""sha256(CASE WHEN deleted THEN CAST(to_json({{'deleted': true, 'id': id, 'owner': owner, 'revision': revision, 'type': type}}) AS VARCHAR) ELSE CAST(to_json({{
+  'acl': {{'entitlements': [entitlement], 'groups': [grp], 'subjects': [subject]}}, 'body': {cleaned('body')}, 'canonical_url': nullif(canonical_url, ''), 'deleted': false,
+  'facets': {{'duration_seconds': duration, 'followers': followers, 'live': live, 'size': size_bucket}}, 'id': id, 'indexability': {{'decision': decision}}, 'language': nullif(lang, ''), 'owner': owner,
+  'publication_state': publication_state, 'revision': revision, 'summary': {cleaned('summary')}, 'title': {cleaned('title')}, 'type': type, 'visibility': visibility}}) AS VARCHAR) END)"""
+
+
+def snippets(words, prefix=False, where="") -> str:
+    bare = "regexp_replace(strip_accents(lower(w)), '[^\\p{L}\\p{N}]', '', 'g')"
+    hit = f"({' OR '.join(f'{bare} = {chr(39)}{w}{chr(39)}' for w in words)}" + (f" OR starts_with({bare}, '{words[-1]}'))" if prefix else ")")
+    return search(words, prefix=prefix) + f""", top AS (SELECT rid, title, string_split({spaced("concat_ws(' ', summary, body)")}, ' ') AS wx, string_split({spaced('title')}, ' ') AS wt FROM s ORDER BY rank, importance DESC, recency DESC, rid LIMIT 20),
+        ws AS (SELECT rid, title, CASE WHEN len(list_filter(wx, lambda w: {hit})) > 0 THEN wx ELSE wt END AS ws FROM top), spot AS (SELECT *, greatest(1, coalesce(list_position(list_transform(ws, lambda w: {hit}), true), 0) - 4) AS n FROM ws),
+        found AS (SELECT rid, title, array_to_string(list_transform(ws[n : n + 15], lambda w: CASE WHEN {hit} THEN concat(chr(1), w, chr(2)) ELSE w END), ' ') AS snippet FROM spot)
+        SELECT rid, snippet FROM found {where}"""
+
+
+def on_site(hosts: str, help_host: str) -> str:
+    return f"regexp_matches(coalesce(canonical_url, ''), '(?i)^https?://([a-z0-9-]+\\.)*({hosts})(/|$)|^https?://([a-z0-9-]+\\.)*{help_host}/a/({hosts})(/|$)')"
+
+
+def near(extra: str, floor: str) -> str:
+    return f"nb AS (SELECT x.vec_id AS rid, {COSINE.replace('e.', 'x.')} AS distance FROM embeddings x, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE {extra}), near AS (SELECT * FROM nb WHERE distance <= {floor} ORDER BY distance, rid LIMIT 100)"
+
+
+def rising(site: str = "true", limit: str = "") -> str:
+    return f"""SELECT query, recent, before, people, round(recent * log2(2 + recent / (before / 2 + 1)), 6) AS score FROM (SELECT query, count(*) FILTER (hour >= {{now}} - 24) AS recent, count(*) FILTER (hour < {{now}} - 24) AS before FROM b WHERE hour >= {{now}} - 72 AND {site} GROUP BY query)
+        JOIN (SELECT query, count(DISTINCT visitor) AS people FROM b WHERE day >= {{now}} // 24 - 1 GROUP BY query) USING (query) WHERE recent > 0 AND people >= 5 ORDER BY score DESC, recent DESC, query {limit}""".replace("{now}", "(SELECT max(hour) FROM b)")
+
+
+LOOSE = ["idiot", "clown", "moron", "trash", "scum", "stupid", "loser"]
+SAVED = """r AS (SELECT 'u' || CAST(user_id % 20 AS STRING) AS subject, rtrim(translate(base64(unhex(sha256('q' || CAST(event_id % 40 AS STRING)))), '+/', '-_'), '=')[1:22] AS hash, event_id AS t FROM events),
+  u AS (SELECT subject, hash, min(t) AS created_at FROM r GROUP BY subject, hash QUALIFY row_number() OVER (PARTITION BY subject ORDER BY min(t), hash) <= 12)"""
+CODE = """cr AS (SELECT CASE WHEN role = 'user' THEN 0 ELSE 10000000 END + conv_id * 1000 + turn AS position, role AS source, CASE WHEN conv_id % 2 = 0 THEN 'R' ELSE 'r' END || CAST(conv_id % 20 AS STRING) AS repo, CASE WHEN conv_id % 5 <> 0 THEN 'c' || CAST(conv_id % 2 AS STRING) ELSE '' END AS ref,
+    'f' || CAST(conv_id % 7 AS STRING) AS path, conv_id % 100 AS stars, turn AS line, CASE WHEN conv_id % 3 <> 0 THEN 'l' || CAST(conv_id % 4 AS STRING) END AS licence, CASE WHEN turn % 2 = 1 THEN 'py' END AS language, conv_id AS last_commit FROM conversations WHERE conv_id % 11 <> 0),
+  cs AS (SELECT k, ref, path, string_agg(source, ',' ORDER BY place) AS sources FROM (SELECT lower(repo) AS k, ref, path, source, min(position) AS place FROM cr GROUP BY ALL) GROUP BY ALL),
+  cm AS (SELECT lower(repo) AS k, ref, path, arg_min(repo, position) AS repo, max(stars) AS stars, max(last_commit) AS last_commit, arg_min(licence, position) FILTER (licence IS NOT NULL) AS licence, arg_min(language, position) FILTER (language IS NOT NULL) AS language,
+    min(line) AS line_start, max(line) AS line_end, count(DISTINCT line) AS n_lines FROM cr GROUP BY lower(repo), ref, path)"""
+QUEUE = "pq AS (SELECT event_id AS seq, user_id % 5 AS zone, CASE WHEN event_id % 4 = 0 THEN 'done' ELSE 'pending' END AS state, event_id * 7919 % 10007 AS due_at FROM events)"
 NOW_HOUR = "(SELECT max(hour) FROM b)"
 
 SQL = {
@@ -84,14 +148,10 @@ SQL = {
     "facet_filter": search(["the"], extra="AND lang IN ('en', 'de') AND size_bucket IN ('medium')") + TOP,
     "facet_counts": search(["the"]).replace("\nw AS", f"\n{FACETS},\nw AS", 1) + "SELECT key, value, count(*) AS count FROM f WHERE key IN ('lang', 'size', 'live', 'type') AND rid IN (SELECT rid FROM s) GROUP BY key, value QUALIFY row_number() OVER (PARTITION BY key ORDER BY count DESC, value) <= 20",
     "rank_components": search(["the", "of"]) + "SELECT rid, tier, title_words, cover, doc_len, round(relevance, 6) AS relevance FROM k",
-    "snippet": search(["the"]) + """, top AS (SELECT *, string_split(trim(regexp_replace(regexp_replace(body, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS ws FROM s ORDER BY rank, importance DESC, recency DESC, rid LIMIT 20),
-        spot AS (SELECT rid, ws, list_position(list_transform(ws, lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g') = 'the'), true) AS n FROM top)
-        SELECT rid, CASE WHEN n > 0 THEN array_to_string(ws[greatest(1, n - 4) : greatest(1, n - 4) + 15], ' ') END AS snippet FROM spot""",
     "browse_newest": docs("SELECT rid, sort_at FROM e WHERE exposure = 3 ORDER BY sort_at DESC, rid DESC LIMIT 20"),
     "effective_indexability": docs("SELECT rid, index_decision, array_to_string(reasons, ',') AS reasons FROM i"),
     "exposure_levels": docs("SELECT rid, exposure FROM e"),
     "exposure_counts": docs("SELECT exposure, count(*) AS n, count(*) FILTER (deleted) AS tombstones FROM e GROUP BY exposure"),
-    "normalize_hash": docs("SELECT rid, sha256(concat_ws('|', owner, type, id, title, summary)) AS content_hash FROM d"),
     "acl_keys": docs("SELECT rid, 's' AS kind, subject AS value FROM e WHERE exposure = 1 UNION ALL SELECT rid, 'g', grp FROM e WHERE exposure = 1 UNION ALL SELECT rid, 'e', entitlement FROM e WHERE exposure = 1"),
     "facet_pairs": docs(f", {FACETS} SELECT * FROM f").replace("FROM i) , f", "FROM i), f"),
     "visible_anonymous": docs(f"SELECT rid FROM e WHERE {seen()}"),
@@ -115,8 +175,6 @@ SQL = {
     "distance_floor": f"WITH {KNN} SELECT rid, distance FROM knn WHERE distance <= 0.9",
     "rrf_fusion": search(["the", "of"]) + f""", {KNN}, a AS (SELECT rid, row_number() OVER (ORDER BY rank, importance DESC, recency DESC, rid) AS kr FROM s QUALIFY kr <= 100), v AS (SELECT rid, row_number() OVER (ORDER BY distance, rid) AS vr FROM knn)
         SELECT coalesce(a.rid, v.rid) AS rid, round(coalesce(1.0 / (60 + kr), 0.0) + coalesce(1.0 / (60 + vr), 0.0), 9) AS score, kr AS keyword_rank, vr AS vector_rank FROM a FULL JOIN v ON a.rid = v.rid""",
-    "embedding_pending": docs("SELECT rid FROM e WHERE exposure = 3 AND NOT EXISTS (SELECT 1 FROM embeddings x WHERE x.vec_id = rid AND x.vec_id % 7 <> 0)"),
-    "deals_order": docs(f"SELECT rid, CASE WHEN len(list_filter({toks('title')}, lambda t: t = 'the' OR starts_with(t, 'the') OR (length(t) >= 4 AND starts_with('the', t)))) > 0 THEN 0 ELSE 1 END AS tier FROM e WHERE type = 'offer' AND exposure = 3"),
     "revision_outcomes": f"WITH {LOG}, {OUTCOMES} SELECT arrival, key, revision, deleted, {OUTCOME} AS outcome FROM o",
     "latest_documents": f"WITH {LOG} SELECT key, revision, deleted, content FROM l QUALIFY row_number() OVER (PARTITION BY key ORDER BY revision DESC, deleted DESC, arrival) = 1",
     "inbox_dedupe": "SELECT event_id % 4000 AS event_id, min(event_id) AS arrival FROM events WHERE event_id % 4000 NOT IN (SELECT event_id FROM events WHERE event_id < 500) GROUP BY 1",
@@ -134,23 +192,15 @@ SQL = {
         FROM (SELECT *, status IS NULL OR status IN (408, 429) OR status >= 500 AS retry FROM (SELECT event_id, CAST(event_id % 8 AS INT) AS attempts, CAST(event_id % 3 AS INT) AS batch, CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 404 WHEN 4 THEN NULL ELSE 408 END AS status FROM events))""",
     "trend_hourly": f"WITH {BEACONS} SELECT hour, site, query, count(*) AS n FROM b GROUP BY ALL",
     "trend_visitors": f"WITH {BEACONS} SELECT day, query, count(DISTINCT visitor) AS people FROM b GROUP BY ALL",
-    "trending_rising": f"""WITH {BEACONS}, c AS (SELECT query, count(*) FILTER (hour >= {NOW_HOUR} - 24) AS recent, count(*) FILTER (hour < {NOW_HOUR} - 24) AS before FROM b WHERE hour >= {NOW_HOUR} - 72 GROUP BY query),
-        p AS (SELECT query, count(DISTINCT visitor) AS people FROM b WHERE day >= {NOW_HOUR} // 24 - 1 GROUP BY query)
-        SELECT query, recent, before, people, round(recent * log2(2 + recent / (before / 2 + 1)), 6) AS score FROM c JOIN p USING (query) WHERE recent > 0 AND people >= 5""",
     "trend_by_day": f"WITH {BEACONS} SELECT day, count(*) AS n FROM b GROUP BY day",
     "trend_by_site": f"WITH {BEACONS} SELECT site, count(*) AS n FROM b GROUP BY site ORDER BY n DESC, site LIMIT 40",
     "trend_suggestions": docs("""SELECT query FROM (SELECT DISTINCT trim(regexp_replace(regexp_extract(title, '^(.*?)(?:\\s+[|—·–-]\\s+.*)?$', 1), '\\s*[(\\[][^)\\]]*[)\\]]?\\s*$', '')) AS query FROM
         (SELECT * FROM e WHERE exposure = 3 AND length(title) BETWEEN 3 AND 48 ORDER BY sort_at DESC, rid DESC LIMIT 200)) WHERE query <> '' ORDER BY sha256(concat('480000|', query)) LIMIT 8"""),
-    "rate_limit": f"WITH {BEACONS} SELECT visitor, event_id FROM b QUALIFY row_number() OVER (PARTITION BY visitor % 3, hour ORDER BY ts, event_id) <= 5",
     "saved_percolate": f"""WITH q AS (SELECT item_id AS saved_id, list_distinct(list_slice({toks('text')}, 1, 3)) AS words FROM benchmark), n AS (SELECT doc_id AS rid, {toks('text')} AS t FROM documents)
         SELECT saved_id, rid FROM q JOIN n ON list_has_all(t, words) WHERE len(words) > 0""",
     "seen_diff": """WITH w AS (SELECT user_id AS watch, list_distinct(list_sort(list(event_type || '-' || CAST(event_id % 7 AS STRING)))) AS urls FROM events GROUP BY user_id), x AS (SELECT watch, list_sort(urls) AS urls, list_sort(list_filter(urls, lambda u: u < 'e')) AS seen FROM w)
         SELECT watch, array_to_string(list_filter(urls, lambda u: NOT list_contains(seen, u)), ',') AS new FROM x""",
-    "url_dedupe_union": f"""WITH u AS (SELECT 0 AS step, page_id AS position, url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 1, page_id, url FROM pages), k AS (SELECT *, {URL_KEY} AS url_key FROM u)
-        SELECT url_key, step, position FROM k QUALIFY row_number() OVER (PARTITION BY url_key ORDER BY step, position) = 1""",
     "scope_groups": docs("""SELECT scope, ordinal, position, rid FROM (SELECT scope, ordinal, rid, row_number() OVER (PARTITION BY scope ORDER BY sort_at DESC, rid) AS position FROM e JOIN (VALUES ('videos', 'vod', 0), ('people', 'channel', 1), ('shop', 'offer', 2)) s(scope, type, ordinal) USING (type) WHERE exposure = 3) WHERE position <= 20"""),
-    "code_merge": """WITH c AS (SELECT role AS source, 'r' || CAST(conv_id % 20 AS STRING) AS repo, 'f' || CAST(conv_id % 7 AS STRING) AS path, conv_id % 100 AS stars, turn AS line, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE 'mit' END AS licence, conv_id AS last_commit FROM conversations)
-        SELECT repo, path, max(stars) AS stars, max(last_commit) AS last_commit, min(licence) AS licence, min(line) AS line_start, max(line) AS line_end, count(*) AS n_lines, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM c GROUP BY repo, path""",
     "code_context": """WITH l AS (SELECT conv_id AS file, turn AS line, list_contains(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), 'the') AS match FROM conversations)
         SELECT DISTINCT a.file, a.line FROM l a JOIN l b ON a.file = b.file AND b.match AND abs(a.line - b.line) <= 2""",
     "provider_stats": """WITH c AS (SELECT CAST(ts AS DATE) AS day, event_type AS provider, CAST(value AS DOUBLE) AS ms, user_id % 3 <> 0 AS answered FROM events)
@@ -159,10 +209,6 @@ SQL = {
         SELECT run, max(ms) FILTER (n = ceil(total * 0.5)) AS p50, max(ms) FILTER (n = ceil(total * 0.95)) AS p95, round(avg(CASE WHEN place BETWEEN 1 AND 10 THEN 1.0 ELSE 0.0 END), 6) AS hit10, round(avg(CASE WHEN place > 0 THEN 1.0 / place ELSE 0.0 END), 6) AS mrr FROM o GROUP BY run""",
     "offer_catalogue": """SELECT p_brand AS brand, count(*) AS offers, count(DISTINCT l_suppkey) AS sellers, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""",
     "coverage_rollup": docs("SELECT owner, type, count(*) AS n FROM e WHERE exposure = 3 GROUP BY ROLLUP (owner, type)"),
-    "source_health": """WITH s AS (SELECT user_id AS source, user_id % 11 <> 0 AS enabled, user_id % 7 <> 0 AS configured, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'view') AS successes FROM events WHERE event_id % 13 = 0 GROUP BY user_id)
-        SELECT source, CASE WHEN NOT enabled THEN 'off' WHEN NOT configured THEN 'unconfigured' WHEN failures >= 3 THEN 'down' WHEN failures > 0 THEN 'degraded' WHEN successes > 0 THEN 'ok' ELSE 'unknown' END AS health FROM s""",
-    "context_packing": """WITH f AS (SELECT doc_id AS rid, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position, n_chars AS chars FROM documents WHERE doc_id % 50 = 1), t AS (SELECT *, sum(chars) OVER (ORDER BY position) AS total FROM f)
-        SELECT rid, position FROM t WHERE position = 1 OR (position <= 12 AND total <= 60000)""",
     "saved_upsert": """WITH r AS (SELECT user_id AS subject, 'n' || CAST(event_id % 9 AS STRING) AS name, rtrim(translate(base64(unhex(sha256('q ' || CAST(event_id % 40 AS STRING)))), '+/', '-_'), '=')[1:22] AS hash, event_id AS t FROM events),
         o AS (SELECT subject, hash, min(t) AS created_at, arg_max(name, t) AS name FROM r GROUP BY subject, hash)
         SELECT subject, hash, created_at, name FROM o QUALIFY row_number() OVER (PARTITION BY subject ORDER BY created_at, hash) <= 12""",
@@ -171,8 +217,6 @@ SQL = {
     "dashboard_totals": docs("SELECT count(*) AS documents, count(DISTINCT owner) AS owners, count(DISTINCT type) AS kinds FROM e WHERE exposure = 3"),
     "session_queries": f"""WITH {BEACONS}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY visitor ORDER BY ts, event_id)),
         k AS (SELECT *, sum(new) OVER (PARTITION BY visitor ORDER BY ts, event_id) AS part FROM g) SELECT visitor, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, count(*) AS n FROM k GROUP BY visitor, part""",
-    "code_rank": """SELECT repo, path, stars, exact FROM (SELECT 'r' || CAST(conv_id AS STRING) AS repo, 'f' || CAST(turn AS STRING) AS path, conv_id % 100 AS stars, conv_id % 13 AS last_commit, CAST(regexp_matches(coalesce(text, ''), '(?i)(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)') AS INTEGER) AS exact FROM conversations)
-        ORDER BY exact DESC, stars DESC, last_commit DESC, repo, path LIMIT 50""",
     "hybrid_rerank": search(["the", "of"]) + f""", {KNN}, a AS (SELECT *, row_number() OVER (ORDER BY rank, importance DESC, recency DESC, rid) AS kr FROM s QUALIFY kr <= 100), v AS (SELECT rid, row_number() OVER (ORDER BY distance, rid) AS vr FROM knn),
         u AS (SELECT coalesce(a.rid, v.rid) AS rid, round(coalesce(1.0 / (60 + kr), 0.0) + coalesce(1.0 / (60 + vr), 0.0), 9) AS score, kr, vr, a.cover, a.tier, a.title_words FROM a FULL JOIN v ON a.rid = v.rid),
         x AS (SELECT *, row_number() OVER (ORDER BY score DESC, kr ASC NULLS LAST, vr ASC NULLS LAST, rid) AS fused FROM u)
@@ -180,4 +224,101 @@ SQL = {
     "stream_trend_hourly": f"WITH {BEACONS} SELECT hour, site, query, count(*) AS n FROM b GROUP BY ALL",
     "stream_inbox": "SELECT event_id, event_type FROM events",
     "stream_revision_merge": f"WITH {LOG} SELECT key, revision, deleted, content FROM l QUALIFY row_number() OVER (PARTITION BY key ORDER BY revision DESC, deleted DESC, arrival) = 1",
+    "snippet": snippets(["the"]),
+    "snippet_prefix": snippets(["erth"], True, f"WHERE NOT starts_with(array_to_string({toks('title')}, ' '), array_to_string({toks('replace(replace(snippet, chr(1), ' + chr(39) * 2 + '), chr(2), ' + chr(39) * 2 + ')')}, ' '))"),
+    "normalize_hash": docs(f"SELECT rid, {HASH} AS content_hash FROM d"),
+    "embedding_pending": docs("SELECT rid FROM d WHERE NOT deleted AND visibility = 'public' AND publication_state = 'published' AND NOT EXISTS (SELECT 1 FROM embeddings x WHERE x.vec_id = rid AND x.vec_id % 7 <> 0 AND rid % 6 <> 0)"),
+    "deals_order": docs(f"""SELECT rid, tier FROM (SELECT rid, CASE WHEN len(list_filter({toks('title')}, lambda t: t = 'the' OR starts_with(t, 'the') OR (length(t) >= 4 AND starts_with('the', t)))) > 0 THEN 0 WHEN rid % 3 = 0 THEN 1 ELSE 2 END AS tier, round(1 / (60 + rid % 17), 9) AS score FROM e WHERE type = 'offer' AND exposure = 3)
+        ORDER BY tier, score DESC, CASE WHEN rid % 3 = 0 THEN rid END ASC NULLS LAST, CASE WHEN rid % 3 <> 0 THEN rid END ASC NULLS LAST, rid LIMIT 40"""),
+    "trending_rising": f"WITH {BEACONS} " + rising(),
+    "trending_list": f"""WITH {BEACONS}, own AS ({rising("site = 'view'", "LIMIT 12")}), net AS ({rising(limit="LIMIT 12")}),
+        x AS (SELECT *, 0 AS source FROM own UNION ALL SELECT *, 1 FROM net WHERE query NOT IN (SELECT query FROM own))
+        SELECT query, false AS suggested, row_number() OVER (ORDER BY source, score DESC, recent DESC, query) AS place FROM x QUALIFY place <= 12""",
+    "rate_limit": f"""WITH RECURSIVE {BEACONS}, g AS (SELECT visitor % 3 AS who, visitor, ts, event_id FROM b), w(who, s) AS (SELECT who, min(ts) FROM g GROUP BY who UNION ALL SELECT w.who, min(g.ts) FROM w JOIN g ON g.who = w.who AND g.ts >= w.s + INTERVAL 6 HOURS GROUP BY w.who)
+        SELECT visitor, event_id FROM (SELECT g.visitor, g.event_id, row_number() OVER (PARTITION BY g.who, w.s ORDER BY g.ts, g.event_id) AS n FROM g ASOF JOIN w ON g.who = w.who AND g.ts >= w.s) WHERE n <= 5""",
+    "url_dedupe_union": f"""WITH u AS (SELECT 0 AS step, page_id AS position, url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 1, page_id, url FROM pages), k AS (SELECT *, {URL_KEY} AS url_key FROM u)
+        SELECT url_key, step, position FROM k QUALIFY url_key IS NULL OR row_number() OVER (PARTITION BY url_key ORDER BY step, position) = 1""",
+    "code_merge": f"WITH {CODE} SELECT cm.* EXCLUDE (k), sources FROM cm JOIN cs USING (k, ref, path)",
+    "code_filters": f"WITH {CODE} SELECT repo, ref, path FROM cm WHERE lower(language) = 'py' AND lower(licence) = 'l1' AND contains(lower(repo), 'r1')",
+    "code_rank": """SELECT repo, path, stars, exact FROM (SELECT 'r' || CAST(conv_id AS STRING) AS repo, 'f' || CAST(turn AS STRING) AS path, conv_id % 100 AS stars, conv_id % 13 AS last_commit, CAST(regexp_matches(coalesce(text, ''), '(^|[^A-Za-z0-9_$])thered([^A-Za-z0-9_$]|$)') AS INTEGER) AS exact FROM conversations)
+        ORDER BY exact DESC, stars DESC, last_commit DESC, repo, path LIMIT 50""",
+    "source_health": """WITH o AS (SELECT user_id AS source, max((ts, event_id)) FILTER (event_type = 'view') AS ok_at FROM events GROUP BY user_id),
+        s AS (SELECT source, source % 11 <> 0 AS enabled, source % 7 <> 0 AS configured, count(*) FILTER (event_type = 'error' AND (ok_at IS NULL OR (ts, event_id) > ok_at)) AS consecutive, any_value(ok_at) IS NOT NULL AS succeeded FROM events JOIN o ON user_id IS NOT DISTINCT FROM source GROUP BY source)
+        SELECT source, CASE WHEN NOT enabled THEN 'off' WHEN NOT configured THEN 'unconfigured' WHEN consecutive >= 3 THEN 'down' WHEN consecutive > 0 THEN 'degraded' WHEN succeeded THEN 'ok' ELSE 'unknown' END AS health FROM s""",
+    "context_packing": """WITH f AS (SELECT doc_id AS rid, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position, n_chars AS chars FROM documents), t AS (SELECT *, sum(chars) OVER (ORDER BY position) AS total FROM f)
+        SELECT rid, position FROM t WHERE position = 1 OR (position <= 12 AND total <= 60000)""",
+    "search_folded": either(search(["mas", "la"]), search(["mas", "la"], any_word=True, weights=True)),
+    "search_question": search(["erer"], question=True) + TOP,
+    "keyword_or_relaxed": either(search(["the", *LOOSE]), search(LOOSE, any_word=True, weights=True)),
+    "search_filtered": search(["the", "of"], extra="AND owner = 'src3' AND lang = 'en' AND sort_at > '2024-02-01' AND size_bucket IN ('medium', 'large')") + TOP.replace("LIMIT 20", "LIMIT 50"),
+    "search_mine": search(["the"], seen("u1"), extra="AND subject = 'u1'") + TOP.replace("LIMIT 20", "LIMIT 10"),
+    "site_tier": search(["the", "of", "and"], site=on_site("src3\\.example|and\\.example", "src4\\.example")) + TOP,
+    "site_candidates": search(["example", "old"], site=on_site("src1\\.example|src2\\.example", "src3\\.example"), site_only=True) + TOP,
+    "search_boilerplate": search(["the"], boilerplate="regexp_matches(summary, '[a-m]$')") + TOP,
+    "search_undated": search(["the"], fresh=False) + TOP,
+    "search_page_cursor": search(["the", "of"]) + TOP.replace("LIMIT 20", "LIMIT 7 OFFSET 14"),
+    "browse_cursor": docs("SELECT rid, sort_at FROM e WHERE exposure = 3 ORDER BY sort_at DESC, rid DESC LIMIT 15 OFFSET 15"),
+    "index_search": search(["the", "of"]) + TOP,
+    "index_search_signed_in": search(["the", "of"], seen("u1", ("g1",), ("e1",))) + TOP,
+    "index_relaxed": either(search(["the", *LOOSE]), search(LOOSE, any_word=True, weights=True)),
+    "index_merge": f"WITH {DOCS}, {POSTINGS} SELECT audience, term, count(DISTINCT rid) AS n FROM p WHERE rid % 5 <> 0 GROUP BY audience, term",
+    "result_projection": docs(f"SELECT rid, owner, type, id, revision, visibility, title, nullif(summary, '') AS summary, canonical_url, lang, sort_at FROM e WHERE {seen('u1')}"),
+    "embedding_upsert": docs("SELECT vec_id AS rid, label + CASE WHEN vec_id % 3 = 0 THEN 1000 ELSE 0 END AS version FROM embeddings WHERE vec_id IN (SELECT rid FROM e WHERE exposure = 3)"),
+    "embedding_text": docs("SELECT rid, sha256(substr(concat_ws(chr(10), nullif(title, ''), nullif(summary, ''), nullif(body, '')), 1, 500)) AS text_hash FROM d"),
+    "embedding_batches": docs("SELECT count(*) AS documents, true AS bounded FROM e WHERE exposure = 3"),
+    "hybrid_search": search(["the", "of"]) + f""", {near("x.vec_id IN (SELECT rid FROM e WHERE exposure = 3)", "0.3")},
+        a AS (SELECT rid, row_number() OVER (ORDER BY rank, importance DESC, recency DESC, rid) AS kr FROM s QUALIFY kr <= 100), v AS (SELECT rid, row_number() OVER (ORDER BY distance, rid) AS vr FROM near),
+        u AS (SELECT coalesce(a.rid, v.rid) AS rid, round(coalesce(1.0 / (60 + kr), 0.0) + coalesce(1.0 / (60 + vr), 0.0), 9) AS score, kr, vr FROM a FULL JOIN v ON a.rid = v.rid),
+        f AS (SELECT u.*, owner, title, tier0, words0, (type <> 'channel' AND length(title) <= 24 AND length(summary) <= 80) OR title = '' AS thin, row_number() OVER (ORDER BY score DESC, kr ASC NULLS LAST, vr ASC NULLS LAST, u.rid) AS fused FROM u JOIN pt USING (rid)),
+        o AS (SELECT *, row_number() OVER (ORDER BY tier0 DESC, words0 DESC, thin, fused) AS place FROM f),
+        x AS (SELECT rid, place FROM o QUALIFY row_number() OVER (PARTITION BY lower(owner), lower({spaced('title')}) ORDER BY place) = 1)
+        SELECT rid, row_number() OVER (ORDER BY place) AS position FROM x QUALIFY position BETWEEN 21 AND 40""",
+    "hybrid_gate": "SELECT * FROM (VALUES (0, 'keyword', 'no_vectors'), (1, 'keyword', 'short_query'), (2, 'keyword', 'ai_unavailable'), (3, 'keyword', 'ai_unavailable'), (4, 'hybrid', NULL)) t(n, ranking, reason)",
+    "vector_join": docs(f", {KNN} SELECT e.rid, owner, type, distance FROM e JOIN knn USING (rid) WHERE exposure = 3 AND distance <= 0.95").replace("FROM i) , knn", "FROM i), knn"),
+    "beacon_normalised": """WITH t AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(regexp_replace(substr(text, 1, 60), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g')), '^[\\s"''`.,;:!?()\\[\\]{}<>-]+|[\\s"''`.,;:!?()\\[\\]{}<>-]+$', '', 'g') AS q FROM conversations)
+        SELECT conv_id, turn, CASE WHEN length(q) BETWEEN 2 AND 80 AND len(string_split(q, ' ')) <= 8 AND NOT regexp_matches(q, '\\S+@\\S+\\.\\S+') AND NOT regexp_matches(q, '(?:\\+?\\d[\\s().-]*){7,}') AND NOT regexp_matches(q, '\\d{6,}')
+        AND NOT regexp_matches(q, '(?i)\\b(?:https?://|www\\.)\\S+') AND NOT regexp_matches(q, '\\b[A-Za-z0-9_-]{24,}\\b') AND NOT regexp_matches(q, '(?i)\\b(idiot|scum\\w*)\\b') THEN lower(q) END AS query FROM t""",
+    "trend_visitor_hash": "SELECT event_id, sha256(concat_ws('|', CAST(CAST(ts AS DATE) AS STRING), CAST(user_id AS STRING), event_type))[1:24] AS visitor FROM events",
+    "trend_retention": f"WITH {BEACONS} SELECT count(*) AS kept FROM (SELECT DISTINCT hour, site, query FROM b WHERE hour >= 473808)",
+    "code_streams": "SELECT 'r' || CAST(conv_id AS STRING) AS repo, 'f' || CAST(turn AS STRING) AS path, conv_id % 9 AS stars, turn + 1 AS line FROM conversations WHERE turn % 4 <> 3",
+    "code_grep": "SELECT conv_id, turn, 'a/b' || CAST(conv_id AS STRING) || '.py' AS path, turn AS number, 'x: y' AS text FROM conversations WHERE turn % 3 <> 2",
+    "code_fragments": "SELECT doc_id AS rid, CAST(len(string_split(substr(text, 1, instr(text, split_part(text, chr(10), 3)) - 1), chr(10))) AS BIGINT) AS line FROM documents WHERE split_part(text, chr(10), 3) <> ''",
+    "code_repos": "SELECT p_name AS full_name, p_partkey AS pushed_at FROM part WHERE p_size % 2 <> 0 ORDER BY p_partkey DESC, p_name LIMIT 20",
+    "provider_scores": "SELECT conv_id, turn AS position, round(1 - turn / 8.0, 6)::DOUBLE AS score FROM conversations",
+    "source_quota": "SELECT event_id AS call_id FROM (SELECT event_id, user_id % 4 AS source, epoch_us(ts) // 1000 // 600 AS t FROM events) QUALIFY row_number() OVER (PARTITION BY source, floor(t / 60000) ORDER BY t, event_id) <= 3",
+    "answer_costs": "SELECT user_id AS answer, count(*) AS steps, count(*) FILTER (event_type <> 'error') AS answered, round(sum(CASE WHEN event_id % 5 <> 0 THEN event_id % 7 / 4 ELSE 0.0 END), 6)::DOUBLE AS cost, max(CASE WHEN event_id % 5 <> 0 THEN value ELSE 0.0 END) AS slowest FROM events GROUP BY user_id",
+    "web_filters": f"SELECT page_id FROM pages WHERE (page_id % 4 = 0 OR page_id % 60 >= 29) AND ({HOST} = 'example.com' OR ends_with({HOST}, '.example.com'))",
+    "document_errors": docs("""SELECT rid, array_to_string(errors, ',') AS errors FROM (SELECT rid, list_filter([
+        CASE WHEN NOT regexp_matches(o, '^[a-z][a-z0-9-]{1,39}$') THEN '/owner malformed' END, CASE WHEN rv < 0 THEN '/revision out of range' END,
+        CASE WHEN NOT deleted AND t IS NULL THEN '/title required' END, CASE WHEN NOT deleted AND length(t) > 500 THEN '/title too long' END, CASE WHEN NOT deleted AND length(summary) > 4000 THEN '/summary too long' END,
+        CASE WHEN NOT deleted AND length(body) > 48000 THEN '/body too long' END, CASE WHEN NOT deleted AND (length(u) > 2048 OR NOT regexp_matches(u, '^https?://')) THEN '/canonical_url malformed' END], lambda x: x IS NOT NULL) AS errors
+        FROM (SELECT *, CASE WHEN rid % 7 = 0 THEN 'Not Ok' ELSE owner END AS o, CASE WHEN rid % 11 = 0 THEN -1 ELSE revision END AS rv, CASE WHEN rid % 13 = 0 THEN 'ftp://x' ELSE canonical_url END AS u, CASE WHEN rid % 17 = 0 THEN NULL ELSE title END AS t FROM d)) WHERE len(errors) > 0"""),
+    "document_lookup": docs("SELECT rid, revision FROM d WHERE owner = 'src11' AND type = 'vod' AND id = '151'"),
+    "path_identity": docs("SELECT rid, owner = 'src11' AND type = 'vod' AND id = '151' AS same FROM d"),
+    "delete_requests": f"WITH {LOG}, t AS (SELECT key, revision FROM l QUALIFY row_number() OVER (PARTITION BY key ORDER BY revision DESC, deleted DESC, arrival) = 1), q AS (SELECT DISTINCT event_id % 500 AS key, CASE WHEN event_id % 3 = 0 THEN event_id END AS revision FROM events) SELECT key, coalesce(q.revision, t.revision, 0) AS revision, true AS deleted FROM q LEFT JOIN t USING (key)",
+    "purge_due": f"WITH {QUEUE}, x AS (SELECT * FROM pq WHERE state = 'pending' AND due_at <= 5000 ORDER BY seq LIMIT 200) SELECT seq, zone, CAST((row_number() OVER (PARTITION BY zone ORDER BY seq) - 1) // 30 AS BIGINT) AS batch FROM x",
+    "purge_counts": f"WITH {QUEUE} SELECT state, count(*) AS n, count(*) FILTER (state = 'pending' AND due_at <= 5000) AS due FROM pq GROUP BY state",
+    "owner_feed": "SELECT event_id AS seq, user_id FROM events WHERE event_type = 'click' AND event_id > 300 ORDER BY event_id LIMIT 51",
+    "removal_reasons": docs("SELECT rid, CASE WHEN deleted THEN 'deleted' WHEN visibility = 'draft' THEN 'draft' WHEN publication_state <> 'published' THEN 'not_published' WHEN visibility <> 'public' THEN 'visibility_changed' ELSE 'noindex' END AS reason FROM e WHERE exposure < 3"),
+    "indexed_since": docs("SELECT count(*) AS n FROM e WHERE exposure = 3 AND sort_at > '2024-10-01'"),
+    "saved_due": "SELECT event_id AS id FROM events ORDER BY CASE WHEN event_id % 3 = 0 THEN event_id * 31 % 997 ELSE event_id * 17 % 1009 END, event_id LIMIT 25",
+    "account_export": f"WITH {SAVED} SELECT hash, created_at FROM u WHERE subject = 'u7'",
+    "account_erase": f"WITH {SAVED} SELECT subject, count(*) AS n FROM u WHERE subject NOT IN ('u7', 'u9') GROUP BY subject",
+    "outbox_relay": "(SELECT event_id AS id, 'send' AS state FROM events WHERE event_id % 3 = 0 ORDER BY event_id LIMIT 20) UNION ALL SELECT event_id, 'prune' FROM events WHERE event_id % 3 <> 0 AND event_id * 1000 <= 1500000",
+    "cache_prune": "SELECT key, value FROM (SELECT event_id % 700 AS key, max(event_id) AS value FROM events GROUP BY 1) WHERE value + 4000 > 12800",
+    "saved_notify": """WITH s AS (SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN event_id * 100 END AS lr, event_id * 50 AS ca FROM events WHERE event_id < 60), m AS (SELECT s.id, count(*) AS n, min(event_id) AS first FROM s JOIN events ON event_id % 60 = s.id AND event_id > coalesce(lr, ca) WHERE s.id % 7 <> 0 GROUP BY s.id)
+        SELECT s.id, CASE WHEN s.id % 7 = 0 THEN coalesce(lr, 0) ELSE greatest(coalesce(lr, 0), 20000) END AS last_run_at, n, first FROM s LEFT JOIN m USING (id)""",
+    "web_watch": """WITH w AS (SELECT user_id AS watch, list_sort(list_distinct(list(event_type || '-' || CAST(event_id % 7 AS STRING)))) AS urls FROM events GROUP BY user_id), x AS (SELECT *, CASE watch % 5 WHEN 0 THEN [] WHEN 1 THEN urls ELSE list_filter(urls, lambda u: u < 'e') END AS seen FROM w),
+        y AS (SELECT *, list_filter(urls, lambda u: NOT list_contains(seen, u)) AS fresh FROM x)
+        SELECT watch, CASE WHEN len(seen) = 0 THEN 'baseline' WHEN len(fresh) > 0 THEN 'notified' ELSE 'unchanged' END AS outcome, CASE WHEN len(seen) > 0 THEN array_to_string(fresh, ',') ELSE '' END AS new, least(20, len(fresh) + len(seen)) AS n_seen FROM y""",
+    "guarded_casts": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE event_id % 3 WHEN 0 THEN epoch_us(ts) // 1000 WHEN 1 THEN epoch_ms(TIMESTAMP '2024-05-01 10:00:00') END AS at FROM events",
+    "cleaned_texts": f"SELECT doc_id AS rid, sha256({cleaned('concat(' + chr(39) + ' ' + chr(39) + ', chr(7), text, chr(133), ' + chr(39) + ' ' + chr(39) + ')')}) AS hash FROM documents",
+    "seen_urls": "SELECT page_id, translate(base64(unhex(sha256(url))), '+/', '-_')[1:16] AS seen_key FROM pages",
+}
+SQL |= {
+    "stream_visitors": SQL["trend_visitors"],
+    "stream_rate_limit": SQL["rate_limit"],
+    "stream_percolate": SQL["saved_percolate"],
+    "stream_exposure_feed": f"""WITH {LOG}, t AS (SELECT key, revision, CASE WHEN deleted THEN 0 WHEN content = 'view' THEN 1 ELSE 3 END AS exposure FROM l QUALIFY row_number() OVER (PARTITION BY key ORDER BY revision DESC, deleted DESC, arrival) = 1)
+        SELECT key, revision, 'indexed' AS event, 0 AS previous, exposure FROM t WHERE exposure > 0""",
 }

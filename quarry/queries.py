@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens
+from quarry.engine import Engine
+from quarry.functions.text import clean_text, host, parse_query, parse_time, relaxed, tokens
 from quarry.operators import federation as fed
-from quarry.operators import ingest, saved, search, trending, vector
+from quarry.operators import index, ingest, saved, search, trending, vector
 from quarry.operators import visibility as vis
 from quarry.oracles import SQL  # noqa: F401
-from quarry.schema import Match, Viewer
+from quarry.schema import Filters, Match, Profile, Sites, Viewer
 from quarry.sources.adapter import beacons, index_documents, revision_log
 from quarry.streaming import jobs
 
 QUERIES: dict = {}
+#: Facets that the content hash covers, by key.
+HASHED = [("duration_seconds", "duration"), ("followers", "followers"), ("live", "live"), ("size", "size_bucket")]
 HIT = ("rid", "rank", "importance", "recency")
 
 
@@ -54,12 +57,68 @@ named("suggest_titles", lambda s, d: top(s, d, Match(("th",), prefix=True, field
 @query
 def keyword_relaxed(spark, sf_dir):
     """Any word, weighted by how rare it is among listed documents; two bounded counts come first."""
+    docs, match = docs_of(spark, sf_dir), Match(("idiot", "clown"), any=True)
+    return search.page(search.search_set(docs, match, Viewer(), search.weights_of(docs, match))).select(*HIT)
+
+
+def page_rows(spark, page, *columns):
+    """A page (bounded by the engine's limit) as rows again."""
+    kinds = {"rid": "long", "rank": "double", "importance": "long", "recency": "string", "position": "int", "sort_at": "string"}
+    return spark.createDataFrame([tuple(r[c] for c in columns) for r in page.rows], ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+
+def asked(spark, sf_dir, text, *args, **kw):
+    return Engine(docs_of(spark, sf_dir), **{k: kw.pop(k) for k in ("sites", "index_path", "profile") if k in kw}).search(text, *args, **kw)
+
+
+SITES = Sites("example", aliases=(("old", ("src1.example", "src2.example")),), help_host="src3.example")
+
+# the engine, asked with texts
+named("search_folded", lambda s, d: page_rows(s, asked(s, d, "MÁS la"), *HIT))
+named("search_question", lambda s, d: page_rows(s, asked(s, d, "how do the erer"), *HIT))
+named("keyword_or_relaxed", lambda s, d: page_rows(s, asked(s, d, "the idiot clown moron trash scum stupid loser"), *HIT))
+named("search_filtered", lambda s, d: page_rows(s, asked(s, d, "the of", filters=Filters(owner="src3", language="en", since="2024-02-01", facets=(("size", ("medium", "large")),)), limit=500), *HIT))
+named("search_mine", lambda s, d: page_rows(s, asked(s, d, "the", Viewer("u1"), Filters(subject="u1"), 10), *HIT))
+named("site_tier", lambda s, d: page_rows(s, asked(s, d, "the of and", sites=Sites("the", "{word}.example", (("of", ("src3.example",)),), "src4.example")), *HIT))
+named("site_candidates", lambda s, d: page_rows(s, asked(s, d, "example old", sites=SITES), *HIT))
+named("search_boilerplate", lambda s, d: search.page(search.search_set(docs_of(s, d), Match(("the",)), profile=Profile(boilerplate="[a-m]$"))).select(*HIT))
+named("search_undated", lambda s, d: search.page(search.search_set(docs_of(s, d), Match(("the",)), profile=Profile(freshness=0.0))).select(*HIT))
+
+
+@query
+def search_page_cursor(spark, sf_dir):
+    """The third page, by the cursors of the first two."""
+    engine, cursor = Engine(docs_of(spark, sf_dir)), None
+    for _ in range(3):
+        page = engine.search("the of", limit=7, cursor=cursor)
+        cursor = page.cursor
+    return page_rows(spark, page, *HIT)
+
+
+@query
+def browse_cursor(spark, sf_dir):
+    engine = Engine(docs_of(spark, sf_dir))
+    return page_rows(spark, engine.browse(limit=15, cursor=engine.browse(limit=15).cursor), "rid", "sort_at")
+
+
+def stored_index(spark, sf_dir):
+    """A fresh version of the stored index in the shared folder."""
+    path = jobs._folder(spark, "index")
+    index.store(docs_of(spark, sf_dir), path)
+    return path
+
+
+named("index_search", lambda s, d: page_rows(s, asked(s, d, "the of", index_path=stored_index(s, d)), *HIT))
+named("index_search_signed_in", lambda s, d: page_rows(s, asked(s, d, "the of", Viewer("u1", ("g1",), ("e1",)), index_path=stored_index(s, d)), *HIT))
+named("index_relaxed", lambda s, d: page_rows(s, asked(s, d, "the idiot clown moron trash scum stupid loser", index_path=stored_index(s, d)), *HIT))
+
+
+@query
+def index_merge(spark, sf_dir):
+    """The index after every fifth document is removed, as (term, audience, documents)."""
     docs = docs_of(spark, sf_dir)
-    words = ("idiot", "clown")
-    df = search.term_df(docs).where(F.col("term").isin(*words)).select("term", search.word_weight(F.col("df")).alias("w"))
-    missing = spark.range(1).select(search.word_weight(F.lit(0)).alias("w")).first()[0]
-    weights = dict.fromkeys(words, missing) | {r[0]: r[1] for r in df.collect()}
-    return search.page(search.search_set(docs, Match(words, any=True), Viewer(), weights)).select(*HIT)
+    postings, _ = index.merged(*index.build(docs), docs.where("rid % 5 = 0").withColumn("exposure", F.lit(0)))
+    return postings.groupBy("audience", "term").agg(F.count("*").alias("n"))
 
 
 @query
@@ -78,8 +137,7 @@ def facet_filter(spark, sf_dir):
 
 @query
 def facet_counts(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    return search.facet_counts(docs, search.search_set(docs, Match(("the",))), ["lang", "size", "live", "type"])
+    return search.facet_counts(search.search_set(docs_of(spark, sf_dir), Match(("the",))), ["lang", "size", "live", "type"])
 
 
 @query
@@ -91,16 +149,25 @@ def rank_components(spark, sf_dir):
 @query
 def snippet(spark, sf_dir):
     match = Match(("the",))
-    return search.snippet(top(spark, sf_dir, match), match).select("rid", "snippet")
+    return search.snippet(docs_of(spark, sf_dir), top(spark, sf_dir, match), match)
+
+
+@query
+def snippet_prefix(spark, sf_dir):
+    """Snippets of a prefix query on titles, less those that only repeat the title."""
+    docs, match = docs_of(spark, sf_dir), Match(("erth",), prefix=True)
+    found = search.snippet(docs, top(spark, sf_dir, match), match).join(docs.select("rid", "title"), "rid")
+    return found.where(~search.repeats_title(F.col("snippet"), F.col("title"))).select("rid", "snippet")
 
 
+named("result_projection", lambda s, d: search.projected(vis.visible(docs_of(s, d), Viewer("u1"))))
 named("browse_newest", lambda s, d: search.browse(docs_of(s, d)).select("rid", "sort_at"))
 
 # derived columns and visibility
 named("effective_indexability", lambda s, d: docs_of(s, d).select("rid", "index_decision", F.array_join("reasons", ",").alias("reasons")))
 named("exposure_levels", lambda s, d: docs_of(s, d).select("rid", "exposure"))
 named("exposure_counts", lambda s, d: docs_of(s, d).groupBy("exposure").agg(F.count("*").alias("n"), F.count_if("deleted").alias("tombstones")))
-named("normalize_hash", lambda s, d: index_documents(s, d).select("rid", F.sha2(F.concat_ws("|", "owner", "type", "id", "title", "summary"), 256).alias("content_hash")))
+named("normalize_hash", lambda s, d: index_documents(s, d).select("rid", ingest.content_hash(HASHED).alias("content_hash")))
 named("acl_keys", lambda s, d: vis.acl_keys(docs_of(s, d)))
 named("facet_pairs", lambda s, d: vis.facet_pairs(docs_of(s, d)))
 named("visible_anonymous", lambda s, d: vis.visible(docs_of(s, d), Viewer()).select("rid"))
@@ -153,15 +220,63 @@ def rrf_fusion(spark, sf_dir):
 
 @query
 def embedding_pending(spark, sf_dir):
-    docs = vis.visible(docs_of(spark, sf_dir), Viewer()).select("rid", F.lit("v1").alias("content_hash"))
-    kept = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rid"), F.lit("v1").alias("content_hash"), F.lit("m").alias("model"), F.when(F.col("vec_id") % 7 != 0, F.size("embedding")).otherwise(0).alias("dim"))
+    """Public documents (noindex ones too) without a current embedding: none, of other content, or of another dimension."""
+    docs = index_documents(spark, sf_dir).where("not deleted and visibility = 'public' and publication_state = 'published'").select("rid", ingest.content_hash(HASHED).alias("content_hash"))
+    had = index_documents(spark, sf_dir).select("rid", F.when(F.col("rid") % 6 == 0, F.lit("old")).otherwise(ingest.content_hash(HASHED)).alias("content_hash"))
+    kept = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rid"), F.lit("m").alias("model"), F.when(F.col("vec_id") % 7 != 0, F.size("embedding")).otherwise(0).alias("dim")).join(had, "rid")
     return vector.embedding_pending(docs, kept, "m", 64).select("rid")
 
 
+@query
+def embedding_upsert(spark, sf_dir):
+    """Embeddings after some are made anew and documents that aren't public are dropped."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rid"), F.lit("m").alias("model"), F.col("label").cast("long").alias("version"))
+    fresh = rows.where("rid % 3 = 0").withColumn("version", F.col("version") + 1000)
+    return vector.embedding_upsert(rows, fresh, vis.visible(docs_of(spark, sf_dir), Viewer())).select("rid", "version")
+
+
+named("embedding_text", lambda s, d: index_documents(s, d).select("rid", F.sha2(vector.embedding_text(500), 256).alias("text_hash")))
+
+
+@query
+def embedding_batches(spark, sf_dir):
+    """Batches of at most 32 for the embedding client; how many there are and that none is larger."""
+    rows = vector.batches(vis.visible(docs_of(spark, sf_dir), Viewer()).select("rid"), 32)
+    return rows.groupBy("part", "batch").agg(F.count("*").alias("n")).agg(F.sum("n").alias("documents"), (F.max("n") <= 32).alias("bounded"))
+
+
+@query
+def hybrid_search(spark, sf_dir):
+    """The engine's hybrid page: words and a vector, both lists fused, tiers, one of each title; the second page by its cursor."""
+    docs = docs_of(spark, sf_dir)
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rid"), "embedding")
+    vector_ = list(rows.where("rid = 7").first().embedding)
+    engine = Engine(docs, embeddings=rows, dim=len(vector_))
+    first = engine.search("the of", limit=20, vector_=vector_)
+    return page_rows(spark, engine.search("the of", limit=20, cursor=first.cursor, vector_=vector_), "rid", "position")
+
+
+@query
+def hybrid_gate(spark, sf_dir):
+    """Which ranking a query gets, and why."""
+    docs, rows = docs_of(spark, sf_dir), read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rid"), "embedding")
+    cases = [(Engine(docs), "the", [0.0]), (Engine(docs, embeddings=rows), "t", [0.0]), (Engine(docs, embeddings=rows), "the", None), (Engine(docs, embeddings=rows, dim=64), "the", [0.0]), (Engine(docs, embeddings=rows, dim=1), "the", [0.0])]
+    return spark.createDataFrame([(i, e.state(q, v)["ranking"], e.state(q, v).get("reason")) for i, (e, q, v) in enumerate(cases)], "n long, ranking string, reason string")
+
+
+@query
+def vector_join(spark, sf_dir):
+    """Nearest listed documents with their kinds: the floor, the join and the owner filter."""
+    near = nearest(spark, sf_dir).where("distance <= 0.95")
+    return vis.visible(docs_of(spark, sf_dir), Viewer()).join(near, "rid").select("rid", "owner", "type", "distance")
+
+
 @query
 def deals_order(spark, sf_dir):
-    offers = vis.visible(docs_of(spark, sf_dir), Viewer()).where("type = 'offer'")
-    return offers.select("rid", F.coalesce(vector.deals_tier("the", tokens(F.col("title"))), F.lit(1)).alias("tier"))
+    """Offers of a fused list: head-noun matches, keyword hits, the rest."""
+    offers = vis.visible(docs_of(spark, sf_dir), Viewer()).where("type = 'offer'").select("rid", tokens(F.col("title")).alias("words"))
+    fused = offers.withColumns({"keyword_rank": F.when(F.col("rid") % 3 == 0, F.col("rid")), "vector_rank": F.when(F.col("rid") % 3 != 0, F.col("rid")), "score": F.round(1 / (60 + F.col("rid") % 17), 9)})
+    return vector.deals_order(fused, F.col("words"), ("the",)).limit(40).select("rid", "tier")
 
 
 # ingest
@@ -224,9 +339,20 @@ def trending_rising(spark, sf_dir):
 
 @query
 def rate_limit(spark, sf_dir):
-    """The limiter with an hour as its minute, so that the sparse beacons meet it: five searches of a visitor group an hour."""
-    rows = beacons(spark, sf_dir).withColumn("who", F.col("visitor")).withColumn("visitor", F.col("visitor") % 3).withColumn("real", F.col("ts")).withColumn("ts", F.timestamp_seconds(F.col("hour") * 60 + (F.unix_micros("ts") % 3600000000) / 60000000))
-    return trending.rate_limited(rows, 5).select(F.col("who").alias("visitor"), "event_id")
+    """Five searches of a visitor group in six hours from the first one on."""
+    rows = beacons(spark, sf_dir).withColumn("who", F.col("visitor")).withColumn("visitor", F.col("visitor") % 3)
+    return trending.rate_limited(rows, 5, 6 * 3600).select(F.col("who").alias("visitor"), "event_id")
+
+
+@query
+def trending_list(spark, sf_dir):
+    rows = beacons(spark, sf_dir)
+    return long(trending.trending_list(rows, docs_of(spark, sf_dir), rows.agg(F.max("hour")).first()[0], "view", 12), "place")
+
+
+named("beacon_normalised", lambda s, d: read(s, d, "conversations").select("conv_id", "turn", trending.counted_query(F.substring("text", 1, 60), ("idiot", "scum\\w*")).alias("query")))
+named("trend_visitor_hash", lambda s, d: read(s, d, "events").select("event_id", trending.visitor_hash(F.to_date("ts").cast("string"), F.col("user_id").cast("string"), F.col("event_type")).alias("visitor")))
+named("trend_retention", lambda s, d: trending.retained(trending.hourly(beacons(s, d)), 474000, 8).agg(F.count("*").alias("kept")))
 
 
 # continuous and federated
@@ -254,13 +380,53 @@ def scope_groups(spark, sf_dir):
     return long(fed.scope_groups(vis.visible(docs_of(spark, sf_dir), Viewer()), scopes, 20), "position")
 
 
+def code_rows(spark, sf_dir):
+    c = F.col
+    return read(spark, sf_dir, "conversations").select(
+        F.when(c("role") == "user", c("conv_id") * 1000 + c("turn")).otherwise(10_000_000 + c("conv_id") * 1000 + c("turn")).alias("position"), c("role").alias("source"),
+        F.concat(F.when(c("conv_id") % 2 == 0, "R").otherwise("r"), (c("conv_id") % 20).cast("string")).alias("repo"), F.when(c("conv_id") % 5 != 0, F.concat(F.lit("c"), (c("conv_id") % 2).cast("string"))).alias("ref"),
+        F.concat(F.lit("f"), (c("conv_id") % 7).cast("string")).alias("path"), F.when(c("conv_id") % 11 != 0, "link").alias("permalink"),
+        (c("conv_id") % 100).alias("stars"), c("turn").alias("line"), F.when(c("conv_id") % 3 != 0, F.concat(F.lit("l"), (c("conv_id") % 4).cast("string"))).alias("licence"), F.when(c("turn") % 2 == 1, "py").alias("language"), c("conv_id").alias("last_commit"))
+
+
+named("code_merge", lambda s, d: fed.code_merge(code_rows(s, d)).withColumn("sources", F.array_join("sources", ",")))
+named("code_filters", lambda s, d: fed.code_filter(fed.code_merge(code_rows(s, d)), "PY", "R1", "L1").select("repo", "ref", "path"))
+
+
 @query
-def code_merge(spark, sf_dir):
+def code_streams(spark, sf_dir):
+    """Event-stream responses made of conversations, read as matches."""
     c = F.col
-    rows = read(spark, sf_dir, "conversations").select(
-        c("role").alias("source"), F.concat(F.lit("r"), (c("conv_id") % 20).cast("string")).alias("repo"), F.concat(F.lit("f"), (c("conv_id") % 7).cast("string")).alias("path"),
-        (c("conv_id") % 100).alias("stars"), c("turn").alias("line"), F.when(c("conv_id") % 3 != 0, "mit").alias("licence"), c("conv_id").alias("last_commit"))
-    return fed.code_merge(rows).withColumn("sources", F.array_join("sources", ","))
+    match = F.to_json(F.array(F.struct(F.lit("content").alias("type"), F.concat(F.lit("r"), c("conv_id")).alias("repository"), F.concat(F.lit("f"), c("turn")).alias("path"), F.when(c("turn") % 4 != 3, "c1").alias("commit"), (c("conv_id") % 9).alias("repoStars"), F.array(F.struct(F.lit("x").alias("line"), c("turn").alias("lineNumber"))).alias("lineMatches"))))
+    texts = read(spark, sf_dir, "conversations").select(F.concat(F.lit("event: progress\ndata: {}\n\nevent: matches\ndata: "), match, F.lit("\n\nevent: done\ndata: {}\n\n\nevent: matches\ndata: [{")).alias("text"))
+    return fed.stream_matches(texts).select("repo", "path", "stars", F.col("lines")[0].cast("long").alias("line"))
+
+
+@query
+def code_grep(spark, sf_dir):
+    c = F.col
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(c("turn") % 3 != 2, F.concat(F.lit("a/b"), c("conv_id"), F.lit(".py:"), c("turn"), F.lit(":x: y"))).otherwise(F.lit("binary file matches")).alias("line"))
+    return fed.grep_rows(rows).select("conv_id", "turn", "path", F.col("number").cast("long").alias("number"), "text")
+
+
+@query
+def code_fragments(spark, sf_dir):
+    """Where the third line of a text stands in it."""
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), "text", F.get(F.split("text", "\n"), F.lit(2)).alias("part")).where("part <> ''")
+    return rows.select("rid", fed.fragment_lines(F.col("text"), F.col("part"))[0].cast("long").alias("line"))
+
+
+named("code_repos", lambda s, d: fed.newest_repos(read(s, d, "part").select(F.col("p_name").alias("full_name"), (F.col("p_size") % 2 == 0).alias("private"), F.col("p_partkey").alias("pushed_at"))).select("full_name", "pushed_at"))
+named("provider_scores", lambda s, d: fed.provider_rows(read(s, d, "conversations").select("conv_id", F.col("turn").alias("position"), F.lit(8).alias("n"))).select("conv_id", "position", "score"))
+named("source_quota", lambda s, d: fed.quota(read(s, d, "events").select((F.col("user_id") % 4).alias("source"), (F.unix_millis(F.col("ts").cast("timestamp")) / 600).cast("long").alias("at"), F.col("event_id").alias("call_id")), 3).where("allowed").select("call_id"))
+named("answer_costs", lambda s, d: fed.answer_costs(read(s, d, "events").select(F.col("user_id").alias("answer"), (F.col("event_type") != "error").alias("answered"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 7 / 4).alias("cost"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("ms"))))
+
+
+@query
+def web_filters(spark, sf_dir):
+    """Web results of a site and of a time; undated ones stay."""
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 4 != 0, F.col("page_id") % 60).alias("day"))
+    return rows.where(fed.fresh_enough(30, 59) & fed.on_site(host(F.col("url")), "example.com")).select("page_id")
 
 
 @query
@@ -326,8 +492,84 @@ named("session_queries", lambda s, d: saved.sessions(beacons(s, d)))
 @query
 def code_rank(spark, sf_dir):
     c = F.col
-    rows = read(spark, sf_dir, "conversations").select(F.concat(F.lit("r"), c("conv_id").cast("string")).alias("repo"), F.concat(F.lit("f"), c("turn").cast("string")).alias("path"), (c("conv_id") % 100).alias("stars"), (c("conv_id") % 13).alias("last_commit"), F.coalesce("text", F.lit("")).alias("text"))
-    return fed.code_rank(rows, "the").select("repo", "path", "stars", "exact")
+    rows = read(spark, sf_dir, "conversations").select(F.concat(F.lit("r"), c("conv_id").cast("string")).alias("repo"), F.concat(F.lit("f"), c("turn").cast("string")).alias("path"), (c("conv_id") % 100).alias("stars"), (c("conv_id") % 13).alias("last_commit"), F.array(F.coalesce("text", F.lit(""))).alias("matches"))
+    return fed.code_rank(rows, "where is The the thered").select("repo", "path", "stars", "exact")
+
+
+# documents at the door, queues and accounts
+@query
+def document_errors(spark, sf_dir):
+    """Documents with planted faults, and what is said of each."""
+    c = F.col
+    docs = index_documents(spark, sf_dir).withColumns({"owner": F.when(c("rid") % 7 == 0, "Not Ok").otherwise(c("owner")), "revision": F.when(c("rid") % 11 == 0, -1).otherwise(c("revision")), "canonical_url": F.when(c("rid") % 13 == 0, "ftp://x").otherwise(c("canonical_url")), "title": F.when(c("rid") % 17 == 0, None).otherwise(c("title"))})
+    return docs.withColumn("e", ingest.errors()).where(F.size("e") > 0).select("rid", F.array_join(F.transform("e", lambda x: F.concat(x["path"], F.lit(" "), x["message"])), ",").alias("errors"))
+
+
+named("document_lookup", lambda s, d: index_documents(s, d).where("owner = 'src11' and type = 'vod' and id = '151'").select("rid", "revision"))
+named("path_identity", lambda s, d: index_documents(s, d).select("rid", ingest.same_identity(("src11", "vod", "151")).alias("same")))
+
+
+@query
+def delete_requests(spark, sf_dir):
+    """Tombstones of delete requests: the revision asked for, the stored one, or 0."""
+    asked_ = read(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("key"), F.when(F.col("event_id") % 3 == 0, F.col("event_id")).alias("revision")).distinct()
+    return ingest.deletions(asked_, ingest.latest(revision_log(spark, sf_dir)))
+
+
+def purge_queue(spark, sf_dir):
+    e = F.col("event_id")
+    return read(spark, sf_dir, "events").select(e.alias("seq"), (F.col("user_id") % 5).alias("zone"), F.when(e % 4 == 0, "done").otherwise("pending").alias("state"), (e * 7919 % 10007).alias("due_at"))
+
+
+named("purge_due", lambda s, d: long(ingest.purge_batches(ingest.purge_due(purge_queue(s, d), 5000)), "batch").select("seq", "zone", "batch"))
+named("purge_counts", lambda s, d: ingest.purge_counts(purge_queue(s, d), 5000))
+named("owner_feed", lambda s, d: ingest.feed(read(s, d, "events").select(F.col("event_type").alias("owner"), F.col("event_id").alias("seq"), "user_id"), "click", 300, 50).select("seq", "user_id"))
+named("removal_reasons", lambda s, d: docs_of(s, d).where("exposure < 3").select("rid", ingest.removal_reason().alias("reason")))
+named("indexed_since", lambda s, d: vis.visible(docs_of(s, d), Viewer()).where("sort_at > '2024-10-01'").agg(F.count("*").alias("n")))
+named("saved_due", lambda s, d: saved.due(read(s, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") * 31 % 997).alias("last_run_at"), (F.col("event_id") * 17 % 1009).alias("created_at")), 25).select("id"))
+named("account_export", lambda s, d: saved.exported({"saved": saved.upsert(saved_rows(s, d), 12)}, "u7")["saved"].select("hash", "created_at"))
+named("account_erase", lambda s, d: saved.erased(saved.upsert(saved_rows(s, d), 12), s.createDataFrame([("u7",), ("u9",)], "subject string")).groupBy("subject").agg(F.count("*").alias("n")))
+
+
+def saved_rows(spark, sf_dir):
+    e = F.col("event_id")
+    return read(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id") % 20).alias("subject"), F.lit("n").alias("name"), F.concat(F.lit("q"), (e % 40).cast("string")).alias("q"), e.alias("at"))
+
+
+@query
+def outbox_relay(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 1000).alias("at"))
+    return saved.relayed(rows, rows.where("id % 3 <> 0"), 2_000_000, 20, 500_000).select("id", "state")
+
+
+@query
+def cache_prune(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select((F.col("event_id") % 700).alias("key"), F.col("event_id").alias("value"), (F.col("event_id") + 4000).alias("expires_at"), F.col("event_id").alias("stored_at"))
+    return saved.cache_put(rows.where("value < 6000"), rows.where("value >= 6000"), 12_800).select("key", "value")
+
+
+@query
+def saved_notify(spark, sf_dir):
+    """One tick of saved searches: what is notified, and the watermarks after it."""
+    e = F.col("event_id")
+    saved_ = read(spark, sf_dir, "events").where("event_id < 60").select(e.alias("id"), F.when(e % 2 == 0, e * 100).alias("last_run_at"), (e * 50).alias("created_at"))
+    matches = read(spark, sf_dir, "events").select((e % 60).alias("saved_id"), e.alias("rid"), e.alias("at"))
+    sent, after = saved.notified(saved_, matches, spark.range(60).where("id % 7 = 0").withColumnRenamed("id", "saved_id"), 20_000)
+    return after.join(sent.select(F.col("saved_id").alias("id"), "n", F.col("rids")[0].alias("first")), "id", "left").select("id", "last_run_at", "n", "first")
+
+
+@query
+def web_watch(spark, sf_dir):
+    """One tick of web watches: baselines, news, nothing new."""
+    e = F.col("event_id")
+    found = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("watch")).agg(F.array_sort(F.collect_set(F.concat("event_type", F.lit("-"), (e % 7).cast("string")))).alias("urls"))
+    watches = found.select("watch", F.when(F.col("watch") % 5 == 0, F.array().cast("array<string>")).when(F.col("watch") % 5 == 1, F.col("urls")).otherwise(F.filter("urls", lambda u: u < "e")).alias("seen"))
+    return saved.watched(watches, found, 20).select("watch", "outcome", F.array_join("new", ",").alias("new"), F.size("seen_after").cast("long").alias("n_seen"))
+
+
+named("guarded_casts", lambda s, d: read(s, d, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') as bigint)").alias("k"), parse_time(F.when(F.col("event_id") % 3 == 0, F.col("ts").cast("string")).when(F.col("event_id") % 3 == 1, F.lit("2024-05-01T10:00:00Z")).otherwise(F.lit("soon"))).alias("at")))
+named("cleaned_texts", lambda s, d: read(s, d, "documents").select(F.col("doc_id").alias("rid"), F.sha2(clean_text(F.concat(F.lit(" \u0007"), "text", F.lit("\u0085 "))), 256).alias("hash")))
+named("seen_urls", lambda s, d: read(s, d, "pages").select("page_id", saved.base64url(F.sha2("url", 256), 16).alias("seen_key")))
 
 
 @query
@@ -342,3 +584,7 @@ def hybrid_rerank(spark, sf_dir):
 named("stream_trend_hourly", jobs.trend_hourly)
 named("stream_inbox", jobs.inbox)
 named("stream_revision_merge", jobs.revision_merge)
+named("stream_visitors", jobs.visitors)
+named("stream_rate_limit", jobs.rate_limit)
+named("stream_percolate", jobs.percolation)
+named("stream_exposure_feed", jobs.exposure_feed)

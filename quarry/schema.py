@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# What identities look like, and the limits of a document.
 OWNER, TYPE, ID = r"^[a-z][a-z0-9-]{1,39}$", r"^[a-z][a-z0-9_]{1,39}$", r"^[A-Za-z0-9][A-Za-z0-9._:~-]{0,127}$"
+LANGUAGE, FACET_KEY = r"^[a-zA-Z]{2,3}(-[A-Za-z0-9]{2,8})*$", r"^[a-z][a-z0-9_]{0,39}$"
 MAX_TITLE, MAX_SUMMARY, MAX_BODY, MAX_URL = 500, 4000, 48000, 2048
 NONE, RESTRICTED, UNLISTED, LISTED = 0, 1, 2, 3
 
@@ -41,6 +43,30 @@ class Profile:
     answer: float = 50.0
     answer_type: str = "article"
     cover: tuple[float, float, float] = (1.0, 0.6, 0.3)
+    #: a channel whose summary ends like this has no relevance but by its title
+    boilerplate: str | None = None
+
+
+@dataclass(frozen=True)
+class Sites:
+    """A network of sites: the word that names it, the host of another word, hosts by word where they differ, and the help site with pages under /a/<host>/."""
+
+    brand: str
+    template: str = "{word}.{brand}"
+    aliases: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    help_host: str | None = None
+
+
+@dataclass(frozen=True)
+class Filters:
+    """What a search is held to; identity never comes from here."""
+
+    owner: str | None = None
+    type: str | None = None
+    language: str | None = None
+    since: str | None = None
+    facets: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    subject: str | None = None
 
 
 @dataclass(frozen=True)

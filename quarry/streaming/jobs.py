@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import tokens
+from quarry.operators.federation import percolate
 from quarry.sources.adapter import events_as_beacons
 
 
 def shared(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir; only where it is unset on one machine, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="quarry-")
@@ -25,14 +30,58 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(stream: DataFrame, folder: str, mode: str = "append") -> str:
+def _trigger(every: str | None) -> dict:
+    """All that is there and then stop, or again and again."""
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def _run(stream: DataFrame, folder: str, mode: str = "append", every: str | None = None) -> str:
     out = f"{folder}/out"
-    stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(out).awaitTermination()
+    stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(**_trigger(every)).start(out).awaitTermination()
     return out
 
 
-def run_batches(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None]) -> None:
-    stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+def run_batches(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None], every: str | None = None) -> None:
+    stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint").trigger(**_trigger(every)).start().awaitTermination()
+
+
+class Versions:
+    """State in a shared folder, in buckets of a key's hash: a batch writes the buckets it touches, under its number.
+
+    A folder counts when it is complete, and a batch reads versions before its own, so a batch that is run again, after a driver
+    or a sink was lost, gives the same state. Nothing is kept on the driver.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+
+    def _list(self, pattern: str) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{pattern}")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        return [x.getPath().toString() for x in found or []]
+
+    def paths(self, before: int | None = None) -> dict[int, str]:
+        """The folder of each bucket's last version (before a batch)."""
+        done = {int(p.rsplit("/v=", 1)[1].split("/")[0]) for p in self._list("v=*/_SUCCESS")}
+        out: dict[int, tuple[int, str]] = {}
+        for p in self._list("v=*/bucket=*"):
+            v, b = (int(x) for x in p.rsplit("/v=", 1)[1].split("/bucket="))
+            if v in done and (before is None or v < before) and out.get(b, (-1, ""))[0] < v:
+                out[b] = (v, p)
+        return {b: p for b, (_, p) in out.items()}
+
+    def read(self, schema, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        found = [p for b, p in self.paths(before).items() if buckets is None or b in buckets]
+        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+
+    def merge(self, batch: DataFrame, key: str, n: int, combine: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """Combines a batch with the state of the buckets it touches, writes them as version n; returns the state before and after, of these buckets."""
+        schema, bucket = batch.schema, F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most as many as there are buckets
+        old = self.read(schema, n, touched)
+        combine(old.unionByName(batch)).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/v={n}")
+        return old, self.read(schema, n + 1, touched)
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -41,40 +90,109 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared(spark)}/quarry-stream/{name}-{uuid.uuid4().hex}"
 
 
-def trend_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling hours with the retention as watermark; the sink holds partial counts of each batch, summed on reading."""
-    folder = _folder(spark, "trend")
-    beacons = events_as_beacons(event_stream(spark, sf_dir)).withWatermark("ts", "8 days")
+def trend_hourly(spark: SparkSession, sf_dir: str, folder: str | None = None, every: str | None = None) -> DataFrame:
+    """Tumbling hours; the sink holds partial counts of each batch, summed on reading, so no state and no watermark is needed."""
+    folder = folder or _folder(spark, "trend")
 
     def handle(batch: DataFrame, n: int) -> None:
         batch.groupBy("hour", "site", "query").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
 
-    run_batches(beacons, folder, handle)
+    run_batches(events_as_beacons(event_stream(spark, sf_dir)), folder, handle, every)
     return spark.read.parquet(f"{folder}/out").groupBy("hour", "site", "query").agg(F.sum("n").alias("n"))
 
 
-def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inbox(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     """Exactly-once ingest: events delivered twice are kept once, by state over event_id within the watermark."""
-    folder = _folder(spark, "inbox")
     events = event_stream(spark, sf_dir)
     twice = events.unionByName(events)
     once = twice.withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["event_id"])
-    return spark.read.parquet(_run(once.select("event_id", "event_type"), folder))
+    return spark.read.parquet(_run(once.select("event_id", "event_type"), folder or _folder(spark, "inbox")))
+
+
+def visitors(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Distinct people of each day and query; who was seen is forgotten after two days."""
+    once = events_as_beacons(event_stream(spark, sf_dir)).withWatermark("ts", "2 days").dropDuplicatesWithinWatermark(["day", "query", "visitor"])
+    out = _run(once.select("day", "query", "visitor"), folder or _folder(spark, "visitors"))
+    return spark.read.parquet(out).groupBy("day", "query").agg(F.count("*").alias("people"))
+
+
+def rate_limit(spark: SparkSession, sf_dir: str, folder: str | None = None, per_window: int = 5, seconds: int = 6 * 3600) -> DataFrame:
+    """The searches a visitor group is allowed, in windows that its first search opens; a closed window's state goes with the watermark."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, batches, state):
+        until, n = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        keep = []
+        for t in rows["us"]:
+            if t >= until:
+                until, n = int(t) + seconds * 1_000_000, 0
+            n += 1
+            keep.append(n <= per_window)
+        state.update((until, n))
+        state.setTimeoutTimestamp(max(until // 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[keep, ["visitor", "event_id"]]
+
+    beacons_ = events_as_beacons(event_stream(spark, sf_dir)).withWatermark("ts", "1 day").select((F.col("visitor") % 3).alias("who"), "visitor", "event_id", "ts", F.unix_micros("ts").alias("us"))
+    allowed = beacons_.groupBy("who").applyInPandasWithState(step, "visitor long, event_id long", "until long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return spark.read.parquet(_run(allowed, folder or _folder(spark, "limit")))
+
+
+def percolation(spark: SparkSession, sf_dir: str, folder: str | None = None, every: str | None = None) -> DataFrame:
+    """Saved queries over a stream of documents: each batch is percolated once; a batch that is run again writes the same."""
+    folder = folder or _folder(spark, "percolate")
+    saved = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("saved_id"), F.slice(tokens(F.col("text")), 1, 3).alias("words"))
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir).select(F.col("doc_id").alias("rid"), "text")
+
+    def handle(batch: DataFrame, n: int) -> None:
+        percolate(saved, batch).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
 
+    run_batches(docs, folder, handle, every)
+    return spark.read.parquet(f"{folder}/out").select("saved_id", "rid")
 
-def revision_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest document of each key: every batch is merged into the state of the last by the revision rule; tombstones stay."""
-    folder = _folder(spark, "merge")
-    log = event_stream(spark, sf_dir).select(
+
+def _latest(rows: DataFrame) -> DataFrame:
+    w = Window.partitionBy("key").orderBy(F.desc("revision"), F.desc("deleted"), "arrival")
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def merge_into(log: DataFrame, folder: str, every: str | None = None) -> Versions:
+    """Latest document of each key by the revision rule, tombstones kept, and the exposure changes of each batch.
+
+    log: a stream of (arrival, key, revision, deleted, content). Started again on the same folder it goes on where it was.
+    """
+    state = Versions(log.sparkSession, f"{folder}/state")
+    level = F.when(F.col("deleted"), 0).when(F.col("content") == "view", 1).otherwise(3)
+
+    def handle(batch: DataFrame, n: int) -> None:
+        old, new = state.merge(batch, "key", n, _latest)
+        both = new.select("key", "revision", level.alias("exposure")).join(old.select("key", F.col("revision").alias("_had"), level.alias("previous")), "key", "left").where("_had is null or revision > _had")
+        rows = both.select("key", "revision", F.coalesce("previous", F.lit(0)).alias("previous"), "exposure")
+        events = rows.where("exposure < previous").withColumn("event", F.lit("removed")).unionByName(rows.where("exposure > 0").withColumn("event", F.lit("indexed")))
+        events.write.mode("overwrite").parquet(f"{folder}/events/batch={n}")
+
+    run_batches(log, folder, handle, every)
+    return state
+
+
+def _log(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("arrival"), (F.col("event_id") % 300).alias("key"), (F.floor(F.col("event_id") / 1500) + F.col("event_id") % 3).alias("revision"),
         (F.col("event_type") == "error").alias("deleted"), F.when(F.col("event_type") == "error", "tombstone").otherwise(F.col("event_type")).alias("content"))
-    state: dict = {}
 
-    def handle(batch: DataFrame, n: int) -> None:
-        rows = batch if "at" not in state else batch.unionByName(spark.read.parquet(state["at"]))
-        w = Window.partitionBy("key").orderBy(F.desc("revision"), F.desc("deleted"), "arrival")
-        rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{folder}/state-{n}")
-        state["at"] = f"{folder}/state-{n}"
 
-    run_batches(log, folder, handle)
-    return spark.read.parquet(state["at"]).select("key", "revision", "deleted", "content")
+def revision_merge(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    log = _log(event_stream(spark, sf_dir))
+    return merge_into(log, folder or _folder(spark, "merge")).read(log.schema).select("key", "revision", "deleted", "content")
+
+
+def exposure_feed(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The change events that the merge writes beside its state."""
+    folder = folder or _folder(spark, "feed")
+    merge_into(_log(event_stream(spark, sf_dir)), folder)
+    return spark.read.parquet(f"{folder}/events").select("key", "revision", "event", "previous", "exposure")

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import queries
+from quarry.engine import Engine
 from quarry.functions.text import clean, decode_cursor, encode_cursor, fold, parse_query, relaxed, url_key
-from quarry.operators import federation, ingest, search, trending, vector
+from quarry.operators import federation, index, ingest, search, trending, vector
 from quarry.operators import visibility as vis
-from quarry.schema import Match, Viewer
+from quarry.schema import Match, Sites, Viewer
 from quarry.sources.adapter import index_documents, revision_log
 from quarry.streaming import jobs
 
@@ -93,7 +94,7 @@ def test_pages_join_up(spark):
 def test_facets_stay_within_results(spark):
     docs = queries.docs_of(spark, SF)
     rows = search.search_set(docs, Match(("the",)))
-    counts = search.facet_counts(docs, rows, ["lang"]).collect()
+    counts = search.facet_counts(rows, ["lang"]).collect()
     assert sum(r["count"] for r in counts) == rows.count()
 
 
@@ -112,7 +113,11 @@ def test_query_parsing():
 def test_text_functions(spark):
     df = spark.createDataFrame([("Crème brûlée", " a\tb\n  c ", "https://WWW.Example.com:80/a/b//?x=1#f")], "t string, c string, u string")
     r = df.select(fold("t").alias("t"), clean(F.col("c")).alias("c"), url_key(F.col("u")).alias("u")).first()
-    assert tuple(r) == ("Creme brulee", "a b c", "example.com/a/b?x=1")
+    assert tuple(r) == ("Creme brulee", "a b c", "https://www.example.com:80/a/b//?x=1")
+    urls = ["https://a.b/", "https://A.b#x", "http://a.b:80/c/", "ftp://x/", "ftp://y/", None, None, "https://a.b?q"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "position int, url string")
+    got = sorted((x.position, x.url_key) for x in federation.url_union([rows]).collect())
+    assert got == [(0, "https://a.b"), (2, "http://a.b/c"), (3, "ftp://x"), (4, "ftp://y"), (5, None), (6, None), (7, "https://a.b/?q")]
 
 
 def test_rrf_order(spark):
@@ -184,3 +189,67 @@ def test_packing_is_of_all_documents(spark):
                 break
             want.append(r.doc_id)
         assert [r.rid for r in queries.QUERIES["context_packing"](spark, sf).orderBy("position").collect()] == want
+
+
+def test_stored_index_gives_what_a_scan_gives(spark, tmp_path):
+    docs, path = queries.docs_of(spark, SF).cache(), f"file://{tmp_path}/index"
+    index.store(docs, path)
+    postings, records = index.load(spark, path)
+    sites = Sites("the", "{word}.example", (("of", ("src3.example",)),))
+    cases = [(Match(("the", "of")), Viewer(), None, None), (Match(("the", "an"), prefix=True), Viewer("u1", ("g1",), ("e1",)), None, None), (Match(("the", "of")), Viewer(), None, sites)]
+    cases += [(Match(("idiot", "clown", "an"), prefix=True, any=True), Viewer("u2"), "w", None), (Match(("the",), field=search.TITLE), Viewer(), None, None)]
+    for match, viewer, weighted, sites_ in cases:
+        weights = search.weights_of(docs, match) if weighted else None
+        assert not weighted or weights == index.weights_of(postings, match)
+        keys = lambda rows: [tuple(r) for r in rows.select(*search.ORDER).orderBy("rid").collect()]
+        want = keys(search.search_set(docs, match, viewer, weights, sites=sites_))
+        assert want == keys(index.search_set(postings, records, match, viewer, weights, sites=sites_))
+        assert want
+    plan = spark._jvm.PythonSQLUtils.explainString(index.counted(postings, records, Match(("the",)))._jdf.queryExecution(), "formatted")
+    assert "EqualTo(term,the)" in plan and "regexp" not in plan
+
+
+def test_engine_pages_and_refusals(spark):
+    engine, whole, cursor = Engine(queries.docs_of(spark, SF).cache()), [], None
+    while True:
+        page = engine.search("the", limit=7, cursor=cursor)
+        whole += [r.rid for r in page.rows]
+        if not (cursor := page.cursor):
+            break
+    assert whole == [r.rid for r in search.page(engine.result_set(Match(("the",))), 1000).collect()]
+    first = engine.search("the", limit=7)
+    for text, cursor in (("of", first.cursor), ("the", "%%%")):
+        with pytest.raises(ValueError, match="cursor"):
+            engine.search(text, cursor=cursor)
+    with pytest.raises(ValueError, match="long"):
+        engine.search("x" * 501)
+    with pytest.raises(ValueError, match="facet"):
+        engine.search("the", facet_keys=("Bad",))
+    assert engine.search("!!").rows == []
+    assert engine.clamp(None) == 20 and engine.clamp(-3) == 1 and engine.clamp(999) == 50
+
+
+def test_folded_words_are_found(spark):
+    row = {"rid": 1, "owner": "o", "type": "page", "title": "Café crème", "summary": "", "body": "Straße ΆΛΦΑ", "exposure": 3}
+    docs = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'long' if k == 'rid' else 'int' if k == 'exposure' else 'string'}" for k in row))
+    for q in ("cafe", "CAFÉ creme", "straße", "αλφα"):
+        assert search.counted(docs, parse_query(q)).first()["n0_3" if "caf" in q.lower() else "n0_1"] == 1
+
+
+def test_merge_goes_on_after_a_restart(spark, tmp_path):
+    """Two runs on one folder give what one run gives; a batch run again changes nothing."""
+    rows = [(i, i % 7, i % 5, i % 11 == 0, f"c{i}") for i in range(60)]
+    schema = "arrival long, key long, revision long, deleted boolean, content string"
+    table = spark.createDataFrame(rows, schema).coalesce(1)
+    folder, source = f"file://{tmp_path}/job", f"{tmp_path}/in"
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    table.where("arrival < 25").write.parquet(f"{source}")
+    jobs.merge_into(stream(), folder)
+    table.where("arrival >= 25 and arrival < 40").write.mode("append").parquet(source)
+    table.where("arrival >= 40").write.mode("append").parquet(source)
+    state = jobs.merge_into(stream(), folder)  # nothing is left of the first run but its folder
+    got = lambda: sorted(map(tuple, state.read(table.schema).select("key", "revision", "deleted", "content").collect()))
+    want = sorted(map(tuple, ingest.latest(table).select("key", "revision", "deleted", "content").collect()))
+    assert got() == want
+    state.merge(table.where("arrival >= 40"), "key", 2, jobs._latest)
+    assert got() == want
