@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: So that workers, which live on from stage to stage, give freed memory back: one arena, no growing thresholds, Arrow on the same heap.
 LEAN = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: For work on many arrays of some MB, whose pages cost more than what they hold.
+ROOMY = LEAN | {"MALLOC_MMAP_THRESHOLD_": str(32 << 20), "MALLOC_TRIM_THRESHOLD_": str(64 << 20)}
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it (same path, or --py-files on a cluster), and keeps them lean."""
+def ship(spark: SparkSession, memory: dict[str, str] = LEAN) -> None:
+    """Lets Python workers import this package from where the driver has it (same path, or --py-files on a cluster), and sets how they keep memory."""
     env = spark.sparkContext.environment
-    for name, value in LEAN.items():
-        env.setdefault(name, value)
+    for name, value in memory.items():
+        if env.get(name) in (None, LEAN[name], ROOMY[name]):
+            env[name] = value
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
@@ -53,6 +60,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system, where the allocator can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc32_mod(column: str, by: int):
     """crc32 of an id written as text, modulo by: how the folds are dealt."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(by)
