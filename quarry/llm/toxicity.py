@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import crc32_mod, ship, stored
+from .common import crc32_mod, give_back, ship, stored
 
 MOST_TOXIC, MOST_CLEAN, MOST_BYTES, FEATURES, EPOCHS, BATCH, LANE, STEP = 1500, 3000, 16 << 20, 1 << 18, 10, 100, 64, 300
 OUT = "doc_id long, held_out boolean, score double, predicted int, n_toxic long, spans array<struct<start:int,end:int,p:double>>"
@@ -128,12 +128,12 @@ class Field:
         if not toxic or not clean:
             return
         texts, label = [*toxic, *clean], np.repeat([1, 0], [len(toxic), len(clean)])
-        feats, size = [], []
+        size = np.concatenate([np.bincount(_tokens(texts[i : i + STEP])[4], minlength=len(texts[i : i + STEP])) for i in range(0, len(texts), STEP)])
+        feats, at = np.empty((int(size.sum()), 7), np.int32), 0
         for i in range(0, len(texts), STEP):
-            raw, off, start, end, row = _tokens(texts[i : i + STEP])
-            feats.append(_features(raw, start, end, row))
-            size.append(np.bincount(row, minlength=len(off) - 1))
-        feats, size = np.concatenate(feats), np.concatenate(size)
+            raw, _, start, end, row = _tokens(texts[i : i + STEP])
+            feats[at : at + len(start)] = _features(raw, start, end, row)
+            at += len(start)
         begin = np.cumsum(size) - size
         rng = np.random.default_rng(7)
         order = rng.permutation(len(texts))
@@ -141,10 +141,12 @@ class Field:
         train = train[size[train] > 0]
         self._begin(feats, begin, size, train, label)
         self._fit(feats, begin, size, train, label, rng)
-        rows = self._gather(feats, begin, size, check)
-        marginal = self._marginals(rows, size[check])
-        cut = np.concatenate([[0], np.cumsum(size[check])])
-        self._fit_doc(np.column_stack(self._pooled(marginal, cut)), label[check].astype(float))
+        pooled = []
+        for i in range(0, len(check), BATCH):
+            some = check[i : i + BATCH]
+            marginal = self._marginals(self._gather(feats, begin, size, some), size[some])
+            pooled.append(np.column_stack(self._pooled(marginal, np.concatenate([[0], np.cumsum(size[some])]))))
+        self._fit_doc(np.concatenate(pooled), label[check].astype(float))
 
     @staticmethod
     def _gather(feats: np.ndarray, begin: np.ndarray, size: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -250,7 +252,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
         if held[r.toxic] <= MOST_BYTES:
             keep[r.toxic].append(r.doc_id)
     text = {r.doc_id: r.text for r in sample.where(F.col("doc_id").isin(keep[0] + keep[1])).select("doc_id", "text").collect()} if keep[0] and keep[1] else {}
-    return Field(*([text[i] for i in sorted(keep[k]) if i in text] for k in (1, 0)))
+    field = Field(*([text[i] for i in sorted(keep[k]) if i in text] for k in (1, 0)))
+    del text
+    give_back()
+    return field
 
 
 def _scores(shared):
