@@ -262,7 +262,7 @@ def _packed(part: pa.RecordBatch, codes: np.ndarray, off: np.ndarray, odd: np.nd
     head = HEAD.pack(part.num_rows, len(codes), len(odd), len(flat))
     # the codes as planes of bytes: the higher ones compress well
     columns = (doc.fill_null(0).to_numpy().astype("<i8"), doc.is_null().to_numpy(zero_copy_only=False).astype("u1"), off.astype("<i8"), np.ascontiguousarray(codes.astype("<u4").view("u1").reshape(-1, 4).T), odd.astype("<u4"), np.array([len(x) for x in ids], "<u4"), flat)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *(c.tobytes() for c in columns)]))
+    return zstandard.ZstdCompressor(level=5).compress(b"".join([head, *(c.tobytes() for c in columns)]))
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
@@ -300,7 +300,7 @@ def _bundle(code: np.ndarray, size: np.ndarray, flat: np.ndarray) -> bytes:
 
     wide = "<u4" if len(flat) and flat.max() >= 1 << 16 else "<u2"
     data = b"".join([np.array([len(code), len(flat)], "<u4").tobytes(), np.diff(code, prepend=0).astype("<i4").tobytes(), size.astype("u1").tobytes(), flat.astype(wide).tobytes()])
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=5).compress(data)
 
 
 def _unbundle(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
