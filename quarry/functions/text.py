@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
 import unicodedata
@@ -89,6 +90,13 @@ def clean_text(c) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", ""), r"^\s+|\s+$", "")
 
 
+def hmac_sha256(c, key: bytes) -> Column:
+    """Hex HMAC of a text's bytes, from the built-in hash."""
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytearray(b ^ x for b in key))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), F.encode(c, "UTF-8")), 256))), 256)
+
+
 def parse_time(c) -> Column:
     """Milliseconds since 1970 of an ISO-8601 text, null where it is none."""
     return F.unix_millis(F.try_to_timestamp(c))

@@ -64,10 +64,11 @@ def code_filter(rows: DataFrame, lang: str | None = None, repo: str | None = Non
     return rows.where(F.lower("repo").contains(repo.lower())) if repo else rows
 
 
-def code_context(lines: DataFrame, around: int = 2) -> DataFrame:
-    """Lines (file, line, text, match) within so many lines of a match."""
-    w = Window.partitionBy("file").orderBy("line").rangeBetween(-around, around)
-    return lines.withColumn("near", F.max(F.col("match").cast("int")).over(w)).where("near = 1").drop("near")
+def code_context(lines: DataFrame, around: int = 2, most: int = 120) -> DataFrame:
+    """Lines (file, line, text, match) within so many lines of a match, the first `most` of each file."""
+    w = Window.partitionBy("file").orderBy("line")
+    near = lines.withColumn("near", F.max(F.col("match").cast("int")).over(w.rangeBetween(-around, around))).where("near = 1").drop("near")
+    return near.withColumn("_n", F.dense_rank().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
 def packed(files: DataFrame, most_files: int, most_chars: int) -> DataFrame:

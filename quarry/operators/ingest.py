@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import clean_text, host
+from quarry.functions.text import clean_text, hmac_sha256, host
 from quarry.schema import ID, LANGUAGE, MAX_BODY, MAX_SUMMARY, MAX_TITLE, MAX_URL, OWNER, TYPE
 
 
@@ -86,6 +86,26 @@ def envelope_outcome() -> Column:
         .when(~(c("owner").rlike(OWNER) & c("type").rlike(TYPE) & c("id").rlike(ID)) | (c("revision") < 0), "invalid_document").otherwise("accepted"))
 
 
+#: What an envelope holds; the payload's own fields are read where the event is one of a document.
+ENVELOPE = "event_id string, event_type string, version int, source string, subject struct<type:string,id:string,revision:long>, payload struct<owner:string,type:string,id:string,revision:long,title:string,visibility:string,publication_state:string>"
+
+
+def envelopes(events: DataFrame, key: bytes, accepted: list[str]) -> DataFrame:
+    """Signed envelopes (body, signature) -> (event_id, outcome, owner, type, id, revision, deleted, title).
+
+    A body whose signature is wrong, or that is no envelope, is refused unread; a deletion takes its identity and revision alone.
+    """
+    good = F.lower("signature").eqNullSafe(hmac_sha256(F.col("body"), key))
+    rows = events.select(good.alias("good"), F.from_json("body", ENVELOPE).alias("e")).select("good", "e.*")
+    flat = rows.select(
+        "good", "event_id", "event_type", "source", F.col("source").isin(accepted).alias("accepted"), F.col("subject.type").alias("subject_type"), F.col("subject.id").alias("subject_id"), F.col("subject.revision").alias("subject_revision"),
+        F.col("payload.owner").alias("owner"), F.col("payload.type").alias("type"), F.col("payload.id").alias("id"), F.coalesce("payload.revision", "subject.revision").alias("revision"), F.col("payload.title").alias("title"))
+    outcome = F.when(~F.col("good"), "bad_signature").when(F.col("event_id").isNull() | F.col("event_type").isNull(), "malformed").otherwise(envelope_outcome())
+    deleted = F.col("event_type").endswith(".deleted")
+    kept = lambda c: F.when(F.col("outcome") == "accepted", F.col(c))
+    return flat.withColumn("outcome", outcome).withColumn("deleted", deleted).select(F.when(F.col("good"), F.col("event_id")).alias("event_id"), "outcome", *(kept(c).alias(c) for c in ("owner", "type", "id", "revision", "deleted")), F.when(~F.col("deleted"), kept("title")).alias("title"))
+
+
 def removal_reason() -> Column:
     return F.when(F.col("deleted"), "deleted").when(F.col("visibility") == "draft", "draft").when(F.col("publication_state") != "published", "not_published").when(F.col("visibility") != "public", "visibility_changed").otherwise("noindex")
 

@@ -35,6 +35,31 @@ def acl_keys(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("exposure") == RESTRICTED).select("rid", F.inline(pairs))
 
 
+def acl_pairs(docs: DataFrame) -> DataFrame:
+    """(rid, kind, value) from an acl of sets (subjects, groups, entitlements), of restricted documents; each value once."""
+
+    def of(kind: str, name: str) -> Column:
+        return F.transform(F.array_distinct(F.coalesce(F.col(f"acl.{name}"), F.array().cast("array<string>"))), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    pairs = F.concat(of("s", "subjects"), of("g", "groups"), of("e", "entitlements"))
+    return docs.where(F.col("exposure") == RESTRICTED).select("rid", F.inline(pairs))
+
+
+def acl_allows_sets(viewer: Viewer) -> Column:
+    """acl_allows() for an acl of sets."""
+    if viewer.subject is None:
+        return F.lit(False)
+    holds = lambda c, values: F.coalesce(F.arrays_overlap(F.col(f"acl.{c}"), F.array(*map(F.lit, values))), F.lit(False)) if values else F.lit(False)
+    named = holds("subjects", (viewer.subject,))
+    return F.when(F.col("visibility") == "private", named).otherwise(named | holds("groups", viewer.groups) | holds("entitlements", viewer.entitlements))
+
+
+def facet_map_pairs(docs: DataFrame) -> DataFrame:
+    """(rid, key, value) from a map of facets with lists of texts, of documents that anyone may see; each value of a key once."""
+    entries = docs.where(F.col("exposure") > NONE).select("rid", F.explode("facets").alias("key", "values"))
+    return entries.select("rid", "key", F.explode(F.array_distinct("values")).alias("value")).where("value is not null")
+
+
 #: The facets of a document and where they stand in its row.
 FACETS = (("lang", "lang"), ("size", "size_bucket"), ("followers", "followers"), ("duration_seconds", "duration"), ("live", "live"), ("type", "type"))
 

@@ -322,3 +322,19 @@ SQL |= {
     "stream_exposure_feed": f"""WITH {LOG}, t AS (SELECT key, revision, CASE WHEN deleted THEN 0 WHEN content = 'view' THEN 1 ELSE 3 END AS exposure FROM l QUALIFY row_number() OVER (PARTITION BY key ORDER BY revision DESC, deleted DESC, arrival) = 1)
         SELECT key, revision, 'indexed' AS event, 0 AS previous, exposure FROM t WHERE exposure > 0""",
 }
+
+
+def hmac(c: str, key: bytes) -> str:
+    """The definition: two hashes with the padded key."""
+    pad = lambda x: "from_hex('" + bytes(b ^ x for b in key.ljust(64, b"\0")).hex() + "')"
+    return f"sha256({pad(0x5C)} || from_hex(sha256({pad(0x36)} || encode({c}))))"
+
+
+SQL |= {
+    "envelope_documents": """WITH x AS (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'bad_signature' WHEN event_type = 'view' THEN 'ignored' WHEN user_id % 4 = 0 THEN 'owner_mismatch' WHEN event_id % 10 = 3 THEN 'subject_mismatch' ELSE 'accepted' END AS outcome, event_type = 'error' AS dead FROM events)
+        SELECT outcome, CASE WHEN outcome = 'accepted' THEN dead END AS deleted, count(*) AS n, count(DISTINCT CASE WHEN outcome = 'accepted' THEN event_id % 900 END) AS ids, sum(CASE WHEN outcome = 'accepted' THEN event_id END)::BIGINT AS revisions, min(CASE WHEN outcome = 'accepted' AND NOT dead THEN 'T ' || CAST(event_id AS STRING) END) AS title FROM x GROUP BY ALL""",
+    "signatures": f"SELECT conv_id, turn, {hmac('text', b'k1')} AS signature FROM conversations",
+    "acl_pairs": docs("SELECT DISTINCT rid, kind, value FROM (SELECT rid, 's' AS kind, subject AS value FROM e WHERE exposure = 1 UNION ALL SELECT rid, 's', 'u' || CAST(rid % 3 AS STRING) FROM e WHERE exposure = 1 UNION ALL SELECT rid, 'g', grp FROM e WHERE exposure = 1 AND rid % 4 <> 0 UNION ALL SELECT rid, 'e', entitlement FROM e WHERE exposure = 1)"),
+    "acl_sets_visible": docs("SELECT rid FROM e WHERE exposure = 1 AND CASE WHEN visibility = 'private' THEN (subject = 'u2' OR rid % 3 = 2) ELSE (subject = 'u2' OR rid % 3 = 2 OR (rid % 4 <> 0 AND grp = 'g1') OR entitlement = 'e1') END"),
+    "facet_map_pairs": docs("SELECT DISTINCT rid, key, value FROM (SELECT rid, 'tag' AS key, 't' || CAST(rid % 7 AS STRING) AS value FROM e WHERE exposure > 0 UNION ALL SELECT rid, 'tag', 't' || CAST(rid % 5 AS STRING) FROM e WHERE exposure > 0 UNION ALL SELECT rid, 'lang', lang FROM e WHERE exposure > 0) WHERE value IS NOT NULL"),
+}

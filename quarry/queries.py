@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.engine import Engine
-from quarry.functions.text import clean_text, host, parse_query, parse_time, relaxed, tokens
+from quarry.functions.text import clean_text, hmac_sha256, host, parse_query, parse_time, relaxed, tokens
 from quarry.operators import federation as fed
 from quarry.operators import index, ingest, saved, search, trending, vector
 from quarry.operators import visibility as vis
@@ -497,6 +497,34 @@ def code_rank(spark, sf_dir):
 
 
 # documents at the door, queues and accounts
+@query
+def envelope_documents(spark, sf_dir):
+    """Signed envelopes made of events: what becomes of each, and the document it holds."""
+    e = F.col("event_id")
+    kind = F.when(F.col("event_type") == "error", "wiki.index_document.deleted").when(F.col("event_type") == "view", "wiki.page.viewed").otherwise("wiki.index_document.upserted")
+    id_ = F.concat(F.lit("d"), e % 900)
+    body = F.to_json(F.struct(e.cast("string").alias("event_id"), kind.alias("event_type"), F.lit(1).alias("version"), F.when(F.col("user_id") % 4 == 0, "shop").otherwise("wiki").alias("source"),
+                              F.struct(F.lit("page").alias("type"), F.when(e % 10 == 3, "x").otherwise(id_).alias("id"), e.alias("revision")).alias("subject"), F.struct(F.lit("wiki").alias("owner"), F.lit("page").alias("type"), id_.alias("id"), F.concat(F.lit("T "), e).alias("title")).alias("payload")))
+    rows = read(spark, sf_dir, "events").select(e, body.alias("body")).withColumn("signature", F.when(e % 17 == 0, "0").otherwise(hmac_sha256(F.col("body"), b"secret")))
+    return ingest.envelopes(rows, b"secret", ["wiki"]).groupBy("outcome", "deleted").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum("revision").alias("revisions"), F.min("title").alias("title"))
+
+
+named("signatures", lambda s, d: read(s, d, "conversations").select("conv_id", "turn", hmac_sha256(F.col("text"), b"k1").alias("signature")))
+
+
+def with_sets(spark, sf_dir):
+    """The documents with an acl of sets and a map of facets."""
+    r = F.col("rid")
+    acl = F.struct(F.array("subject", F.concat(F.lit("u"), r % 3), F.col("subject")).alias("subjects"), F.when(r % 4 != 0, F.array("grp")).alias("groups"), F.array("entitlement").alias("entitlements"))
+    facets = F.create_map(F.lit("tag"), F.array(F.concat(F.lit("t"), r % 7), F.concat(F.lit("t"), r % 5)), F.lit("lang"), F.array("lang"))
+    return docs_of(spark, sf_dir).withColumns({"acl": acl, "facets": facets})
+
+
+named("acl_pairs", lambda s, d: vis.acl_pairs(with_sets(s, d)))
+named("acl_sets_visible", lambda s, d: with_sets(s, d).where((F.col("exposure") == 1) & vis.acl_allows_sets(Viewer("u2", ("g1",), ("e1",)))).select("rid"))
+named("facet_map_pairs", lambda s, d: vis.facet_map_pairs(with_sets(s, d)))
+
+
 @query
 def document_errors(spark, sf_dir):
     """Documents with planted faults, and what is said of each."""
