@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroid_clusters import oracle as clusters_sql
 from .common import table
 from .mtree import SQL as TOP_K_SQL
 
@@ -80,12 +81,31 @@ def op10_warc(spark, sf_dir):
     return read_archives(write_archives(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_approximate_neighbours(spark, sf_dir):
+    from .vptree import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    from . import periodic_runs as P
+
+    return P.digests(P.periodic_runs(table(spark, sf_dir, "documents"), prepare=P.planted))
+
+
+def op13_centroid_clustering(spark, sf_dir):
+    from .centroid_clusters import clusters
+
+    return clusters(table(spark, sf_dir, "embeddings"))[0]
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_suffix_array_dedup, op3_html_extraction, op4_language_id, op5_benchmark_decontamination, op6_exact_top_k, op7_toxicity, op8_ngram_jaccard_join, op9_token_output, op10_warc)
+    for f in (op1_sentencepiece, op2_suffix_array_dedup, op3_html_extraction, op4_language_id, op5_benchmark_decontamination, op6_exact_top_k, op7_toxicity, op8_ngram_jaccard_join, op9_token_output, op10_warc, op11_approximate_neighbours, op12_periodic_runs, op13_centroid_clustering)
 }
 SQL: dict[str, str] = {
     "op6_exact_top_k": TOP_K_SQL,
+    "op13_centroid_clustering": clusters_sql(),
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
              d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
