@@ -27,7 +27,7 @@ def brute_near(rows, k=10, every=100):
                 if i != q and len(v) == len(once[q]):
                     total = 0.0
                     for a, b in zip(once[q], v, strict=True):
-                        total += (a - b) ** 2
+                        total += (a - b) * (a - b)
                     near.append((math.sqrt(total), i))
             out += [(q, n + 1, i, d) for n, (d, i) in enumerate(sorted(near)[:k])]
     return out
