@@ -144,8 +144,8 @@ def oracle(k: int = 8, rounds: int = 10, dim: int = 64, scale: int = 1024, seed:
         parts.append(f"a{i} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, arg_min(cluster, d * {k} + cluster) AS cluster, min(d) AS distance FROM (SELECT k.vec_id, k.v, c.cluster, CAST({away} AS BIGINT) AS d FROM k, c{i} AS c) GROUP BY vec_id)")
         if i < rounds:
             parts.append(
-                f"c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} AS c LEFT JOIN (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY at) AS v "
-                f"FROM (SELECT cluster, at, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS at FROM a{i}) GROUP BY cluster, at) GROUP BY cluster) AS m USING (cluster))")
+                f"c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} AS c LEFT JOIN (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS v "
+                f"FROM (SELECT cluster, place, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{i}) GROUP BY cluster, place) GROUP BY cluster) AS m USING (cluster))")
     return (
         "WITH " + ",\n".join(parts) + f"\nSELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, "
         f"CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} AS a JOIN c{rounds} AS c USING (cluster)")
