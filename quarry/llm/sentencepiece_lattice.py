@@ -217,8 +217,8 @@ def cut_words(keys: pa.Array, m: Model) -> tuple[pa.DictionaryArray, np.ndarray]
     return parts.dictionary_encode(), np.searchsorted(at, off)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[tuple[int, pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
-    """Blocks of a task's rows: (id, rows, words, codes, offsets). The id is a hash of what the block holds."""
+def _blocks(batches: Iterator[pa.RecordBatch], m: Model, block: int = 0) -> Iterator[tuple[int, pa.RecordBatch, pa.Array, np.ndarray, np.ndarray]]:
+    """Blocks of a task's rows: (id, rows, words, codes, offsets). Ids count on from block: tasks begin far apart, so equal blocks of two tasks stay two."""
     for batch in batches:
         size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))])
         i = 0
@@ -232,15 +232,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[tuple[int,
             each = many[codes] if len(codes) else np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum(each)])
             out = flat[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])] if len(codes) else flat
-            text, where = buffers(cuts.dictionary)
-            seed = zlib.crc32(ends[off].tobytes(), zlib.crc32(out.tobytes()))
-            ids = zlib.crc32(repr(part.column(0).to_pylist()).encode(), zlib.crc32(text.tobytes(), zlib.crc32(where.tobytes(), seed)))
             words, at = cuts.dictionary, ends[off]
-            del coded, cuts, text, flat, many, codes, each, ends
-            yield (ids << 31) ^ seed, part, words, out, at
+            del coded, cuts, flat, many, codes, each, ends
+            yield block, part, words, out, at
             del words, out
             pa.default_memory_pool().release_unused()
-            i = j
+            i, block = j, block + 1
 
 
 def _odd(words: pa.Array, m: Model) -> np.ndarray:
@@ -282,11 +279,12 @@ def _send(path: str, folder: str):
     """Writes each block's file and sends its words, and one word more that stands for the block itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, share = model(path), TaskContext.get().partitionId() // SHARE
-        for block, part, words, codes, off in _blocks(batches, m):
+        m, task = model(path), TaskContext.get().partitionId()
+        share = task // SHARE
+        for block, part, words, codes, off in _blocks(batches, m, task << 24):
             flag = _odd(words, m)
             odd, code = np.flatnonzero(flag), np.flatnonzero(~flag)
-            uri = f"{folder}/{block & (1 << 64) - 1:016x}"
+            uri = f"{folder}/{block:016x}"
             write_file(f"{uri}-{uuid.uuid4().hex}", _packed(part, codes, off, odd, [m.encode_word(w) for w in words.take(pa.array(odd)).to_pylist()]), uri)
             sent = pa.concat_arrays([words.take(pa.array(code)).cast(pa.string()), pa.array([f"{block:x}"])])
             yield pa.RecordBatch.from_arrays([sent, pa.array(np.full(len(sent), block)), pa.array(np.append(code, -1).astype(np.int32)), pa.array(np.full(len(sent), share, np.int32))], ["word", "block", "code", "share"])
@@ -367,7 +365,7 @@ def _assemble(folder: str):
     def run(key, bundles):
         """One block: its file and the ids of its words -> ids of the documents."""
         block = int(key[0].as_py())
-        doc, null, off, codes, odd, odd_size, odd_flat = _unpacked(read_file(f"{folder}/{block & (1 << 64) - 1:016x}"))
+        doc, null, off, codes, odd, odd_size, odd_flat = _unpacked(read_file(f"{folder}/{block:016x}"))
         got = [(c[c >= 0], n[c >= 0], f[np.repeat(c >= 0, n)]) for c, n, f in (_unbundle(x.as_py()) for x in bundles["bundle"])] + [(odd, odd_size.astype(np.int64), odd_flat)]
         code, many = np.concatenate([g[0] for g in got]).astype(np.int64), np.concatenate([g[1] for g in got])
         flat = np.concatenate([g[2].astype(np.int32) for g in got])

@@ -188,3 +188,20 @@ def test_encoder_paths():
         enc.cut = cut
         ids, off = enc(pa.array(texts))
         assert [ids[a:b].tolist() for a, b in itertools.pairwise(off.tolist())] == want
+
+
+def test_equal_blocks_of_two_tasks(spark, tmp_path):
+    """A table read twice, in separate partitions: every row comes back."""
+    from quarry.llm import sentencepiece_lattice as S
+    from quarry.llm.queries import tokenizer_file
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    rows = [(1, "the same words"), (1, "the same words"), (2, None), (None, "x y z")]
+    for name in "ab":
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / name))
+    one = spark.read.parquet(str(tmp_path / "a"))
+    both = one.unionByName(spark.read.parquet(str(tmp_path / "b")))
+    assert both.rdd.getNumPartitions() >= 2
+    once = sorted(map(str, S.encode(one, path).collect()))
+    assert len(once) == 4
+    assert sorted(map(str, S.encode(both, path).collect())) == sorted(once * 2)
