@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import decode_cursor, encode_cursor, parse_query, relaxed
-from quarry.operators import index, search, vector
+from quarry.operators import ann, index, search, vector
 from quarry.operators.visibility import visible
 from quarry.schema import FACET_KEY, LISTED, Filters, Match, Profile, Sites, Viewer
 
@@ -32,12 +32,14 @@ class Page:
 class Engine:
     """Searches documents (with exposure), through a stored index where there is one (its folder), and vectors where there are some.
 
-    embeddings: (rid, embedding) of one model; a query's own vector comes with the query.
+    embeddings: (rid, embedding) of one model; a query's own vector comes with the query. vectors: the folder of a stored index
+    of the same (ann.py), which then answers in their place: the lists it probes are read instead of all vectors.
     """
 
-    def __init__(self, docs: DataFrame, index_path: str | None = None, embeddings: DataFrame | None = None, sites: Sites | None = None, profile: Profile = Profile(), most: int = 50, dim: int | None = None):
+    def __init__(self, docs: DataFrame, index_path: str | None = None, embeddings: DataFrame | None = None, sites: Sites | None = None, profile: Profile = Profile(), most: int = 50, dim: int | None = None, vectors: str | None = None):
         self.docs, self.sites, self.profile, self.most, self.embeddings, self.dim = docs, sites, profile, most, embeddings, dim
         self.index = index.load(docs.sparkSession, index_path) if index_path else None
+        self.vectors = ann.VectorIndex.open(docs.sparkSession, vectors) if vectors else None
 
     def clamp(self, limit: int | None) -> int:
         return min(max(int(limit or 20), 1), self.most)
@@ -55,7 +57,10 @@ class Engine:
         order = (F.asc("rank"), F.desc("importance"), F.desc("recency"), F.asc("rid"))
         keyword = vector.ranked(search.page(self.result_set(match, viewer, filters), CANDIDATES), *order)
         listed = search.narrowed(self.docs.where(F.col("exposure") == LISTED), filters)
-        near = vector.knn(self.embeddings.join(listed.select("rid"), "rid", "left_semi"), vector_, CANDIDATES, NEAR, "rid")
+        if self.vectors:
+            near = self.vectors.search(vector_, CANDIDATES, NEAR, allowed=listed)
+        else:
+            near = vector.knn(self.embeddings.join(listed.select("rid"), "rid", "left_semi"), vector_, CANDIDATES, NEAR, "rid")
         fused = vector.rrf(keyword, vector.ranked(near, F.asc("distance"), F.asc("rid")))
         docs = visible(self.docs, viewer).join(F.broadcast(fused.select("rid")), "rid")
         weights = search.weights_of(self.docs, match) if match.any else None
@@ -64,7 +69,7 @@ class Engine:
 
     def state(self, text: str, vector_: list[float] | None) -> dict:
         """Whether this query is ranked by both lists, or why by words alone."""
-        if self.embeddings is None:
+        if self.embeddings is None and self.vectors is None:
             return {"ranking": "keyword", "reason": "no_vectors"}
         if len(text.strip()) < 2:
             return {"ranking": "keyword", "reason": "short_query"}

@@ -172,6 +172,7 @@ SQL = {
         FROM (SELECT * FROM e WHERE exposure = 3 QUALIFY row_number() OVER (PARTITION BY owner ORDER BY sort_at DESC, rid DESC) <= 12) WHERE length(title) > 3) WHERE place <= 4"""),
     "owner_page": docs("SELECT rid, type, deleted FROM d WHERE owner = 'src3' AND rid > 100 ORDER BY rid LIMIT 21"),
     "knn_cosine": f"WITH {KNN} SELECT rid, distance FROM knn",
+    "vector_index_exact": f"WITH {KNN} SELECT rid, distance FROM knn",
     "distance_floor": f"WITH {KNN} SELECT rid, distance FROM knn WHERE distance <= 0.9",
     "rrf_fusion": search(["the", "of"]) + f""", {KNN}, a AS (SELECT rid, row_number() OVER (ORDER BY rank, importance DESC, recency DESC, rid) AS kr FROM s QUALIFY kr <= 100), v AS (SELECT rid, row_number() OVER (ORDER BY distance, rid) AS vr FROM knn)
         SELECT coalesce(a.rid, v.rid) AS rid, round(coalesce(1.0 / (60 + kr), 0.0) + coalesce(1.0 / (60 + vr), 0.0), 9) AS score, kr AS keyword_rank, vr AS vector_rank FROM a FULL JOIN v ON a.rid = v.rid""",

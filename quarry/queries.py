@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.engine import Engine
 from quarry.functions.text import clean_text, hmac_sha256, host, parse_query, parse_time, relaxed, tokens
 from quarry.operators import federation as fed
-from quarry.operators import index, ingest, saved, search, trending, vector
+from quarry.operators import ann, index, ingest, saved, search, trending, vector
 from quarry.operators import visibility as vis
 from quarry.oracles import SQL  # noqa: F401
 from quarry.schema import Filters, Match, Profile, Sites, Viewer
@@ -211,6 +211,26 @@ named("knn_cosine", lambda s, d: nearest(s, d))
 named("distance_floor", lambda s, d: nearest(s, d).where("distance <= 0.9"))
 
 
+def stored_vectors(spark, sf_dir):
+    """The vector index of all embeddings, in a fresh folder."""
+    rows = read(spark, sf_dir, "embeddings")
+    return ann.build(rows, jobs._folder(spark, "vectors")), list(rows.where("vec_id = 7").select("embedding").first()[0])
+
+
+@query
+def vector_index(spark, sf_dir):
+    """The 100 nearest from the probed lists alone: approximate, so tests hold its recall against the scan."""
+    stored, asked = stored_vectors(spark, sf_dir)
+    return stored.search(asked)
+
+
+@query
+def vector_index_exact(spark, sf_dir):
+    """The same, gone on with until no other list can hold a nearer one."""
+    stored, asked = stored_vectors(spark, sf_dir)
+    return stored.search(asked, exact=True)
+
+
 @query
 def rrf_fusion(spark, sf_dir):
     order = (F.asc("rank"), F.desc("importance"), F.desc("recency"), F.asc("rid"))
