@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,24 +38,36 @@ class Engine:
 
     def __init__(self, docs: DataFrame, index_path: str | None = None, embeddings: DataFrame | None = None, sites: Sites | None = None, profile: Profile = Profile(), most: int = 50, dim: int | None = None, vectors: str | None = None):
         self.docs, self.sites, self.profile, self.most, self.embeddings, self.dim = docs, sites, profile, most, embeddings, dim
-        self.index = index.load(docs.sparkSession, index_path) if index_path else None
+        self.index = index.Stored.open(docs.sparkSession, index_path) if index_path else None
         self.vectors = ann.VectorIndex.open(docs.sparkSession, vectors) if vectors else None
 
     def clamp(self, limit: int | None) -> int:
         return min(max(int(limit or 20), 1), self.most)
 
-    def result_set(self, match: Match, viewer: Viewer = Viewer(), filters: Filters = Filters()) -> DataFrame:
-        """The whole ranked set of a parsed query."""
+    def weights(self, match: Match) -> dict[str, float] | None:
+        """The weights of a relaxed query's words."""
+        if not match.any:
+            return None
+        return index.weights_of(self.index.postings, match) if self.index else search.weights_of(self.docs, match)
+
+    def result_set(self, match: Match, viewer: Viewer = Viewer(), filters: Filters = Filters(), now: int | None = None) -> DataFrame:
+        """The whole ranked set of a parsed query, at a clock."""
+        profile = replace(self.profile, now=now if now is not None else self.profile.clock())
+        if self.index:
+            return index.search_set(self.index.postings, self.index.records, match, viewer, self.weights(match), profile, self.sites, filters)
+        return search.search_set(search.narrowed(self.docs, filters), match, viewer, self.weights(match), profile, self.sites)
+
+    def best(self, limit: int, match: Match, viewer: Viewer, filters: Filters, now: int, key: tuple | None = None) -> list:
+        """The first rows of the ranked set, behind a key: from the stored index, only blocks are read that can hold one."""
         if self.index:
-            weights = index.weights_of(self.index[0], match) if match.any else None
-            return index.search_set(*self.index, match, viewer, weights, self.profile, self.sites, filters)
-        weights = search.weights_of(self.docs, match) if match.any else None
-        return search.search_set(search.narrowed(self.docs, filters), match, viewer, weights, self.profile, self.sites)
+            return self.index.top(limit, match, viewer, filters, key, self.weights(match), replace(self.profile, now=now), self.sites)[0]
+        return search.page(self.result_set(match, viewer, filters, now), limit, key).select(*search.ORDER).collect()
 
-    def hybrid_set(self, match: Match, vector_: list[float], viewer: Viewer, filters: Filters) -> DataFrame:
+    def hybrid_set(self, match: Match, vector_: list[float], viewer: Viewer, filters: Filters, now: int | None = None) -> DataFrame:
         """Keyword and vector candidates fused, re-ranked by tiers and deduplicated: (rid, position, keyword_rank, vector_rank)."""
-        order = (F.asc("rank"), F.desc("importance"), F.desc("recency"), F.asc("rid"))
-        keyword = vector.ranked(search.page(self.result_set(match, viewer, filters), CANDIDATES), *order)
+        now = now if now is not None else self.profile.clock()
+        found = self.best(CANDIDATES, match, viewer, filters, now)  # at most 100 rows
+        keyword = self.docs.sparkSession.createDataFrame([(r["rid"], i + 1) for i, r in enumerate(found)], "rid long, position int")
         listed = search.narrowed(self.docs.where(F.col("exposure") == LISTED), filters)
         if self.vectors:
             near = self.vectors.search(vector_, CANDIDATES, NEAR, allowed=listed)
@@ -63,8 +75,7 @@ class Engine:
             near = vector.knn(self.embeddings.join(listed.select("rid"), "rid", "left_semi"), vector_, CANDIDATES, NEAR, "rid")
         fused = vector.rrf(keyword, vector.ranked(near, F.asc("distance"), F.asc("rid")))
         docs = visible(self.docs, viewer).join(F.broadcast(fused.select("rid")), "rid")
-        weights = search.weights_of(self.docs, match) if match.any else None
-        every = search.rank_parts(search.counted(docs, match), Match(match.words, match.prefix, match.field, True, match.question), weights, self.profile, self.sites)
+        every = search.rank_parts(search.counted(docs, match), Match(match.words, match.prefix, match.field, True, match.question), self.weights(match), replace(self.profile, now=now), self.sites)
         return vector.reranked(fused.join(docs.select("rid", "owner", "title", "summary", "type"), "rid"), every.select("rid", "tier", "title_words", "cover"), match)
 
     def state(self, text: str, vector_: list[float] | None) -> dict:
@@ -77,8 +88,8 @@ class Engine:
             return {"ranking": "keyword", "reason": "ai_unavailable"}
         return {"ranking": "hybrid"}
 
-    def search(self, text: str, viewer: Viewer = Viewer(), filters: Filters = Filters(), limit: int | None = None, cursor: str | None = None, facet_keys: tuple[str, ...] = (), vector_: list[float] | None = None) -> Page:
-        """A page. Several words that find fewer than RELAX_BELOW are answered with any of their content words, if that finds more."""
+    def search(self, text: str, viewer: Viewer = Viewer(), filters: Filters = Filters(), limit: int | None = None, cursor: str | None = None, facet_keys: tuple[str, ...] = (), vector_: list[float] | None = None, now: int | None = None) -> Page:
+        """A page at a clock (ms; the profile's, unless given); later pages keep the first one's, which their cursors hold. Several words that find fewer than RELAX_BELOW are answered with any of their content words, if that finds more."""
         import re
 
         if len(text) > MOST_CHARS:
@@ -92,14 +103,15 @@ class Engine:
         if not exact.words:
             return self.browse(viewer, filters, limit, cursor)
         loose = relaxed(exact) if len(exact.words) > 1 else None
-        flag = cursor and self._peek(cursor).get("x")
-        match = loose if flag and loose else exact
-        page = self._page(match, viewer, filters, limit, cursor, explain, vector_)
+        told = self._peek(cursor) if cursor else {}
+        now = told["n"] if isinstance(told.get("n"), int) else now if now is not None else self.profile.clock()
+        match = loose if told.get("x") and loose else exact
+        page = self._page(match, viewer, filters, limit, cursor, explain, vector_, now)
         if not cursor and loose and len(page.rows) < RELAX_BELOW:
-            other = self._page(loose, viewer, filters, limit, None, explain, vector_)
+            other = self._page(loose, viewer, filters, limit, None, explain, vector_, now)
             page = other if len(other.rows) > len(page.rows) else page
         if facet_keys:
-            page.facets = search.facet_counts(self.result_set(page.match, viewer, filters), list(facet_keys))
+            page.facets = search.facet_counts(self.result_set(page.match, viewer, filters, now), list(facet_keys))
         return page
 
     def browse(self, viewer: Viewer = Viewer(), filters: Filters = Filters(), limit: int | None = None, cursor: str | None = None) -> Page:
@@ -123,20 +135,20 @@ class Engine:
     def _hash(match: Match | None, filters: Filters) -> str:
         return hashlib.sha256(json.dumps([asdict(match) if match else None, asdict(filters)], sort_keys=True).encode()).hexdigest()[:16]
 
-    def _page(self, match, viewer, filters, limit, cursor, explain, vector_) -> Page:
+    def _page(self, match, viewer, filters, limit, cursor, explain, vector_, now) -> Page:
         h = self._hash(match, filters)
         at = decode_cursor(cursor, h) if cursor else None
-        more = {"x": 1} if match.any else {}
+        more = {"n": now} | ({"x": 1} if match.any else {})
         if explain["ranking"] == "hybrid":
             if at and at.get("k") != "f":
                 raise ValueError("cursor of another query")
             from_ = at["o"] if at else 0
-            rows = self.hybrid_set(match, vector_, viewer, filters).where(F.col("position") > from_).orderBy("position").limit(limit + 1).collect()
+            rows = self.hybrid_set(match, vector_, viewer, filters, now).where(F.col("position") > from_).orderBy("position").limit(limit + 1).collect()
             last = rows[limit - 1] if len(rows) > limit else None
             return Page(rows[:limit], encode_cursor(h=h, k="f", o=last.position, i=last.rid, **more) if last else None, explain, match)
         if at and at.get("k") != "r":
             raise ValueError("cursor of another query")
         key = (at["r"], at["m"], at["s"], at["i"]) if at else None
-        rows = search.page(self.result_set(match, viewer, filters), limit + 1, key).select(*search.ORDER).collect()
+        rows = self.best(limit + 1, match, viewer, filters, now, key)
         last = rows[limit - 1] if len(rows) > limit else None
         return Page(rows[:limit], encode_cursor(h=h, k="r", r=last.rank, m=last.importance, s=last.recency, i=last.rid, **more) if last else None, explain, match)

@@ -98,8 +98,9 @@ def hmac_sha256(c, key: bytes) -> Column:
 
 
 def parse_time(c) -> Column:
-    """Milliseconds since 1970 of an ISO-8601 text, null where it is none."""
-    return F.unix_millis(F.try_to_timestamp(c))
+    """Milliseconds since 1970 of an ISO-8601 text, null where it is none; a text without a zone is in UTC, whatever the session's is."""
+    zoned = F.when(c.rlike(r"(?i)(Z|[+-]\d\d:?\d\d)$") & (F.char_length(c) > 10), c).when(F.char_length(c) == 10, F.concat(c, F.lit("T00:00:00Z"))).otherwise(F.concat(c, F.lit("Z")))
+    return F.unix_millis(F.try_to_timestamp(zoned))
 
 
 def encode_cursor(**parts) -> str:

@@ -3,11 +3,20 @@
 Postings are partitioned by audience and range-partitioned and sorted by term, so a query reads the row groups of its
 words; records are partitioned by audience and sorted by rid. What search.py ranks from counted texts is ranked here from the
 same counts, so both give the same rows.
+
+Beside the postings lie their blocks: for each term and 64 consecutive rids one row with a bit a document for each field the term is
+in, and the greatest counts there; and for each block its shortest document and newest date. Bit operations on a query's rows say
+which documents of a block match and in how many titles, so a block's best possible rank is nearly exact without a posting being
+read. A page takes the blocks of the best bounds first; the last rank it finds there is a threshold, and only blocks that can reach it
+are read (Stored.top). Bounds hold under filters, viewers and deletions, which only take documents away.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
@@ -16,7 +25,7 @@ from quarry.schema import LISTED, RESTRICTED, Filters, Match, Profile, Sites, Vi
 from . import search
 from .visibility import acl_allows
 
-POSTING = "rid long, term string, n3 long, n2 long, n1 long, audience int"
+BITS, FIRST, MOST_BLOCKS = 6, 64, 2048
 
 
 def build(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,16 +40,131 @@ def build(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def store(docs: DataFrame, path: str, files: int | None = None) -> None:
     """Writes the index whole; the folder is a version, to be switched to when it is complete."""
+    spark = docs.sparkSession
     postings, records = build(docs)
-    n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings.repartitionByRange(n, "audience", "term").sortWithinPartitions("audience", "term", "rid").write.mode("overwrite").partitionBy("audience").parquet(f"{path}/postings")
-    records.repartitionByRange(n, "audience", "rid").sortWithinPartitions("audience", "rid").write.mode("overwrite").partitionBy("audience").parquet(f"{path}/records")
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def put(df: DataFrame, name: str, *order: str) -> None:
+        df.repartitionByRange(n, "audience", *order).sortWithinPartitions("audience", *order).write.mode("overwrite").partitionBy("audience").parquet(f"{path}/{name}")
+
+    put(postings, "postings", "term", "rid")
+    put(records, "records", "rid")
+    put(blocks(spark.read.parquet(f"{path}/postings")), "blocks", "term", "block")
+    put(tops(spark.read.parquet(f"{path}/records")), "tops", "block")
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/records")
 
 
+def block_of(rid: str = "rid") -> Column:
+    return F.shiftright(F.col(rid), BITS)
+
+
+def blocks(postings: DataFrame) -> DataFrame:
+    """(audience, term, block, b3, b2, b1, m3, m2, m1): a bit a document that has the term in a field, and the greatest counts."""
+    bit = F.expr(f"shiftleft(1L, cast(rid & {(1 << BITS) - 1} as int))")
+    cells = [c for f in search.NAMES for c in (F.bit_or(F.when(F.col(f"n{f}") > 0, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{f}"), F.max(f"n{f}").alias(f"m{f}"))]
+    return postings.groupBy("audience", "term", block_of().alias("block")).agg(*cells)
+
+
+def tops(records: DataFrame) -> DataFrame:
+    """(audience, block, shortest, newest, undated) of each block's documents."""
+    return records.groupBy("audience", block_of().alias("block")).agg(F.min("doc_len").alias("shortest"), F.max("fresh_at").alias("newest"), F.bool_or(F.col("fresh_at").isNull()).alias("undated"))
+
+
+def bounds(blocks_: DataFrame, tops_: DataFrame, match: Match, viewer: Viewer = Viewer(), weights: dict[str, float] | None = None, profile: Profile = Profile(), sites: Sites | None = None) -> DataFrame:
+    """(audience, block, bound): no document of the block that matches has a higher -rank; blocks without one are left out."""
+    n, codes = range(len(match.words)), [match.field] if match.field else list(search.NAMES)
+    audiences = [LISTED] if viewer.subject is None else [LISTED, RESTRICTED]
+    zero = F.lit(0).cast("long")
+    any_ = reduce(Column.__or__, [_term(match, i) for i in n])
+    cells = [c for i in n for f in search.NAMES for c in (F.bit_or(F.when(_term(match, i), F.col(f"b{f}")).otherwise(zero)).alias(f"b{i}_{f}"), F.sum(F.when(_term(match, i), F.col(f"m{f}")).otherwise(zero)).alias(f"m{i}_{f}"))]
+    rows = blocks_.where(F.col("audience").isin(audiences) & any_).groupBy("audience", "block").agg(*cells)
+    bits = lambda a, b: a.bitwiseOR(b)
+    has = [reduce(bits, [F.col(f"b{i}_{f}") for f in codes]) for i in n]
+    rows = rows.withColumn("hit", reduce(bits if match.any else (lambda a, b: a.bitwiseAND(b)), has)).where("hit <> 0")
+    in_field = lambda f: reduce(bits, [F.col(f"b{i}_{f}") for i in n]).bitwiseAND(F.col("hit")) != 0
+    tier = F.greatest(*(F.when(in_field(f), f).otherwise(0) for f in codes), F.lit(0))
+    titles = F.lit(0)
+    if len(match.words) > 1:
+        level = [F.lit(-1).cast("long")] + [zero] * 4  # level[j]: documents with the word in j titles or more
+        for i in n:
+            level = [level[0]] + [level[j].bitwiseOR(level[j - 1].bitwiseAND(F.col(f"b{i}_3"))) for j in range(1, 5)]
+            rows = rows.withColumns({f"_l{i}_{j}": level[j] for j in range(1, 5)})
+            level = [level[0]] + [F.col(f"_l{i}_{j}") for j in range(1, 5)]
+        titles = F.greatest(F.lit(0), *(F.when(level[j].bitwiseAND(F.col("hit")) != 0, j).otherwise(0) for j in range(1, 5)))
+    field_weight = {search.TITLE: profile.title, search.SUMMARY: profile.summary, search.BODY: profile.body}
+    raw = reduce(Column.__add__, [field_weight[f] * F.log(1.0 + F.col(f"m{i}_{f}")) for i in n for f in search.NAMES])
+    relevance = 1 - F.exp(-raw / (1 + F.log(1.0 + F.col("shortest"))))
+    newest = search.freshness(profile, "newest")
+    fresh = F.when(F.col("undated"), F.greatest(F.lit(1.0), newest)).otherwise(newest)
+    best = lambda i: F.greatest(*(F.when(F.col(f"m{i}_{f}") > 0, profile.cover[3 - f]).otherwise(0.0) for f in search.NAMES), F.lit(0.0))
+    cover = F.round(reduce(Column.__add__, [F.lit(float(weights[w])) * best(i) for i, w in enumerate(match.words)]), 1) if weights else F.lit(0.0)
+    site = 10 if search.site_hosts(match, sites) else 0
+    bound = cover * 10000 + (tier + site) * 100 + (profile.answer if match.question else 0.0) + titles * 10 + relevance * fresh + max(0.0, profile.thin)
+    return rows.join(tops_, ["audience", "block"]).select("audience", "block", bound.alias("bound"))
+
+
+@dataclass
+class Stored:
+    """An index in a folder; top() reads of it what a page needs."""
+
+    postings: DataFrame
+    records: DataFrame
+    blocks: DataFrame
+    tops: DataFrame
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Stored:
+        return cls(*load(spark, path), spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/tops"))
+
+    def within(self, chosen: DataFrame | list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+        """Postings and records of some blocks: few as a filter that reaches the files, many by a join."""
+        if isinstance(chosen, list):
+            held = sorted({b for _, b in chosen})
+            inside = reduce(Column.__or__, [F.col("rid").between(a << BITS, ((b + 1) << BITS) - 1) for a, b in _ranges(held)]) & block_of().isin(held)
+            return self.postings.where(inside), self.records.where(inside)
+        both = lambda df: df.withColumn("block", block_of()).join(chosen.select("audience", "block"), ["audience", "block"], "left_semi").drop("block")
+        return both(self.postings), both(self.records)
+
+    def top(self, limit: int, match: Match, viewer: Viewer = Viewer(), filters: Filters = Filters(), key: tuple | None = None, weights: dict[str, float] | None = None, profile: Profile = Profile(), sites: Sites | None = None) -> tuple[list, int | None]:
+        """(the rows that search.page gives of the whole ranked set, how many blocks were read; none: all postings of the words).
+
+        Blocks are taken best bound first, FIRST of them, then four times as many, until the last row that is found is better
+        than the next block can be. A duplicate's better copy in a block that was left out would be worse than that row too, so
+        the rows are whole. Where more than MOST_BLOCKS are needed, those that reach the threshold are joined, not listed. Where
+        a query names a site, records without its words are candidates too, which no block holds: then all is read.
+        """
+        full = lambda postings, records: search.page(search_set(postings, records, match, viewer, weights, profile, sites, filters), limit, key).select(*search.ORDER).collect()
+        if search.site_only(match, sites):
+            return full(self.postings, self.records), None
+        bound = bounds(self.blocks, self.tops, match, viewer, weights, profile, sites)
+        best = bound.orderBy(F.desc("bound"), "audience", "block").limit(MOST_BLOCKS + 1).collect()
+        n, rows = FIRST, []
+        while best:
+            rows = full(*self.within([(r.audience, r.block) for r in best[: min(n, MOST_BLOCKS)]]))
+            if n >= len(best) and len(best) <= MOST_BLOCKS or len(rows) == limit and n < len(best) and -rows[-1]["rank"] > best[n].bound + 2e-6:
+                return rows, min(n, len(best))
+            if n >= MOST_BLOCKS:
+                break
+            n = min(4 * n, MOST_BLOCKS)
+        if not best:
+            return [], 0
+        if len(rows) == limit:
+            floor = -rows[-1]["rank"]
+            rows = full(*self.within(bound.where(F.col("bound") >= floor - 2e-6)))
+            if len(rows) == limit and -rows[-1]["rank"] >= floor:
+                return rows, bound.where(F.col("bound") >= floor - 2e-6).count()
+        return full(self.postings, self.records), None
+
+
+def _ranges(numbers: list[int], most: int = 32) -> list[tuple[int, int]]:
+    """At most so many ranges that cover ascending numbers, cut at the widest gaps: what the files are pruned by."""
+    cuts = sorted(sorted(range(1, len(numbers)), key=lambda i: numbers[i - 1] - numbers[i])[: most - 1])
+    return [(numbers[a], numbers[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(numbers)], strict=True)]
+
+
 def merged(postings: DataFrame, records: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Put and remove: the index after documents changed (with their new exposure); those no longer listed or restricted go."""
     ids = changed.select("rid").distinct()

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import clean, folded, tokens
 from quarry.schema import LISTED, NONE, RESTRICTED, Filters, Match, Profile, Sites, Viewer
-from quarry.sources.adapter import CLOCK
 
 from .visibility import FACETS, acl_allows, facet_pairs, visible
 
@@ -40,9 +39,13 @@ def reconcile(docs: DataFrame, index: DataFrame) -> DataFrame:
     return want.join(have, "audience", "full_outer").select("audience", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("n_indexed", F.lit(0)).alias("n_indexed")).withColumn("rebuild", F.col("n_documents") != F.col("n_indexed"))
 
 
-def freshness(profile: Profile = Profile()) -> Column:
-    age = F.greatest(F.lit(0.0), F.lit(float(CLOCK)) - F.col("day"))
-    return F.when(F.col("day").isNull(), 1.0).otherwise(1 + profile.freshness * F.pow(F.lit(2.0), -age / profile.half_life_days))
+DAY = 86_400_000.0
+
+
+def freshness(profile: Profile = Profile(), at: str = "fresh_at") -> Column:
+    """What relevance is multiplied by: by age in days at the profile's clock; a future date is today, no date 1."""
+    age = F.greatest(F.lit(0.0), (F.lit(profile.clock()) - F.col(at)) / DAY)
+    return F.when(F.col(at).isNull(), 1.0).otherwise(1 + profile.freshness * F.pow(F.lit(2.0), -age / profile.half_life_days))
 
 
 def importance() -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import parse_time
 from quarry.schema import LISTED, NONE, RESTRICTED, UNLISTED, Viewer
 
 
@@ -21,9 +22,9 @@ def reasons() -> Column:
 
 
 def with_exposure(docs: DataFrame) -> DataFrame:
-    """Adds reasons, index_decision and exposure."""
+    """Adds reasons, index_decision, exposure and fresh_at: the ms of published_at, else of updated_at; null where that is no time."""
     c = F.col
-    out = docs.withColumn("reasons", reasons()).withColumn("index_decision", F.when((c("decision") == "index") & (F.size("reasons") == 0), "index").otherwise("noindex"))
+    out = docs.withColumn("fresh_at", parse_time(F.coalesce("published_at", "updated_at"))).withColumn("reasons", reasons()).withColumn("index_decision", F.when((c("decision") == "index") & (F.size("reasons") == 0), "index").otherwise("noindex"))
     return out.withColumn(
         "exposure",
         F.when(c("deleted") | (c("visibility") == "draft") | (c("publication_state") != "published"), NONE).when(c("visibility") != "public", RESTRICTED).when(c("index_decision") == "index", LISTED).otherwise(UNLISTED))

@@ -16,6 +16,10 @@ BEACONS = """b AS (SELECT event_id, ts, CAST(floor(epoch(ts) / 3600) AS BIGINT)
 LOG = "l AS (SELECT event_id AS arrival, event_id % 300 AS key, CAST(floor(event_id / 1500) AS BIGINT) + event_id % 3 AS revision, event_type = 'error' AS deleted, CASE WHEN event_type = 'error' THEN 'tombstone' ELSE event_type END AS content FROM events)"
 
 
+FRESH = "epoch_ms(TRY_CAST(coalesce(published_at, updated_at) AS TIMESTAMP))"
+BOOST = f"CASE WHEN {FRESH} IS NULL THEN 1.0 ELSE 1 + pow(2.0, -greatest(0.0, ({CLOCK} - {FRESH}) / 86400000.0) / 30.0) END"
+
+
 def docs(select: str) -> str:
     return f"WITH {DOCS} {select}"
 
@@ -41,7 +45,7 @@ def search(words, where="exposure = 3", prefix=False, any_word=False, field=None
     cond = (" OR " if any_word else " AND ").join(f"{h} > 0" for h in here)
     cond = f"({cond}) OR {site}" if site_only else cond
     no_title = " AND ".join(f"n{i}_3 = 0" for i in range(len(words)))
-    boost = f"CASE WHEN day IS NULL THEN 1.0 ELSE 1 + pow(2.0, -greatest(0.0, {CLOCK} - day) / 30.0) END" if fresh else "1.0"
+    boost = BOOST if fresh else "1.0"
     raw = " + ".join(f"{ {3: 1.0, 2: 0.4, 1: 0.1}[c]}::DOUBLE * ln(1.0 + n{i}_{c})" for i in range(len(words)) for c in (3, 2, 1))
     titles = f"least(4, {' + '.join(f'CASE WHEN n{i}_3 > 0 THEN 1 ELSE 0 END' for i in range(len(words)))})" if len(words) > 1 else "0"
     cover = "0.0::DOUBLE"
@@ -163,7 +167,7 @@ SQL = {
     "term_df": f"WITH {DOCS}, {POSTINGS} SELECT term, least(count(DISTINCT rid), 1000) AS df FROM p WHERE audience = 3 GROUP BY term",
     "word_weights": f"WITH {DOCS}, {POSTINGS} SELECT term, round(ln(1 + 10000.0 / (1 + least(count(DISTINCT rid), 1000))), 2) AS weight FROM p WHERE audience = 3 GROUP BY term",
     "index_reconcile": f"WITH {DOCS}, {POSTINGS} SELECT exposure AS audience, count(*) AS n_documents, (SELECT count(DISTINCT rid) FROM p WHERE audience = exposure) AS n_indexed, count(*) <> (SELECT count(DISTINCT rid) FROM p WHERE audience = exposure) AS rebuild FROM e WHERE exposure IN (1, 3) GROUP BY exposure",
-    "freshness_boost": docs(f"SELECT rid, round(CASE WHEN day IS NULL THEN 1.0 ELSE 1 + pow(2.0, -greatest(0.0, {CLOCK} - day) / 30.0) END, 6) AS boost FROM d"),
+    "freshness_boost": docs(f"SELECT rid, round({BOOST}, 6) AS boost FROM d"),
     "importance": docs(f"SELECT rid, {IMPORTANCE} AS importance FROM d"),
     "thin_flag": docs("SELECT rid, CASE WHEN (type <> 'channel' AND length(title) <= 24 AND length(summary) <= 80) OR title = '' THEN -2.0::DOUBLE ELSE 0.0::DOUBLE END AS thin FROM d"),
     "coverage_by_kind": docs("SELECT owner, type, count(*) AS n FROM e WHERE exposure = 3 GROUP BY owner, type"),

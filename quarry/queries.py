@@ -11,10 +11,12 @@ from quarry.operators import ann, index, ingest, saved, search, trending, vector
 from quarry.operators import visibility as vis
 from quarry.oracles import SQL  # noqa: F401
 from quarry.schema import Filters, Match, Profile, Sites, Viewer
-from quarry.sources.adapter import beacons, index_documents, revision_log
+from quarry.sources.adapter import CLOCK, beacons, index_documents, revision_log
 from quarry.streaming import jobs
 
 QUERIES: dict = {}
+#: The ranking of the queries here: the default one at a fixed clock.
+FIXED = Profile(now=CLOCK)
 #: Facets that the content hash covers, by key.
 HASHED = [("duration_seconds", "duration"), ("followers", "followers"), ("live", "live"), ("size", "size_bucket")]
 HIT = ("rid", "rank", "importance", "recency")
@@ -43,7 +45,7 @@ def docs_of(spark, sf_dir):
 
 
 def top(spark, sf_dir, match, viewer=Viewer(), weights=None, limit=20):
-    return search.page(search.search_set(docs_of(spark, sf_dir), match, viewer, weights), limit)
+    return search.page(search.search_set(docs_of(spark, sf_dir), match, viewer, weights, FIXED), limit)
 
 
 # retrieval
@@ -58,7 +60,7 @@ named("suggest_titles", lambda s, d: top(s, d, Match(("th",), prefix=True, field
 def keyword_relaxed(spark, sf_dir):
     """Any word, weighted by how rare it is among listed documents; two bounded counts come first."""
     docs, match = docs_of(spark, sf_dir), Match(("idiot", "clown"), any=True)
-    return search.page(search.search_set(docs, match, Viewer(), search.weights_of(docs, match))).select(*HIT)
+    return search.page(search.search_set(docs, match, Viewer(), search.weights_of(docs, match), FIXED)).select(*HIT)
 
 
 def page_rows(spark, page, *columns):
@@ -68,7 +70,7 @@ def page_rows(spark, page, *columns):
 
 
 def asked(spark, sf_dir, text, *args, **kw):
-    return Engine(docs_of(spark, sf_dir), **{k: kw.pop(k) for k in ("sites", "index_path", "profile") if k in kw}).search(text, *args, **kw)
+    return Engine(docs_of(spark, sf_dir), **{"profile": FIXED} | {k: kw.pop(k) for k in ("sites", "index_path", "profile") if k in kw}).search(text, *args, **kw)
 
 
 SITES = Sites("example", aliases=(("old", ("src1.example", "src2.example")),), help_host="src3.example")
@@ -81,14 +83,14 @@ named("search_filtered", lambda s, d: page_rows(s, asked(s, d, "the of", filters
 named("search_mine", lambda s, d: page_rows(s, asked(s, d, "the", Viewer("u1"), Filters(subject="u1"), 10), *HIT))
 named("site_tier", lambda s, d: page_rows(s, asked(s, d, "the of and", sites=Sites("the", "{word}.example", (("of", ("src3.example",)),), "src4.example")), *HIT))
 named("site_candidates", lambda s, d: page_rows(s, asked(s, d, "example old", sites=SITES), *HIT))
-named("search_boilerplate", lambda s, d: search.page(search.search_set(docs_of(s, d), Match(("the",)), profile=Profile(boilerplate="[a-m]$"))).select(*HIT))
-named("search_undated", lambda s, d: search.page(search.search_set(docs_of(s, d), Match(("the",)), profile=Profile(freshness=0.0))).select(*HIT))
+named("search_boilerplate", lambda s, d: search.page(search.search_set(docs_of(s, d), Match(("the",)), profile=Profile(boilerplate="[a-m]$", now=CLOCK))).select(*HIT))
+named("search_undated", lambda s, d: search.page(search.search_set(docs_of(s, d), Match(("the",)), profile=Profile(freshness=0.0, now=CLOCK))).select(*HIT))
 
 
 @query
 def search_page_cursor(spark, sf_dir):
     """The third page, by the cursors of the first two."""
-    engine, cursor = Engine(docs_of(spark, sf_dir)), None
+    engine, cursor = Engine(docs_of(spark, sf_dir), profile=FIXED), None
     for _ in range(3):
         page = engine.search("the of", limit=7, cursor=cursor)
         cursor = page.cursor
@@ -123,7 +125,7 @@ def index_merge(spark, sf_dir):
 
 @query
 def keyset_page2(spark, sf_dir):
-    rows = search.search_set(docs_of(spark, sf_dir), Match(("the", "of")))
+    rows = search.search_set(docs_of(spark, sf_dir), Match(("the", "of")), profile=FIXED)
     last = search.page(rows, 20).select(*HIT).collect()
     key = (last[-1]["rank"], last[-1]["importance"], last[-1]["recency"], last[-1]["rid"]) if last else None
     return search.page(rows, 20, key).select(*HIT)
@@ -132,12 +134,12 @@ def keyset_page2(spark, sf_dir):
 @query
 def facet_filter(spark, sf_dir):
     docs = search.facet_filter(docs_of(spark, sf_dir), {"lang": ["en", "de"], "size": ["medium"]})
-    return search.page(search.search_set(docs, Match(("the",)))).select(*HIT)
+    return search.page(search.search_set(docs, Match(("the",)), profile=FIXED)).select(*HIT)
 
 
 @query
 def facet_counts(spark, sf_dir):
-    return search.facet_counts(search.search_set(docs_of(spark, sf_dir), Match(("the",))), ["lang", "size", "live", "type"])
+    return search.facet_counts(search.search_set(docs_of(spark, sf_dir), Match(("the",)), profile=FIXED), ["lang", "size", "live", "type"])
 
 
 @query
@@ -188,7 +190,7 @@ def index_reconcile(spark, sf_dir):
     return search.reconcile(docs, search.postings(docs))
 
 
-named("freshness_boost", lambda s, d: index_documents(s, d).select("rid", F.round(search.freshness(), 6).alias("boost")))
+named("freshness_boost", lambda s, d: docs_of(s, d).select("rid", F.round(search.freshness(FIXED), 6).alias("boost")))
 named("importance", lambda s, d: index_documents(s, d).select("rid", search.importance().alias("importance")))
 named("thin_flag", lambda s, d: index_documents(s, d).select("rid", search.thin().alias("thin")))
 
@@ -271,7 +273,7 @@ def hybrid_search(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rid"), "embedding")
     vector_ = list(rows.where("rid = 7").first().embedding)
-    engine = Engine(docs, embeddings=rows, dim=len(vector_))
+    engine = Engine(docs, embeddings=rows, dim=len(vector_), profile=FIXED)
     first = engine.search("the of", limit=20, vector_=vector_)
     return page_rows(spark, engine.search("the of", limit=20, cursor=first.cursor, vector_=vector_), "rid", "position")
 
@@ -622,7 +624,7 @@ named("seen_urls", lambda s, d: read(s, d, "pages").select("page_id", saved.base
 
 @query
 def hybrid_rerank(spark, sf_dir):
-    rows = search.search_set(docs_of(spark, sf_dir), Match(("the", "of")))
+    rows = search.search_set(docs_of(spark, sf_dir), Match(("the", "of")), profile=FIXED)
     order = (F.asc("rank"), F.desc("importance"), F.desc("recency"), F.asc("rid"))
     first = search.page(rows, 100)
     fused = vector.rrf(vector.ranked(first, *order), vector.ranked(nearest(spark, sf_dir), F.asc("distance"), F.asc("rid")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 # What identities look like, and the limits of a document.
@@ -45,6 +46,11 @@ class Profile:
     cover: tuple[float, float, float] = (1.0, 0.6, 0.3)
     #: a channel whose summary ends like this has no relevance but by its title
     boilerplate: str | None = None
+    #: the clock that freshness is measured by, in ms since 1970; none: the hour that has begun
+    now: int | None = None
+
+    def clock(self) -> int:
+        return self.now if self.now is not None else int(time.time()) // 3600 * 3_600_000
 
 
 @dataclass(frozen=True)

@@ -31,11 +31,12 @@ FIELDS = {
     "live": "doc_id % 11 = 0",
     "size_bucket": "CASE WHEN n_chars < 500 THEN 'small' WHEN n_chars < 5000 THEN 'medium' ELSE 'large' END",
     "lang": "lang",
-    "day": "CASE WHEN doc_id % 23 = 0 THEN NULL ELSE doc_id % 400 END",
+    "published_at": "CASE WHEN doc_id % 23 = 0 OR doc_id % 19 = 0 THEN NULL WHEN doc_id % 47 = 0 THEN 'soon' ELSE CAST(DATE '2024-01-01' + CAST(doc_id % 400 AS INT) AS STRING) END",
+    "updated_at": "CASE WHEN doc_id % 23 = 0 THEN NULL ELSE CAST(DATE '2024-01-01' + CAST(doc_id % 400 + doc_id % 7 AS INT) AS STRING) END",
     "sort_at": "CASE WHEN doc_id % 23 = 0 THEN '' ELSE CAST(DATE '2024-01-01' + CAST(doc_id % 400 + doc_id % 7 AS INT) AS STRING) END",
 }
-#: Days from 2024-01-01 to the fixed clock, 2025-01-01.
-CLOCK = 366
+#: The clock of the registered queries, 2025-01-01 in ms: the engine itself takes any.
+CLOCK = 1735689600000
 
 
 def fields_sql() -> str:
