@@ -1,9 +1,10 @@
 """Main text of HTML pages by two-pass block rules.
 
 A page is read tag by tag into blocks; what stands in scripts, styles, navigation and the like, or in an element
-whose class, id or role names an advert, menu, notice, sidebar, header, footer or comment section, is left out. Inside an
-article a name counts only as a whole; html, body, article and main are never set apart by a part of a name, nor is an
-element that turns out to hold an article. A form is left out if it has fields and little text beside them.
+whose class, id or role names an advert, menu, notice, sidebar, header, footer or comment section, is left out, as are hidden
+elements. Inside an article a part of a name (reader-comments, newsletter-box) counts only for the names of INSIDE, and not if
+the element holds half of the article's text or more; html, body, article and main are never set apart by a part of a name, nor
+is an element that turns out to hold an article. A form is left out if it has fields and little text beside them.
 
 The blocks are then decided in two passes. First, by stop-word density, length and link density: link density over
 MAX_LINKS is bad; short blocks stay open (with links: bad); many stop words make a block good (long) or nearly good, few
@@ -41,6 +42,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NAMES = frozenset(
     "ad ads adv advert advertisement adverts banner sponsor sponsored promo cookie cookies consent notice notification alert gdpr popup modal overlay sidebar side menu nav navigation navbar breadcrumb breadcrumbs topbar header masthead footer comment comments respond discussion share sharing social related recommended newsletter subscribe signup login search pagination pager widget skip contentinfo complementary".split()
 )
+#: Names of which a part sets an element inside an article apart.
+INSIDE = frozenset(
+    "ad ads advert advertisement adverts sponsor sponsored promo cookie cookies consent notice gdpr popup modal overlay menu nav navigation navbar breadcrumb breadcrumbs comment comments respond discussion share sharing related recommended newsletter subscribe signup login pagination".split()
+)
 #: Names that set even an article apart: those of a comment or an advert.
 NOT_ARTICLE = frozenset("ad ads advert advertisement comment comments promo related sponsored".split())
 #: Frequent function words of English, German, French and Spanish.
@@ -51,6 +56,8 @@ STOP = frozenset(
     "el los las y que del se por con una su para como más pero sus al lo o".split()
 )
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([/!?]?)([a-zA-Z\[][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)", re.S)
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|(?:^|\s)style\s*=\s*["']?[^"'>]*display\s*:\s*none""", re.I)
+BARE_VALUE = re.compile(r"=\s*[^\s\"'>]*/$")
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -61,35 +68,39 @@ MARKUP = re.compile(r"<[^>]*>|\s+")
 
 
 def _named(name: str, attributes: str, in_main: bool) -> str:
-    """"whole" or "part" if class, id or role name what is not the article, as a whole word or as a part of one."""
+    """"whole" or "part" if class, id or role name what is not the article, as a whole word or as a part of one; "inside" for such a part in an article."""
     if not attributes or name in ("html", "body"):
         return ""
+    if HIDDEN.search(attributes) and name not in ("article", "main"):
+        return "whole"
     names = [m[1] or m[2] or m[3] or "" for m in NAMED.finditer(attributes)]
     whole = {w.lower() for x in names for w in x.split()}
     if name in ("article", "main"):
         return "whole" if whole & NOT_ARTICLE else ""
     if whole & NAMES:
         return "whole"
+    words = {w for x in names for w in re.split(r"[\s_-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())}
     if in_main:
-        return ""
-    return "part" if any(w in NAMES for x in names for w in re.split(r"[\s_-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())) else ""
+        return "inside" if name not in INLINE and words & INSIDE else ""
+    return "part" if words & NAMES else ""
 
 
 def blocks(page: str) -> list[tuple[str, float, bool]]:
     """(text, link density, whether it is in an article or main element) of each block with text, in page order."""
     out: list = []
-    stack: list[list] = []  # name, whether apart, main, whether apart for a part of a name alone
+    stack: list[list] = []  # name, whether apart, main, whether apart for a part of a name alone, number of a part in an article
     open_: dict[str, int] = {}
     apart = main = links = parts = 0
     text: list[str] = []
-    linked = at = 0
+    linked = at = group = groups = 0
+    meant: set[int] = set()
     endless: set = set()
 
     def close():
         nonlocal text, linked
         plain = " ".join("".join(text).split())
         if plain:
-            out.append((plain, min(1.0, linked / len(plain)), main > 0))
+            out.append((plain, min(1.0, linked / len(plain)), main > 0, group))
         text, linked = [], 0
 
     def add(a: int, b: int):
@@ -101,8 +112,9 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
                 linked += len(" ".join(piece.split()))
 
     def pop():
-        nonlocal apart, main, links, parts
-        name, was_apart, was_main, in_part = stack.pop()
+        nonlocal apart, main, links, parts, group
+        name, was_apart, was_main, in_part, began = stack.pop()
+        group = 0 if began else group
         open_[name] -= 1
         apart, main, links, parts = apart - was_apart, main - was_main, links - (name == "a"), parts - in_part
 
@@ -151,20 +163,31 @@ def blocks(page: str) -> list[tuple[str, float, bool]]:
                 pop()
             if stack[-1][0] == "p":
                 pop()
-        if attributes.endswith("/"):
+        if attributes.endswith("/") and not BARE_VALUE.search(attributes):
             continue
         marked, named = name in ("article", "main"), _named(name, attributes, main > 0)
         if marked and parts and not named:  # what holds an article was not meant by a part of its name
             for x in stack:
                 apart, parts, x[1], x[3] = apart - x[3], parts - x[3], x[1] and not x[3], False
+        if marked and group:  # nor what holds another article
+            meant.add(group)
+        began = named == "inside" and not group
+        if named == "inside":
+            named = ""
         tag = name in APART or (name == "header" and not main) or (name == "form" and is_form(at))
         part = named == "part" and not tag
-        stack.append([name, bool(named) or tag, marked, part])
+        if began:
+            group = groups = groups + 1
+        stack.append([name, bool(named) or tag, marked, part, began])
         open_[name] = open_.get(name, 0) + 1
         apart, main, links, parts = apart + (bool(named) or tag), main + marked, links + (name == "a"), parts + part
     add(at, len(page))
     close()
-    return out
+    size: dict[int, int] = {}
+    for block in out:
+        size[block[3]] = size.get(block[3], 0) + len(block[0])
+    whole = sum(len(b[0]) for b in out if b[2])
+    return [b[:3] for b in out if not b[3] or b[3] in meant or 2 * size[b[3]] >= whole]
 
 
 def _first(text: str, density: float, stop: float, few: float, many: float) -> str:

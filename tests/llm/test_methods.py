@@ -205,3 +205,30 @@ def test_equal_blocks_of_two_tasks(spark, tmp_path):
     once = sorted(map(str, S.encode(one, path).collect()))
     assert len(once) == 4
     assert sorted(map(str, S.encode(both, path).collect())) == sorted(once * 2)
+
+
+BODY = " ".join(f"The storm came from the sea and it was as cold as the night that had been before it, number {i}." for i in range(6))
+
+
+@pytest.mark.parametrize("part", [
+    '<section id="reader-comments"><p>I was there and it is the best of all that you have written, thanks for this.</p></section>',
+    '<div class="newsletter-box"><p>Sign up for the letter that we send to all of our readers in the morning of the week.</p></div>',
+    '<div class="cookie-notice"><p>We use cookies and the like on this site so that it is what you would have it be.</p></div>',
+    '<div class=share-bar/><p>Tell the friends that you have about this and they will be as glad as you are of it.</p></div>',
+    '<p hidden>This is what you would have seen if it had been for you and for all of the others with you.</p>',
+    '<div style="display: none"><p>This is what you would have seen if it had been for you and for all of them.</p></div>'])
+def test_parts_inside_an_article(part):
+    """Comments, newsletters, notices and share boxes inside the article are none of it, wherever they stand."""
+    for inner in (f"{part}<p>{BODY}</p>", f"<p>{BODY}</p>{part}", f"<p>{BODY}</p>{part}<p>{BODY}</p>"):
+        assert html_text.main_text(f"<html><body><article>{inner}</article></body></html>") == " ".join([BODY] * inner.count(BODY))
+
+
+def test_part_that_is_the_article():
+    """A name's part sets nothing apart that holds most of the article, or another article."""
+    for page in (f'<article><div class="comment-body"><p>{BODY}</p></div><p>{BODY[:99]}</p></article>', f'<main><div class="related-wrap"><article><p>{BODY[:197]}</p></article></div><p>{BODY}</p></main>'):
+        text = html_text.main_text(page)
+        assert BODY[:197] in text
+
+
+def test_header_inside_an_article():
+    assert html_text.main_text(f'<article><div class="entry-header"><h1>Title of it</h1></div><p>{BODY}</p></article>') == f"Title of it {BODY}"
