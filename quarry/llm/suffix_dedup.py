@@ -43,7 +43,7 @@ from . import kernel as K
 from .common import fresh_path, partitions, ship, stored
 from .files import read_file, write_file
 
-Q, BLOCK, SEGMENT, WINDOWS, HOT = 32, 8 << 20, 4 << 20, 1_000_000, 20_000
+Q, BLOCK, SEGMENT, WINDOWS, HOT = 32, 8 << 20, 1 << 20, 400_000, 20_000
 
 
 def qgrams(raw: np.ndarray) -> np.ndarray:
@@ -85,7 +85,7 @@ def windows(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
 
 def _pieces(raw: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, bytes before, bytes, offsets): chunks; a very long row in overlapping pieces, so that memory stays bounded."""
-    for i, j in K.chunks(off):
+    for i, j in K.chunks(off, SEGMENT):
         n = off[j] - off[i]
         if j == i + 1 and n > SEGMENT:
             for a in range(0, int(n) - length + 1, SEGMENT):
