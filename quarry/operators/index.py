@@ -40,8 +40,12 @@ def build(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def store(docs: DataFrame, path: str, files: int | None = None) -> None:
     """Writes the index whole; the folder is a version, to be switched to when it is complete."""
-    spark = docs.sparkSession
-    postings, records = build(docs)
+    write(*build(docs), path, files)
+
+
+def write(postings: DataFrame, records: DataFrame, path: str, files: int | None = None) -> None:
+    """Postings and records, and their blocks, in the order that searches prune by."""
+    spark = postings.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def put(df: DataFrame, name: str, *order: str) -> None:
@@ -198,7 +202,7 @@ def counted(postings: DataFrame, records: DataFrame, match: Match, viewer: Viewe
     hits = postings.where(F.col("audience").isin(audiences) & any_).groupBy("rid").agg(*cells)
     rows = records.where(F.col("audience").isin(audiences))
     if viewer.subject is not None:
-        rows = rows.where((F.col("exposure") == LISTED) | acl_allows(viewer))
+        rows = rows.where((F.col("exposure") == LISTED) | acl_allows(viewer, rows))
     rows = search.narrowed(rows, filters)
     if search.site_only(match, sites):
         joined = rows.join(hits, "rid", "left").where(F.col("n0_3").isNotNull() | search.on_sites(search.site_hosts(match, sites), sites))

@@ -199,7 +199,12 @@ def browse(docs: DataFrame, viewer: Viewer = Viewer(), limit: int = 20, key: tup
 
 
 def facet_filter(docs: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
-    """All keys, any of a key's values; a key that no document has matches nothing."""
+    """All keys, any of a key's values; a key that no document has matches nothing. A map of facets is read, where there is one."""
+    if "facets" in docs.columns:
+        for key, values in wanted.items():
+            held = F.arrays_overlap(F.element_at("facets", key), F.array(*map(F.lit, values))) if values else F.lit(False)
+            docs = docs.where(F.coalesce(held, F.lit(False)) & (F.col("exposure") > NONE))
+        return docs
     columns = dict(FACETS)
     for key, values in wanted.items():
         docs = docs.where(F.col(columns[key]).cast("string").isin(values) & (F.col("exposure") > NONE)) if key in columns else docs.where("false")

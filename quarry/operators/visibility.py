@@ -66,13 +66,17 @@ FACETS = (("lang", "lang"), ("size", "size_bucket"), ("followers", "followers"),
 
 
 def facet_pairs(docs: DataFrame) -> DataFrame:
-    """(rid, key, value) of documents that anyone may see; values as text. A row's keys differ, so its pairs are distinct."""
+    """(rid, key, value) of documents that anyone may see; values as text. Documents with a map of facets are read by that, others by the columns of FACETS."""
+    if "facets" in docs.columns:
+        return facet_map_pairs(docs)
     pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(v).cast("string").alias("value")) for k, v in FACETS))
     return docs.where(F.col("exposure") > NONE).select("rid", F.inline(pairs)).where("value is not null")
 
 
-def acl_allows(viewer: Viewer) -> Column:
-    """private: the subject alone; members and unlisted: subject, a group or an entitlement; nobody: none."""
+def acl_allows(viewer: Viewer, docs: DataFrame | None = None) -> Column:
+    """private: the subject alone; members and unlisted: subject, a group or an entitlement; nobody: none. Documents with an acl of sets are read by that."""
+    if docs is not None and "acl" in docs.columns:
+        return acl_allows_sets(viewer)
     if viewer.subject is None:
         return F.lit(False)
     named = F.col("subject") == viewer.subject
@@ -82,7 +86,7 @@ def acl_allows(viewer: Viewer) -> Column:
 def visible(docs: DataFrame, viewer: Viewer) -> DataFrame:
     """The documents a viewer finds in lists; applied before any ranking or window."""
     listed = F.col("exposure") == LISTED
-    return docs.where(listed if viewer.subject is None else listed | ((F.col("exposure") == RESTRICTED) & acl_allows(viewer)))
+    return docs.where(listed if viewer.subject is None else listed | ((F.col("exposure") == RESTRICTED) & acl_allows(viewer, docs)))
 
 
 def can_view(viewer: Viewer) -> Column:
