@@ -227,6 +227,11 @@ SQL = {
         x AS (SELECT *, row_number() OVER (ORDER BY score DESC, kr ASC NULLS LAST, vr ASC NULLS LAST, rid) AS fused FROM u)
         SELECT rid, row_number() OVER (ORDER BY coalesce(cover, 0) DESC, coalesce(tier, 0) DESC, coalesce(title_words, 0) DESC, fused) AS position FROM x QUALIFY position <= 50""",
     "stream_trend_hourly": f"WITH {BEACONS} SELECT hour, site, query, count(*) AS n FROM b GROUP BY ALL",
+    "stream_index": (search(["the", "of"], "exposure = 3 AND rid % 13 <> 0").replace(toks("body"), toks("substr(body, 1, 48000)")).replace("coalesce(published_at, updated_at)", "coalesce(nullif(published_at, 'soon'), updated_at)")
+                     + "SELECT rid AS id, rank, importance, recency FROM s ORDER BY rank, importance DESC, recency DESC, rid LIMIT 20"),
+    "stream_documents": docs("""SELECT rid AS id, CAST(1 + CAST(rid % 7 = 0 AS INT) + CAST(deleted AS INT) AS BIGINT) AS events, CAST(CAST(rid % 13 <> 0 AS INT) + CAST(deleted AS INT) AS BIGINT) AS applied,
+        CAST(CAST(rid % 7 = 0 AND rid % 13 <> 0 AS INT) AS BIGINT) AS stale, CAST(CASE WHEN rid % 13 = 0 THEN 1 + CAST(rid % 7 = 0 AS INT) ELSE 0 END AS BIGINT) AS rejected,
+        CASE WHEN rid % 13 <> 0 OR deleted THEN revision END AS revision, CASE WHEN rid % 13 <> 0 OR deleted THEN deleted END AS deleted, CASE WHEN rid % 13 <> 0 OR deleted THEN exposure END AS exposure FROM e"""),
     "stream_inbox": "SELECT event_id, event_type FROM events",
     "stream_revision_merge": f"WITH {LOG} SELECT key, revision, deleted, content FROM l QUALIFY row_number() OVER (PARTITION BY key ORDER BY revision DESC, deleted DESC, arrival) = 1",
     "snippet": snippets(["the"]),

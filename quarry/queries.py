@@ -11,7 +11,8 @@ from quarry.operators import ann, index, ingest, saved, search, trending, vector
 from quarry.operators import visibility as vis
 from quarry.oracles import SQL  # noqa: F401
 from quarry.schema import Filters, Match, Profile, Sites, Viewer
-from quarry.sources.adapter import CLOCK, beacons, index_documents, revision_log
+from quarry.sources.adapter import CLOCK, FIELDS, beacons, index_documents, revision_log
+from quarry.streaming import ingest as stream_ingest
 from quarry.streaming import jobs
 
 QUERIES: dict = {}
@@ -631,6 +632,59 @@ def hybrid_rerank(spark, sf_dir):
     return long(vector.hybrid_rerank(fused, first).where("position <= 50").select("rid", "position"), "position")
 
 
+SECRET = b"delivery secret"
+
+
+def deliveries(spark, sf_dir):
+    """The documents as a stream of signed deliveries: each upsert twice, an older revision after it, deletions, forged and invalid ones."""
+    schema = read(spark, sf_dir, "documents").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir).selectExpr(*(f"{v} AS {k}" for k, v in FIELDS.items()))
+    c = F.col
+    at = lambda column: F.when(c(column).rlike("^[0-9]"), F.concat(column, F.lit("T00:00:00Z")))
+    whole = F.struct(
+        "owner", "type", "id", "revision", "visibility", F.when(c("canonical_url").isNotNull(), c("canonical_url")).alias("canonical_url"), F.when(c("rid") % 13 != 0, F.coalesce("title", F.lit(""))).alias("title"), F.coalesce("summary", F.lit("")).alias("summary"), F.substring(F.coalesce("body", F.lit("")), 1, 48000).alias("body"),
+        F.struct("followers", c("duration").alias("duration_seconds"), "live").alias("facets"), c("lang").alias("language"), "publication_state", at("published_at").alias("published_at"), at("updated_at").alias("updated_at"),
+        F.array(F.struct(F.lit("sources").alias("service"), F.lit("item").alias("type"), "id", "stub")).alias("provenance"), F.struct("decision").alias("indexability"))
+    gone = F.struct("type", "id", "revision")
+
+    def event(n, payload, kind="upserted", back=0):
+        told = F.to_json(F.struct(F.struct(
+            F.concat(F.lit("evt_"), F.lpad((c("rid") * 8 + n).cast("string"), 26, "0")).alias("event_id"), F.concat("owner", F.lit(f".index_document.{kind}")).alias("event_type"), c("owner").alias("source"),
+            F.struct("type", "id", (c("revision") - back).alias("revision")).alias("subject"), payload.alias("payload")).alias("event")))
+        return F.struct((c("rid") * 8 + n).alias("arrival"), told.alias("body"), F.lit(SECRET if n != 4 else b"forged").alias("key"))
+
+    older = whole.withField("revision", c("revision") - 1)
+    newer = whole.withField("title", F.lit("the of forged"))
+    sent = F.array_compact(F.array(event(1, whole), event(1, whole), F.when(c("rid") % 7 == 0, event(2, older, back=1)), F.when(c("deleted"), event(3, gone, "deleted")), F.when(c("rid") % 11 == 0, event(4, newer))))
+    flat = rows.select(F.explode(sent).alias("x")).select("x.*")
+    t = CLOCK // 1000
+    signed = lambda key: hmac_sha256(F.concat(F.lit(f"{t}."), "body"), key)
+    return flat.select("arrival", F.lit(CLOCK).alias("received_at"), "body", F.concat(F.lit(f"t={t},v2="), F.when(c("key") == F.lit(SECRET), signed(SECRET)).otherwise(signed(b"forged"))).alias("signature"), F.lit(None).cast("string").alias("timestamp"))
+
+
+def ingested(spark, sf_dir):
+    accepted = [r[0] for r in read(spark, sf_dir, "documents").select("source").distinct().orderBy("source").limit(1000).collect()]
+    return stream_ingest.start(deliveries(spark, sf_dir), jobs._folder(spark, "ingest"), [SECRET], accepted)
+
+
+@query
+def stream_index(spark, sf_dir):
+    """Signed deliveries to documents to the segmented index, and a page of it, by the documents' own ids."""
+    store = ingested(spark, sf_dir)
+    rows = store.open().top(20, Match(("the", "of")), profile=FIXED)[0]
+    found = spark.createDataFrame([tuple(r) for r in rows], "rank double, importance long, recency string, rid long")
+    return found.join(store.documents().select("rid", F.col("id").cast("long").alias("id")), "rid").select("id", "rank", "importance", F.substring("recency", 1, 10).alias("recency"))
+
+
+@query
+def stream_documents(spark, sf_dir):
+    """What the same job keeps of each document, and how many of its events came to what."""
+    store = ingested(spark, sf_dir)
+    kept = store.documents().select(F.col("id").cast("long").alias("id"), "revision", "deleted", "exposure")
+    events = store.outcomes().groupBy(F.col("id").cast("long").alias("id")).agg(F.count("*").alias("events"), F.count_if(F.col("outcome") == "applied").alias("applied"), F.count_if(F.col("outcome") == "stale").alias("stale"), F.count_if(F.col("outcome").startswith("rejected")).alias("rejected"))
+    return events.join(kept, "id", "left")
+
+
 named("stream_trend_hourly", jobs.trend_hourly)
 named("stream_inbox", jobs.inbox)
 named("stream_revision_merge", jobs.revision_merge)

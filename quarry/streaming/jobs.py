@@ -11,6 +11,8 @@ from quarry.functions.text import tokens
 from quarry.operators.federation import percolate
 from quarry.sources.adapter import events_as_beacons
 
+from . import keyed
+
 
 def shared(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir; only where it is unset on one machine, a temporary one."""
@@ -45,43 +47,46 @@ def run_batches(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint").trigger(**_trigger(every)).start().awaitTermination()
 
 
-class Versions:
-    """State in a shared folder, in buckets of a key's hash: a batch writes the buckets it touches, under its number.
+class Latest:
+    """The rows that batches brought, in a shared folder: a batch writes its own under its number, the last one of a key counts.
 
-    A folder counts when it is complete, and a batch reads versions before its own, so a batch that is run again, after a driver
-    or a sink was lost, gives the same state. Nothing is kept on the driver.
+    A folder counts when it is complete, so a batch that is run again, after a driver or a sink was lost, writes the same over. When
+    a base is written, it stands for all batches up to it. Nothing is kept on the driver.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, folder: str, every: int = 20):
+        self.spark, self.folder, self.every = spark, folder.rstrip("/"), every
 
-    def _list(self, pattern: str) -> list[str]:
+    def _done(self, kind: str) -> list[int]:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{pattern}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}=*/_SUCCESS")
         found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-        return [x.getPath().toString() for x in found or []]
-
-    def paths(self, before: int | None = None) -> dict[int, str]:
-        """The folder of each bucket's last version (before a batch)."""
-        done = {int(p.rsplit("/v=", 1)[1].split("/")[0]) for p in self._list("v=*/_SUCCESS")}
-        out: dict[int, tuple[int, str]] = {}
-        for p in self._list("v=*/bucket=*"):
-            v, b = (int(x) for x in p.rsplit("/v=", 1)[1].split("/bucket="))
-            if v in done and (before is None or v < before) and out.get(b, (-1, ""))[0] < v:
-                out[b] = (v, p)
-        return {b: p for b, (_, p) in out.items()}
-
-    def read(self, schema, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        found = [p for b, p in self.paths(before).items() if buckets is None or b in buckets]
-        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
-
-    def merge(self, batch: DataFrame, key: str, n: int, combine: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-        """Combines a batch with the state of the buckets it touches, writes them as version n; returns the state before and after, of these buckets."""
-        schema, bucket = batch.schema, F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
-        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most as many as there are buckets
-        old = self.read(schema, n, touched)
-        combine(old.unionByName(batch)).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/v={n}")
-        return old, self.read(schema, n + 1, touched)
+        return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found or [])
+
+    def read(self, schema, before: int | None = None) -> DataFrame:
+        """The last row of each key (before a batch)."""
+        within = [n for n in self._done("batch") if before is None or n < before]
+        base = max((n for n in self._done("base") if before is None or n < before), default=None)
+        parts = [("base", base)] * (base is not None) + [("batch", n) for n in within if base is None or n > base]
+        rows = None
+        for kind, n in parts:
+            one = self.spark.read.schema(schema).parquet(f"{self.folder}/{kind}={n}").withColumn("_batch", F.lit(n))
+            rows = one if rows is None else rows.unionByName(one)
+        if rows is None:
+            return self.spark.createDataFrame([], schema)
+        last = rows.groupBy("key").agg(F.max_by(F.struct(*(c for c in rows.columns if c not in ("key", "_batch"))), "_batch").alias("x"))
+        return last.select("key", "x.*")
+
+    def write(self, rows: DataFrame, n: int) -> None:
+        """A batch's rows; each `every` batches a base of all of them."""
+        rows.write.mode("overwrite").parquet(f"{self.folder}/batch={n}")
+        if n % self.every == self.every - 1:
+            self.read(rows.schema, n + 1).write.mode("overwrite").parquet(f"{self.folder}/base={n}")
+
+    def merge(self, batch: DataFrame, key: str, n: int, combine: Callable[[DataFrame], DataFrame]) -> None:
+        """Writes batch n from its rows and what their keys held before it, without the state store: for a batch that is brought in by hand."""
+        old = self.read(batch.schema, n).join(batch.select(key).distinct(), key, "left_semi")
+        self.write(combine(old.select(batch.columns).unionByName(batch)), n)
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -102,11 +107,11 @@ def trend_hourly(spark: SparkSession, sf_dir: str, folder: str | None = None, ev
 
 
 def inbox(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
-    """Exactly-once ingest: events delivered twice are kept once, by state over event_id within the watermark."""
+    """Exactly-once ingest: an event is kept once, however late it is delivered again: its id is a receipt that doesn't expire."""
     events = event_stream(spark, sf_dir)
-    twice = events.unionByName(events)
-    once = twice.withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["event_id"])
-    return spark.read.parquet(_run(once.select("event_id", "event_type"), folder or _folder(spark, "inbox")))
+    once = events.unionByName(events).select("event_id", "event_type").dropDuplicates(["event_id"])
+    with keyed.rocksdb(spark):
+        return spark.read.parquet(_run(once, folder or _folder(spark, "inbox")))
 
 
 def visitors(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
@@ -161,22 +166,28 @@ def _latest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def merge_into(log: DataFrame, folder: str, every: str | None = None) -> Versions:
+def merge_into(log: DataFrame, folder: str, every: str | None = None) -> Latest:
     """Latest document of each key by the revision rule, tombstones kept, and the exposure changes of each batch.
 
-    log: a stream of (arrival, key, revision, deleted, content). Started again on the same folder it goes on where it was.
+    log: a stream of (arrival, key, revision, deleted, content). What a key held is keyed state (keyed.py), so a batch reads and
+    writes the keys it brings and no others. Started again on the same folder it goes on where it was.
     """
-    state = Versions(log.sparkSession, f"{folder}/state")
-    level = F.when(F.col("deleted"), 0).when(F.col("content") == "view", 1).otherwise(3)
+    spark = log.sparkSession
+    state = Latest(spark, f"{folder}/state")
+    level = lambda deleted, content: F.when(F.col(deleted), 0).when(F.col(content) == "view", 1).otherwise(3)
 
     def handle(batch: DataFrame, n: int) -> None:
-        old, new = state.merge(batch, "key", n, _latest)
-        both = new.select("key", "revision", level.alias("exposure")).join(old.select("key", F.col("revision").alias("_had"), level.alias("previous")), "key", "left").where("_had is null or revision > _had")
-        rows = both.select("key", "revision", F.coalesce("previous", F.lit(0)).alias("previous"), "exposure")
+        batch.write.mode("overwrite").parquet(f"{folder}/log/batch={n}")  # the state is read once
+        best = _latest(spark.read.parquet(f"{folder}/log/batch={n}"))
+        new = best.where("had_revision is null or struct(revision, deleted) > struct(had_revision, had_deleted)")
+        state.write(new.select(*log.columns), n)
+        rows = new.where("had_revision is null or revision > had_revision").select(
+            "key", "revision", F.when(F.col("had_revision").isNull(), 0).otherwise(level("had_deleted", "had_content")).alias("previous"), level("deleted", "content").alias("exposure"))
         events = rows.where("exposure < previous").withColumn("event", F.lit("removed")).unionByName(rows.where("exposure > 0").withColumn("event", F.lit("indexed")))
         events.write.mode("overwrite").parquet(f"{folder}/events/batch={n}")
 
-    run_batches(log, folder, handle, every)
+    with keyed.rocksdb(spark):
+        run_batches(keyed.before(log.withColumn("skip", F.lit(False)), "key", ["content"]), folder, handle, every)
     return state
 
 
