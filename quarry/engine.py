@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import decode_cursor, encode_cursor, parse_query, relaxed
 from quarry.operators import ann, index, search, vector
-from quarry.operators.visibility import visible
-from quarry.schema import FACET_KEY, LISTED, Filters, Match, Profile, Sites, Viewer
+from quarry.operators.visibility import can_view, visible
+from quarry.schema import FACET_KEY, ID, LISTED, OWNER, TYPE, Filters, Match, Profile, Sites, Viewer
 
+MOST_SUGGEST_CHARS = 100
 MOST_CHARS, MOST_FACETS, CANDIDATES, RELAX_BELOW, NEAR = 500, 5, 100, 5, 0.30
 
 
@@ -114,6 +115,34 @@ class Engine:
             page.facets = search.facet_counts(self.result_set(page.match, viewer, filters, now), list(facet_keys))
         return page
 
+    def mine(self, text: str, viewer: Viewer, filters: Filters = Filters(), limit: int | None = None, cursor: str | None = None, now: int | None = None) -> Page:
+        """What of a signed-in search's page is not public: the caller's own material; public hits are another scope's."""
+        if viewer.subject is None:
+            return Page([], None, {"scope": "mine", "ok": False, "skipped": "needs a signed-in person"}, None)
+        page = self.search(text, viewer, filters, limit, cursor, now=now)
+        public = {r.rid for r in self.docs.where(F.col("rid").isin([r["rid"] for r in page.rows]) & (F.col("visibility") == "public")).select("rid").collect()} if page.rows else set()
+        page.rows = [r for r in page.rows if r["rid"] not in public]
+        return page
+
+    def suggest(self, text: str, viewer: Viewer = Viewer(), filters: Filters = Filters(), limit: int | None = None, now: int | None = None) -> Page:
+        """Documents whose titles hold the words, the last one begun: at most 20 (8, unless given), of the first 6 words."""
+        if len(text) > MOST_SUGGEST_CHARS:
+            raise ValueError("the query is too long")
+        match = replace(parse_query(text, 6, search.TITLE), prefix=True)
+        if not match.words:
+            return Page([], None, {"ranking": "keyword"}, None)
+        most = min(max(int(limit or 8), 1), 20)
+        return Page(self.best(most, match, viewer, filters, now if now is not None else self.profile.clock()), None, {"ranking": "keyword"}, match)
+
+    def get(self, owner: str, type_: str, id_: str, viewer: Viewer = Viewer()) -> DataFrame:
+        """The document of an identity, if the viewer may see it: one row or none."""
+        import re
+
+        if not (re.fullmatch(OWNER, owner) and re.fullmatch(TYPE, type_) and re.fullmatch(ID, id_)):
+            raise ValueError("owner, type or id is malformed")
+        one = self.docs.where((F.col("owner") == owner) & (F.col("type") == type_) & (F.col("id") == id_) & ~F.col("deleted"))
+        return search.projected(one.where(can_view(viewer, one)))
+
     def browse(self, viewer: Viewer = Viewer(), filters: Filters = Filters(), limit: int | None = None, cursor: str | None = None) -> Page:
         """Newest first, without words."""
         limit, h = self.clamp(limit), self._hash(None, filters)

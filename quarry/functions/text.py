@@ -24,22 +24,22 @@ def fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.category(c).startswith("M"))))
 
 
-def _folds() -> tuple[str, str]:
-    """Characters and what they fold to, for translate(): letters that decompose to one letter and marks; then the marks, to nothing."""
-    one = {}
-    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
-        base = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.category(x).startswith("M"))
-        if len(base) == 1 and base != chr(code):
-            one[chr(code)] = base
-    return "".join(one) + "".join(map(chr, range(0x300, 0x370))), "".join(one.values())
+def _icu(method: str, c: Column, compatible: bool) -> Column:
+    """ICU's decomposition or composition of a text that is not null; Spark carries the library for its collations."""
+    return F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), c, F.lit(compatible))
 
 
-FOLD_FROM, FOLD_TO = _folds()
+def nfkc(c) -> Column:
+    """The compatibility form of a text, composed; null is empty."""
+    text = F.coalesce(c, F.lit(""))
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_icu("compose", text, True))
 
 
 def folded(c) -> Column:
-    """Lower case without marks, on the JVM: Latin, Greek and Cyrillic letters; fold() has the rest of Unicode."""
-    return F.translate(F.lower(F.coalesce(c, F.lit(""))), FOLD_FROM, FOLD_TO)
+    """Lower case without marks, in compatibility form, on the JVM: what fold() gives, of all of Unicode. Texts of ASCII take the short way."""
+    text = F.coalesce(c, F.lit(""))
+    bare = F.regexp_replace(_icu("decompose", text, True), r"\p{M}+", "")
+    return F.lower(F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_icu("compose", bare, False)))
 
 
 def tokens(c) -> Column:

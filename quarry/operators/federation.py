@@ -11,14 +11,13 @@ from quarry.functions.text import host, tokens, url_key
 
 
 def url_union(steps: list[DataFrame]) -> DataFrame:
-    """Results of ladder steps (url, ...), first step and position wins for each URL key; results without a URL all stay."""
+    """Results of ladder steps (url, ...), first step and position wins for each URL key; results without a URL are left out."""
     rows = None
     for i, df in enumerate(steps):
         one = df.withColumn("step", F.lit(i)).withColumn("url_key", url_key(F.col("url")))
         rows = one if rows is None else rows.unionByName(one)
     w = Window.partitionBy("url_key").orderBy("step", "position")
-    keyed = rows.where("url_key is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return keyed.unionByName(rows.where("url_key is null"))
+    return rows.where("url_key <> ''").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def fresh_enough(days: int, now_day: int) -> Column:
@@ -72,9 +71,9 @@ def code_context(lines: DataFrame, around: int = 2, most: int = 120) -> DataFram
 
 
 def packed(files: DataFrame, most_files: int, most_chars: int) -> DataFrame:
-    """Ranked files (position, chars) until either limit; the first always."""
+    """Ranked files (position, chars) of one answer until either limit; the first always; files without a place or text are passed over."""
     w = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = files.withColumn("total", F.sum("chars").over(w)).withColumn("n", F.row_number().over(Window.orderBy("position")))
+    rows = files.where("position is not null and chars > 0").withColumn("total", F.sum("chars").over(w)).withColumn("n", F.row_number().over(Window.orderBy("position")))
     return rows.where((F.col("n") == 1) | ((F.col("n") <= most_files) & (F.col("total") <= most_chars)))
 
 
@@ -98,6 +97,13 @@ def provider_stats(calls: DataFrame) -> DataFrame:
     return calls.groupBy("day", "provider").agg(F.count("*").alias("calls"), F.round(F.sum("ms") / F.count("*"), 6).alias("latency_ms_mean"), F.round(F.count_if("answered") / F.count("*"), 6).alias("answered_rate"))
 
 
+def provider_added(stored: DataFrame, calls: DataFrame) -> DataFrame:
+    """Stored counters (day, provider, calls, answered, ms, cost) after calls (day, provider, answered, ms, cost) are added to them."""
+    new = calls.select("day", "provider", F.lit(1).cast("long").alias("calls"), F.col("answered").cast("long").alias("answered"), F.coalesce(F.col("ms").cast("double"), F.lit(0.0)).alias("ms"), F.coalesce(F.col("cost").cast("double"), F.lit(0.0)).alias("cost"))
+    both = stored.select("day", "provider", "calls", "answered", "ms", "cost").unionByName(new)
+    return both.groupBy("day", "provider").agg(F.sum("calls").alias("calls"), F.sum("answered").alias("answered"), F.round(F.sum("ms"), 6).alias("ms"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
 def percolate(saved: DataFrame, delta: DataFrame) -> DataFrame:
     """Saved queries (saved_id, words) x new documents (rid, text): pairs where the document has all words.
 
@@ -187,6 +193,12 @@ def quota(calls: DataFrame, per_minute: int) -> DataFrame:
     return calls.withColumn("allowed", F.row_number().over(w) <= per_minute)
 
 
+def usage(runs: DataFrame) -> DataFrame:
+    """What the model calls of each answer used: tokens in and out and their cost; calls without a receipt, or with one that is no number, add nothing."""
+    number = lambda c, kind: F.sum(F.coalesce(F.col(c).cast("string").try_cast(kind), F.lit(0).cast(kind)))
+    return runs.groupBy("answer").agg(number("tokens_in", "long").alias("tokens_in"), number("tokens_out", "long").alias("tokens_out"), F.round(number("cost_usd", "double"), 6).alias("cost_usd"))
+
+
 def answer_costs(steps: DataFrame) -> DataFrame:
     """What each answer cost and took, over its steps; steps without a receipt count nothing."""
     return steps.groupBy("answer").agg(F.count("*").alias("steps"), F.count_if("answered").alias("answered"), F.round(F.sum(F.coalesce("cost", F.lit(0.0))), 6).alias("cost"), F.max(F.coalesce("ms", F.lit(0.0))).alias("slowest"))

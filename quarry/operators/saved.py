@@ -69,7 +69,7 @@ def exported(tables: dict[str, DataFrame], subject: str) -> dict[str, DataFrame]
 
 def erased(table: DataFrame, subjects: DataFrame) -> DataFrame:
     """A table without the rows of people whose accounts are deleted."""
-    return table.join(F.broadcast(subjects.select("subject").distinct()), "subject", "left_anti")
+    return table.join(subjects.select("subject").distinct(), "subject", "left_anti")
 
 
 def relayed(outbox: DataFrame, acknowledged: DataFrame, now: int, most: int = 100, keep_ms: int = 6 * 3600 * 1000) -> DataFrame:
@@ -86,7 +86,8 @@ def notified(saved: DataFrame, matches: DataFrame, failed: DataFrame, at: int) -
     keeps its watermark, so the same matches are found again.
     """
     fresh = matches.join(saved.select(F.col("id").alias("saved_id"), F.coalesce("last_run_at", "created_at").alias("_since")), "saved_id").where(F.col("at") > F.col("_since"))
-    sent = fresh.groupBy("saved_id").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("rid")), 1, 50).alias("rids"))
+    once = fresh.select("saved_id", "rid").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("saved_id").orderBy("rid"))).where("_n <= 50")  # ranked before they are gathered
+    sent = fresh.groupBy("saved_id").agg(F.count("*").alias("n")).join(once.groupBy("saved_id").agg(F.array_sort(F.collect_list("rid")).alias("rids")), "saved_id")
     runs = saved.join(failed.select(F.col("saved_id").alias("id")), "id", "left_anti").select("id", F.lit(at).cast("long").alias("at"))
     return sent.join(failed.select("saved_id"), "saved_id", "left_anti"), advanced(saved, runs)
 

@@ -150,12 +150,11 @@ def narrowed(docs: DataFrame, filters: Filters) -> DataFrame:
 
 def weights_of(docs: DataFrame, match: Match, most: int = 1000) -> dict[str, float]:
     """The weight of each of a query's words by how many listed documents hold it; a word's count stops at the bound."""
-    listed, every = docs.where(F.col("exposure") == LISTED), None
-    for i, word in enumerate(match.words):
-        hit = F.exists(tokens(F.concat_ws(" ", "title", "summary", "body")), _hits(word, match.prefix and i == len(match.words) - 1))
-        one = listed.where(hit).select("rid").limit(most).agg(F.count("*").alias("df")).select(F.lit(word).alias("word"), word_weight(F.col("df")).alias("w"))
-        every = one if every is None else every.unionByName(one)
-    return {r.word: r.w for r in every.collect()}
+    listed = _once(docs.where(F.col("exposure") == LISTED).select("title", "summary", "body"), t=tokens(F.concat_ws(" ", "title", "summary", "body")))
+    hit = lambda i, word: F.exists("t", _hits(word, True)) if match.prefix and i == len(match.words) - 1 else F.array_contains("t", word)
+    held = listed.agg(*(F.least(F.count_if(hit(i, w)), F.lit(most)).alias(f"n{i}") for i, w in enumerate(match.words)))  # one pass, a count a word
+    row = held.select(*(word_weight(F.col(f"n{i}")).alias(f"w{i}") for i in range(len(match.words)))).first()
+    return {w: row[f"w{i}"] for i, w in enumerate(match.words)}
 
 
 def scored(rows: DataFrame, match: Match, profile: Profile = Profile()) -> DataFrame:
@@ -237,9 +236,19 @@ def snippet(docs: DataFrame, rows: DataFrame, match: Match, before: int = 4, mos
 
 
 def repeats_title(snippet_: Column, title: Column) -> Column:
-    """Whether a snippet says no more than the title."""
-    same = lambda c: F.array_join(tokens(F.regexp_replace(c, f"[{MARK_OPEN}{MARK_CLOSE}]", "")), " ")
-    return F.startswith(same(title), same(snippet_))
+    """Whether half of a snippet's words of two characters or more, or more of them, are the title's; one without such words says nothing either."""
+    words = lambda c: F.filter(F.split(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), f"[{MARK_OPEN}{MARK_CLOSE}]", "")), r"[^\p{L}\p{N}$.]+"), lambda w: F.char_length(w) > 1)
+    own = words(title)
+    shared = F.size(F.filter(words(snippet_), lambda w: F.array_contains(own, w)))
+    return (F.size(words(snippet_)) == 0) | (2 * shared >= F.size(words(snippet_)))
+
+
+def snippet_html(snippet_: Column) -> Column:
+    """A snippet for a page: its text escaped, its hits between mark elements."""
+    text = snippet_
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return F.replace(F.replace(text, F.lit(MARK_OPEN), F.lit("<mark>")), F.lit(MARK_CLOSE), F.lit("</mark>"))
 
 
 def projected(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import nfkc
+
 
 def hourly(beacons: DataFrame) -> DataFrame:
     return beacons.groupBy("hour", "site", "query").agg(F.count("*").alias("n"))
@@ -16,13 +18,18 @@ def visitors(beacons: DataFrame) -> DataFrame:
 
 
 def rising(beacons: DataFrame, now_hour: int, site: str | None = None, least_people: int = 5, limit: int | None = None) -> DataFrame:
-    """(query, recent, before, people, score), best first, of queries that rise; people is counted over all sites, the last two days."""
+    """(query, shown, recent, before, people, score, rising), best first, of queries that enough people searched.
+
+    people is counted over all sites, the last two days; shown: the greatest of the forms it was typed in; rising: whether more
+    often in the last day than in one of the two days before.
+    """
+    shown = F.max("shown") if "shown" in beacons.columns else F.max("query")
     here = beacons.where(F.col("site") == site) if site else beacons
     recent, before = F.col("hour") >= now_hour - 24, (F.col("hour") >= now_hour - 72) & (F.col("hour") < now_hour - 24)
-    counts = here.where(F.col("hour") >= now_hour - 72).groupBy("query").agg(F.count_if(recent).alias("recent"), F.count_if(before).alias("before"))
+    counts = here.where(F.col("hour") >= now_hour - 72).groupBy("query").agg(shown.alias("shown"), F.count_if(recent).alias("recent"), F.count_if(before).alias("before"))
     people = beacons.where(F.col("day") >= now_hour // 24 - 1).groupBy("query").agg(F.countDistinct("visitor").alias("people"))
     score = F.round(F.col("recent") * F.log2(2 + F.col("recent") / (F.col("before") / 2 + 1)), 6)
-    rows = counts.join(people, "query", "left").where((F.col("recent") > 0) & (F.coalesce("people", F.lit(0)) >= least_people)).select("query", "recent", "before", "people", score.alias("score"))
+    rows = counts.join(people, "query", "left").where((F.col("recent") > 0) & (F.coalesce("people", F.lit(0)) >= least_people)).select("query", "shown", "recent", "before", "people", score.alias("score"), (F.col("recent") > F.col("before") / 2).alias("rising"))
     rows = rows.orderBy(F.desc("score"), F.desc("recent"), "query")
     return rows.limit(limit) if limit else rows
 
@@ -41,13 +48,17 @@ def clean_title() -> Column:
     return F.trim(F.regexp_replace(first, r"\s*[(\[][^)\]]*[)\]]?\s*$", ""))
 
 
-def suggestions(docs: DataFrame, hour: int, newest: int = 200, most: int = 8, site: str | None = None, taken: tuple[str, ...] = ()) -> DataFrame:
-    """Titles of the newest listed documents (of a site), less those taken, in an order that changes by the hour and is the same for all."""
+def suggestions(docs: DataFrame, hour: int, newest: int = 200, most: int = 8, site: str | None = None, taken: tuple[str, ...] = (), banned: tuple[str, ...] = ()) -> DataFrame:
+    """(query, key): titles of the newest listed documents (of a site) in the form searches are counted in, under the same rules; less those taken.
+
+    Each form once, as its newest title shows it, in an order that changes by the hour and is the same for all.
+    """
     listed = docs.where((F.col("exposure") == 3) & F.char_length("title").between(3, 48))
     listed = listed.where(F.col("canonical_url").startswith(f"https://{site}/")) if site else listed
     pool = listed.orderBy(F.desc("sort_at"), F.desc("rid")).limit(newest)
-    titles = pool.select(clean_title().alias("query")).where("query <> ''").where(~F.lower("query").isin(*taken)).distinct()
-    return titles.orderBy(F.sha2(F.concat(F.lit(f"{hour}|"), "query"), 256)).limit(most)
+    titles = pool.select("sort_at", "rid", shown_query(clean_title(), banned).alias("query")).where("query is not null").withColumn("key", F.lower("query"))
+    once = titles.where(~F.col("key").isin(*taken)).groupBy("key").agg(F.max_by("query", F.struct("sort_at", "rid")).alias("query"))
+    return once.orderBy(F.sha2(F.concat(F.lit(f"{hour}|"), "key"), 256)).limit(most).select("query", "key")
 
 
 # What may not be counted: personal data, and words that never trend.
@@ -55,13 +66,18 @@ PERSONAL = (r"\S+@\S+\.\S+", r"(?:\+?\d[\s().-]*){7,}", r"\d{6,}", r"(?i)\b(?:ht
 
 
 def counted_query(c: Column, banned: tuple[str, ...] = ()) -> Column:
-    """The form a query is counted under: lower case, single spaces, no edge punctuation; null where it may not count."""
+    """The form a query is counted under: shown_query() in lower case."""
+    return F.lower(shown_query(c, banned))
+
+
+def shown_query(c: Column, banned: tuple[str, ...] = ()) -> Column:
+    """A query as it is shown: compatibility form, single spaces, no edge punctuation; null where it may not count."""
     edge = "[\\s\"'`.,;:!?()\\[\\]{}<>-]+"
-    shown = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1f\x7f]", " "), r"\s+", " ")), f"^{edge}|{edge}$", "")
+    shown = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(nfkc(c), r"[\x00-\x1f\x7f]", " "), r"\s+", " ")), f"^{edge}|{edge}$", "")
     ok = F.char_length(shown).between(2, 80) & (F.size(F.split(shown, " ")) <= 8)
     for pattern in (*PERSONAL, *((rf"(?i)\b({'|'.join(banned)})\b",) if banned else ())):
         ok = ok & ~shown.rlike(pattern)
-    return F.when(ok, F.lower(shown))
+    return F.when(ok, shown)
 
 
 def visitor_hash(salt: Column, address: Column, agent: Column) -> Column:
@@ -70,18 +86,18 @@ def visitor_hash(salt: Column, address: Column, agent: Column) -> Column:
 
 
 def trending_list(beacons: DataFrame, docs: DataFrame, now_hour: int, site: str | None = None, limit: int = 10) -> DataFrame:
-    """(query, suggested, place): the site's own rising queries, filled with the network's, then with suggestions; limit is 1 to 20."""
+    """(query, suggested, rising, place): the site's own rising queries, filled with the network's, then with suggestions; limit is 1 to 20."""
     limit = max(1, min(20, limit))
     own = rising(beacons, now_hour, site, limit=limit) if site else rising(beacons, now_hour, limit=limit).where("false")
     lists = [own.withColumn("source", F.lit(0)), rising(beacons, now_hour, limit=limit).withColumn("source", F.lit(1))]
-    both = lists[0].unionByName(lists[1]).select(F.lower("query").alias("key"), "query", "source", F.struct(-F.col("score"), -F.col("recent"), "query").alias("at"))
+    both = lists[0].unionByName(lists[1]).select(F.lower("shown").alias("key"), F.col("shown").alias("query"), "rising", "source", F.struct(-F.col("score"), -F.col("recent"), "shown").alias("at"))
     w = Window.partitionBy("key").orderBy("source")
     people = both.withColumn("_n", F.row_number().over(w)).where("_n = 1").orderBy("source", "at").limit(limit)
     taken = tuple(r.key for r in people.select("key").collect())  # at most 20
-    more = suggestions(docs, now_hour, most=limit, site=site, taken=taken).select(F.lower("query").alias("key"), "query", F.lit(2).alias("source"), F.struct(F.lit(0.0).alias("a"), F.lit(0).cast("long").alias("b"), F.sha2(F.concat(F.lit(f"{now_hour}|"), "query"), 256).alias("c")).alias("at"))
-    every = people.select("key", "query", "source", F.struct(F.col("at.col1").alias("a"), F.col("at.col2").alias("b"), F.col("at.query").alias("c")).alias("at")).unionByName(more)
+    more = suggestions(docs, now_hour, most=limit, site=site, taken=taken).select("key", "query", F.lit(None).cast("boolean").alias("rising"), F.lit(2).alias("source"), F.struct(F.lit(0.0).alias("a"), F.lit(0).cast("long").alias("b"), F.sha2(F.concat(F.lit(f"{now_hour}|"), "key"), 256).alias("c")).alias("at"))
+    every = people.select("key", "query", "rising", "source", F.struct(F.col("at.col1").alias("a"), F.col("at.col2").alias("b"), F.col("at.shown").alias("c")).alias("at")).unionByName(more)
     place = F.row_number().over(Window.orderBy("source", "at"))
-    return every.withColumn("place", place).where(F.col("place") <= limit).select("query", (F.col("source") == 2).alias("suggested"), "place")
+    return every.withColumn("place", place).where(F.col("place") <= limit).select("query", (F.col("source") == 2).alias("suggested"), "rising", "place")
 
 
 def rate_limited(beacons: DataFrame, per_window: int = 20, seconds: int = 60) -> DataFrame:
@@ -109,5 +125,15 @@ def rate_limited(beacons: DataFrame, per_window: int = 20, seconds: int = 60) ->
     return rows.repartition("_who").sortWithinPartitions("_who", "_us", "event_id").mapInArrow(run, beacons.schema)
 
 
+# How many days each kind of row is kept.
+LIFETIMES = {"trends": 8, "visitors": 2, "salts": 1, "telemetry": 14}
+
+
+def living(rows: DataFrame, kind: str, now_hour: int) -> DataFrame:
+    """The rows of a kind that are still kept: trends by their hour, the others by their day."""
+    days = LIFETIMES[kind]
+    return rows.where(F.col("hour") >= now_hour - 24 * days) if kind == "trends" else rows.where(F.col("day") >= now_hour // 24 - days)
+
+
 def retained(rows: DataFrame, now_hour: int, days: int = 8) -> DataFrame:
     return rows.where(F.col("hour") >= now_hour - 24 * days)

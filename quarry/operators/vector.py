@@ -55,6 +55,12 @@ def batches(rows: DataFrame, most: int, key: str = "rid") -> DataFrame:
     return spread.withColumn("part", F.spark_partition_id()).withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1) / most))
 
 
+def right_dimension(fresh: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(embeddings that can be stored, those that can't): only vectors of the model's dimension are."""
+    right = F.coalesce(F.size("embedding") == dim, F.lit(False))
+    return fresh.where(right), fresh.where(~right)
+
+
 def embedding_upsert(stored: DataFrame, fresh: DataFrame, live: DataFrame) -> DataFrame:
     """Stored embeddings after a batch: the fresh one of each rid and model wins, those of documents gone are dropped."""
     keys = ["rid", "model"]

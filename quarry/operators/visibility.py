@@ -89,7 +89,7 @@ def visible(docs: DataFrame, viewer: Viewer) -> DataFrame:
     return docs.where(listed if viewer.subject is None else listed | ((F.col("exposure") == RESTRICTED) & acl_allows(viewer, docs)))
 
 
-def can_view(viewer: Viewer) -> Column:
+def can_view(viewer: Viewer, docs: DataFrame | None = None) -> Column:
     """By exact id: public ones to all; unlisted ones to any signed-in subject; else as in lists."""
     signed = F.lit(viewer.subject is not None)
-    return (F.col("exposure") >= UNLISTED) | ((F.col("exposure") == RESTRICTED) & ((signed & (F.col("visibility") == "unlisted")) | acl_allows(viewer)))
+    return (F.col("exposure") >= UNLISTED) | ((F.col("exposure") == RESTRICTED) & ((signed & (F.col("visibility") == "unlisted")) | acl_allows(viewer, docs)))

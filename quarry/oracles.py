@@ -12,7 +12,7 @@ r AS (SELECT *, CASE WHEN deleted THEN ['deleted'] ELSE list_sort(list_filter([
 i AS (SELECT * EXCLUDE (rs), CASE WHEN len(rs) = 0 AND decision <> 'index' THEN ['owner_decision'] ELSE rs END AS reasons, CASE WHEN decision = 'index' AND len(rs) = 0 THEN 'index' ELSE 'noindex' END AS index_decision FROM r),
 e AS (SELECT *, CASE WHEN deleted OR visibility = 'draft' OR publication_state <> 'published' THEN 0 WHEN visibility <> 'public' THEN 1 WHEN index_decision = 'index' THEN 3 ELSE 2 END AS exposure FROM i)"""
 
-BEACONS = """b AS (SELECT event_id, ts, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, CAST(floor(floor(epoch(ts) / 3600) / 24) AS BIGINT) AS day, event_type AS site, 'k' || json_extract_string(props, '$.k') AS query, user_id AS visitor FROM events)"""
+BEACONS = """b AS (SELECT event_id, ts, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, CAST(floor(floor(epoch(ts) / 3600) / 24) AS BIGINT) AS day, event_type AS site, 'k' || json_extract_string(props, '$.k') AS query, CASE WHEN event_id % 3 = 0 THEN 'k' ELSE 'K' END || json_extract_string(props, '$.k') AS shown, user_id AS visitor FROM events)"""
 LOG = "l AS (SELECT event_id AS arrival, event_id % 300 AS key, CAST(floor(event_id / 1500) AS BIGINT) + event_id % 3 AS revision, event_type = 'error' AS deleted, CASE WHEN event_type = 'error' THEN 'tombstone' ELSE event_type END AS content FROM events)"
 
 
@@ -108,6 +108,18 @@ HASH = f"""sha256(CASE WHEN deleted THEN CAST(to_json({{'deleted': true, 'id': i
   'publication_state': publication_state, 'revision': revision, 'summary': {cleaned('summary')}, 'title': {cleaned('title')}, 'type': type, 'visibility': visibility}}) AS VARCHAR) END)"""
 
 
+def snippet_words(c: str) -> str:
+    return f"list_filter(string_split_regex(lower(replace(replace({c}, chr(1), ''), chr(2), '')), '[^\\p{{L}}\\p{{N}}$.]+'), lambda w: length(w) > 1)"
+
+
+def shown(c: str, banned: str) -> str:
+    """A query as it is shown, null where it may not count."""
+    q = f"regexp_replace(trim(regexp_replace(regexp_replace({c}, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g')), '^[\\s\"''`.,;:!?()\\[\\]{{}}<>-]+|[\\s\"''`.,;:!?()\\[\\]{{}}<>-]+$', '', 'g')"
+    bad = ["\\S+@\\S+\\.\\S+", "(?:\\+?\\d[\\s().-]*){7,}", "\\d{6,}", "(?i)\\b(?:https?://|www\\.)\\S+", "\\b[A-Za-z0-9_-]{24,}\\b", f"(?i)\\b({banned})\\b"]
+    ok = " AND ".join(f"NOT regexp_matches({q}, '{p}')" for p in bad)
+    return f"CASE WHEN length({q}) BETWEEN 2 AND 80 AND len(string_split({q}, ' ')) <= 8 AND {ok} THEN {q} END"
+
+
 def snippets(words, prefix=False, where="") -> str:
     bare = "regexp_replace(strip_accents(lower(w)), '[^\\p{L}\\p{N}]', '', 'g')"
     hit = f"({' OR '.join(f'{bare} = {chr(39)}{w}{chr(39)}' for w in words)}" + (f" OR starts_with({bare}, '{words[-1]}'))" if prefix else ")")
@@ -126,7 +138,7 @@ def near(extra: str, floor: str) -> str:
 
 
 def rising(site: str = "true", limit: str = "") -> str:
-    return f"""SELECT query, recent, before, people, round(recent * log2(2 + recent / (before / 2 + 1)), 6) AS score FROM (SELECT query, count(*) FILTER (hour >= {{now}} - 24) AS recent, count(*) FILTER (hour < {{now}} - 24) AS before FROM b WHERE hour >= {{now}} - 72 AND {site} GROUP BY query)
+    return f"""SELECT query, shown, recent, before, people, round(recent * log2(2 + recent / (before / 2 + 1)), 6) AS score, recent > before / 2 AS rising FROM (SELECT query, max(shown) AS shown, count(*) FILTER (hour >= {{now}} - 24) AS recent, count(*) FILTER (hour < {{now}} - 24) AS before FROM b WHERE hour >= {{now}} - 72 AND {site} GROUP BY query)
         JOIN (SELECT query, count(DISTINCT visitor) AS people FROM b WHERE day >= {{now}} // 24 - 1 GROUP BY query) USING (query) WHERE recent > 0 AND people >= 5 ORDER BY score DESC, recent DESC, query {limit}""".replace("{now}", "(SELECT max(hour) FROM b)")
 
 
@@ -199,8 +211,13 @@ SQL = {
     "trend_visitors": f"WITH {BEACONS} SELECT day, query, count(DISTINCT visitor) AS people FROM b GROUP BY ALL",
     "trend_by_day": f"WITH {BEACONS} SELECT day, count(*) AS n FROM b GROUP BY day",
     "trend_by_site": f"WITH {BEACONS} SELECT site, count(*) AS n FROM b GROUP BY site ORDER BY n DESC, site LIMIT 40",
-    "trend_suggestions": docs("""SELECT query FROM (SELECT DISTINCT trim(regexp_replace(regexp_extract(title, '^(.*?)(?:\\s+[|—·–-]\\s+.*)?$', 1), '\\s*[(\\[][^)\\]]*[)\\]]?\\s*$', '')) AS query FROM
-        (SELECT * FROM e WHERE exposure = 3 AND length(title) BETWEEN 3 AND 48 ORDER BY sort_at DESC, rid DESC LIMIT 200)) WHERE query <> '' ORDER BY sha256(concat('480000|', query)) LIMIT 8"""),
+    "trend_suggestions": docs(f"""SELECT arg_max(t, (sort_at, rid)) AS query, lower(t) AS key FROM (SELECT sort_at, rid, {shown("trim(regexp_replace(regexp_extract(title, '^(.*?)(?:" + chr(92) + "s+[|—·–-]" + chr(92) + "s+.*)?$', 1), '" + chr(92) + "s*[(" + chr(92) + "[][^)" + chr(92) + "]]*[)" + chr(92) + "]]?" + chr(92) + "s*$', ''))", "th" + chr(92) + "w*")} AS t FROM
+        (SELECT * FROM e WHERE exposure = 3 AND length(title) BETWEEN 3 AND 48 ORDER BY sort_at DESC, rid DESC LIMIT 200)) WHERE t IS NOT NULL GROUP BY lower(t) ORDER BY sha256(concat('480000|', lower(t))) LIMIT 8"""),
+    "model_usage": """SELECT user_id AS answer, CAST(sum(CASE WHEN event_id % 4 <> 0 THEN event_id % 900 ELSE 0 END) AS BIGINT) AS tokens_in, CAST(sum(CASE WHEN event_id % 3 <> 0 THEN event_id % 70 ELSE 0 END) AS BIGINT) AS tokens_out, round(sum(CASE WHEN event_id % 5 <> 0 THEN event_id % 7 / 8 ELSE 0 END), 6) AS cost_usd FROM events GROUP BY user_id""",
+    "provider_counters": """SELECT CAST(ts AS DATE) AS day, event_type AS provider, count(*) AS calls, count(*) FILTER (user_id % 3 <> 0) AS answered, round(sum(CASE WHEN event_id % 4 <> 0 THEN event_id % 50 ELSE 0 END)::DOUBLE, 6) AS ms, round(sum(event_id % 8 / 4), 6) AS cost FROM events GROUP BY ALL""",
+    "trend_lifetimes": f"""WITH {BEACONS}, n AS (SELECT max(hour) AS h FROM b) SELECT 'trends' AS kind, count(*) AS n FROM (SELECT DISTINCT hour, site, query FROM b, n WHERE hour >= h - 192) UNION ALL SELECT 'visitors', count(*) FROM (SELECT DISTINCT day, query, visitor FROM b, n WHERE day >= h // 24 - 2)
+        UNION ALL SELECT 'salts', count(*) FROM (SELECT DISTINCT day FROM b, n WHERE day >= h // 24 - 1) UNION ALL SELECT 'telemetry', count(*) FROM b, n WHERE day >= h // 24 - 14""",
+    "snippet_html": "SELECT rid, replace(replace(replace(replace(replace(replace(replace('<i> & ' || snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;'), chr(1), '<mark>'), chr(2), '</mark>') AS html FROM (" + snippets(["the"]) + ")",
     "saved_percolate": f"""WITH q AS (SELECT item_id AS saved_id, list_distinct(list_slice({toks('text')}, 1, 3)) AS words FROM benchmark), n AS (SELECT doc_id AS rid, {toks('text')} AS t FROM documents)
         SELECT saved_id, rid FROM q JOIN n ON list_has_all(t, words) WHERE len(words) > 0""",
     "seen_diff": """WITH w AS (SELECT user_id AS watch, list_distinct(list_sort(list(event_type || '-' || CAST(event_id % 7 AS STRING)))) AS urls FROM events GROUP BY user_id), x AS (SELECT watch, list_sort(urls) AS urls, list_sort(list_filter(urls, lambda u: u < 'e')) AS seen FROM w)
@@ -227,6 +244,11 @@ SQL = {
         x AS (SELECT *, row_number() OVER (ORDER BY score DESC, kr ASC NULLS LAST, vr ASC NULLS LAST, rid) AS fused FROM u)
         SELECT rid, row_number() OVER (ORDER BY coalesce(cover, 0) DESC, coalesce(tier, 0) DESC, coalesce(title_words, 0) DESC, fused) AS position FROM x QUALIFY position <= 50""",
     "stream_trend_hourly": f"WITH {BEACONS} SELECT hour, site, query, count(*) AS n FROM b GROUP BY ALL",
+    "facet_bitmap_filter": docs("SELECT rid FROM e WHERE exposure > 0 AND (rid % 7 IN (1, 2) OR rid % 5 IN (1, 2)) AND lang IN ('en', 'de')"),
+    "facet_bitmap_counts": search(["the"]) + """, v AS (SELECT DISTINCT rid, 'tag' AS key, unnest(['t' || rid % 7, 't' || rid % 5]) AS value FROM s UNION ALL SELECT rid, 'lang', lang FROM s WHERE lang IS NOT NULL)
+        SELECT key, value, count FROM (SELECT key, value, count(*) AS count FROM v GROUP BY key, value) QUALIFY row_number() OVER (PARTITION BY key ORDER BY count DESC, value) <= 20""",
+    "facet_numbers": """WITH v AS (SELECT doc_id AS rid, unnest([CASE WHEN doc_id % 3 = 0 THEN 'many' ELSE CAST(doc_id % 50 AS VARCHAR) END, CAST(CAST(doc_id % 9 + 0.5 AS DECIMAL(9, 1)) AS VARCHAR), '-4']) AS x FROM documents)
+        SELECT rid, 'price' AS key, CAST(min(x) AS DOUBLE) AS number FROM v WHERE regexp_full_match(x, '[0-9]+([.][0-9]+)?') GROUP BY rid""",
     "stream_index": (search(["the", "of"], "exposure = 3 AND rid % 13 <> 0").replace(toks("body"), toks("substr(body, 1, 48000)")).replace("coalesce(published_at, updated_at)", "coalesce(nullif(published_at, 'soon'), updated_at)")
                      + "SELECT rid AS id, rank, importance, recency FROM s ORDER BY rank, importance DESC, recency DESC, rid LIMIT 20"),
     "stream_documents": docs("""SELECT rid AS id, CAST(1 + CAST(rid % 7 = 0 AS INT) + CAST(deleted AS INT) AS BIGINT) AS events, CAST(CAST(rid % 13 <> 0 AS INT) + CAST(deleted AS INT) AS BIGINT) AS applied,
@@ -235,7 +257,7 @@ SQL = {
     "stream_inbox": "SELECT event_id, event_type FROM events",
     "stream_revision_merge": f"WITH {LOG} SELECT key, revision, deleted, content FROM l QUALIFY row_number() OVER (PARTITION BY key ORDER BY revision DESC, deleted DESC, arrival) = 1",
     "snippet": snippets(["the"]),
-    "snippet_prefix": snippets(["erth"], True, f"WHERE NOT starts_with(array_to_string({toks('title')}, ' '), array_to_string({toks('replace(replace(snippet, chr(1), ' + chr(39) * 2 + '), chr(2), ' + chr(39) * 2 + ')')}, ' '))"),
+    "snippet_prefix": snippets(["erth"], True, f"WHERE len({snippet_words('snippet')}) > 0 AND 2 * len(list_filter({snippet_words('snippet')}, lambda x: list_contains({snippet_words('title')}, x))) < len({snippet_words('snippet')})"),
     "normalize_hash": docs(f"SELECT rid, {HASH} AS content_hash FROM d"),
     "embedding_pending": docs("SELECT rid FROM d WHERE NOT deleted AND visibility = 'public' AND publication_state = 'published' AND NOT EXISTS (SELECT 1 FROM embeddings x WHERE x.vec_id = rid AND x.vec_id % 7 <> 0 AND rid % 6 <> 0)"),
     "deals_order": docs(f"""SELECT rid, tier FROM (SELECT rid, CASE WHEN len(list_filter({toks('title')}, lambda t: t = 'the' OR starts_with(t, 'the') OR (length(t) >= 4 AND starts_with('the', t)))) > 0 THEN 0 WHEN rid % 3 = 0 THEN 1 ELSE 2 END AS tier, round(1 / (60 + rid % 17), 9) AS score FROM e WHERE type = 'offer' AND exposure = 3)
@@ -243,11 +265,11 @@ SQL = {
     "trending_rising": f"WITH {BEACONS} " + rising(),
     "trending_list": f"""WITH {BEACONS}, own AS ({rising("site = 'view'", "LIMIT 12")}), net AS ({rising(limit="LIMIT 12")}),
         x AS (SELECT *, 0 AS source FROM own UNION ALL SELECT *, 1 FROM net WHERE query NOT IN (SELECT query FROM own))
-        SELECT query, false AS suggested, row_number() OVER (ORDER BY source, score DESC, recent DESC, query) AS place FROM x QUALIFY place <= 12""",
+        SELECT shown AS query, false AS suggested, rising, row_number() OVER (ORDER BY source, score DESC, recent DESC, shown) AS place FROM x QUALIFY place <= 12""",
     "rate_limit": f"""WITH RECURSIVE {BEACONS}, g AS (SELECT visitor % 3 AS who, visitor, ts, event_id FROM b), w(who, s) AS (SELECT who, min(ts) FROM g GROUP BY who UNION ALL SELECT w.who, min(g.ts) FROM w JOIN g ON g.who = w.who AND g.ts >= w.s + INTERVAL 6 HOURS GROUP BY w.who)
         SELECT visitor, event_id FROM (SELECT g.visitor, g.event_id, row_number() OVER (PARTITION BY g.who, w.s ORDER BY g.ts, g.event_id) AS n FROM g ASOF JOIN w ON g.who = w.who AND g.ts >= w.s) WHERE n <= 5""",
     "url_dedupe_union": f"""WITH u AS (SELECT 0 AS step, page_id AS position, url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 1, page_id, url FROM pages), k AS (SELECT *, {URL_KEY} AS url_key FROM u)
-        SELECT url_key, step, position FROM k QUALIFY url_key IS NULL OR row_number() OVER (PARTITION BY url_key ORDER BY step, position) = 1""",
+        SELECT url_key, step, position FROM k WHERE url_key <> '' QUALIFY row_number() OVER (PARTITION BY url_key ORDER BY step, position) = 1""",
     "code_merge": f"WITH {CODE} SELECT cm.* EXCLUDE (k), sources FROM cm JOIN cs USING (k, ref, path)",
     "code_filters": f"WITH {CODE} SELECT repo, ref, path FROM cm WHERE lower(language) = 'py' AND lower(licence) = 'l1' AND contains(lower(repo), 'r1')",
     "code_rank": """SELECT repo, path, stars, exact FROM (SELECT 'r' || CAST(conv_id AS STRING) AS repo, 'f' || CAST(turn AS STRING) AS path, conv_id % 100 AS stars, conv_id % 13 AS last_commit, CAST(regexp_matches(coalesce(text, ''), '(^|[^A-Za-z0-9_$])thered([^A-Za-z0-9_$]|$)') AS INTEGER) AS exact FROM conversations)
@@ -261,7 +283,7 @@ SQL = {
     "search_question": search(["erer"], question=True) + TOP,
     "keyword_or_relaxed": either(search(["the", *LOOSE]), search(LOOSE, any_word=True, weights=True)),
     "search_filtered": search(["the", "of"], extra="AND owner = 'src3' AND lang = 'en' AND sort_at > '2024-02-01' AND size_bucket IN ('medium', 'large')") + TOP.replace("LIMIT 20", "LIMIT 50"),
-    "search_mine": search(["the"], seen("u1"), extra="AND subject = 'u1'") + TOP.replace("LIMIT 20", "LIMIT 10"),
+    "search_mine": search(["the"], seen("u1", ("g1",), ("e1",))) + "SELECT rid, rank, importance, recency FROM (" + TOP.replace("LIMIT 20", "LIMIT 50").replace("recency FROM s", "recency, visibility FROM s") + ") WHERE visibility <> 'public'",
     "site_tier": search(["the", "of", "and"], site=on_site("src3\\.example|and\\.example", "src4\\.example")) + TOP,
     "site_candidates": search(["example", "old"], site=on_site("src1\\.example|src2\\.example", "src3\\.example"), site_only=True) + TOP,
     "search_boilerplate": search(["the"], boilerplate="regexp_matches(summary, '[a-m]$')") + TOP,
@@ -274,7 +296,7 @@ SQL = {
     "index_merge": f"WITH {DOCS}, {POSTINGS} SELECT audience, term, count(DISTINCT rid) AS n FROM p WHERE rid % 5 <> 0 GROUP BY audience, term",
     "result_projection": docs(f"SELECT rid, owner, type, id, revision, visibility, title, nullif(summary, '') AS summary, canonical_url, lang, sort_at FROM e WHERE {seen('u1')}"),
     "embedding_upsert": docs("SELECT vec_id AS rid, label + CASE WHEN vec_id % 3 = 0 THEN 1000 ELSE 0 END AS version FROM embeddings WHERE vec_id IN (SELECT rid FROM e WHERE exposure = 3)"),
-    "embedding_text": docs("SELECT rid, sha256(substr(concat_ws(chr(10), nullif(title, ''), nullif(summary, ''), nullif(body, '')), 1, 500)) AS text_hash FROM d"),
+    "embedding_text": docs("SELECT rid, sha256(substr(concat_ws(chr(10), nullif(title, ''), nullif(summary, ''), nullif(body, '')), 1, 2000)) AS text_hash FROM d"),
     "embedding_batches": docs("SELECT count(*) AS documents, true AS bounded FROM e WHERE exposure = 3"),
     "hybrid_search": search(["the", "of"]) + f""", {near("x.vec_id IN (SELECT rid FROM e WHERE exposure = 3)", "0.3")},
         a AS (SELECT rid, row_number() OVER (ORDER BY rank, importance DESC, recency DESC, rid) AS kr FROM s QUALIFY kr <= 100), v AS (SELECT rid, row_number() OVER (ORDER BY distance, rid) AS vr FROM near),
@@ -283,11 +305,8 @@ SQL = {
         o AS (SELECT *, row_number() OVER (ORDER BY tier0 DESC, words0 DESC, thin, fused) AS place FROM f),
         x AS (SELECT rid, place FROM o QUALIFY row_number() OVER (PARTITION BY lower(owner), lower({spaced('title')}) ORDER BY place) = 1)
         SELECT rid, row_number() OVER (ORDER BY place) AS position FROM x QUALIFY position BETWEEN 21 AND 40""",
-    "hybrid_gate": "SELECT * FROM (VALUES (0, 'keyword', 'no_vectors'), (1, 'keyword', 'short_query'), (2, 'keyword', 'ai_unavailable'), (3, 'keyword', 'ai_unavailable'), (4, 'hybrid', NULL)) t(n, ranking, reason)",
     "vector_join": docs(f", {KNN} SELECT e.rid, owner, type, distance FROM e JOIN knn USING (rid) WHERE exposure = 3 AND distance <= 0.95").replace("FROM i) , knn", "FROM i), knn"),
-    "beacon_normalised": """WITH t AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(regexp_replace(substr(text, 1, 60), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g')), '^[\\s"''`.,;:!?()\\[\\]{}<>-]+|[\\s"''`.,;:!?()\\[\\]{}<>-]+$', '', 'g') AS q FROM conversations)
-        SELECT conv_id, turn, CASE WHEN length(q) BETWEEN 2 AND 80 AND len(string_split(q, ' ')) <= 8 AND NOT regexp_matches(q, '\\S+@\\S+\\.\\S+') AND NOT regexp_matches(q, '(?:\\+?\\d[\\s().-]*){7,}') AND NOT regexp_matches(q, '\\d{6,}')
-        AND NOT regexp_matches(q, '(?i)\\b(?:https?://|www\\.)\\S+') AND NOT regexp_matches(q, '\\b[A-Za-z0-9_-]{24,}\\b') AND NOT regexp_matches(q, '(?i)\\b(idiot|scum\\w*)\\b') THEN lower(q) END AS query FROM t""",
+    "beacon_normalised": f"SELECT conv_id, turn, lower({shown('text', 'idiot|scum' + chr(92) + 'w*')}) AS query FROM conversations",
     "trend_visitor_hash": "SELECT event_id, sha256(concat_ws('|', CAST(CAST(ts AS DATE) AS STRING), CAST(user_id AS STRING), event_type))[1:24] AS visitor FROM events",
     "trend_retention": f"WITH {BEACONS} SELECT count(*) AS kept FROM (SELECT DISTINCT hour, site, query FROM b WHERE hour >= 473808)",
     "code_streams": "SELECT 'r' || CAST(conv_id AS STRING) AS repo, 'f' || CAST(turn AS STRING) AS path, conv_id % 9 AS stars, turn + 1 AS line FROM conversations WHERE turn % 4 <> 3",

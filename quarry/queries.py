@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.engine import Engine
 from quarry.functions.text import clean_text, hmac_sha256, host, parse_query, parse_time, relaxed, tokens
 from quarry.operators import federation as fed
-from quarry.operators import ann, index, ingest, saved, search, trending, vector
+from quarry.operators import ann, facets, index, ingest, saved, search, trending, vector
 from quarry.operators import visibility as vis
 from quarry.oracles import SQL  # noqa: F401
 from quarry.schema import Filters, Match, Profile, Sites, Viewer
@@ -81,7 +81,7 @@ named("search_folded", lambda s, d: page_rows(s, asked(s, d, "MÁS la"), *HIT))
 named("search_question", lambda s, d: page_rows(s, asked(s, d, "how do the erer"), *HIT))
 named("keyword_or_relaxed", lambda s, d: page_rows(s, asked(s, d, "the idiot clown moron trash scum stupid loser"), *HIT))
 named("search_filtered", lambda s, d: page_rows(s, asked(s, d, "the of", filters=Filters(owner="src3", language="en", since="2024-02-01", facets=(("size", ("medium", "large")),)), limit=500), *HIT))
-named("search_mine", lambda s, d: page_rows(s, asked(s, d, "the", Viewer("u1"), Filters(subject="u1"), 10), *HIT))
+named("search_mine", lambda s, d: page_rows(s, Engine(docs_of(s, d), profile=FIXED).mine("the", Viewer("u1", ("g1",), ("e1",)), limit=50), *HIT))
 named("site_tier", lambda s, d: page_rows(s, asked(s, d, "the of and", sites=Sites("the", "{word}.example", (("of", ("src3.example",)),), "src4.example")), *HIT))
 named("site_candidates", lambda s, d: page_rows(s, asked(s, d, "example old", sites=SITES), *HIT))
 named("search_boilerplate", lambda s, d: search.page(search.search_set(docs_of(s, d), Match(("the",)), profile=Profile(boilerplate="[a-m]$", now=CLOCK))).select(*HIT))
@@ -258,7 +258,7 @@ def embedding_upsert(spark, sf_dir):
     return vector.embedding_upsert(rows, fresh, vis.visible(docs_of(spark, sf_dir), Viewer())).select("rid", "version")
 
 
-named("embedding_text", lambda s, d: index_documents(s, d).select("rid", F.sha2(vector.embedding_text(500), 256).alias("text_hash")))
+named("embedding_text", lambda s, d: index_documents(s, d).select("rid", F.sha2(vector.embedding_text(), 256).alias("text_hash")))
 
 
 @query
@@ -279,14 +279,6 @@ def hybrid_search(spark, sf_dir):
     return page_rows(spark, engine.search("the of", limit=20, cursor=first.cursor, vector_=vector_), "rid", "position")
 
 
-@query
-def hybrid_gate(spark, sf_dir):
-    """Which ranking a query gets, and why."""
-    docs, rows = docs_of(spark, sf_dir), read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rid"), "embedding")
-    cases = [(Engine(docs), "the", [0.0]), (Engine(docs, embeddings=rows), "t", [0.0]), (Engine(docs, embeddings=rows), "the", None), (Engine(docs, embeddings=rows, dim=64), "the", [0.0]), (Engine(docs, embeddings=rows, dim=1), "the", [0.0])]
-    return spark.createDataFrame([(i, e.state(q, v)["ranking"], e.state(q, v).get("reason")) for i, (e, q, v) in enumerate(cases)], "n long, ranking string, reason string")
-
-
 @query
 def vector_join(spark, sf_dir):
     """Nearest listed documents with their kinds: the floor, the join and the owner filter."""
@@ -351,7 +343,7 @@ named("trend_hourly", lambda s, d: trending.hourly(beacons(s, d)))
 named("trend_visitors", lambda s, d: trending.visitors(beacons(s, d)))
 named("trend_by_day", lambda s, d: trending.by_day(beacons(s, d)))
 named("trend_by_site", lambda s, d: trending.by_site(beacons(s, d)))
-named("trend_suggestions", lambda s, d: trending.suggestions(docs_of(s, d), 480000))
+named("trend_suggestions", lambda s, d: trending.suggestions(docs_of(s, d), 480000, banned=("th\\w*",)))
 
 
 @query
@@ -373,7 +365,7 @@ def trending_list(spark, sf_dir):
     return long(trending.trending_list(rows, docs_of(spark, sf_dir), rows.agg(F.max("hour")).first()[0], "view", 12), "place")
 
 
-named("beacon_normalised", lambda s, d: read(s, d, "conversations").select("conv_id", "turn", trending.counted_query(F.substring("text", 1, 60), ("idiot", "scum\\w*")).alias("query")))
+named("beacon_normalised", lambda s, d: read(s, d, "conversations").select("conv_id", "turn", trending.counted_query(F.col("text"), ("idiot", "scum\\w*")).alias("query")))
 named("trend_visitor_hash", lambda s, d: read(s, d, "events").select("event_id", trending.visitor_hash(F.to_date("ts").cast("string"), F.col("user_id").cast("string"), F.col("event_type")).alias("visitor")))
 named("trend_retention", lambda s, d: trending.retained(trending.hourly(beacons(s, d)), 474000, 8).agg(F.count("*").alias("kept")))
 
@@ -445,6 +437,37 @@ named("source_quota", lambda s, d: fed.quota(read(s, d, "events").select((F.col(
 named("answer_costs", lambda s, d: fed.answer_costs(read(s, d, "events").select(F.col("user_id").alias("answer"), (F.col("event_type") != "error").alias("answered"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 7 / 4).alias("cost"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("ms"))))
 
 
+@query
+def model_usage(spark, sf_dir):
+    """Tokens and cost of each answer's model calls; some receipts are missing or no numbers."""
+    e = F.col("event_id")
+    return fed.usage(read(spark, sf_dir, "events").select(F.col("user_id").alias("answer"), F.when(e % 4 != 0, (e % 900).cast("string")).otherwise("many").alias("tokens_in"), F.when(e % 3 != 0, e % 70).alias("tokens_out"), F.when(e % 5 != 0, e % 7 / 8).alias("cost_usd")))
+
+
+@query
+def provider_counters(spark, sf_dir):
+    """Stored counters of the first half of the calls, with the second half added."""
+    rows = read(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"), F.col("event_type").alias("provider"), (F.col("user_id") % 3 != 0).alias("answered"), F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 50).alias("ms"), (F.col("event_id") % 8 / 4).alias("cost"))
+    none = spark.createDataFrame([], "day date, provider string, calls long, answered long, ms double, cost double")
+    return fed.provider_added(fed.provider_added(none, rows.where("event_id % 2 = 0")), rows.where("event_id % 2 = 1"))
+
+
+@query
+def trend_lifetimes(spark, sf_dir):
+    """How many rows of each kind are still kept at the newest hour."""
+    rows = beacons(spark, sf_dir)
+    now = rows.agg(F.max("hour")).first()[0]
+    kinds = {"trends": trending.hourly(rows), "visitors": rows.select("day", "query", "visitor").distinct(), "salts": rows.select("day").distinct(), "telemetry": rows}
+    parts = [trending.living(df, kind, now).agg(F.lit(kind).alias("kind"), F.count("*").alias("n")) for kind, df in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query
+def snippet_html(spark, sf_dir):
+    match = Match(("the",))
+    return search.snippet(docs_of(spark, sf_dir), top(spark, sf_dir, match), match).select("rid", search.snippet_html(F.concat(F.lit("<i> & "), "snippet")).alias("html"))
+
+
 @query
 def web_filters(spark, sf_dir):
     """Web results of a site and of a time; undated ones stay."""
@@ -548,6 +571,30 @@ named("acl_sets_visible", lambda s, d: with_sets(s, d).where((F.col("exposure")
 named("facet_map_pairs", lambda s, d: vis.facet_map_pairs(with_sets(s, d)))
 
 
+@query
+def facet_bitmap_filter(spark, sf_dir):
+    """Documents with one of two tags in one of two languages, from bitmaps."""
+    docs = with_sets(spark, sf_dir)
+    return facets.rids(facets.matching(facets.build(docs), {"tag": ["t1", "t2"], "lang": ["en", "de"]}))
+
+
+@query
+def facet_bitmap_counts(spark, sf_dir):
+    """Facet counts of a search's result set, from bitmaps."""
+    docs = with_sets(spark, sf_dir)
+    found = search.search_set(docs, Match(("the",)), profile=FIXED)
+    return facets.counts(facets.build(docs), found, ["tag", "lang", "none"])
+
+
+@query
+def facet_numbers(spark, sf_dir):
+    """The first number among the values of a facet of each document."""
+    r = F.col("rid")
+    values = F.array(F.when(r % 3 == 0, "many").otherwise((r % 50).cast("string")), (r % 9 + 0.5).cast("string"), F.lit("-4"))
+    docs = index_documents(spark, sf_dir).select("rid", F.create_map(F.lit("price"), values, F.lit("name"), F.array("owner")).alias("facets"))
+    return facets.numbers(docs, ["price", "name"])
+
+
 @query
 def document_errors(spark, sf_dir):
     """Documents with planted faults, and what is said of each."""

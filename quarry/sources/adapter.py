@@ -54,7 +54,7 @@ def beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_as_beacons(events: DataFrame) -> DataFrame:
     hour = F.floor(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts as timestamp_ntz))") / 3600)  # whatever the session's zone
-    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), hour.alias("hour"), F.floor(hour / 24).alias("day"), F.col("event_type").alias("site"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("query"), F.col("user_id").alias("visitor"))
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), hour.alias("hour"), F.floor(hour / 24).alias("day"), F.col("event_type").alias("site"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("query"), F.concat(F.when(F.col("event_id") % 3 == 0, "k").otherwise("K"), F.get_json_object("props", "$.k")).alias("shown"), F.col("user_id").alias("visitor"))
 
 
 def revision_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,3 +261,50 @@ def test_merge_goes_on_after_a_restart(spark, tmp_path):
     assert got() == want
     state.merge(table.where("arrival >= 40"), "key", 2, jobs._latest)
     assert got() == want
+
+
+def test_suggest_get_and_mine(spark):
+    docs = vis.with_exposure(index_documents(spark, SF)).cache()
+    engine = Engine(docs, profile=queries.FIXED)
+    assert len(engine.suggest("th", limit=99).rows) <= 20 and engine.suggest("!!").rows == [] and len(engine.suggest("th").rows) == 8
+    titles = {r.rid: r.title.lower() for r in docs.select("rid", "title").collect()}
+    assert all(any(w.startswith("th") for w in titles[r["rid"]].split()) for r in engine.suggest("th").rows)
+    with pytest.raises(ValueError):
+        engine.suggest("x" * 101)
+    one = docs.where("exposure = 3").first()
+    assert engine.get(one.owner, one.type, one.id).first().rid == one.rid
+    hidden = docs.where("visibility = 'private' and exposure = 1").first()
+    assert engine.get(hidden.owner, hidden.type, hidden.id).count() == 0 and engine.get(hidden.owner, hidden.type, hidden.id, Viewer(hidden.subject)).count() == 1
+    with pytest.raises(ValueError):
+        engine.get("Bad!", "page", "1")
+    assert engine.mine("the", Viewer()).rows == []
+    shown = {r.rid: r.visibility for r in docs.select("rid", "visibility").collect()}
+    assert {shown[r["rid"]] for r in engine.mine("the", Viewer("u1", ("g1",)), limit=50).rows}.isdisjoint({"public"})
+
+
+def test_compatibility_forms_are_found(spark):
+    rows = [(1, "o", "page", "Ｆｕｌｌ width", "", "ﬁne ½ ℌ", 3)]
+    docs = spark.createDataFrame(rows, "rid long, owner string, type string, title string, summary string, body string, exposure int")
+    for q, cell in (("full", "n0_3"), ("fine", "n0_1"), ("ﬁne", "n0_1"), ("h", "n0_1")):
+        assert search.counted(docs, parse_query(q)).first()[cell] == 1
+
+
+def test_snippet_that_repeats_the_title(spark):
+    rows = [("a \u0001red\u0002 fox", "Red fox", True), ("red and blue birds here", "Red fox", False), ("", "x", True), ("i a", "x", True), ("<b> & 'x'", "t", False)]
+    df = spark.createDataFrame(rows, "s string, t string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", search.repeats_title(F.col("s"), F.col("t")).alias("got")).where("want or got is not null").collect()[:4])
+    assert df.select(search.snippet_html(F.col("s")).alias("h")).collect()[0].h == "a <mark>red</mark> fox"
+    assert df.select(search.snippet_html(F.col("s")).alias("h")).collect()[4].h == "&lt;b&gt; &amp; &#39;x&#39;"
+
+
+def test_trending_rules(spark):
+    docs = spark.createDataFrame([(i, 3, t, f"2024-01-{i + 1:02d}", f"https://s.example/{i}") for i, t in enumerate(["Red Fox | Site", "red fox", "mail a@b.example now", "Banned thing", "Ｂlue Bird (x)", "12345678"])], "rid long, exposure int, title string, sort_at string, canonical_url string")
+    got = {(r["query"], r.key) for r in trending.suggestions(docs, 5, banned=("banned",)).collect()}
+    assert got == {("red fox", "red fox"), ("Blue Bird", "blue bird")}
+    assert {r.key for r in trending.suggestions(docs, 5, taken=("red fox",), banned=("banned",)).collect()} == {"blue bird"}
+
+
+def test_right_dimension(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], "rid long, embedding array<float>")
+    good, bad = vector.right_dimension(rows, 2)
+    assert [r.rid for r in good.collect()] == [1] and sorted(r.rid for r in bad.collect()) == [2, 3]
