@@ -108,6 +108,28 @@ HASH = f"""sha256(CASE WHEN deleted THEN CAST(to_json({{'deleted': true, 'id': i
   'publication_state': publication_state, 'revision': revision, 'summary': {cleaned('summary')}, 'title': {cleaned('title')}, 'type': type, 'visibility': visibility}}) AS VARCHAR) END)"""
 
 
+def ladder(cap: int) -> str:
+    """CTEs of the web ladder: m3 (results), x0 to x3 (explain rows)."""
+    parts = [
+        "rq AS (SELECT event_id AS req, 'q' || event_id % 40 AS q, 2 + event_id % 4 AS lim, ['quick', 'standard', 'deep'][event_id % 3 + 1] AS depth, user_id % 4 <> 0 AS signed FROM events)",
+        "an AS (SELECT req, 1 AS step, req % 5 <> 0 AS ok, 0.002 AS cost, i, 'https://o' || (req + 2 * i) % 7 || '.example' AS u FROM rq, range(4) t(i) WHERE i < req % 4 UNION ALL SELECT req, 2, req % 2 = 0, 0.001, i, 'https://d' || i || '.example' FROM rq, range(2) t(i) UNION ALL SELECT req, 3, true, 0.0, 0, 'https://w' || req % 9 || '.example' FROM rq)",
+        "m0 AS (SELECT DISTINCT req, 0 AS step, i AS place, 'https://o' || (req + i) % 5 || '.example' AS u FROM rq, range(2) t(i) WHERE i < req % 3 AND i < lim)",
+        "x0 AS (SELECT req, 0 AS at, 'open_index' AS step, true AS ok, (SELECT count(*) FROM m0 WHERE m0.req = rq.req) AS count, NULL AS skipped, false AS cached, 0.0 AS cost_usd FROM rq)"]
+    for i, (name, paid, had) in enumerate((("exchange", True, 3), ("deepseek", True, 0), ("wikipedia", False, 0)), 1):
+        cached = "q IN ('q0', 'q10', 'q20', 'q30')" if i == 1 else "false"
+        told = "depth = 'deep' AND EXISTS (SELECT 1 FROM x1 WHERE x1.req = r.req AND x1.ok AND x1.count > 0)" if i == 2 else "false"
+        cost, ok = {1: ("0.002", "r.req % 5 <> 0"), 2: ("0.001", "r.req % 2 = 0"), 3: ("0.0", "true")}[i]
+        parts += [
+            f"""g{i} AS (SELECT r.*, CASE WHEN {told} THEN 'exchange asked it already' WHEN depth <> 'deep' AND coalesce(n, 0) >= least(lim, 3) THEN 'earlier steps answered' WHEN {cached} THEN 'cached' WHEN depth = 'quick' THEN 'quick search reads indexes only'
+                WHEN {paid} AND NOT signed THEN 'paid providers need a signed-in person' END AS why FROM rq r LEFT JOIN (SELECT req, count(*) AS n FROM m{i - 1} GROUP BY req) USING (req))""",
+            f"a{i} AS (SELECT req FROM g{i} WHERE why IS NULL ORDER BY req {f'LIMIT {cap - had}' if paid else ''})",
+            f"n{i} AS (SELECT req, {i} AS step, min(i) AS place, u FROM (SELECT an.req, i, u FROM an JOIN a{i} USING (req) JOIN rq USING (req) WHERE step = {i} AND ok AND i < lim UNION ALL SELECT req, i, 'https://c' || i || '.example' FROM g{i}, range(2) t(i) WHERE why = 'cached') WHERE (req, u) NOT IN (SELECT (req, u) FROM m{i - 1}) GROUP BY req, u)",
+            f"m{i} AS (SELECT * FROM m{i - 1} UNION ALL SELECT * FROM n{i})",
+            f"""x{i} AS (SELECT r.req, {i} AS at, '{name}' AS step, coalesce(why = 'cached', false) OR (a.req IS NOT NULL AND {ok}) AS ok, CASE WHEN why = 'cached' THEN (SELECT count(*) FROM n{i} n WHERE n.req = r.req) WHEN a.req IS NOT NULL AND {ok} THEN (SELECT count(*) FROM an WHERE an.req = r.req AND step = {i} AND i < r.lim) ELSE 0 END AS count,
+                CASE WHEN why = 'cached' OR a.req IS NOT NULL THEN NULL ELSE coalesce(why, 'daily cap reached') END AS skipped, coalesce(why = 'cached', false) AS cached, CASE WHEN a.req IS NOT NULL THEN {cost} ELSE 0.0 END AS cost_usd FROM g{i} r LEFT JOIN a{i} a ON a.req = r.req)"""]
+    return "WITH " + ", ".join(p.replace(" AS (", " AS MATERIALIZED (", 1) for p in parts)
+
+
 def snippet_words(c: str) -> str:
     return f"list_filter(string_split_regex(lower(replace(replace({c}, chr(1), ''), chr(2), '')), '[^\\p{{L}}\\p{{N}}$.]+'), lambda w: length(w) > 1)"
 
@@ -244,6 +266,8 @@ SQL = {
         x AS (SELECT *, row_number() OVER (ORDER BY score DESC, kr ASC NULLS LAST, vr ASC NULLS LAST, rid) AS fused FROM u)
         SELECT rid, row_number() OVER (ORDER BY coalesce(cover, 0) DESC, coalesce(tier, 0) DESC, coalesce(title_words, 0) DESC, fused) AS position FROM x QUALIFY position <= 50""",
     "stream_trend_hourly": f"WITH {BEACONS} SELECT hour, site, query, count(*) AS n FROM b GROUP BY ALL",
+    "web_ladder": ladder(1200) + " SELECT req, step, row_number() OVER (PARTITION BY req ORDER BY step, place) AS position, u AS url_key FROM m3 JOIN rq USING (req) QUALIFY position <= lim",
+    "web_ladder_explain": ladder(1200) + " SELECT req, step, ok, count, skipped, cached, CAST(cost_usd AS DOUBLE) AS cost_usd FROM (SELECT * FROM x0 UNION ALL SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x3)",
     "facet_bitmap_filter": docs("SELECT rid FROM e WHERE exposure > 0 AND (rid % 7 IN (1, 2) OR rid % 5 IN (1, 2)) AND lang IN ('en', 'de')"),
     "facet_bitmap_counts": search(["the"]) + """, v AS (SELECT DISTINCT rid, 'tag' AS key, unnest(['t' || rid % 7, 't' || rid % 5]) AS value FROM s UNION ALL SELECT rid, 'lang', lang FROM s WHERE lang IS NOT NULL)
         SELECT key, value, count FROM (SELECT key, value, count(*) AS count FROM v GROUP BY key, value) QUALIFY row_number() OVER (PARTITION BY key ORDER BY count DESC, value) <= 20""",

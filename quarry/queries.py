@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.engine import Engine
 from quarry.functions.text import clean_text, hmac_sha256, host, parse_query, parse_time, relaxed, tokens
 from quarry.operators import federation as fed
-from quarry.operators import ann, facets, index, ingest, saved, search, trending, vector
+from quarry.operators import ann, facets, index, ingest, ladder, saved, search, trending, vector
 from quarry.operators import visibility as vis
 from quarry.oracles import SQL  # noqa: F401
 from quarry.schema import Filters, Match, Profile, Sites, Viewer
@@ -389,6 +389,34 @@ def url_dedupe_union(spark, sf_dir):
     return fed.url_union([pages.where("position % 2 = 0"), pages]).select("url_key", "step", "position")
 
 
+def web_requests(spark, sf_dir):
+    """Requests made of events, with what the own index, the cache and the providers have for them."""
+    e, i = F.col("event_id"), F.col("i")
+    rows = read(spark, sf_dir, "events").select(
+        e.alias("req"), F.concat(F.lit("q"), e % 40).alias("q"), (2 + e % 4).alias("limit"), F.element_at(F.array(*map(F.lit, ("quick", "standard", "deep"))), (e % 3 + 1).cast("int")).alias("depth"),
+        F.lit("any").alias("freshness"), F.lit(None).cast("string").alias("site"), (F.col("user_id") % 4 != 0).alias("signed_in"), e.alias("seq"))
+    url = lambda head, number: F.concat(F.lit(f"https://{head}"), number, F.lit(".example/"))
+    own = rows.where("req % 3 > 0").select("req", F.explode(F.sequence(F.lit(0), F.col("req") % 3 - 1)).alias("i")).select("req", i.alias("position"), url("o", (F.col("req") + i) % 5).alias("url"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("published"))
+    made = lambda n, head, number: F.transform(F.slice(F.array(*(F.lit(x).cast("long") for x in range(4))), F.lit(1), n.cast("int")), lambda i: F.struct(url(head, number(i)).alias("url"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("published")))
+    r = F.col("req")
+    kinds = {"exchange": (r % 5 != 0, 0.002, made(r % 4, "o", lambda i: (r + 2 * i) % 7)), "deepseek": (r % 2 == 0, 0.001, made(F.lit(2), "d", lambda i: i)), "wikipedia": (F.lit(True), 0.0, made(F.lit(1), "w", lambda i: r % 9))}
+    answers = None
+    for step, (ok, cost, results) in kinds.items():
+        one = rows.select("req", F.lit(step).alias("step"), ok.alias("ok"), F.lit(cost).alias("cost_usd"), results.alias("results"))
+        answers = one if answers is None else answers.unionByName(one)
+    cache = rows.where("q in ('q0', 'q10', 'q20', 'q30')").select("q", "freshness", "site").distinct().select(ladder.step_key("exchange").alias("key"), made(F.lit(2), "c", lambda i: i).alias("results"))
+    return rows, own, answers, cache
+
+
+def climbed(spark, sf_dir):
+    calls = spark.createDataFrame([("exchange", 3), ("deepseek", 0)], "step string, calls long")
+    return ladder.run(*web_requests(spark, sf_dir), calls, jobs._folder(spark, "ladder"), cap=1200)
+
+
+named("web_ladder", lambda s, d: long(climbed(s, d)[0], "position").select("req", "step", "position", "url_key"))
+named("web_ladder_explain", lambda s, d: climbed(s, d)[1].select("req", "step", "ok", F.col("count").cast("long").alias("count"), "skipped", "cached", "cost_usd"))
+
+
 @query
 def scope_groups(spark, sf_dir):
     scopes = spark.createDataFrame([("videos", "vod", 0), ("people", "channel", 1), ("shop", "offer", 2)], "scope string, type string, ordinal int")
