@@ -100,29 +100,87 @@ def trending_list(beacons: DataFrame, docs: DataFrame, now_hour: int, site: str
     return every.withColumn("place", place).where(F.col("place") <= limit).select("query", (F.col("source") == 2).alias("suggested"), "rising", "place")
 
 
-def rate_limited(beacons: DataFrame, per_window: int = 20, seconds: int = 60) -> DataFrame:
-    """The searches a visitor is allowed: so many in a window that the first search after the last window opens.
+LIMITED = "visitor string, event_id long, us long, allowed boolean, until long, n long"
 
-    Rows are sorted by visitor and time and read in order with one open window, so a visitor of any size takes no memory.
-    """
-    columns = beacons.columns
+
+def _windows(per_window: int, micros: int):
+    """Arrow batches (visitor, event_id, us, until, n), by visitor and time, -> LIMITED; a row with until is a window that is open before the rows."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        who, until, n = None, 0, 0
+        who, until, n = None, 0, 0  # the window that the last row of the last batch left
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, (v, t) in enumerate(zip(batch.column("_who").to_pylist(), batch.column("_us").to_pylist(), strict=True)):
-                if v != who or t >= until:
-                    who, until, n = v, t + seconds * 1_000_000, 0
-                n += 1
-                keep[i] = n <= per_window
-            yield batch.filter(pa.array(keep)).select(columns)
-
-    rows = beacons.withColumn("_who", F.col("visitor").cast("string")).withColumn("_us", F.unix_micros("ts"))
-    return rows.repartition("_who").sortWithinPartitions("_who", "_us", "event_id").mapInArrow(run, beacons.schema)
+            if not batch.num_rows:
+                continue
+            names = batch.column("visitor").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            opened = batch.column("until").is_valid().to_numpy(zero_copy_only=False)
+            t = batch.column("us").to_numpy(zero_copy_only=False).astype(np.int64)
+            size = len(t)
+            new = np.ones(size, bool)
+            new[1:] = names[1:] != names[:-1]
+            group = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            # what each visitor's rows meet: nothing, a window from before, or what the last batch left
+            had_until, had_n = np.full(len(first), np.iinfo(np.int64).min), np.zeros(len(first), np.int64)
+            marks = np.flatnonzero(opened)
+            had_until[group[marks]], had_n[group[marks]] = batch.column("until").take(pa.array(marks)).to_numpy(), batch.column("n").take(pa.array(marks)).to_numpy()
+            if batch.column("visitor")[0].as_py() == who:
+                had_until[0], had_n[0] = until, n
+            real = ~opened
+            rows = np.flatnonzero(real)
+            if len(rows):
+                g, at = group[rows], t[rows]
+                inside = at < had_until[g]  # these count in the window that is open
+                begin = np.concatenate([[True], g[1:] != g[:-1]])
+                place = np.arange(len(rows))
+                order = place - np.maximum.accumulate(np.where(begin, place, 0))
+                roots = ~inside & (begin | np.concatenate([[True], inside[:-1]]))
+                # where the next window would begin if one began here; then which rows are reached from the first ones
+                low, wide = int(at.min()), int(at.max() - at.min()) + micros + 1
+                if wide * (int(g.max()) + 1) < 1 << 62:
+                    key = at - low + g.astype(np.int64) * wide
+                    step = np.searchsorted(key, key + micros)
+                else:
+                    step = np.concatenate([x[0] + np.searchsorted(at[x], at[x] + micros) for x in np.split(place, np.flatnonzero(begin)[1:])])
+                end = len(rows)
+                over = np.append(g, -1)[np.minimum(step, end)] != g  # behind a visitor's last window comes another visitor
+                reached, jump = np.append(roots, False), np.append(np.where(over, end, step), end)
+                while (jump[:end] < end).any():
+                    reached[jump[np.flatnonzero(reached)]] = True
+                    jump = jump[jump]
+                reached = reached[:-1] & ~inside
+                start = np.maximum.accumulate(np.where(reached, place, -1))
+                count = np.where(inside, had_n[g] + order + 1, place - start + 1)
+                ends = np.where(inside, had_until[g], at[np.maximum(start, 0)] + micros)
+                yield pa.RecordBatch.from_arrays([batch.column("visitor").take(pa.array(rows)), batch.column("event_id").take(pa.array(rows)), pa.array(at), pa.array(count <= per_window), pa.array(ends), pa.array(count)], ["visitor", "event_id", "us", "allowed", "until", "n"])
+                until, n = (int(ends[-1]), int(count[-1])) if g[-1] == group[-1] else (int(had_until[-1]), int(had_n[-1]))
+            else:
+                until, n = int(had_until[-1]), int(had_n[-1])
+            who = batch.column("visitor")[size - 1].as_py()
+
+    return run
+
+
+def limited(searches: DataFrame, per_window: int = 20, seconds: int = 60, opened: DataFrame | None = None) -> DataFrame:
+    """searches (visitor, event_id, us) -> the same with allowed, and the window (until, n) that each leaves behind.
+
+    A visitor may search so often in a window, which the first search after the last window opens. opened (visitor, until, n):
+    windows from before. Rows are sorted by visitor and time; where windows begin is found for all rows of an Arrow batch at once,
+    by doubling jumps, and of a visitor one window is carried on, however many searches there are.
+    """
+    nothing = F.lit(None).cast("long")
+    rows = searches.select(F.col("visitor").cast("string").alias("visitor"), "event_id", "us", nothing.alias("until"), nothing.alias("n"))
+    if opened is not None:
+        rows = rows.unionByName(opened.select("visitor", F.lit(-1).cast("long").alias("event_id"), F.lit(0).cast("long").alias("us"), "until", "n"))
+    return rows.repartition("visitor").sortWithinPartitions("visitor", F.col("until").isNull(), "us", "event_id").mapInArrow(_windows(per_window, seconds * 1_000_000), LIMITED)
+
+
+def rate_limited(beacons: DataFrame, per_window: int = 20, seconds: int = 60) -> DataFrame:
+    """The searches a visitor is allowed: the rows of limited(), with all their columns."""
+    found = limited(beacons.select("visitor", "event_id", F.unix_micros("ts").alias("us")), per_window, seconds)
+    return beacons.join(found.where("allowed").select("event_id"), "event_id", "left_semi")
 
 
 # How many days each kind of row is kept.

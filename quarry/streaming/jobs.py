@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
 from quarry.operators.federation import percolate
-from quarry.sources.adapter import events_as_beacons
+from quarry.operators.trending import limited
+from quarry.sources.adapter import beacons, events_as_beacons
 
 from . import keyed
 
@@ -47,6 +48,13 @@ def run_batches(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint").trigger(**_trigger(every)).start().awaitTermination()
 
 
+def complete(spark: SparkSession, folder: str, kind: str = "batch") -> list[int]:
+    """Numbers of the complete folders of a kind in a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{kind}=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found or [])
+
+
 class Latest:
     """The rows that batches brought, in a shared folder: a batch writes its own under its number, the last one of a key counts.
 
@@ -57,16 +65,10 @@ class Latest:
     def __init__(self, spark: SparkSession, folder: str, every: int = 20):
         self.spark, self.folder, self.every = spark, folder.rstrip("/"), every
 
-    def _done(self, kind: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}=*/_SUCCESS")
-        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-        return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found or [])
-
     def read(self, schema, before: int | None = None) -> DataFrame:
         """The last row of each key (before a batch)."""
-        within = [n for n in self._done("batch") if before is None or n < before]
-        base = max((n for n in self._done("base") if before is None or n < before), default=None)
+        within = [n for n in complete(self.spark, self.folder) if before is None or n < before]
+        base = max((n for n in complete(self.spark, self.folder, "base") if before is None or n < before), default=None)
         parts = [("base", base)] * (base is not None) + [("batch", n) for n in within if base is None or n > base]
         rows = None
         for kind, n in parts:
@@ -121,30 +123,28 @@ def visitors(spark: SparkSession, sf_dir: str, folder: str | None = None) -> Dat
     return spark.read.parquet(out).groupBy("day", "query").agg(F.count("*").alias("people"))
 
 
-def rate_limit(spark: SparkSession, sf_dir: str, folder: str | None = None, per_window: int = 5, seconds: int = 6 * 3600) -> DataFrame:
-    """The searches a visitor group is allowed, in windows that its first search opens; a closed window's state goes with the watermark."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(key, batches, state):
-        until, n = state.get if state.exists else (0, 0)
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        keep = []
-        for t in rows["us"]:
-            if t >= until:
-                until, n = int(t) + seconds * 1_000_000, 0
-            n += 1
-            keep.append(n <= per_window)
-        state.update((until, n))
-        state.setTimeoutTimestamp(max(until // 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows.loc[keep, ["visitor", "event_id"]]
-
-    beacons_ = events_as_beacons(event_stream(spark, sf_dir)).withWatermark("ts", "1 day").select((F.col("visitor") % 3).alias("who"), "visitor", "event_id", "ts", F.unix_micros("ts").alias("us"))
-    allowed = beacons_.groupBy("who").applyInPandasWithState(step, "visitor long, event_id long", "until long, n long", "append", GroupStateTimeout.EventTimeTimeout)
-    return spark.read.parquet(_run(allowed, folder or _folder(spark, "limit")))
+def rate_limit(spark: SparkSession, sf_dir: str, folder: str | None = None, per_window: int = 5, seconds: int = 6 * 3600, every: str | None = None) -> DataFrame:
+    """The searches a visitor group is allowed, in windows that its first search opens.
+
+    A batch meets the windows that the batches before it left open and writes those it leaves; closed ones are not carried on, so
+    what is kept follows the visitors of one window. A batch that runs again meets the same windows.
+    """
+    folder = folder or _folder(spark, "limit")
+
+    def handle(batch: DataFrame, n: int) -> None:
+        before = [m for m in complete(spark, f"{folder}/windows") if m < n]
+        opened = spark.read.parquet(f"{folder}/windows/batch={before[-1]}") if before else spark.createDataFrame([], "visitor string, until long, n long")
+        rows = batch.select(F.col("who").alias("visitor"), "event_id", "us")
+        limited(rows, per_window, seconds, opened).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        done = spark.read.parquet(f"{folder}/out/batch={n}")
+        now = done.agg(F.max("us")).first()[0] or 0
+        left = done.groupBy("visitor").agg(F.max(F.struct("until", "n")).alias("w")).select("visitor", "w.*").unionByName(opened.join(done.select("visitor").distinct(), "visitor", "left_anti"))
+        left.where(F.col("until") > now).write.mode("overwrite").parquet(f"{folder}/windows/batch={n}")
+
+    beacons_ = events_as_beacons(event_stream(spark, sf_dir)).select((F.col("visitor") % 3).alias("who"), "event_id", F.unix_micros("ts").alias("us"))
+    run_batches(beacons_, folder, handle, every)
+    allowed = spark.read.parquet(f"{folder}/out").where("allowed").select("event_id")
+    return beacons(spark, sf_dir).join(allowed, "event_id", "left_semi").select("visitor", "event_id")
 
 
 def percolation(spark: SparkSession, sf_dir: str, folder: str | None = None, every: str | None = None) -> DataFrame:
