@@ -104,19 +104,33 @@ def provider_added(stored: DataFrame, calls: DataFrame) -> DataFrame:
     return both.groupBy("day", "provider").agg(F.sum("calls").alias("calls"), F.sum("answered").alias("answered"), F.round(F.sum("ms"), 6).alias("ms"), F.round(F.sum("cost"), 6).alias("cost"))
 
 
-def percolate(saved: DataFrame, delta: DataFrame) -> DataFrame:
-    """Saved queries (saved_id, words) x new documents (rid, text): pairs where the document has all words.
+def percolation_index(saved: DataFrame, df: DataFrame) -> DataFrame:
+    """Saved queries (saved_id, words) by their rarest word: (term, saved_id, words). df (term, df): how many documents hold a word; none: none."""
+    wanted = saved.select("saved_id", F.array_distinct("words").alias("words")).where(F.size("words") > 0)
+    rows = wanted.select("saved_id", "words", F.explode("words").alias("term")).join(df, "term", "left")
+    return rows.groupBy("saved_id", "words").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term")).select("term", "saved_id", "words")
+
+
+def held_words(delta: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rid, term): which of the wanted words (word) each new document (rid, text) has; dealt by rid, once for all that read it."""
+    terms = delta.select("rid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return terms.join(wanted.select(F.col("word").alias("term")).distinct(), "term", "left_semi").repartition("rid")
+
 
-    Queries meet documents by their rarest word alone (rarest in the delta), and the other words are looked for in the
-    document that is met; so a frequent word pairs nothing, and a query with a word that no document has does no work.
+def met(index: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (saved_id, rid) of a percolation index and documents' words: those that have all of a query's words.
+
+    Queries meet documents by their rarest word; the other words of a pair are counted there, so no text and no array of words is
+    sent anywhere, and a frequent word pairs nothing.
     """
-    wanted = saved.select("saved_id", F.array_distinct("words").alias("words")).where(F.size("words") > 0)
-    docs = delta.select("rid", F.array_distinct(tokens(F.col("text"))).alias("terms"))
-    held = docs.select("rid", F.explode("terms").alias("term")).join(wanted.select(F.explode("words").alias("term")).distinct(), "term", "left_semi")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    rarest = wanted.select("saved_id", "words", F.explode("words").alias("term")).join(df, "term", "left").groupBy("saved_id", "words").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count_if(F.col("df").isNull()).alias("missing"))
-    met = held.join(rarest.where("missing = 0").select("saved_id", "words", "term"), "term").select("saved_id", "rid", "words")
-    return met.join(docs, "rid").where(F.size(F.array_except("words", "terms")) == 0).select("saved_id", "rid")
+    pairs = held.join(index, "term").select("saved_id", "rid", F.size("words").alias("size"), F.explode("words").alias("term"))
+    return pairs.join(held, ["rid", "term"]).groupBy("saved_id", "rid").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("n = size").select("saved_id", "rid")
+
+
+def percolate(saved: DataFrame, delta: DataFrame) -> DataFrame:
+    """Saved queries (saved_id, words) x new documents (rid, text): pairs where the document has all words; the rarest word is that of the delta."""
+    held = held_words(delta, saved.select(F.explode("words").alias("word")))
+    return met(percolation_index(saved, held.groupBy("term").agg(F.count("*").alias("df"))), held)
 
 
 def unseen(found: DataFrame, most: int = 300) -> DataFrame:

@@ -34,6 +34,27 @@ def rising(beacons: DataFrame, now_hour: int, site: str | None = None, least_peo
     return rows.limit(limit) if limit else rows
 
 
+def rising_counts(trends: DataFrame, visitors: DataFrame, now_hour: int, site: str | None = None, least_people: int = 5, limit: int | None = None) -> DataFrame:
+    """What rising() gives, from hourly counts (hour, site, query, shown, n) and the people of each day (day, query, visitor)."""
+    here = trends.where(F.col("site") == site) if site else trends
+    sum_if = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    recent, before = F.col("hour") >= now_hour - 24, F.col("hour") < now_hour - 24
+    counts = here.where(F.col("hour") >= now_hour - 72).groupBy("query").agg(F.max("shown").alias("shown"), sum_if(recent).alias("recent"), sum_if(before).alias("before"))
+    people = visitors.where(F.col("day") >= now_hour // 24 - 1).groupBy("query").agg(F.countDistinct("visitor").alias("people"))
+    score = F.round(F.col("recent") * F.log2(2 + F.col("recent") / (F.col("before") / 2 + 1)), 6)
+    rows = counts.join(people, "query").where((F.col("recent") > 0) & (F.col("people") >= least_people)).select("query", "shown", "recent", "before", "people", score.alias("score"), (F.col("recent") > F.col("before") / 2).alias("rising"))
+    rows = rows.orderBy(F.desc("score"), F.desc("recent"), "query")
+    return rows.limit(limit) if limit else rows
+
+
+def site_of(origin: Column, given: Column, sites: list[str]) -> Column:
+    """The site a search speaks for: its origin's host where that is one of the sites, else the given one; without www; null for none."""
+    known = {s.lower().removeprefix("www.") for s in sites}
+    host = lambda c: F.regexp_replace(F.lower(F.when(c.contains("://"), F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1)).otherwise(c)), r"^www\.", "")
+    one = lambda c: F.when(host(c).isin(*known), host(c))
+    return F.coalesce(one(origin), one(given))
+
+
 def by_day(beacons: DataFrame) -> DataFrame:
     return beacons.groupBy("day").agg(F.count("*").alias("n"))
 

@@ -278,6 +278,13 @@ SQL = {
     "stream_documents": docs("""SELECT rid AS id, CAST(1 + CAST(rid % 7 = 0 AS INT) + CAST(deleted AS INT) AS BIGINT) AS events, CAST(CAST(rid % 13 <> 0 AS INT) + CAST(deleted AS INT) AS BIGINT) AS applied,
         CAST(CAST(rid % 7 = 0 AND rid % 13 <> 0 AS INT) AS BIGINT) AS stale, CAST(CASE WHEN rid % 13 = 0 THEN 1 + CAST(rid % 7 = 0 AS INT) ELSE 0 END AS BIGINT) AS rejected,
         CASE WHEN rid % 13 <> 0 OR deleted THEN revision END AS revision, CASE WHEN rid % 13 <> 0 OR deleted THEN deleted END AS deleted, CASE WHEN rid % 13 <> 0 OR deleted THEN exposure END AS exposure FROM e"""),
+    "watch_stream": docs(f""", q AS (SELECT item_id, list_distinct(list_slice({toks('text')}, 1, 3)) AS words FROM benchmark), t AS (SELECT rid, exposure, subject, {toks('body')} AS t FROM e),
+        m AS (SELECT item_id, rid, 1000 + rid % 400 AS w FROM q JOIN t ON len(words) > 0 AND list_has_all(t, words) WHERE (exposure = 3 OR (exposure = 1 AND subject = 'u' || CAST(item_id % 5 AS STRING))) AND rid % 400 > item_id % 300)
+        SELECT item_id AS saved_id, (SELECT max(1000 + rid % 400) FROM e) AS watermark, n, first FROM q LEFT JOIN (SELECT item_id, count(*) AS n, arg_min(rid, (-w, rid)) AS first FROM m GROUP BY item_id) USING (item_id) WHERE len(words) > 0 AND (SELECT max(1000 + rid % 400) FROM e) > 1000 + item_id % 300""").replace("FROM i) , q", "FROM i), q"),
+    "stream_beacons": f"""WITH RECURSIVE s AS (SELECT event_id, ({CLOCK} + event_id * 20000) AS ms, CASE WHEN event_id % 3 = 0 THEN 'a.example' ELSE 'b.example' END AS site, 'red ' || event_id % 23 AS query, user_id % 60 AS who, event_id % 17 = 0 OR event_id % 19 = 0 OR (event_id % 3 <> 0 AND event_id % 7 = 0) AS out FROM events),
+        g AS (SELECT *, ms // 86400000 AS day, ms // 3600000 AS hour FROM s WHERE NOT out AND ms // 86400000 >= (SELECT max(ms) // 86400000 FROM s) - 1), w(who, day, f) AS (SELECT who, day, min(ms) FROM g GROUP BY who, day UNION ALL SELECT w.who, w.day, min(g.ms) FROM w JOIN g ON g.who = w.who AND g.day = w.day AND g.ms >= w.f + 60000 GROUP BY w.who, w.day),
+        c AS (SELECT * FROM (SELECT g.*, row_number() OVER (PARTITION BY g.who, g.day, w.f ORDER BY g.ms, g.event_id) AS k FROM g ASOF JOIN w ON g.who = w.who AND g.day = w.day AND g.ms >= w.f) WHERE k <= 20)
+        SELECT hour, site, query, replace(query, 'red', 'Red') AS shown, count(*) AS n, any_value(people) AS people FROM c JOIN (SELECT day, query, count(DISTINCT who) AS people FROM c GROUP BY day, query) USING (day, query) GROUP BY hour, site, query""",
     "stream_inbox": "SELECT event_id, event_type FROM events",
     "stream_revision_merge": f"WITH {LOG} SELECT key, revision, deleted, content FROM l QUALIFY row_number() OVER (PARTITION BY key ORDER BY revision DESC, deleted DESC, arrival) = 1",
     "snippet": snippets(["the"]),

@@ -12,8 +12,9 @@ from quarry.operators import visibility as vis
 from quarry.oracles import SQL  # noqa: F401
 from quarry.schema import Filters, Match, Profile, Sites, Viewer
 from quarry.sources.adapter import CLOCK, FIELDS, beacons, index_documents, revision_log
+from quarry.streaming import beacons as beacon_job
 from quarry.streaming import ingest as stream_ingest
-from quarry.streaming import jobs
+from quarry.streaming import jobs, watching
 
 QUERIES: dict = {}
 #: The ranking of the queries here: the default one at a fixed clock.
@@ -760,6 +761,35 @@ def stream_documents(spark, sf_dir):
     return events.join(kept, "id", "left")
 
 
+@query
+def watch_stream(spark, sf_dir):
+    """Saved queries over the stream of documents: what each is told, and its watermark after it."""
+    schema = read(spark, sf_dir, "documents").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir).selectExpr(*(f"{v} AS {k}" for k, v in FIELDS.items()))
+    changes = vis.with_exposure(rows).select("rid", (1000 + F.col("rid") % 400).alias("at"), F.col("body").alias("text"), "exposure", "visibility", F.array("subject").alias("subjects"))
+    i = F.col("item_id")
+    saved_ = read(spark, sf_dir, "benchmark").select(i.cast("string").alias("saved_id"), F.concat(F.lit("u"), i % 5).alias("subject"), F.slice(tokens(F.col("text")), 1, 3).alias("words"), (1000 + i % 300).alias("created_at"))
+    watch = watching.Watch(spark, jobs._folder(spark, "watch"))
+    watch.index(saved_, search.term_df(docs_of(spark, sf_dir)))
+    watch.run(changes, lambda told: told.where("false").select("saved_id"))
+    told = watch.notifications().select("saved_id", "n", F.col("rids")[0].alias("first"))
+    return watch.watermarks().join(told, "saved_id", "left").select(F.col("saved_id").cast("long").alias("saved_id"), "watermark", "n", "first")
+
+
+@query
+def stream_beacons(spark, sf_dir):
+    """Search beacons made of events: what was counted of each hour, site and query, and how many people searched it that day."""
+    e = F.col("event_id")
+    schema = read(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    sent = rows.select(
+        e, (F.lit(CLOCK) + e * 20_000).alias("at"), F.when(e % 19 == 0, F.lit("me@x.example")).otherwise(F.concat(F.lit(" Red  "), e % 23, F.lit("! "))).alias("q"), F.when(e % 3 == 0, F.lit("https://www.a.example/x")).alias("origin"),
+        F.when(e % 7 == 0, F.lit("other.example")).otherwise(F.lit("b.example")).alias("site"), F.concat(F.lit("10.0.0."), F.col("user_id") % 60).alias("address"), F.lit("agent").alias("agent"), (e % 17 == 0).alias("opt_out"))
+    store = beacon_job.start(sent, jobs._folder(spark, "beacons"), ["a.example", "b.example"])
+    people = store.visitors().groupBy("day", "query").agg(F.count("*").alias("people"))
+    return store.trends().withColumn("day", F.floor(F.col("hour") / 24)).join(people, ["day", "query"]).select("hour", "site", "query", "shown", "n", "people")
+
+
 named("stream_trend_hourly", jobs.trend_hourly)
 named("stream_inbox", jobs.inbox)
 named("stream_revision_merge", jobs.revision_merge)
