@@ -56,6 +56,39 @@ def code_merge(rows: DataFrame) -> DataFrame:
         F.min("line").alias("line_start"), F.max("line").alias("line_end"), F.countDistinct("line").alias("n_lines"), F.transform(sources, lambda x: x["source"]).alias("sources")).drop("key")
 
 
+LINES = "array<struct<number:int,text:string,match:boolean>>"
+
+
+def merged_lines(rows: DataFrame) -> DataFrame:
+    """Rows (position, source, repo, ref, path, permalink, lines, line_start, line_end, ...) of several sources -> one row a file at one commit.
+
+    Of lines with one number the first source's text stays, and they match if any source says so; they come in order. A file that
+    one row alone is about keeps its lines as they are. The range is that of the lines, where there are any, else what the rows say.
+    Lines are merged by (file, number), so a file that all sources name is no array until it is whole.
+    """
+    whole = rows.where("repo <> '' and path <> '' and permalink <> ''").withColumns({"key": F.lower("repo"), "at": F.coalesce("ref", F.lit("")), "lines": F.coalesce("lines", F.array().cast(LINES))})
+    file = ["key", "at", "path"]
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col("position")))
+    of = whole.groupBy(*file).agg(
+        F.count("*").alias("n"), F.min_by("repo", "position").alias("repo"), F.min_by("ref", "position").alias("ref"), F.max(F.coalesce("stars", F.lit(0))).alias("stars"), F.max("last_commit").alias("last_commit"), first("licence").alias("licence"), first("language").alias("language"),
+        first("line_start").alias("_start"), F.max(F.when(F.col("line_start").isNotNull(), F.col("line_end"))).alias("_end"), F.min_by("line_end", "position").alias("_first_end"), F.min_by("lines", "position").alias("own"))
+    sources = whole.groupBy(*file, "source").agg(F.min("position").alias("place")).groupBy(*file).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source"))), lambda x: x["source"]).alias("sources"))
+    each = whole.select(*file, "position", F.posexplode("lines").alias("index", "line")).where("line.number is not null")
+    one = each.groupBy(*file, F.col("line.number").alias("number")).agg(F.min_by("line.text", F.struct("position", "index")).alias("text"), F.bool_or(F.coalesce("line.match", F.lit(False))).alias("match"))
+    lines = one.groupBy(*file).agg(F.array_sort(F.collect_list(F.struct("number", "text", "match"))).alias("lines"))
+    out = of.join(sources, file).join(lines, file, "left").withColumn("lines", F.when(F.col("n") == 1, F.col("own")).otherwise(F.coalesce("lines", F.array().cast(LINES))))
+    some = F.size("lines") > 0
+    return out.select(
+        "repo", "ref", "path", "stars", "last_commit", "licence", "language", "sources", "lines",
+        F.when(some, F.get("lines", F.lit(0))["number"]).otherwise(F.col("_start")).alias("line_start"), F.when(some, F.element_at("lines", -1)["number"]).otherwise(F.greatest("_end", "_first_end")).alias("line_end"))
+
+
+def lines_around(merged: DataFrame, around: int = 2, most: int = 120) -> DataFrame:
+    """Merged rows with the lines within so many of a match, whichever source it is from; the first `most` of each file."""
+    near = F.filter("lines", lambda x: F.exists("lines", lambda m: m["match"] & (F.abs(m["number"] - x["number"]) <= around)))
+    return merged.withColumn("lines", F.slice(near, 1, most))
+
+
 def code_filter(rows: DataFrame, lang: str | None = None, repo: str | None = None, licence: str | None = None) -> DataFrame:
     """Filters on merged rows, whatever the sources made of them; case doesn't count, repo is a part of the name."""
     for column, wanted in (("language", lang), ("licence", licence)):

@@ -301,6 +301,11 @@ SQL = {
         SELECT visitor, event_id FROM (SELECT g.visitor, g.event_id, row_number() OVER (PARTITION BY g.who, w.s ORDER BY g.ts, g.event_id) AS n FROM g ASOF JOIN w ON g.who = w.who AND g.ts >= w.s) WHERE n <= 5""",
     "url_dedupe_union": f"""WITH u AS (SELECT 0 AS step, page_id AS position, url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 1, page_id, url FROM pages), k AS (SELECT *, {URL_KEY} AS url_key FROM u)
         SELECT url_key, step, position FROM k WHERE url_key <> '' QUALIFY row_number() OVER (PARTITION BY url_key ORDER BY step, position) = 1""",
+    "code_lines": """WITH r AS (SELECT CASE WHEN role = 'user' THEN 0 ELSE 10000000 END + conv_id * 1000 + turn AS position, role, conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'R' ELSE 'r' END || conv_id % 20 AS repo, CASE WHEN conv_id % 5 <> 0 THEN 'c' || conv_id % 2 ELSE '' END AS ref,
+          'f' || conv_id % 7 || '-' || conv_id % 3 AS path FROM conversations WHERE conv_id % 11 <> 0), x AS (SELECT lower(repo) AS k, ref, path, position, i, CAST(turn + [0, 1, 5][i] AS INTEGER) AS number, role || '-' || conv_id || '-' || [0, 1, 5][i] AS text, (turn + [0, 1, 5][i] + conv_id) % 6 = 0 AS match FROM r, range(1, 4) t(i)),
+        l AS (SELECT k, ref, path, number, arg_min(text, (position, i)) AS text, bool_or(match) AS match FROM x GROUP BY ALL), f AS (SELECT lower(repo) AS k, ref, path, arg_min(repo, position) AS repo FROM r GROUP BY ALL), s AS (SELECT k, ref, path, min(number) AS line_start, max(number) AS line_end FROM l GROUP BY ALL),
+        n AS (SELECT l.*, row_number() OVER (PARTITION BY k, ref, path ORDER BY number) AS p FROM l WHERE EXISTS (SELECT 1 FROM l m WHERE m.k = l.k AND m.ref = l.ref AND m.path = l.path AND m.match AND abs(m.number - l.number) <= 2))
+        SELECT repo, ref, path, line_start, line_end, number, text, match FROM n JOIN f USING (k, ref, path) JOIN s USING (k, ref, path) WHERE p <= 120""",
     "code_merge": f"WITH {CODE} SELECT cm.* EXCLUDE (k), sources FROM cm JOIN cs USING (k, ref, path)",
     "code_filters": f"WITH {CODE} SELECT repo, ref, path FROM cm WHERE lower(language) = 'py' AND lower(licence) = 'l1' AND contains(lower(repo), 'r1')",
     "code_rank": """SELECT repo, path, stars, exact FROM (SELECT 'r' || CAST(conv_id AS STRING) AS repo, 'f' || CAST(turn AS STRING) AS path, conv_id % 100 AS stars, conv_id % 13 AS last_commit, CAST(regexp_matches(coalesce(text, ''), '(^|[^A-Za-z0-9_$])thered([^A-Za-z0-9_$]|$)') AS INTEGER) AS exact FROM conversations)

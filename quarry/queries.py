@@ -433,6 +433,17 @@ def code_rows(spark, sf_dir):
         (c("conv_id") % 100).alias("stars"), c("turn").alias("line"), F.when(c("conv_id") % 3 != 0, F.concat(F.lit("l"), (c("conv_id") % 4).cast("string"))).alias("licence"), F.when(c("turn") % 2 == 1, "py").alias("language"), c("conv_id").alias("last_commit"))
 
 
+@query
+def code_lines(spark, sf_dir):
+    """Files that several rows are about, their lines merged, and those around a match, one a row."""
+    c = F.col
+    line = lambda k: F.struct((c("turn") + k).cast("int").alias("number"), F.concat("role", F.lit("-"), c("conv_id"), F.lit(f"-{k}")).alias("text"), ((c("turn") + k + c("conv_id")) % 6 == 0).alias("match"))
+    rows = code_rows(spark, sf_dir).join(read(spark, sf_dir, "conversations").select(F.when(c("role") == "user", c("conv_id") * 1000 + c("turn")).otherwise(10_000_000 + c("conv_id") * 1000 + c("turn")).alias("position"), F.array(*(line(k) for k in (0, 1, 5))).alias("lines"), c("turn").cast("int").alias("line_start"), (c("turn") + 5).cast("int").alias("line_end")), "position")
+    merged = fed.merged_lines(rows.withColumn("path", F.concat("path", F.lit("-"), c("last_commit") % 3)))
+    near = fed.lines_around(merged)
+    return near.select("repo", F.coalesce("ref", F.lit("")).alias("ref"), "path", "line_start", "line_end", F.inline("lines")).select("repo", "ref", "path", "line_start", "line_end", "number", "text", "match")
+
+
 named("code_merge", lambda s, d: fed.code_merge(code_rows(s, d)).withColumn("sources", F.array_join("sources", ",")))
 named("code_filters", lambda s, d: fed.code_filter(fed.code_merge(code_rows(s, d)), "PY", "R1", "L1").select("repo", "ref", "path"))
 

@@ -308,3 +308,50 @@ def test_right_dimension(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], "rid long, embedding array<float>")
     good, bad = vector.right_dimension(rows, 2)
     assert [r.rid for r in good.collect()] == [1] and sorted(r.rid for r in bad.collect()) == [2, 3]
+
+
+def test_lines_of_several_sources(spark):
+    """One file after the other, by the rule."""
+    rng = random.Random(6)
+    schema = "position long, source string, repo string, ref string, path string, permalink string, lines array<struct<number:int,text:string,match:boolean>>, line_start int, line_end int, stars long, last_commit string, licence string, language string"
+    line = lambda s: (rng.choice([None, *range(1, 9)]), f"{s}{rng.randrange(9)}", rng.choice([None, True, False]))
+    rows = []
+    for i in range(60):
+        s = rng.choice("abc")
+        rows.append((i, s, rng.choice(["R/x", "r/x", "r/y", ""]), rng.choice([None, "c"]), rng.choice(["p", "q", None]), rng.choice(["l", "l", None]), rng.choice([None, [line(s) for _ in range(rng.randint(0, 4))]]), rng.choice([None, 3, 9]), rng.choice([None, 4, 20]), rng.choice([None, 5]), rng.choice([None, "2024", "2025"]), rng.choice([None, "", "mit"]), rng.choice([None, "py"])))
+    merged = {}
+    for pos, source, repo, ref, path, link, lines, a, b, stars, commit, licence, language in rows:
+        if not (repo and path and link):
+            continue
+        key = (repo.lower(), ref or "", path)
+        row = {"repo": repo, "lines": [list(x) for x in lines or []], "a": a, "b": b, "sources": [source], "stars": stars or 0, "commit": commit, "licence": licence or None, "language": language or None}
+        have = merged.get(key)
+        if not have:
+            merged[key] = row
+            continue
+        by = {}
+        for x in [*have["lines"], *row["lines"]]:
+            if x[0] is None:
+                continue
+            if x[0] not in by:
+                by[x[0]] = [x[0], x[1], bool(x[2])]
+            elif x[2]:
+                by[x[0]][2] = True
+        have["lines"] = [by[n] for n in sorted(by)]
+        have["a"] = have["a"] if have["a"] is not None else a
+        if a is not None and (have["b"] is None or b is not None and b > have["b"]):
+            have["b"] = b
+        have["sources"] += [s for s in [source] if s not in have["sources"]]
+        have["stars"] = max(have["stars"], stars or 0)
+        have["commit"] = max(filter(None, [have["commit"], commit]), default=None)
+        have["licence"], have["language"] = have["licence"] or licence or None, have["language"] or language or None
+    got = {(r.repo.lower(), r.ref or "", r.path): r for r in federation.merged_lines(spark.createDataFrame(rows, schema)).collect()}
+    assert set(got) == set(merged)
+    for key, w in merged.items():
+        r = got[key]
+        assert [[x.number, x.text, bool(x.match)] for x in r.lines] == [[x[0], x[1], bool(x[2])] for x in w["lines"]]
+        assert (r.repo, list(r.sources), r.stars, r.last_commit, r.licence, r.language) == (w["repo"], w["sources"], w["stars"], w["commit"], w["licence"], w["language"])
+        if w["lines"]:
+            assert (r.line_start, r.line_end) == (w["lines"][0][0], w["lines"][-1][0])
+        else:
+            assert (r.line_start, r.line_end) == (w["a"], w["b"])
