@@ -66,7 +66,7 @@ def op7_toxicity(spark, sf_dir):
     from . import toxicity
 
     docs = table(spark, sf_dir, "documents")
-    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("spans")
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_token_output(spark, sf_dir):

@@ -11,7 +11,8 @@ shrunk log ratios of how often toxic and clean documents hold them, and are fitt
 Forward-backward is exact over every word of a text. The words of many texts are one chain of 2 x 2 matrices, cut into
 lanes that are multiplied side by side; the matrix of a text's first word forgets what stood before. A document's score is a
 logistic function of the largest marginal and of the expected number of toxic words, fitted on a quarter of the sample
-that the field isn't trained on.
+that the field isn't trained on. Its odds are those of a sample of two clean documents for each toxic one, as a full sample is;
+where toxic labels are fewer, they are raised to that, so that what a score means doesn't hang on how many labels there are.
 
 Defined cases: null, empty and blank texts score as a text without toxic words; without toxic or without clean labels all
 scores are 0; null doc_ids are scored, held_out false; null labels are not used; a doc_id that repeats in labels is toxic if
@@ -201,7 +202,7 @@ class Field:
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
             h = (a * (p * (1 - p))[:, None]).T @ a / len(y) + 1e-5 * np.eye(3)
             w = np.clip(w + np.clip(np.linalg.solve(h, a.T @ (y - p) / len(y) - 1e-5 * w), -2, 2), -25, 25)
-        self.doc = w
+        self.doc = w + np.array([np.log(max(1.0, (y == 0).sum() * MOST_TOXIC / MOST_CLEAN / max(1, (y == 1).sum()))), 0.0, 0.0])
 
     @staticmethod
     def _pooled(p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -270,3 +270,27 @@ def test_pipeline(spark):
     last = C.STAGES[-1][1](spark, state, SF)
     assert last.count() == state.count()
     assert len(C.STAGES) == 5
+
+
+def test_toxicity_recall_by_rarity():
+    """Held-out rows of sf0.1: nine of ten toxic documents are found, clean ones stay, and documents of rarer words are found too."""
+    import re
+    import zlib
+    from collections import Counter
+
+    import duckdb
+
+    rows = duckdb.sql("SELECT doc_id, any_value(text), max(toxic) FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id) WHERE text IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id ORDER BY doc_id").fetchall()
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    field = toxicity.Field([t for _, t, y in learned if y][: toxicity.MOST_TOXIC], [t for _, t, y in learned if not y][: toxicity.MOST_CLEAN])
+    raw, off, start, end, row = toxicity._tokens([t for _, t, _ in held])
+    marginal, at = field.tag(raw, off, start, end, row)
+    hit = field.scores(marginal, at) >= 0.5
+    toxic = np.array([bool(y) for _, _, y in held])
+    assert hit[toxic].mean() >= 0.9 and hit[~toxic].mean() <= 0.01
+    spoken = Counter(w for _, t, y in learned if y for w in set(re.findall(r"\w+", t.lower())))
+    calm = Counter(w for _, t, y in learned if not y for w in set(re.findall(r"\w+", t.lower())))
+    marked = {w for w, n in spoken.items() if n > 9 * calm[w]}
+    rare = np.array([y and all(spoken[w] < 60 for w in set(re.findall(r"\w+", t.lower())) & marked) and bool(set(re.findall(r"\w+", t.lower())) & marked) for _, t, y in held], bool)
+    assert rare.sum() and hit[rare].mean() >= 0.8
