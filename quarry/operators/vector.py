@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,36 @@ def embedding_upsert(stored: DataFrame, fresh: DataFrame, live: DataFrame) -> Da
     return stored.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh).join(live.select("rid"), "rid", "left_semi")
 
 
+# Ms to wait after each failed call for embeddings; texts in a call.
+EMBED_BACKOFF, EMBED_BATCH = (2000, 10000, 60000, 300000, 900000, 1800000, 3600000), 32
+
+
+@dataclass(frozen=True)
+class EmbedClock:
+    """What an embedder keeps between ticks: its minute and what was embedded in it, failures in a row, and when it may try again."""
+
+    began: int = 0
+    used: int = 0
+    failures: int = 0
+    next_try: int = 0
+
+
+def embed_tick(pending: DataFrame, clock: EmbedClock, now: int, per_minute: int = 120) -> tuple[DataFrame, EmbedClock]:
+    """(what may be embedded now: the first pending rids that the minute allows, with their call, clock after it); nothing while it waits."""
+    clock = replace(clock, began=now, used=0) if now - clock.began >= 60_000 else clock
+    left = max(0, per_minute - clock.used) if now >= clock.next_try else 0
+    rows = pending.orderBy("rid").limit(left)
+    numbered = rows.withColumn("call", F.floor((F.row_number().over(Window.orderBy("rid")) - 1) / EMBED_BATCH).cast("int"))  # at most per_minute rows
+    return numbered, replace(clock, used=clock.used + min(left, numbered.count()))
+
+
+def embed_done(clock: EmbedClock, ok: bool, now: int) -> EmbedClock:
+    """The clock after a call: an answer clears failures, each failure in a row waits longer."""
+    if ok:
+        return replace(clock, failures=0, next_try=0)
+    return replace(clock, failures=clock.failures + 1, next_try=now + EMBED_BACKOFF[min(clock.failures, len(EMBED_BACKOFF) - 1)])
+
+
 def deals_tier(last_word: str, words: Column) -> Column:
     """Head-noun match of a product: a token equals the word, begins with it, or (four letters or more) begins it."""
     w = F.lit(last_word)

@@ -207,3 +207,32 @@ def exposure_feed(spark: SparkSession, sf_dir: str, folder: str | None = None) -
     folder = folder or _folder(spark, "feed")
     merge_into(_log(event_stream(spark, sf_dir)), folder)
     return spark.read.parquet(f"{folder}/events").select("key", "revision", "event", "previous", "exposure")
+
+
+class Periodic:
+    """Work that is done again and again (name, every in ms): what is due is known by when each was last done, which is kept in a folder.
+
+    A task that fails stays due; one that has never run is due at once. Runs are numbered, so a run that is lost is done again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, every: dict[str, int]):
+        self.spark, self.every, self.folder = spark, every, folder.rstrip("/")
+        self.state = Latest(spark, self.folder)
+
+    def due(self, now: int, before: int | None = None) -> list[str]:
+        """Names that are due, those that have waited longest first."""
+        last = {r.key: r.at for r in self.state.read("key string, at long", before).collect()}  # a row a task
+        return sorted((n for n, e in self.every.items() if n not in last or last[n] + e <= now), key=lambda n: (last.get(n, -1), n))
+
+    def run(self, n: int, now: int, actions: dict[str, Callable[[], None]]) -> dict[str, str]:
+        """Does what is due and writes when it was done; {name: done, or what went wrong}."""
+        said = {}
+        for name in self.due(now, n):
+            try:
+                actions[name]()
+                said[name] = "done"
+            except Exception as e:  # one task's failure is no other's
+                said[name] = f"failed: {e}"
+        done = [(name, now) for name, x in said.items() if x == "done"]
+        self.state.write(self.spark.createDataFrame(done, "key string, at long"), n)
+        return said
