@@ -3,10 +3,12 @@
 A document is the set of its distinct k-word shingles. Two documents link when den * |A and B| >= num * |A or B|.
 
 1. Blocks. For sizes a <= b of a linking pair at most D = floor((a + b)(den - num)/(den + num)) shingles differ, so when
-   the shingles are hashed into m > D groups, some group is the same in both. A document's keys are the contents of its
-   groups, for the scheme of its own size class and of the class below; linking documents share a key. This loses nothing.
-2. Documents that share keys, directly or through others, form a cluster (star edges to the smallest id of a key, then
-   components): the only place where its members' partners can be. Exact copies meet by a key of the whole set.
+   the shingles are hashed into m = D + 1 + e groups, e + 1 groups at least are the same in both. A document's keys are the
+   contents of its groups, for the scheme of its own size class and of the class below.
+2. A document of which fewer than e + 1 keys (empty groups counted) come in another set has no partner and drops out: a passage that
+   thousands of documents hold fills a few groups of each on its own, and e is a quarter of D. What is left and shares keys, directly
+   or through others, forms a cluster (star edges to the smallest id of a key, then components): the only place where its
+   members' partners can be. Exact copies meet by a key of the whole set and count as one. This loses nothing.
 3. Clusters are cut, in order of set size, into blocks of bounded weight; blocks meet only where sizes allow a link.
    So one huge cluster is many tasks, and no task holds more than two blocks.
 4. In a task an R-tree over group-count vectors (boxes packed bottom-up) bounds the overlap of a query with a box or a
@@ -35,6 +37,8 @@ from .components import components
 
 #: Coordinates of a count vector, entries of an R-tree node, and shingles in one block of a cluster.
 GROUPS, FANOUT, WEIGHT = 64, 16, 1_000_000
+#: A row of a key has in n a negative number: of its bits below, the tag of its set, how many shared keys the set needs, its scheme.
+TAG, LEAST = 31, 30
 
 
 class Schemes:
@@ -53,6 +57,7 @@ class Schemes:
             if d:
                 # a document with up to `spare` empty groups still has a shared group that is not empty
                 spare = max(1, math.ceil((d + 1) * math.exp(-lo / (d + 1)) * 1.5) + 1) if lo / (d + 1) > 2 else 1
+                spare = max(spare, d // 4)
             self.groups.append(d + 1 + spare)
             self.spare.append(spare)
             self.low.append(hi)
@@ -61,15 +66,15 @@ class Schemes:
         return np.array(self.low), np.array(self.groups), np.array(self.spare)
 
 
-def block_keys(sets: np.ndarray, off: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, rows): the group contents by which each set can meet its partners."""
+def block_keys(sets: np.ndarray, off: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, rows, needs): the group contents by which each set can meet its partners; of a set and scheme at least so many are shared with each of them. needs: 2 * that + scheme."""
     n = np.diff(off)
     if not len(sets):
-        return np.zeros(0, K.U), np.zeros(0, np.int64)
+        return np.zeros(0, K.U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     low, groups, spare = schemes.upto(int(n.max()))
     own = np.searchsorted(low, n, side="right") - 1
     mixed = K.mix(sets)
-    keys, rows = [], []
+    keys, rows, needs = [], [], []
     for down in (0, 1):
         scheme = own - down
         some = np.flatnonzero((n > 0) & (scheme >= 0))
@@ -85,11 +90,14 @@ def block_keys(sets: np.ndarray, off: np.ndarray, schemes: Schemes) -> tuple[np.
         count = np.bincount(cell, minlength=len(total))
         of = np.repeat(np.arange(len(n)), m)
         empty = K.run_sums((count == 0).astype(np.int64), np.concatenate([base, [len(total)]]))
-        use = (count > 0) | (empty > spare[np.maximum(scheme, 0)])[of]
+        spared = spare[np.maximum(scheme, 0)]
+        whole = empty > spared  # then empty groups are keys like others
+        use = (count > 0) | whole[of]
         at = np.arange(len(total)) - np.repeat(base, m)
         keys.append(K.mix(total + K.mix((scheme[of] * 1_000_003 + at).astype(K.U)))[use])
         rows.append(of[use])
-    return np.concatenate(keys), np.concatenate(rows)
+        needs.append((2 * np.where(whole, spared + 1, spared + 1 - empty) + down)[of[use]])
+    return np.concatenate(keys), np.concatenate(rows), np.concatenate(needs)
 
 
 def _emit(k: int, num: int, den: int):
@@ -106,36 +114,59 @@ def _emit(k: int, num: int, den: int):
                     if n[x] and h not in seen:
                         seen.add(h)
                         first[x] = True
-                keys, rows = block_keys(sets, at, schemes)
+                keys, rows, needs = block_keys(sets, at, schemes)
                 use = first[rows]
-                keys, rows = keys[use], rows[use]
+                keys, rows, needs = keys[use], rows[use], needs[use]
+                code = ~(((whole[rows] >> K.U(64 - TAG)).astype(np.int64) << (LEAST + 1)) + needs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([whole, keys]).view(np.int64)), pa.array(np.concatenate([ids[i:j], ids[i:j][rows]])), pa.array(np.concatenate([n, np.full(len(rows), -1)]).astype(np.int64))], ["key", "doc_id", "n"]
+                    [pa.array(np.concatenate([whole, keys]).view(np.int64)), pa.array(np.concatenate([ids[i:j], ids[i:j][rows]])), pa.array(np.concatenate([n.astype(np.int64), code]))], ["key", "doc_id", "n"]
                 )
 
     return run
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of key, kind, doc_id -> star edges; of whole-set rows each one, of group rows those that differ from the first."""
-    last = None
+    """Rows in order of key, kind, n, doc_id -> of whole sets a star edge each (doc, first doc, n); of keys that several sets have, (doc, key, n) of each set's first doc."""
+
+    def out(a, b, n):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
+
+    head = None  # the last whole set's key and first doc
+    last = None  # the last key, its last n, and its only row as long as it has one set
     for batch in batches:
         key, doc, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if not len(key):
             continue
-        kind = n >= 0
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
-        head = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-        if last and (key[0], kind[0]) == last[:2]:
-            stop = np.flatnonzero(new)[1] if new.sum() > 1 else len(key)
-            head[:stop] = last[2]
-        last = (key[-1], kind[-1], head[-1])
-        head = np.where(n == 0, doc, head)  # empty sets are linked with nothing
-        use = kind | (doc != head)
-        a, b, m = doc[use], head[use], n[use]
-        got = np.unique(np.stack([a, b, m], axis=1), axis=0) if len(a) else np.zeros((0, 3), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.array(got[:, 2])], ["a", "b", "n"])
+        whole = n >= 0
+        k, d, m = key[whole], doc[whole], n[whole]
+        if len(k):
+            new = np.ones(len(k), dtype=bool)
+            new[1:] = k[1:] != k[:-1]
+            to = d[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+            if head and k[0] == head[0]:
+                to[: np.flatnonzero(new)[1] if new.sum() > 1 else len(k)] = head[1]
+            head = (k[-1], to[-1])
+            got = np.unique(np.stack([d, np.where(m == 0, d, to), m], axis=1), axis=0)  # empty sets are linked with nothing
+            yield out(got[:, 0], got[:, 1], got[:, 2])
+        k, d, m = key[~whole], doc[~whole], n[~whole]
+        if not len(k):
+            continue
+        if last and k[0] == last[0]:  # the key goes on: its last row stands before these
+            k, d, m = np.append(last[0], k), np.append(last[2], d), np.append(last[1], m)
+            before = last[3]
+        else:
+            before = False
+        first = np.ones(len(k), dtype=bool)
+        first[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+        k, d, m = k[first], d[first], m[first]
+        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.append(begin, len(k)))
+        use = np.repeat(size > 1, size)
+        if before:  # told already that it is shared: its later sets are, its last row is out
+            use[: size[0]] = True
+            use[0] = False
+        last = (k[-1], m[-1], d[-1], bool(size[-1] > 1 or (before and len(size) == 1)))
+        yield out(d[use], k[use], m[use])
 
 
 class RTree:
@@ -240,11 +271,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     parts = partitions(spark)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = texts.mapInArrow(_emit(k, num, den), "key long, doc_id long, n long")
-    order = rows.repartition(parts, "key").sortWithinPartitions("key", (F.col("n") < 0), "doc_id")
+    order = rows.repartition(parts, "key").sortWithinPartitions("key", (F.col("n") < 0), "n", "doc_id")
     stars = stored(order.mapInArrow(_link, "a long, b long, n long"), "stars")
     whole = stars.where("n >= 0").groupBy("a").agg(F.min_by("b", F.struct(-F.col("n"), "b")).alias("rep"), F.max("n").alias("n"))
     copies = stars.where("n >= 0 and a <> b").select("a", "b")
-    clusters = components(stars.where("a <> b").select("a", "b"), "clusters")
+    shared = stars.where("n < 0").select("a", F.col("b").alias("key"), "n")
+    need = F.shiftright(F.bitwise_not(F.col("n")).bitwiseAND(F.lit((1 << (LEAST + 1)) - 1)), 1)
+    able = shared.groupBy("a", "n").agg(F.count("*").alias("have")).where(F.col("have") >= need).select("a", "n")
+    able = stored(shared.join(able, ["a", "n"], "left_semi").select("a", "key"), "able")
+    heads = able.groupBy("key").agg(F.min("a").alias("b"))
+    met = able.join(heads, "key").where("a <> b").select("a", "b").distinct()
+    clusters = components(met.unionByName(copies), "clusters")
     # members: one document of each set, in clusters that hold more than one set
     members = clusters.join(whole.where("a = rep and n > 0").select(F.col("a").alias("id"), "n"), "id").select(F.col("id").alias("doc_id"), "component", "n")
     weight = F.sum("n").over(Window.partitionBy("component").orderBy("n", "doc_id"))

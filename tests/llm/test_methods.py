@@ -8,6 +8,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import html_text, repair_output, sentencepiece_lattice, suffix_dedup, toxicity
@@ -232,3 +233,50 @@ def test_part_that_is_the_article():
 
 def test_header_inside_an_article():
     assert html_text.main_text(f'<article><div class="entry-header"><h1>Title of it</h1></div><p>{BODY}</p></article>') == f"Title of it {BODY}"
+
+
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
+def test_jaccard_keys_of_a_shared_passage(k, num):
+    """Documents that hold one passage and are else different share fewer keys than partners need; near copies share enough."""
+    from quarry.llm import jaccard_join as J
+    from quarry.llm import kernel as K
+
+    rng = random.Random(k)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(250)] + passage + [f"w{rng.randrange(10**6)}" for _ in range(250)]) for _ in range(60)]
+    near = texts[0].split()
+    for i in rng.sample(range(len(near)), 3):
+        near[i] = "changed"
+    texts.append(" ".join(near))
+    sets, off = K.shingle_sets(*K.buffers(pa.array(texts, pa.large_string())), k)
+    by, need = {}, {}
+    for key, row, code in zip(*J.block_keys(sets, off, J.Schemes(num, 100)), strict=True):
+        by.setdefault(int(key), set()).add(int(row))
+        need[int(row), int(code) & 1] = int(code) >> 1
+    shared, have = {frozenset(p) for rows in by.values() for p in itertools.combinations(sorted(rows), 2)}, Counter()
+    for key, row, code in zip(*J.block_keys(sets, off, J.Schemes(num, 100)), strict=True):
+        have[int(row), int(code) & 1] += len(by[int(key)]) > 1
+    able = {row for (row, scheme), n in have.items() if n >= need[row, scheme]}
+    assert able == {0, 60} and frozenset((0, 60)) in shared
+    assert num > 80 or len(shared) > 10
+
+
+def test_jaccard_link_over_batches():
+    """Whatever the batches, a key's sets are told once each, and only where there are two."""
+    from quarry.llm import jaccard_join as J
+
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(12), 1, -rng.randrange(1, 4), rng.randrange(30)) for _ in range(200)) + sorted((100 + rng.randrange(6), 0, 5, rng.randrange(30)) for _ in range(30))
+    rows = sorted({r for r in rows})
+    want = set()
+    for key in {r[0] for r in rows if r[1]}:
+        firsts = {}
+        for _, _, n, d in (r for r in rows if r[0] == key):
+            firsts.setdefault(n, d)
+        want |= {(d, key, n) for n, d in firsts.items()} if len(firsts) > 1 else set()
+    heads = {key: min(r[3] for r in rows if r[0] == key) for key in {r[0] for r in rows if not r[1]}}
+    want |= {(r[3], heads[r[0]], 5) for r in rows if not r[1]}
+    for size in (1, 2, 3, 7, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + size]], pa.int64()) for c in (0, 3, 2)], ["key", "doc_id", "n"]) for i in range(0, len(rows), size)]
+        got = [tuple(x) for b in J._link(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert set(got) == want and len(got) == len(want)
