@@ -75,8 +75,16 @@ class Engine:
         else:
             near = vector.knn(self.embeddings.join(listed.select("rid"), "rid", "left_semi"), vector_, CANDIDATES, NEAR, "rid")
         fused = vector.rrf(keyword, vector.ranked(near, F.asc("distance"), F.asc("rid")))
-        docs = visible(self.docs, viewer).join(F.broadcast(fused.select("rid")), "rid")
-        every = search.rank_parts(search.counted(docs, match), Match(match.words, match.prefix, match.field, True, match.question), self.weights(match), replace(self.profile, now=now), self.sites)
+        held = fused.collect()  # at most 200 rows
+        fused, rids = self.docs.sparkSession.createDataFrame(held, fused.schema), F.col("rid").isin([r.rid for r in held])
+        loose = Match(match.words, match.prefix, match.field, True, match.question)
+        if self.index:
+            docs = self.index.records.where(rids)
+            counts = index.counted(self.index.postings.where(rids), docs, match, viewer)
+        else:
+            docs = visible(self.docs, viewer).where(rids)
+            counts = search.counted(docs, match)
+        every = search.rank_parts(counts, loose, self.weights(match), replace(self.profile, now=now), self.sites)
         return vector.reranked(fused.join(docs.select("rid", "owner", "title", "summary", "type"), "rid"), every.select("rid", "tier", "title_words", "cover"), match)
 
     def state(self, text: str, vector_: list[float] | None) -> dict:

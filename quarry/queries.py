@@ -105,11 +105,21 @@ def browse_cursor(spark, sf_dir):
     return page_rows(spark, engine.browse(limit=15, cursor=engine.browse(limit=15).cursor), "rid", "sort_at")
 
 
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def built(spark, sf_dir, name, build):
+    """The folder of an index that this application has built of these tables: searches don't build it again."""
+    key = (spark.sparkContext.applicationId, str(sf_dir), name)
+    if key not in _built:
+        path = jobs._folder(spark, name)
+        build(path)
+        _built[key] = path
+    return _built[key]
+
+
 def stored_index(spark, sf_dir):
-    """A fresh version of the stored index in the shared folder."""
-    path = jobs._folder(spark, "index")
-    index.store(docs_of(spark, sf_dir), path)
-    return path
+    return built(spark, sf_dir, "index", lambda path: index.store(docs_of(spark, sf_dir), path))
 
 
 named("index_search", lambda s, d: page_rows(s, asked(s, d, "the of", index_path=stored_index(s, d)), *HIT))
@@ -216,9 +226,10 @@ named("distance_floor", lambda s, d: nearest(s, d).where("distance <= 0.9"))
 
 
 def stored_vectors(spark, sf_dir):
-    """The vector index of all embeddings, in a fresh folder."""
+    """The vector index of all embeddings, and the vector that is asked."""
     rows = read(spark, sf_dir, "embeddings")
-    return ann.build(rows, jobs._folder(spark, "vectors")), list(rows.where("vec_id = 7").select("embedding").first()[0])
+    path = built(spark, sf_dir, "vectors", lambda path: ann.build(rows, path))
+    return ann.VectorIndex.open(spark, path), list(rows.where("vec_id = 7").select("embedding").first()[0])
 
 
 @query

@@ -92,3 +92,17 @@ def test_pages_keep_the_first_clock(spark, stored):
     two = engine.search("the of", limit=10, cursor=one.cursor, now=queries.CLOCK + 90 * 86_400_000)
     assert one.rows + two.rows == whole
     assert engine.search("the of", limit=20, now=queries.CLOCK + 90 * 86_400_000).rows != whole
+
+
+def test_hybrid_from_the_index(spark, stored, tmp_path):
+    """Words and vectors fused, from the stored indexes as from the scans."""
+    from quarry.operators import ann
+
+    docs = queries.docs_of(spark, SF)
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("rid"), "embedding")
+    asked = list(rows.where("rid = 7").first().embedding)
+    ann.build(rows, str(tmp_path / "v"), "rid")
+    for text in ("the", "the idiot clown moron"):
+        pages = [Engine(docs, path, embeddings=rows, profile=queries.FIXED, dim=64, vectors=vectors).search(text, limit=15, vector_=asked) for path, vectors in ((None, None), (stored, None), (stored, str(tmp_path / "v")))]
+        assert pages[0].rows == pages[1].rows and len(pages[0].rows) > 5
+        assert len({r.rid for r in pages[0].rows} & {r.rid for r in pages[2].rows}) >= len(pages[0].rows) - 2
