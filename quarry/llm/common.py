@@ -8,6 +8,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -60,6 +61,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession, hours: float = 24.0) -> list[str]:
+    """Deletes intermediate tables and files of this subpackage in the shared folder that nothing has written for so long; returns their names.
+
+    Results read them until they are written themselves, so only the caller knows when they have had their time.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quarry/*")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in system.globStatus(path) or [] if x.getModificationTime() < (time.time() - hours * 3600) * 1000]
+    for p in old:
+        system.delete(p, True)
+    return sorted(p.getName() for p in old)
+
+
 def give_back() -> None:
     """Returns freed memory of this process to the system, where the allocator can."""
     gc.collect()

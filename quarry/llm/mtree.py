@@ -1,13 +1,16 @@
 """Exact top-k by inner product with M-trees and best-first search.
 
-Inner products become a metric by one more coordinate: with M the largest norm of a shard, x gets sqrt(M^2 - |x|^2) and a
-query 0, so |q - x|^2 = |q|^2 + M^2 - 2 q.x and the nearest are those of the highest product. A shard's tree has paged
-nodes: each knows its centre, the radius that covers all below it and its distance to its parent's centre. The search
-takes the node with the least possible distance first. A child or entry is passed over, before its distance is computed,
-where |d(q, parent) - d(child, parent)| - radius already exceeds the k-th best distance. Scores themselves are integers.
-
-Rows are dealt to shards of about SHARD rows and queries to blocks of QUERIES; every (block, shard) cell is one task group,
-whose k best per query are merged by a window over the query. Nothing is collected or broadcast.
+Inner products become a metric by one more coordinate: with M the largest norm, x gets sqrt(M^2 - |x|^2) and a query 0, so
+|q - x|^2 = |q|^2 + M^2 - 2 q.x and the nearest are those of the highest product. A shard's tree has paged nodes: each knows
+its centre, the radius that covers all below it and its distance to its parent's centre. The search takes the node with the
+least possible distance first. A child or entry is passed over, before its distance is computed, where
+|d(q, parent) - d(child, parent)| - radius already exceeds the k-th best distance. Scores themselves are integers.
+
+Above the trees lie routing balls: rows go to the nearest of up to PIVOTS pivots (a sample by hash; it only decides who lies with
+whom), and a pivot's rows by hash into shards of about SHARD, each one tree in a file of the shared folder, written once. A query is
+asked at one shard of its nearest pivot first; its k-th score there is a bound, and the second pass goes only to shards of pivots
+whose ball can hold a better one. A group of at most QUERIES queries opens a tree once; the k best per query are merged by a
+window over the query. Of equal vectors the k + 1 smallest ids are kept, as no other can be among k. The driver holds pivots and radii.
 
 Defined cases: components are floor(256 * x) of the value as double; vectors that are null, empty, or hold null or
 non-finite components take no part, as rows or as queries, nor do rows with null vec_id; a query sees only vectors of its
@@ -17,15 +20,19 @@ own length; repeated vec_ids count once (the least vector); extra columns are ig
 from __future__ import annotations
 
 import heapq
+import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import fresh_path, ship, stored
+from .files import read_file, write_file
+from .vptree import PIVOTS, QUERIES, ROUTED, SHARD, _dealt, _file, _matrix, _route, _shards_of
 
-SHARD, QUERIES, PAGE, FANOUT = 8192, 2048, 64, 12
+PAGE, FANOUT = 64, 12
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -39,10 +46,10 @@ class Node:
 class MTree:
     """Bulk-loaded: pivots spread over the rows, rows to the nearest pivot, again until a page holds them."""
 
-    def __init__(self, points: np.ndarray, seed: int = 5):
+    def __init__(self, points: np.ndarray, seed: int = 5, top: float | None = None):
         self.ints = points
         norm = (points.astype(np.float64) ** 2).sum(axis=1)
-        self.top = float(norm.max()) if len(points) else 0.0
+        self.top = top if top is not None else float(norm.max()) if len(points) else 0.0
         self.points = np.column_stack([points, np.sqrt(np.maximum(0.0, self.top - norm))]).astype(np.float64)
         self.rng = np.random.default_rng(seed)
         self.root = self._build(np.arange(len(points)), self.points.mean(axis=0)) if len(points) else None
@@ -73,8 +80,8 @@ class MTree:
             k.to_parent = float(d)
         return node
 
-    def search(self, q: np.ndarray, k: int, ids: np.ndarray, own: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best rows, ties to the smaller id."""
+    def search(self, q: np.ndarray, k: int, ids: np.ndarray, own: int, reach: float = np.inf) -> list[tuple[int, int]]:
+        """(score, id) of the k best rows no further than reach, ties to the smaller id."""
         if self.root is None:
             return []
         query = np.append(q.astype(np.float64), 0.0)
@@ -83,7 +90,7 @@ class MTree:
         best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
 
         def limit() -> float:
-            return np.inf if len(best) < k else np.sqrt(max(0.0, base - 2 * best[0][0]) + slack)
+            return reach if len(best) < k else min(reach, np.sqrt(max(0.0, base - 2 * best[0][0]) + slack))
 
         first = float(np.sqrt(((query - self.root.centre) ** 2).sum()))
         queue, n = [(max(0.0, first - self.root.radius), 0, self.root, first)], 0
@@ -119,38 +126,72 @@ class MTree:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-def _cell(k: int):
-    def run(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
+def _plant(folder: str, top: float):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        pivot, shard, dim = (x.as_py() for x in key)
+        uri = _file(folder, pivot, shard, dim)
+        ids = rows["vec_id"].to_numpy()
+        tree = MTree(_matrix(rows["v"], dim)[:, :-1].astype(np.int64), top=top)
+        write_file(f"{uri}.{uuid.uuid4().hex}", pickle.dumps((ids, tree)), uri)
+        return pa.table({"pivot": pa.array([pivot], pa.int32()), "radius": [float(max(rows["away"].to_numpy(), default=0.0))]})
+
+    return run
+
+
+def _ask(folder: str, k: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        pivot, shard, dim = key[0].as_py(), key[1].as_py(), key[3].as_py()
+        try:
+            ids, tree = pickle.loads(read_file(_file(folder, pivot, shard, dim)))
+        except FileNotFoundError:  # a pivot's shard without a vector of this length
+            return FOUND.empty_table()
         out: list = []
-        if queries.num_rows and rows.num_rows:
-            dim = len(rows["v"][0])
-            points = rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            ids = rows["vec_id"].to_numpy()
-            tree = MTree(points)
-            asked = queries["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            for own, q in zip(queries["vec_id"].to_pylist(), asked, strict=True):
-                out += [(own, i, s) for s, i in tree.search(q, k, ids, own)]
+        asked = _matrix(rows["v"], dim)[:, :-1].astype(np.int64)
+        for own, q, bound in zip(rows["query_id"].to_pylist(), asked, rows["bound"].to_pylist(), strict=True):
+            out += [(own, i, s) for s, i in tree.search(q, k, ids, own, bound)]
         return pa.table([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], schema=FOUND)
 
     return run
 
 
-def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
+def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, shard_rows: int | None = None, most_pivots: int = PIVOTS) -> DataFrame:
     """embeddings -> (query_id, rank, vec_id, score) for rows whose vec_id is divisible by `every`, against all others."""
-    spark = embeddings.sparkSession
+    spark, shard_rows = embeddings.sparkSession, shard_rows or SHARD
     ship(spark)
     whole = F.expr("exists(embedding, x -> x is null or isnan(x) or abs(double(x)) = double('infinity'))")
     good = embeddings.where("vec_id is not null and size(embedding) > 0").where(~whole)
-    ints = good.select(F.col("vec_id").cast("long").alias("vec_id"), F.expr("transform(embedding, x -> cast(floor(256 * double(x)) as bigint))").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = ints.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n // every // QUERIES))
-    dim, block, shard = F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("long"), F.pmod(F.xxhash64("vec_id"), F.lit(shards))
-    asked = ints.where(F.col("vec_id") % every == 0).select("vec_id", "v", dim, block.alias("block"), F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"))
-    rows = ints.select("vec_id", "v", dim, shard.cast("long").alias("shard"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
-    keys = ["dim", "block", "shard"]
-    found = asked.groupBy(keys).cogroup(rows.groupBy(keys)).applyInArrow(_cell(k), "query_id long, vec_id long, score long")
+    ints = good.select(F.col("vec_id").cast("long").alias("vec_id"), F.expr("transform(embedding, x -> cast(floor(256 * double(x)) as bigint))").alias("i")).groupBy("vec_id").agg(F.min("i").alias("i"))
+    ints = stored(ints.withColumn("size", F.expr("aggregate(i, 0D, (a, x) -> a + double(x) * double(x))")), "integers")
+    total, top = ints.agg(F.count("*"), F.max("size")).first()
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    point = lambda last: F.concat(F.transform("i", lambda x: x.cast("double")), F.array(last)).alias("v")
+    rows = ints.select("vec_id", point(F.sqrt(F.greatest(F.lit(0.0), F.lit(top) - F.col("size")))))
+    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_n") <= k + 1).drop("_n")
+    by: dict[int, list] = {}
+    for i, r in enumerate(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(most_pivots, -(-total // shard_rows))).select("v").collect()):
+        by.setdefault(len(r.v), []).append((i, r.v))
+    pivots = {dim: (np.array([i for i, _ in x], np.int32), np.array([v for _, v in x])) for dim, x in by.items()}
+    dealt = stored(once.mapInArrow(_dealt(pivots), "vec_id long, v array<double>, pivot int, away double"), "dealt")
+    shards = _shards_of({r["pivot"]: r["n"] for r in dealt.groupBy("pivot").agg(F.count("*").alias("n")).collect()}, shard_rows)  # a row a pivot
+    folder = fresh_path(spark, "mtrees")
+    parts = F.element_at(F.create_map(*(F.lit(x) for pair in shards.items() for x in pair)), F.col("pivot"))
+    keyed = dealt.withColumn("shard", F.pmod(F.xxhash64("vec_id"), parts).cast("int")).withColumn("dim", F.size("v"))
+    planted = stored(keyed.groupBy("pivot", "shard", "dim").applyInArrow(_plant(folder, float(top)), "pivot int, radius double"), "planted")
+    radius = {r["pivot"]: r["radius"] for r in planted.groupBy("pivot").agg(F.max("radius").alias("radius")).collect()}
+    asked = ints.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), point(F.lit(0.0)), (F.col("size") + F.lit(top)).alias("base"))
+    blocks = max(1, -(-asked.count() // QUERIES))
+
+    def passed(df: DataFrame, first: bool) -> DataFrame:
+        route = _route(pivots, shards, radius, 1.0, first, blocks)
+        return df.mapInArrow(route, ROUTED).withColumn("dim", F.size("v")).groupBy("pivot", "shard", "block", "dim").applyInArrow(_ask(folder, k), "query_id long, vec_id long, score long")
+
+    one = stored(passed(asked.select("query_id", "v"), True), "first")
+    worst = one.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst")).where(F.col("n") >= k).select("query_id", "worst")
+    bound = F.sqrt(F.greatest(F.lit(0.0), F.col("base") - 2 * F.col("worst").cast("double")) + 1e-7 * (1 + F.col("base")))
+    bounded = asked.join(worst, "query_id", "left").select("query_id", "v", F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return one.unionByName(passed(bounded, False)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """

@@ -15,7 +15,7 @@ Words longer than LONG or with several leading spaces are encoded by replaying t
 as are all words of a model that doesn't pack. Characters without a piece become byte pieces.
 
 Documents are cut into blocks of about BLOCK bytes inside a task and written as codes into the block's word list, in a
-file of the shared folder named by its content; words go to the lattice with their blocks and codes, ids come back to the
+file of the shared folder named by its task and place; words go to the lattice with their blocks and codes, ids come back to the
 block, which is then read. So neither text nor codes are shuffled, a frequent word is sent once a block, and a task holds
 one block. A word is grouped within the blocks of SHARE tasks, so that the list of its places stays bounded however
 frequent it is. The piece table (the model's vocabulary, a fixed number of rows) and the spans are broadcast.
@@ -24,7 +24,7 @@ Rows are sorted by word once, the first of each word takes part in the joins, an
 spark.sql.execution.replaceHashWithSortAgg (set by encode) the grouping reads its rows in order, without a hash table.
 
 Defined cases: null text counts as empty and has no pieces; null or repeated doc_ids are kept row by row; U+2581 in a text
-is a space, as in the library; extra columns are ignored.
+is a space, as in the library; a model that is no BPE model is refused; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,12 +50,29 @@ from .kernel import buffers
 LONG, BLOCK, SHARE, WORDS, MARK, RAW = 48, 12 << 20, 1024, 60_000, "▁", "\x01"
 
 
+#: Model types in a model's file.
+UNIGRAM, BPE = 1, 2
+
+
+def model_kind(data: bytes) -> int:
+    """The model type in a model file's trainer settings."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(data)
+    return proto.trainer_spec.model_type
+
+
 class Model:
     """Pieces of a SentencePiece BPE model: ranks (0 merges first), the derivation of each piece, byte pieces."""
 
     def __init__(self, path: str):
         import sentencepiece
 
+        with open(path, "rb") as f:
+            kind = model_kind(f.read())
+        if kind != BPE:
+            raise ValueError("this model's pieces aren't merged in order of rank; viterbi() is the fold for unigram models")
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.GetPieceSize()
         self.pieces = [sp.IdToPiece(i) for i in range(n)]

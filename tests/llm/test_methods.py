@@ -280,3 +280,50 @@ def test_jaccard_link_over_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + size]], pa.int64()) for c in (0, 3, 2)], ["key", "doc_id", "n"]) for i in range(0, len(rows), size)]
         got = [tuple(x) for b in J._link(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         assert set(got) == want and len(got) == len(want)
+
+
+def unigram(pieces, path):
+    """A unigram model file of given pieces; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.trainer_spec.model_type = 1
+    proto.normalizer_spec.name, proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces = "identity", True, True
+    for piece, score, kind in (("<unk>", 0.0, 2), *((p, s, 1) for p, s in pieces.items())):
+        one = proto.pieces.add()
+        one.piece, one.score, one.type = piece, score, kind
+    path.write_bytes(proto.SerializeToString())
+    return str(path)
+
+
+def test_unigram_models(spark, tmp_path):
+    """encode refuses one; viterbi gives the library's segmentation of its words."""
+    import sentencepiece
+
+    from quarry.llm import sentencepiece_lattice as S
+
+    rng = random.Random(5)
+    pieces = {"▁": -2.0} | {c: -4.0 - rng.random() for c in "abcde"}
+    while len(pieces) < 60:
+        pieces[rng.choice(["", "▁"]) + "".join(rng.choice("abcde") for _ in range(rng.randint(1, 5)))] = -3.0 - 6 * rng.random()
+    path = unigram(pieces, tmp_path / "u.model")
+    with pytest.raises(ValueError, match="viterbi"):
+        S.encode(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), path)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    df = spark.createDataFrame([("▁" + w,) for w in words], "word string")
+    table = spark.createDataFrame(list(pieces.items()), "piece string, score double")
+    got = {r.word: r.pieces for r in S.viterbi(df, table, max(map(len, pieces))).collect()}
+    score = lambda parts: sum(np.float32(pieces[p]) for p in parts)
+    for w in words:
+        want = sp.encode(w, out_type=str)
+        assert list(got["▁" + w]) == want or score(got["▁" + w]) == pytest.approx(score(want), abs=1e-4)
+
+
+def test_sweep(spark):
+    from quarry.llm import common
+
+    name = common.stored(spark.range(3), "swept").inputFiles()[0].split("/")[-2]
+    assert name not in common.sweep(spark, 1.0)
+    time.sleep(1.1)
+    assert name in common.sweep(spark, 1 / 3600)

@@ -179,3 +179,46 @@ def test_top_k_cells(spark, monkeypatch):
     monkeypatch.setattr(M, "QUERIES", 20)
     assert {tuple(r) for r in M.top_k(df, every=5).collect()} == one
     assert df.where(F.col("vec_id") < 0).count() == 0
+
+
+def test_top_k_asks_few_trees(spark, monkeypatch):
+    """Far groups of vectors: a query's second pass leaves out the trees whose ball can't hold a better one; repeated ids and copies count once."""
+    import quarry.llm.mtree as M
+
+    rng = np.random.default_rng(4)
+    rows = [(i, (np.eye(8)[i % 8] * 40 + rng.normal(size=8)).tolist()) for i in range(1600)] + [(5, [0.0] * 8), (7000, [40.0] + [0.0] * 7)] + [(8000 + i, [0.0, 41.0] + [0.0] * 6) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked, true = [], M._route
+
+    def route(pivots, shards, radius, factor, first, blocks):
+        asked.append(sum(shards.values()))
+        return true(pivots, shards, radius, factor, first, blocks)
+
+    opened = spark.sparkContext.accumulator(0)
+    ask = M._ask
+
+    def counted(folder, k):
+        inner = ask(folder, k)
+
+        def run(key, rows):
+            opened.add(rows.num_rows)
+            return inner(key, rows)
+
+        return run
+
+    monkeypatch.setattr(M, "_route", route)
+    monkeypatch.setattr(M, "_ask", counted)
+    got = {tuple(r) for r in M.top_k(df, every=100, shard_rows=50, most_pivots=64).collect()}
+    ints = {}
+    for i, v in rows:
+        w = tuple(int(np.floor(256 * x)) for x in v)
+        ints[i] = min(ints.get(i, w), w)
+    table, ids = np.array([ints[i] for i in sorted(ints)]), sorted(ints)
+    want = set()
+    for q in (i for i in ids if i % 100 == 0):
+        score = table @ np.array(ints[q])
+        best = sorted((-int(s), i) for s, i in zip(score, ids, strict=True) if i != q)[:5]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert got == want
+    queries = len({q for q, *_ in want})
+    assert opened.value < queries * max(asked) / 2
