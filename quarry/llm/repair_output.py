@@ -18,7 +18,7 @@ cuts()), distinct runs between these are encoded with the library once a worker,
 looked up; other tokenizers get whole texts.
 
 Defined cases: null text is empty: the end id alone; rows with null doc_id come first; repeated doc_ids keep one row each,
-in any order among themselves; an empty table gives no files. Extra columns are ignored.
+in the order of their texts; an empty table gives no files. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -411,7 +411,7 @@ def write_tokens(docs: DataFrame, path: str, end: int = 2) -> DataFrame:
     spark = docs.sparkSession
     ship(spark, ROOMY)
     folder = fresh_path(spark, "tokens")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     files = stored(rows.mapInArrow(_write(folder, path, end), "shard int, part int, uri string, n_ids long, n_docs long, n_bytes long"), "manifest")
     # ids before a file: those of earlier shards (one row a shard in this window) and of earlier parts of its shard
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))

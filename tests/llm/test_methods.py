@@ -327,3 +327,18 @@ def test_sweep(spark):
     assert name not in common.sweep(spark, 1.0)
     time.sleep(1.1)
     assert name in common.sweep(spark, 1 / 3600)
+
+
+def test_token_files_of_repeated_ids(spark):
+    """Rows of one doc_id lie in the order of their texts, so where each begins doesn't change from run to run."""
+    from quarry.llm.queries import tokenizer_file
+    from quarry.llm.repair_output import read_tokens, write_tokens
+
+    rows = [(7, t) for t in ("zebra crossing", "a", None, "middle of it", "a")] + [(3, "first"), (None, "none"), (9, "last one")]
+    runs = []
+    for seed in range(3):
+        order = rows[:]
+        random.Random(seed).shuffle(order)
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        runs.append(sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in read_tokens(write_tokens(df, tokenizer_file("word_bpe_49k.json"), end=2)).collect()))
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == len(rows)
