@@ -253,4 +253,4 @@ def snippet_html(snippet_: Column) -> Column:
 
 def projected(docs: DataFrame) -> DataFrame:
     """What a viewer gets of a document: never its keys, its hash or its owner's internals."""
-    return docs.select("rid", "owner", "type", "id", "revision", "visibility", "title", F.nullif(F.col("summary"), F.lit("")).alias("summary"), "canonical_url", "lang", "sort_at")
+    return docs.select("rid", "owner", "type", "id", "revision", "visibility", "title", F.nullif(F.col("summary"), F.lit("")).alias("summary"), "canonical_url", "lang", "sort_at", (F.col("index_decision") == "index").alias("indexable"))

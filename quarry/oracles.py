@@ -330,7 +330,7 @@ SQL = {
     "index_search_signed_in": search(["the", "of"], seen("u1", ("g1",), ("e1",))) + TOP,
     "index_relaxed": either(search(["the", *LOOSE]), search(LOOSE, any_word=True, weights=True)),
     "index_merge": f"WITH {DOCS}, {POSTINGS} SELECT audience, term, count(DISTINCT rid) AS n FROM p WHERE rid % 5 <> 0 GROUP BY audience, term",
-    "result_projection": docs(f"SELECT rid, owner, type, id, revision, visibility, title, nullif(summary, '') AS summary, canonical_url, lang, sort_at FROM e WHERE {seen('u1')}"),
+    "result_projection": docs(f"SELECT rid, owner, type, id, revision, visibility, title, nullif(summary, '') AS summary, canonical_url, lang, sort_at, index_decision = 'index' AS indexable FROM e WHERE {seen('u1')}"),
     "embedding_upsert": docs("SELECT vec_id AS rid, label + CASE WHEN vec_id % 3 = 0 THEN 1000 ELSE 0 END AS version FROM embeddings WHERE vec_id IN (SELECT rid FROM e WHERE exposure = 3)"),
     "embedding_text": docs("SELECT rid, sha256(substr(concat_ws(chr(10), nullif(title, ''), nullif(summary, ''), nullif(body, '')), 1, 2000)) AS text_hash FROM d"),
     "embedding_batches": docs("SELECT count(*) AS documents, true AS bounded FROM e WHERE exposure = 3"),
