@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, ship, stored
 from .files import read_file, write_file
-from .vptree import PIVOTS, QUERIES, ROUTED, SHARD, _dealt, _file, _matrix, _route, _shards_of
+from .vptree import PIVOTS, ROUTED, SHARD, _dealt, _file, _matrix, _route, _shards_of
 
-PAGE, FANOUT = 64, 12
+PAGE, FANOUT, QUERIES = 64, 12, 256
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
