@@ -88,3 +88,16 @@ def test_embedder_clock(spark):
     assert vector.embed_tick(pending, clock, 122_000, 70)[0].count() == 0
     rows, after = vector.embed_tick(pending, clock, 161_000, 70)
     assert rows.count() == 70 and vector.embed_done(after, True, 161_500).failures == 0
+
+
+def test_code_lines_where_positions_of_two_sources_are_equal(spark, tmp_path):
+    """A user's turn 6 of conversation 10003 has the position of another's turn of conversation 3: neither takes the other's lines."""
+    import duckdb
+
+    from quarry import queries
+
+    rows = [(conv, turn, role, "t") for conv in (3, 10003, 24, 10024) for turn, role in ((1, "user"), (3, "assistant"), (6, "user" if conv > 10000 else "system"))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    cursor = duckdb.sql(f"CREATE OR REPLACE TEMP VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'") or duckdb.sql(queries.SQL["code_lines"])
+    got = queries.QUERIES["code_lines"](spark, str(tmp_path)).select(*cursor.columns).collect()
+    assert got and sorted(map(tuple, got)) == sorted(cursor.fetchall())
