@@ -106,3 +106,16 @@ def test_hybrid_from_the_index(spark, stored, tmp_path):
         pages = [Engine(docs, path, embeddings=rows, profile=queries.FIXED, dim=64, vectors=vectors).search(text, limit=15, vector_=asked) for path, vectors in ((None, None), (stored, None), (stored, str(tmp_path / "v")))]
         assert pages[0].rows == pages[1].rows and len(pages[0].rows) > 5
         assert len({r.rid for r in pages[0].rows} & {r.rid for r in pages[2].rows}) >= len(pages[0].rows) - 2
+
+
+def test_words_are_counted_where_documents_are_read(spark):
+    """The counts are those of a plain count, and no token is shuffled for them; a large table is dealt into more tasks."""
+    from collections import Counter
+
+    texts = {1: ("a b a", "", "a c " * 300), 2: ("", None, "b"), 3: (None, "", ""), 4: ("d", "d d", "d a")}
+    docs = spark.createDataFrame([(rid, 3, *t) for rid, t in texts.items()], "rid long, exposure int, title string, summary string, body string")
+    pieces, _ = index._pieces(docs)
+    assert "Exchange" not in pieces._jdf.queryExecution().executedPlan().toString()
+    want = sorted((rid, 3, w, *(Counter((x or "").split())[w] for x in t)) for rid, t in texts.items() for w in {w for x in t for w in (x or "").split()})
+    assert sorted(map(tuple, pieces.collect())) == want == sorted(map(tuple, index.build(docs)[0].collect()))
+    assert index._files(spark, 1000 * index.PART) == 1000
