@@ -92,3 +92,13 @@ def test_small_table(spark, tmp_path):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     index, q = ann.build(df, str(tmp_path / "i")), asked(spark, f"{SF}/embeddings.parquet", 250)[0]
     assert index.search(q, exact=True).collect() == vector.knn(df, q, 100).collect()
+
+
+def test_the_sample_is_of_least_hashes_and_few_rows_are_sorted_for_it(spark):
+    """The bound leaves a little more than is taken, and what is taken is what sorting all would give."""
+    rows = spark.range(20000).withColumnRenamed("id", "rid")
+    want = [r.rid for r in rows.orderBy(F.xxhash64("rid"), "rid").limit(300).collect()]
+    got = ann._least(rows, 300)
+    assert [r.rid for r in got.collect()] == want
+    assert "xxhash64(" in got._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1]
+    assert [r.rid for r in ann._least(rows, 15000).collect()][:300] == want
