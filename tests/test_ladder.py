@@ -113,3 +113,21 @@ def test_no_requests(spark, tmp_path):
     empty = lambda schema: spark.createDataFrame([], schema)
     results, explain, _ = ladder.run(empty(REQ), empty(OWN), empty(ANSWER), empty("key string, results array<struct<url:string,title:string,published:string>>"), empty("step string, calls long"), str(tmp_path), 5)
     assert results.count() == 0 and explain.count() == 0
+
+
+def test_tasks_hold_few_requests(spark, tmp_path, monkeypatch):
+    """Small files of many requests are neither broadcast nor put into one task."""
+    monkeypatch.setattr(ladder, "REQUESTS_A_TASK", 500, raising=False)
+    c = F.col("id")
+    rows = spark.range(4000).select(c.alias("req"), F.lit("q").alias("q"), F.lit(5).cast("long").alias("limit"), F.lit("deep").alias("depth"), F.lit("any").alias("freshness"), F.lit(None).cast("string").alias("site"), F.lit(True).alias("signed_in"), c.alias("seq"))
+    page = F.struct(F.lit("https://w.example/").alias("url"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("published"))
+    own = rows.select("req", F.lit(0).cast("long").alias("position"), F.lit("https://o.example/").alias("url"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("published"))
+    answers = rows.select("req", F.lit("wikipedia").alias("step"), F.lit(True).alias("ok"), F.lit(0.0).alias("cost_usd"), F.array(page).alias("results"))
+    cache = spark.createDataFrame([], "key string, results array<struct<url:string,title:string,published:string>>")
+    results, explain, _ = ladder.run(rows, own, answers, cache, spark.createDataFrame([], "step string, calls long"), str(tmp_path), 3)
+    for df in (results, explain):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    for name in ("found-0", "got-3", "found-3"):
+        of_file = spark.read.parquet(f"{tmp_path}/{name}").groupBy(F.input_file_name()).count()
+        assert of_file.agg(F.max("count")).first()[0] < 1000, name
+    assert results.count() == 8000 and explain.where("ok").count() == 8000
