@@ -9,7 +9,8 @@ least possible distance first. A child or entry is passed over, before its dista
 Above the trees lie routing balls: rows go to the nearest of up to PIVOTS pivots (a sample by hash; it only decides who lies with
 whom), and a pivot's rows by hash into shards of about SHARD, each one tree in a file of the shared folder, written once. A query is
 asked at one shard of its nearest pivot first; its k-th score there is a bound, and the second pass goes only to shards of pivots
-whose ball can hold a better one. A group of at most QUERIES queries opens a tree once; the k best per query are merged by a
+whose ball can hold a better one. A group of at most QUERIES queries opens a tree once, and a node once for all of them: first each
+goes down to its nearest page for a bound, then nodes are taken best-first. The k best per query are merged by a
 window over the query. Of equal vectors the k + 1 smallest ids are kept, as no other can be among k. The driver holds pivots and radii.
 
 Defined cases: components are floor(256 * x) of the value as double; vectors that are null, empty, or hold null or
@@ -33,6 +34,7 @@ from .files import read_file, write_file
 from .vptree import PIVOTS, ROUTED, SHARD, _dealt, _file, _matrix, _route, _shards_of
 
 PAGE, FANOUT, QUERIES = 64, 12, 256
+NONE = -np.iinfo(np.int64).max
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -80,50 +82,77 @@ class MTree:
             k.to_parent = float(d)
         return node
 
-    def search(self, q: np.ndarray, k: int, ids: np.ndarray, own: int, reach: float = np.inf) -> list[tuple[int, int]]:
-        """(score, id) of the k best rows no further than reach, ties to the smaller id."""
-        if self.root is None:
-            return []
-        query = np.append(q.astype(np.float64), 0.0)
-        base = float((query**2).sum()) + self.top
-        slack = 1e-7 * (1 + base)
-        best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
-
-        def limit() -> float:
-            return reach if len(best) < k else min(reach, np.sqrt(max(0.0, base - 2 * best[0][0]) + slack))
-
-        first = float(np.sqrt(((query - self.root.centre) ** 2).sum()))
-        queue, n = [(max(0.0, first - self.root.radius), 0, self.root, first)], 0
-        while queue:
-            low, _, node, to = heapq.heappop(queue)
-            far = limit()
-            if low > far:
-                break
+    def search(self, asked: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids) of the k best rows of each query no further than its reach, its own id apart, ties to the smaller id; NONE where there are fewer.
+
+        A node is opened for all queries that can't pass it over, and its distances and scores are one matrix product. Float products are
+        exact while the norms say that no sum can leave the integers of a double; beyond that they are taken in 64-bit integers.
+        """
+        n = len(asked)
+        best, who = np.full((n, k), NONE), np.full((n, k), np.iinfo(np.int64).max)
+        if self.root is None or not n:
+            return best, who
+        query = np.column_stack([asked, np.zeros(n)]).astype(np.float64)
+        size = (query**2).sum(axis=1)
+        base = size + self.top
+        slack, wide = 1e-7 * (1 + base), 1e-6 * (1 + np.sqrt(base))  # wide: rounding of distances taken from products
+        whole = np.sqrt(self.top * size.max()) < 2.0**52
+        far = (np.full(n, np.inf) if reach is None else reach.astype(np.float64)) + wide
+
+        def away(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(0.0, size[rows][:, None] + (centres**2).sum(axis=1) - 2 * query[rows] @ centres.T))
+
+        def scan(node: Node, rows: np.ndarray, to: np.ndarray) -> None:
+            near = np.abs(to[:, None] - node.row_to_centre) <= far[rows][:, None]
+            some, use = near.any(axis=1), near.any(axis=0)
+            rows, at = rows[some], node.rows[use]
+            score = (query[rows] @ self.points[at].T).astype(np.int64) if whole else asked[rows] @ self.ints[at].T
+            hit = (score >= best[rows, -1][:, None]) & (ids[at] != own[rows][:, None])
+            some = hit.any(axis=1)
+            rows, hit, score = rows[some], hit[some], score[some]
+            if not len(rows):
+                return
+            score, id_ = np.concatenate([best[rows], np.where(hit, score, NONE)], axis=1), np.concatenate([who[rows], np.where(hit, ids[at], np.iinfo(np.int64).max)], axis=1)
+            first = np.lexsort((id_, -score), axis=-1)[:, :k]
+            best[rows], who[rows] = np.take_along_axis(score, first, axis=1), np.take_along_axis(id_, first, axis=1)
+            full = rows[best[rows, -1] != NONE]
+            far[full] = np.minimum(far[full], np.sqrt(np.maximum(0.0, base[full] - 2 * best[full, -1].astype(np.float64)) + slack[full]) + wide[full])
+
+        everyone = np.arange(n)
+        start = away(everyone, self.root.centre[None])[:, 0]
+        home, down = np.zeros(n, np.int64), [(self.root, everyone, start)]
+        while down:  # to one page each, for a first bound
+            node, rows, to = down.pop()
             if node.rows is not None:
-                rows = node.rows[np.abs(to - node.row_to_centre) <= far]
-                if not len(rows):
-                    continue
-                score = self.ints[rows] @ q
-                if len(best) >= k:
-                    use = score >= best[0][0]
-                    rows, score = rows[use], score[use]
-                for s, i in zip(score.tolist(), ids[rows].tolist(), strict=True):
-                    if i == own:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
+                home[rows] = id(node)
+                scan(node, rows, to)
                 continue
-            some = np.flatnonzero(np.abs(to - node.kid_to) - node.kid_radii <= far)
-            if len(some):
-                d = np.sqrt(((node.kid_centres[some] - query) ** 2).sum(axis=1))
-                for x, y in zip(some.tolist(), d.tolist(), strict=True):
-                    bound = max(0.0, y - node.kid_radii[x])
-                    if bound <= far:
-                        n += 1
-                        heapq.heappush(queue, (bound, n, node.kids[x], y))
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+            d = away(rows, node.kid_centres)
+            near = d.argmin(axis=1)
+            down += [(node.kids[x], rows[near == x], d[near == x, x]) for x in np.unique(near).tolist()]
+        queue, pushed = [(0.0, 0, self.root, everyone, np.maximum(0.0, start - self.root.radius), start)], 0
+        while queue:  # the node with the least possible distance of any query first
+            _, _, node, rows, low, to = heapq.heappop(queue)
+            use = low <= far[rows]
+            if node.rows is not None:
+                use &= home[rows] != id(node)
+            rows, to = rows[use], to[use]
+            if not len(rows):
+                continue
+            if node.rows is not None:
+                scan(node, rows, to)
+                continue
+            can = np.abs(to[:, None] - node.kid_to) - node.kid_radii <= far[rows][:, None]
+            kids = np.flatnonzero(can.any(axis=0))
+            d = away(rows, node.kid_centres[kids])
+            low = np.maximum(0.0, d - node.kid_radii[kids])
+            can = can[:, kids] & (low <= far[rows][:, None])
+            for x, kid in enumerate(kids.tolist()):
+                mine = np.flatnonzero(can[:, x])
+                if len(mine):
+                    pushed += 1
+                    heapq.heappush(queue, (float(low[mine, x].min()), pushed, node.kids[kid], rows[mine], low[mine, x], d[mine, x]))
+        return best, who
 
 
 def _plant(folder: str, top: float):
@@ -145,11 +174,10 @@ def _ask(folder: str, k: int):
             ids, tree = pickle.loads(read_file(_file(folder, pivot, shard, dim)))
         except FileNotFoundError:  # a pivot's shard without a vector of this length
             return FOUND.empty_table()
-        out: list = []
-        asked = _matrix(rows["v"], dim)[:, :-1].astype(np.int64)
-        for own, q, bound in zip(rows["query_id"].to_pylist(), asked, rows["bound"].to_pylist(), strict=True):
-            out += [(own, i, s) for s, i in tree.search(q, k, ids, own, bound)]
-        return pa.table([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], schema=FOUND)
+        own = rows["query_id"].to_numpy()
+        score, found = tree.search(_matrix(rows["v"], dim)[:, :-1].astype(np.int64), k, ids, own, rows["bound"].to_numpy())
+        use = score != NONE
+        return pa.table([pa.array(np.repeat(own, use.sum(axis=1))), pa.array(found[use]), pa.array(score[use])], schema=FOUND)
 
     return run
 

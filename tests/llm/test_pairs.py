@@ -222,3 +222,30 @@ def test_top_k_asks_few_trees(spark, monkeypatch):
     assert got == want
     queries = len({q for q, *_ in want})
     assert opened.value < queries * max(asked) / 2
+
+
+@pytest.mark.parametrize("scale", [1, 10**6])
+def test_top_k_opens_a_node_once_for_all_queries(tmp_path, monkeypatch, scale):
+    """Vectors without groups, where no ball can be ruled out: the nodes opened are those of the tree, not the tree's for each query."""
+    import pyarrow as pa
+
+    import quarry.llm.mtree as M
+
+    rng = np.random.default_rng(6)
+    ints = np.floor(256 * rng.normal(size=(3000, 16))).astype(np.int64) * scale
+    ints[100:130] = ints[100]  # ties go to the smaller id
+    ids, top = rng.permutation(3000) + 10, float((ints.astype(np.float64) ** 2).sum(axis=1).max())
+    wide = lambda x, last: pa.array(np.column_stack([x, last]).astype(np.float64).tolist(), pa.list_(pa.float64()))
+    last = np.sqrt(np.maximum(0.0, top - (ints.astype(np.float64) ** 2).sum(axis=1)))
+    key, folder = tuple(pa.scalar(x, pa.int32()) for x in (0, 0, 17)), f"file://{tmp_path}/trees"
+    M._plant(folder, top)(key, pa.table({"vec_id": pa.array(ids), "v": wide(ints, last), "away": np.zeros(3000)}))
+    opened, pop = [], M.heapq.heappop
+    monkeypatch.setattr(M.heapq, "heappop", lambda queue: opened.append(1) or pop(queue))
+    rows = [*range(95, 135), *range(2000, 2060)]
+    queries = pa.table({"query_id": pa.array(ids[rows]), "v": wide(ints[rows], np.zeros(len(rows))), "bound": np.full(len(rows), np.inf)})
+    got = {}
+    for q, i, s in zip(*(M._ask(folder, 5)((*key[:2], pa.scalar(0), key[2]), queries)[c].to_pylist() for c in ("query_id", "vec_id", "score")), strict=True):
+        got.setdefault(q, []).append((-s, i))
+    scores = ints[rows] @ ints.T
+    assert got == {int(ids[r]): sorted((-int(s), int(i)) for s, i in zip(line, ids, strict=True) if i != ids[r])[:5] for r, line in zip(rows, scores, strict=True)}
+    assert len(opened) < 3000
