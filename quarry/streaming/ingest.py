@@ -47,26 +47,35 @@ def verified(body: Column, header: Column, timestamp: Column, received_at: Colum
     return F.coalesce(shaped & near & same & any_, F.lit(False))
 
 
-def read(deliveries: DataFrame, keys: list[bytes], accepted: list[str]) -> DataFrame:
-    """Deliveries (arrival, received_at, body, signature, timestamp) that are verified -> one row each with its outcome so far.
+def received(deliveries: DataFrame, keys: list[bytes]) -> DataFrame:
+    """Deliveries (arrival, received_at, body, signature, timestamp) that are verified -> (arrival, event_id, event), those that have an event id.
 
-    (arrival, event_id, event_type, outcome or null where the document is to be merged, detail, key, owner, type, id, revision, deleted,
-    hash, doc as JSON). Unsigned or forged deliveries, and those without an event id, leave no trace, as they may not claim an id.
+    Unsigned or forged deliveries, and those without an event id, leave no trace, as they may not claim an id.
     """
     good = deliveries.where(verified(F.col("body"), F.col("signature"), F.col("timestamp"), F.col("received_at"), keys))
-    event = F.from_json(F.get_json_object("body", "$.event"), ENVELOPE)
-    rows = good.select("arrival", event.alias("e")).where(F.coalesce(F.col("e.event_id").rlike(EVENT_ID), F.lit(False)))
+    rows = good.select("arrival", F.get_json_object("body", "$.event").alias("event")).select("arrival", F.from_json("event", "event_id string")["event_id"].alias("event_id"), "event")
+    return rows.where(F.coalesce(F.col("event_id").rlike(EVENT_ID), F.lit(False)))
+
+
+def read(events: DataFrame, accepted: list[str]) -> DataFrame:
+    """Events as received() gives them -> one row each with its outcome so far.
+
+    (arrival, event_id, event_type, outcome or null where the document is to be merged, detail, key, owner, type, id, revision, deleted,
+    hash, doc as JSON).
+    """
+    rows = events.select("arrival", F.from_json("event", ENVELOPE).alias("e"))
+    rows = rows.withColumn("may", F.coalesce(F.col("e.source").isin(accepted), F.lit(False)))
     kind = F.regexp_extract("e.event_type", EVENT_TYPE, 1)
     gone = F.col("e.event_type").endswith(".deleted")
     told = documents.parsed(F.coalesce("e.payload", F.lit("{}")))
-    rows = rows.select("arrival", "e", kind.alias("kind"), gone.alias("gone"), told.alias("told"), documents.misshapen(F.coalesce("e.payload", F.lit("{}"))).alias("shape"))
+    rows = rows.select("arrival", "e", "may", kind.alias("kind"), gone.alias("gone"), told.alias("told"), documents.misshapen(F.coalesce("e.payload", F.lit("{}"))).alias("shape"))
     rows = rows.withColumn("doc", F.when(F.col("gone"), _tombstone("told")).otherwise(F.col("told")))
     rows = rows.withColumn("doc", F.col("doc").withField("owner", F.col("e.source")))
     errors = F.concat(F.when(F.col("gone"), F.array().cast("array<struct<path:string,message:string>>")).otherwise(F.col("shape")), documents.problems("doc"))
     c = F.col
     other = lambda a, b: ~F.coalesce(a == b, F.lit(False))
     outcome = (
-        F.when(F.coalesce(c("kind"), F.lit("")) == "", "ignored").when(other(c("kind"), c("e.source")), "rejected:owner_mismatch").when(~F.coalesce(c("e.source").isin(accepted), F.lit(False)), "rejected:owner_not_accepted")
+        F.when(F.coalesce(c("kind"), F.lit("")) == "", "ignored").when(other(c("kind"), c("e.source")), "rejected:owner_mismatch").when(~c("may"), "rejected:owner_not_accepted")
         .when(c("told.owner").isNotNull() & (c("told.owner") != c("e.source")), "rejected:owner_mismatch")
         .when(other(c("e.subject.type"), c("doc.type")) | other(c("e.subject.id"), c("doc.id")) | (c("e.subject.revision") != c("doc.revision")), "rejected:subject_mismatch")
         .when(F.size(errors) > 0, "rejected:invalid_document"))
@@ -177,8 +186,7 @@ def start(deliveries: DataFrame, folder: str, keys: list[bytes], accepted: list[
     """Runs the job over a stream of deliveries until what is there is done, or again and again; started again it goes on where it was."""
     spark = deliveries.sparkSession
     store = Store(spark, folder)
-    rows = read(deliveries, keys, accepted).dropDuplicates(["event_id"])
-    exposed = _exposed(rows)
+    exposed = _exposed(read(received(deliveries, keys).dropDuplicates(["event_id"]), accepted))  # an event is parsed and checked once, in the tasks that it is dealt to
     stream = keyed.before(exposed, "key", ["hash", "exposure", "visibility", "canonical_url"])
 
     def handle(batch: DataFrame, n: int) -> None:

@@ -241,3 +241,16 @@ def test_facets_and_sets(spark):
     assert {r.rid for r in search.narrowed(out, Filters(facets=(("tag", ("a", "z")), ("price", ("1.5",))))).collect()} == {1}
     found = lambda v: {r.rid for r in search.search_set(out, Match(("the",)), v, profile=PROFILE).collect()}
     assert found(Viewer()) == {1, 2, 3} and found(Viewer("u", ("role:a",))) == {1, 2, 3, 4} and found(Viewer(USER)) == {1, 2, 3, 5}
+
+
+def test_keys_share_groups(spark, tmp_path, monkeypatch):
+    """A call of the state step takes the rows of many keys, and each still meets its own state and no other."""
+    monkeypatch.setattr(keyed, "GROUPS", 3)
+    batches, events = many(9)
+    write(spark, str(tmp_path), batches)
+    check(run(spark, str(tmp_path)), events)
+
+
+def test_a_payload_is_parsed_once(spark):
+    plan = spark.createDataFrame([("{}",)], "payload string").select(documents.parsed(F.col("payload")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 1
