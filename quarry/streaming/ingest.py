@@ -57,14 +57,18 @@ def received(deliveries: DataFrame, keys: list[bytes]) -> DataFrame:
     return rows.where(F.coalesce(F.col("event_id").rlike(EVENT_ID), F.lit(False)))
 
 
-def read(events: DataFrame, accepted: list[str]) -> DataFrame:
-    """Events as received() gives them -> one row each with its outcome so far.
+def read(events: DataFrame, accepted: list[str] | DataFrame) -> DataFrame:
+    """Events as received() gives them -> one row each with its outcome so far; accepted: owners, as a list or as rows (owner), each once.
 
     (arrival, event_id, event_type, outcome or null where the document is to be merged, detail, key, owner, type, id, revision, deleted,
     hash, doc as JSON).
     """
     rows = events.select("arrival", F.from_json("event", ENVELOPE).alias("e"))
-    rows = rows.withColumn("may", F.coalesce(F.col("e.source").isin(accepted), F.lit(False)))
+    if isinstance(accepted, DataFrame):
+        may = accepted.select(F.col("owner").alias("_owner"))
+        rows = rows.join(may, F.col("e.source") == F.col("_owner"), "left").select("arrival", "e", F.col("_owner").isNotNull().alias("may"))
+    else:
+        rows = rows.withColumn("may", F.coalesce(F.col("e.source").isin(accepted), F.lit(False)))
     kind = F.regexp_extract("e.event_type", EVENT_TYPE, 1)
     gone = F.col("e.event_type").endswith(".deleted")
     told = documents.parsed(F.coalesce("e.payload", F.lit("{}")))
@@ -182,10 +186,16 @@ def searched(rows: DataFrame) -> DataFrame:
     return documents.derived(held)
 
 
-def start(deliveries: DataFrame, folder: str, keys: list[bytes], accepted: list[str], zones: DataFrame | None = None, related: tuple[str, ...] = (), every: str | None = None) -> Store:
-    """Runs the job over a stream of deliveries until what is there is done, or again and again; started again it goes on where it was."""
+def start(deliveries: DataFrame, folder: str, keys: list[bytes], accepted: list[str] | DataFrame, zones: DataFrame | None = None, related: tuple[str, ...] = (), every: str | None = None) -> Store:
+    """Runs the job over a stream of deliveries until what is there is done, or again and again; started again it goes on where it was.
+
+    accepted: the owners that may send, as a list or, however many, as rows (owner).
+    """
     spark = deliveries.sparkSession
     store = Store(spark, folder)
+    if isinstance(accepted, DataFrame):  # found once, not in each batch; as a stored table its size is known, and it is broadcast only where it is small
+        accepted.select("owner").where("owner is not null").distinct().write.mode("overwrite").parquet(f"{folder}/accepted")
+        accepted = spark.read.parquet(f"{folder}/accepted")
     exposed = _exposed(read(received(deliveries, keys).dropDuplicates(["event_id"]), accepted))  # an event is parsed and checked once, in the tasks that it is dealt to
     stream = keyed.before(exposed, "key", ["hash", "exposure", "visibility", "canonical_url"])
 

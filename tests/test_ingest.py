@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import queries
 from quarry.operators import documents, search, segments
 from quarry.schema import Filters, Match, Profile, Viewer
 from quarry.streaming import ingest, keyed
@@ -243,6 +244,16 @@ def test_facets_and_sets(spark):
     assert found(Viewer()) == {1, 2, 3} and found(Viewer("u", ("role:a",))) == {1, 2, 3, 4} and found(Viewer(USER)) == {1, 2, 3, 5}
 
 
+def test_all_owners_are_accepted(spark, tmp_path):
+    """However many sources the documents have, each may send: none is cut from the list."""
+    n = 1030
+    rows = [(i, f"Title {i}. Summary {i}. the text of {i}", "en", f"source-{i}", 30) for i in range(1, n + 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    store = queries.ingested(spark, str(tmp_path))
+    found = {r.outcome: r.n for r in store.outcomes().groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+    assert "rejected:owner_not_accepted" not in found and found["applied"] == sum((i % 13 != 0) + (i % 37 == 0) for i in range(1, n + 1))
+
+
 def test_keys_share_groups(spark, tmp_path, monkeypatch):
     """A call of the state step takes the rows of many keys, and each still meets its own state and no other."""
     monkeypatch.setattr(keyed, "GROUPS", 3)
