@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,7 +218,11 @@ def start(deliveries: DataFrame, folder: str, keys: list[bytes], accepted: list[
                 queued = spark.read.parquet(*(f"{folder}/purges/batch={m}" for m in waiting)).where("state = 'pending'").select("url", "zone")
                 urls = urls.where("state <> 'pending'").unionByName(urls.where("state = 'pending'").join(queued, ["url", "zone"], "left_anti"))
             urls.write.mode("overwrite").parquet(place("purges"))
-        store.index().apply(searched(spark.read.parquet(place("documents"))), n)
+        rows = searched(spark.read.parquet(place("documents"))).persist(StorageLevel.DISK_ONLY)  # the index reads them more than once
+        try:
+            store.index().apply(rows, n)
+        finally:
+            rows.unpersist()
         commit(spark, f"{folder}/commits", n, {"batch": n})
 
     with keyed.rocksdb(spark):

@@ -265,3 +265,12 @@ def test_keys_share_groups(spark, tmp_path, monkeypatch):
 def test_a_payload_is_parsed_once(spark):
     plan = spark.createDataFrame([("{}",)], "payload string").select(documents.parsed(F.col("payload")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") <= 1
+
+
+def test_the_index_reads_stored_rows(spark, tmp_path, monkeypatch):
+    """The documents of a batch are parsed once for all tables of its segment, and are let go after it."""
+    seen, true = [], segments.SegmentedIndex.apply
+    monkeypatch.setattr(segments.SegmentedIndex, "apply", lambda self, df, n: (seen.append((df, df.storageLevel.useDisk)), true(self, df, n)))
+    write(spark, str(tmp_path), many(4, 1, 20)[0])
+    run(spark, str(tmp_path))
+    assert [stored for _, stored in seen] == [True] and not seen[0][0].storageLevel.useDisk
